@@ -1,0 +1,33 @@
+"""Calibration and classification of pair scores with Spark ML."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import DataFrame, functions as F
+
+
+def platt(rows: DataFrame, c: float = 1.0) -> DataFrame:
+    """rows (label, score) with calibrated: a logistic fit of the score, regularised as C = c of the sum of losses."""
+    n = rows.count()
+    data = VectorAssembler(inputCols=["score"], outputCol="_x").transform(rows)
+    model = LogisticRegression(featuresCol="_x", labelCol="label", regParam=1.0 / (c * max(1, n)), standardization=False, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r").fit(data)
+    return model.transform(data).withColumn("calibrated", vector_to_array("_p")[1]).drop("_x", "_p", "_y", "_r")
+
+
+def isotonic(rows: DataFrame) -> DataFrame:
+    data = VectorAssembler(inputCols=["score"], outputCol="_x").transform(rows)
+    return IsotonicRegression(featuresCol="_x", labelCol="label", predictionCol="calibrated").fit(data).transform(data).drop("_x")
+
+
+def pair_classifier(train: DataFrame, pairs: DataFrame, features: list[str], threshold: float = 0.5) -> DataFrame:
+    """pairs with classifier_score and classifier_hit from scaled features; a missing feature is 0."""
+    fill = lambda df: df.select(*df.columns, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_{f}") for f in features])
+    join = VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="_v")
+    known = join.transform(fill(train))
+    scaler = StandardScaler(inputCol="_v", outputCol="_z", withMean=True).fit(known)
+    model = LogisticRegression(featuresCol="_z", labelCol="label", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r").fit(scaler.transform(known))
+    out = model.transform(scaler.transform(join.transform(fill(pairs))))
+    return out.withColumn("classifier_score", vector_to_array("_p")[1]).select(*pairs.columns, "classifier_score", (F.col("classifier_score") >= threshold).alias("classifier_hit"))
