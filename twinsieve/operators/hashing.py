@@ -32,11 +32,15 @@ def sign_hash(vec: str) -> Column:
 
 def bundle(rows: DataFrame, vec: str = "vec") -> DataFrame:
     """id, ord, transform, hash: the eight permuted sign words of each vector of 64 components."""
-    words = []
-    for n, name in enumerate(TRANSFORMS):
-        moved = F.array(*[F.element_at(F.col(vec), s + 1) for s in _permutation(name)])
-        bits = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, k, m=moved: acc.bitwiseOR(F.when(F.element_at(m, k + 1) > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.call_function("shiftleft", F.expr("1L"), k)))
-        words.append(F.struct(F.lit(n).alias("ord"), F.lit(name).alias("transform"), bits.alias("hash")))
+    def word(name: str) -> Column:
+        moved = F.array(*[F.element_at(F.col(vec), source + 1) for source in _permutation(name)])
+
+        def set_bit(acc: Column, k: Column) -> Column:
+            return acc.bitwiseOR(F.when(F.element_at(moved, k + 1) > 0, F.call_function("shiftleft", F.expr("1L"), k)).otherwise(F.expr("0L")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.expr("0L"), set_bit)
+
+    words = [F.struct(F.lit(n).alias("ord"), F.lit(name).alias("transform"), word(name).alias("hash")) for n, name in enumerate(TRANSFORMS)]
     return rows.where(F.col(vec).isNotNull()).select("id", F.explode(F.array(*words)).alias("w")).select("id", "w.*")
 
 

@@ -8,11 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import reachable
+
 BLOCK = 2048
 
 
 def _blocks(vectors: DataFrame, n: int, block: int) -> tuple[DataFrame, int]:
     """Blocks of about `block` vectors each, by a hash of the id, so that no block grows with the table."""
+    reachable(vectors.sparkSession)
     count = max(1, -(-n // block))
     dealt = vectors.where("vec is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
     return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("v")))).alias("rows")), count
@@ -116,6 +119,7 @@ def similarity_stats(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
     The sums over all others follow from the sum of all vectors and their second moments, so this is linear in rows.
     """
+    reachable(vectors.sparkSession)
     vs = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("v"))
     kind = dict(vectors.dtypes)["id"]
 

@@ -483,7 +483,7 @@ def confusion_by_category(spark, d):
     return ev.confusion(_hit(spark, d), ["category"])
 
 
-CURVE_SQL = f"""WITH {JUDGED_SQL}, at AS (SELECT score, sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n FROM judged GROUP BY score), run AS (SELECT score AS threshold, sum(p) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(n) OVER (ORDER BY score DESC)::BIGINT AS fp, sum(p) OVER () AS total FROM at),
+CURVE_SQL = f"""WITH {JUDGED_SQL}, pts AS (SELECT score, sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n FROM judged GROUP BY score), run AS (SELECT score AS threshold, sum(p) OVER (ORDER BY score DESC)::BIGINT AS tp, sum(n) OVER (ORDER BY score DESC)::BIGINT AS fp, sum(p) OVER () AS total FROM pts),
 curve AS (SELECT threshold, tp, fp, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / total::DOUBLE, 6) AS recall FROM run)"""
 
 
@@ -560,7 +560,7 @@ def stage_metrics(spark, d):
 
 @query("SELECT run, epoch_us(ts) AS ts_us FROM (SELECT event_id AS run, ts, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 50")
 def last_runs(spark, d):
-    return ev.last_runs(tb.load(spark, d, "events").select(F.col("event_id").alias("run"), "ts").orderBy(F.desc("ts"), "run").limit(50)).select("run", F.unix_micros("ts").alias("ts_us"))
+    return ev.last_runs(tb.load(spark, d, "events").select(F.col("event_id").alias("run"), "ts").orderBy(F.desc("ts"), "run").limit(50)).select("run", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
 
 
 @query(f"{JU}, c AS (SELECT category, {CONF} FROM det GROUP BY category), m AS (SELECT category, {RATES} FROM c) SELECT category, CASE WHEN fpr <= 0.005e0 AND recall >= 0.9e0 AND precision >= 0.95e0 THEN 'EXCELLENT' WHEN fpr <= 0.01e0 AND recall >= 0.8e0 AND precision >= 0.9e0 THEN 'GOOD' WHEN fpr <= 0.05e0 AND recall >= 0.7e0 THEN 'ACCEPTABLE' ELSE 'NEEDS_IMPROVEMENT' END AS grade FROM m")
@@ -733,9 +733,9 @@ DCT_SQL = f"""{PX}, c AS (SELECT img, y // 8 AS by_, x // 8 AS bx, {", ".join(f"
 l AS (SELECT *, sqrt({" + ".join(f"d{n} * d{n}" for n in range(15))}) AS len FROM c), blocks AS (SELECT img, by_, bx, [{", ".join(f"d{n} / len" for n in range(15))}] AS d FROM l)"""
 
 
-@query(f"{DCT_SQL} SELECT img, by_ AS by, bx, {', '.join(f'round(d[{n + 1}], 5) AS d{n}' for n in range(15))} FROM blocks")
+@query(f"{DCT_SQL} SELECT img, by_ AS by, bx, {', '.join(f'round(d[{n + 1}], 5) + 0e0 AS d{n}' for n in range(15))} FROM blocks")
 def dct_blocks(spark, d):
-    return px.dct_blocks(tb.pixels(spark)).select("img", "by", "bx", *[F.round(F.element_at("d", n + 1), 5).alias(f"d{n}") for n in range(15)])
+    return px.dct_blocks(tb.pixels(spark)).select("img", "by", "bx", *[(F.round(F.element_at("d", n + 1), 5) + 0.0).alias(f"d{n}") for n in range(15)])
 
 
 @query(f"{DCT_SQL} SELECT a.img, a.by_ AS ya, a.bx AS xa, b.by_ AS yb, b.bx AS xb, round(list_inner_product(a.d, b.d), 5) AS cosine FROM blocks a JOIN blocks b ON a.img = b.img AND (a.by_ < b.by_ OR (a.by_ = b.by_ AND a.bx < b.bx)) WHERE list_inner_product(a.d, b.d) >= 0.95e0 AND sqrt((a.by_ - b.by_) ** 2 + (a.bx - b.bx) ** 2) >= 2")

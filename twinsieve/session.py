@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where only the driver's path has it."""
+    env = spark.sparkContext.environment
+    held = env.get("PYTHONPATH", "")
+    if ROOT not in os.pathsep.join([held, os.environ.get("PYTHONPATH", "")]).split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in [held, ROOT] if x)
+
 
 def session(name: str = "twinsieve", master: str | None = None, **conf: str) -> SparkSession:
     """AQE with skew handling, UTC. Partition counts follow the data at run time; conf overrides anything."""
