@@ -17,10 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
+from .chunks import ChunkTable
 from .common import prepare, sliced
 
-#: Distinct chunks whose ids a Python worker remembers; beyond it starts anew.
-REMEMBERED = 600_000
 _NONE = np.iinfo("i8").max
 _held: dict[str, SegmentTreeBpe] = {}
 
@@ -49,7 +48,7 @@ class SegmentTreeBpe:
         self.pairs, self.ranks = pair[order], order.astype("i8")
         self.first = {c: self.vocab[c] for c in self.vocab if len(c) == 1}
         self.last = {c: self.vocab[c + self.suffix] for c in self.first if c + self.suffix in self.vocab}
-        self.known: dict[str, bytes] = {}
+        self.known = ChunkTable(self.fresh, "<u4")
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -139,32 +138,19 @@ class SegmentTreeBpe:
             chunk = chunk[at + len(found) :]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Puts the ids of these chunks among the known ones, as little-endian unsigned 32-bit integers."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        fresh = list(chunks)
-        made = [self.pieces(c) for c in fresh]
+    def fresh(self, chunks: list[str]) -> list[np.ndarray]:
+        """The ids of each chunk."""
+        made = [self.pieces(c) for c in chunks]
         merged = iter(self.merge([p for parts in made for p in parts if isinstance(p, list)]))
-        for c, parts in zip(fresh, made):
-            self.known[c] = b"".join([next(merged).astype("<u4").tobytes() if isinstance(p, list) else p.to_bytes(4, "little") for p in parts])
+        return [np.concatenate([np.empty(0, "u4"), *(next(merged) if isinstance(p, list) else [p] for p in parts)]).astype("u4") if len(parts) != 1 or not isinstance(parts[0], list) else next(merged).astype("u4") for parts in made]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers.
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each).
 
         Space and line feed never lie within a piece and never change what stands beside them,
         so a text is encoded chunk by chunk between them.
         """
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split)
-        fresh = wanted - self.known.keys()
-        if fresh and len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = wanted
-        if fresh:
-            self.learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        return self.known.encode(texts)
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 text of ids, special tokens included, as the library joins tokens without a decoder."""
@@ -190,8 +176,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in sliced(batches, 4 << 20):
-            ids = bpe.encode([x or "" for x in b.column(1).to_pylist()])
+        for b in sliced(batches, 3 << 19):
+            flat, sizes = bpe.encode(b.column(1))
+            raw, ends = flat.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(sizes)).tolist()
+            ids = [raw[i:j] for i, j in zip([0, *ends], ends)]
             texts = [bpe.decode(x) for x in ids]
             columns = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
             columns += [pa.array(ids, pa.binary()), pa.array([x.decode() for x in texts], pa.string())] if outputs else []
