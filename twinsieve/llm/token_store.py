@@ -26,15 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .common import fresh_dir, make_dir, open_fs, prepare, sliced, written
+from .chunks import ChunkTable, binaries, hashed, with_end
+from .common import fresh_dir, make_dir, open_fs, prepare, sliced
 
 MAGIC = b"TOKHUF1\n"
 BLOCK, LANE = 1 << 14, 64
-#: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
 #: Payload at which a file is closed, and ids that are decoded at once.
 FILE_BYTES, GROUP_IDS = 256 << 20, 2 << 20
-_held: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+_held: dict[str, ChunkTable] = {}
 
 
 def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
@@ -153,30 +152,84 @@ def unpack(payload: bytes, sizes: np.ndarray, lane_bits: np.ndarray, table: tupl
     return out[np.arange(LANE) < count[:, None]]
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text by the tokenizers library, as little-endian integers of 2 bytes (4 for more than 65,536 ids).
+#: Marks that never join a word.
+_MARKS = frozenset(".,;:!?")
+
+
+def _table(path: str) -> ChunkTable:
+    """The worker's remembered chunks for one tokenizer file.
 
     No piece of a text reaches over a space or a line feed, and neither changes what stands
-    beside it; so the library encodes each distinct chunk between them once, and the worker remembers it.
+    beside it; so the library encodes chunks. A chunk of Latin letters and one mark is its lower-cased
+    letters and the mark, which the library also takes apart; so it encodes each such word once.
     """
-    if path not in _held:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        _held[path] = (library, {})
-    library, known = _held[path]
+    if path in _held:
+        return _held[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
     kind = id_kind(library.get_vocab_size())
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    wanted = set().union(*split)
-    fresh = wanted - known.keys()
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = wanted
-    fresh = list(fresh)
-    for chunk, e in zip(fresh, library.encode_batch_fast(fresh, add_special_tokens=False)):
-        known[chunk] = np.array(e.ids, kind).tobytes()
-    return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+
+    def plain(words: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), 4096):
+            out += [np.array(e.ids, kind) for e in library.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+        return out
+
+    final = np.zeros(library.get_vocab_size() + 1, bool)
+    ends = [i for token, i in library.get_vocab().items() if token.endswith("</w>")]
+    final[ends] = True
+
+    def letters(words: list[str]) -> list[np.ndarray]:
+        """Words of letters alone are one piece each, and the last id of a piece is one of those that end a word."""
+        out: list[np.ndarray] = []
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, kind)
+            stop = (np.flatnonzero(final[ids]) + 1).tolist()
+            if len(stop) != len(part) or stop[-1] != len(ids):  # an alphabet that the library takes apart
+                out += plain(part)
+            else:
+                out += [ids[a:b] for a, b in zip([0, *stop], stop)]
+        return out
+
+    probe = ["Äé", "äé", "Ab", "ab", "ab.", ".", "é,", "é", ","]
+    p = dict(zip(probe, (x.tolist() for x in plain(probe))))
+    folds = p["Äé"] == p["äé"] and p["Ab"] == p["ab"] and p["ab."] == p["ab"] + p["."] and p["é,"] == p["é"] + p[","]
+    marks = dict(zip(sorted(_MARKS), plain(sorted(_MARKS)))) if folds else {}
+
+    def fresh(chunks: list[str]) -> list[np.ndarray]:
+        if not folds:
+            return plain(chunks)
+        bare, tail = [], []
+        for c in chunks:
+            mark = c[-1] if c[-1] in _MARKS else ""
+            word = c[:-1] if mark else c
+            simple = word.isalpha() and (word.isascii() or len(word.encode("latin-1", "ignore")) == len(word))
+            bare.append(word.lower() if simple else c)
+            tail.append(mark if simple else "")
+        words = list(dict.fromkeys(bare))
+        raw = np.frombuffer("".join(words).encode(), "u1")
+        ends = np.cumsum([len(w.encode()) for w in words])
+        keys = hashed(raw, np.r_[0, ends[:-1]], ends)
+        place = table.find(keys)
+        there = np.flatnonzero(place >= 0)
+        flat, stop = table.get(place[there]), np.cumsum(table.size[place[there]]).tolist()
+        known = {words[k]: flat[i:j] for k, i, j in zip(there.tolist(), [0, *stop], stop)}
+        missing = [w for w, at in zip(words, place.tolist()) if at < 0]
+        single = [w for w in missing if w.isalpha() and (w.isascii() or len(w.encode("latin-1", "ignore")) == len(w))]
+        known |= dict(zip(single, letters(single)))
+        missing = [w for w in missing if w not in known]
+        known |= dict(zip(missing, plain(missing)))
+        own = set(chunks)
+        extra = sorted((int(keys[i]), words[i]) for i in np.flatnonzero(place < 0) if words[i] not in own)
+        if extra:
+            table.put(np.array([k for k, _ in extra], "u8"), [known[w] for _, w in extra])
+        return [np.concatenate([known[w], marks[m]]) if m else known[w] for w, m in zip(bare, tail)]
+
+    table = _held[path] = ChunkTable(fresh, kind)
+    return table
 
 
 def id_kind(size: int) -> str:
@@ -205,12 +258,12 @@ def write_store(docs: DataFrame, path: str, out_dir: str, end_id: int | None = N
     size = Tokenizer.from_file(path).get_vocab_size()
     size = max(size, (end_id or 0) + 1)
     kind = id_kind(size)
-    end = b"" if end_id is None else np.array([end_id], kind).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 4 << 20):
-            ids = [x + end for x in encode_texts([x or "" for x in b.column(1).to_pylist()], path)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for b in sliced(batches, 3 << 19):
+            ids, sizes = _table(path).encode(b.column(1))
+            ids, sizes = (ids, sizes) if end_id is None else with_end(ids.astype(kind, copy=False), sizes, end_id)
+            yield pa.RecordBatch.from_arrays([b.column(0), binaries(ids.astype(kind, copy=False), sizes)], ["doc_id", "ids"])
 
     at = fresh_dir(spark, "ids")
     docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(encode, "doc_id long, ids binary").write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(at)
@@ -238,7 +291,7 @@ def write_store(docs: DataFrame, path: str, out_dir: str, end_id: int | None = N
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, seen = canonical(lengths), 0
-        for b in sliced(batches, 4 << 20):
+        for b in sliced(batches, 3 << 19):
             blobs = b.column(1).to_pylist()
             sizes = np.array([len(x) for x in blobs]) // np.dtype(kind).itemsize
             payload, used, bits, lanes = pack(np.frombuffer(b"".join(blobs), kind), sizes, codes, lengths)
