@@ -104,3 +104,26 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JUDGED_SQL = """judged AS (SELECT l.doc_id AS id, quality::INTEGER AS label, ((l.doc_id * 37 + quality * 41) % 101) / 100e0 AS score, quality = 1 AS should_detect,
   0.8e0 + ((l.doc_id * 13 + quality * 5) % 20) / 100e0 AS ssim, ((l.doc_id * 7 + (1 - quality) * 9) % 12)::INTEGER AS hamming, lang AS category FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+def image_files(spark: SparkSession, size: int = 160) -> DataFrame:
+    """Synthetic panels as encoded files (path, content): six textures, and each turned by a quarter, mirrored and brightened."""
+    import numpy as np
+
+    from ..kernels.images import encoded, resized
+
+    rows = []
+    for i in range(6):
+        rng = np.random.default_rng(i)
+        g = np.clip(resized(rng.integers(0, 256, (size // 8, size // 8)), size, size) + rng.normal(0, 4, (size, size)), 0, 255)
+        g[(i * 20) % 90 : (i * 20) % 90 + 25, :] = 70
+        for name, x in (("plain", g), ("rot90", np.rot90(g)), ("mirror", g[:, ::-1]), ("bright", np.clip(g + 20, 0, 255))):
+            rows.append((f"page_{i + 1}_panel{len(rows) % 4 + 1:02d}_{name}.pgm", encoded(np.ascontiguousarray(x))))
+    return spark.createDataFrame(rows, "path string, content binary")
+
+
+def image_pairs(spark: SparkSession) -> DataFrame:
+    """Each plain image with its variants and with the next plain image."""
+    names = [r.path for r in image_files(spark).select("path").collect()]
+    plain = names[::4]
+    return spark.createDataFrame([(plain[i], n) for i in range(6) for n in (*names[4 * i + 1 : 4 * i + 4], plain[(i + 1) % 6])], "path_a string, path_b string")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .kernels import udfs as ud
 from .operators import boxes as bx, calibrate, evaluate as ev, hashing as hs, merge as mg, pixels as px, refine as rf, similarity as sm, tiering as tr, tiles as tl
 from .plans import tables as tb
 from .plans.tables import BOXES_SQL, EVIDENCE_SQL, JUDGED_SQL, PANEL_SQL, PIXELS_SQL
@@ -747,3 +748,41 @@ def clone_candidates(spark, d):
 def lane_profiles(spark, d):
     lanes = tb.pixels(spark).select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("lane")).withColumns({"start": F.col("lane") * 12, "end": F.col("lane") * 12 + 12})
     return px.lane_profiles(tb.pixels(spark), lanes)
+
+
+# --- image kernels ------------------------------------------------------------------------
+
+
+@query()
+def kernel_hash_bundles(spark, d):
+    return ud.bundle_rows(ud.hash_bundles(tb.image_files(spark)))
+
+
+@query()
+def kernel_hash_pairs(spark, d):
+    return hs.bundle_pairs(ud.bundle_rows(ud.hash_bundles(tb.image_files(spark))), 2, 8)
+
+
+@query()
+def kernel_ssim(spark, d):
+    return ud.ssim_scores(tb.image_pairs(spark), tb.image_files(spark), 160)
+
+
+@query()
+def kernel_geometry(spark, d):
+    return ud.geometry_scores(tb.image_pairs(spark), tb.image_files(spark))
+
+
+@query()
+def kernel_deep_verify(spark, d):
+    return ud.deep_scores(tb.image_pairs(spark), tb.image_files(spark))
+
+
+@query()
+def kernel_texture(spark, d):
+    return px.modality(ud.texture(tb.image_files(spark)))
+
+
+@query()
+def kernel_lane_distance(spark, d):
+    return ud.lane_distances(tb.image_pairs(spark), tb.image_files(spark))
