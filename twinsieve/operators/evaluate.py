@@ -100,29 +100,37 @@ def confusion(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def pr_curve(rows: DataFrame) -> DataFrame:
-    """threshold, tp, fp, precision, recall at each distinct score of rows (label 0 or 1, score).
+def _curve(rows: DataFrame, parts: int = 64) -> DataFrame:
+    """threshold, p and n (labels 1 and 0 at it), tp, fp, all (labels 1) at each distinct score of rows (label 0 or 1, score).
 
-    Counts per score come first; the running sums are over those. Scores are dealt by range, each range adds the totals of those above it,
-    so no task has all scores.
+    Counts per score come first. Running sums are taken within ranges of scores, whose cuts are quantiles, and each range
+    adds the totals of those above: no task has all scores.
     """
     at = rows.groupBy("score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
-    spread = at.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
+    cuts = at.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    above = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    spread = at.withColumn("part", F.size(F.filter(above, lambda c: c > F.col("score"))))
     sums = spread.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("op"), F.coalesce(F.sum("sn").over(before), F.lit(0)).alias("on"), F.sum("sp").over(Window.partitionBy()).alias("all"))
     w = Window.partitionBy("part").orderBy(F.desc("score"))
     run = spread.withColumns({"cp": F.sum("p").over(w), "cn": F.sum("n").over(w)}).join(F.broadcast(offsets), "part")
-    tp, fp = F.col("cp") + F.col("op"), F.col("cn") + F.col("on")
-    return run.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.round(share(tp, tp + fp), 6).alias("precision"), F.round(share(tp, F.col("all")), 6).alias("recall"))
+    return run.select(F.col("score").alias("threshold"), "p", "n", (F.col("cp") + F.col("op")).alias("tp"), (F.col("cn") + F.col("on")).alias("fp"), "all")
+
+
+def pr_curve(rows: DataFrame) -> DataFrame:
+    """threshold, tp, fp, precision, recall at each distinct score of rows (label 0 or 1, score)."""
+    tp, fp = F.col("tp"), F.col("fp")
+    return _curve(rows).select("threshold", "tp", "fp", F.round(share(tp, tp + fp), 6).alias("precision"), F.round(share(tp, F.col("all")), 6).alias("recall"))
 
 
-def average_precision(curve: DataFrame) -> DataFrame:
-    """The sum of precision times the step in recall, over a curve's thresholds from high to low; and the area by trapezoids."""
-    w = Window.orderBy(F.desc("threshold"))
-    step = curve.select("precision", "recall", F.lag("recall", 1, 0.0).over(w).alias("r0"), F.lag("precision", 1, 1.0).over(w).alias("p0"))
-    d = F.col("recall") - F.col("r0")
-    return step.agg(F.round(F.sum(d * F.col("precision")), 6).alias("average_precision"), F.round(F.sum(d * (F.col("precision") + F.col("p0")) / 2), 6).alias("pr_auc"))
+def average_precision(rows: DataFrame) -> DataFrame:
+    """The sum of precision times the step in recall over all thresholds, and the area under the curve by trapezoids, from precision 1 at no recall."""
+    tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "p", "n"))
+    now = share(tp, tp + fp)
+    last = F.when(tp + fp == p + n, 1.0).otherwise(share(tp - p, tp - p + fp - n))
+    step = share(p, F.col("all"))
+    return _curve(rows).agg(F.round(F.sum(step * now), 6).alias("average_precision"), F.round(F.sum(step * (now + last) / 2), 6).alias("pr_auc"))
 
 
 def recall_at_precision(curve: DataFrame, floor: float) -> DataFrame:
@@ -165,9 +173,17 @@ def sweep_rank(runs: DataFrame, most: int = 20) -> DataFrame:
 
 
 def k_folds(rows: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """fold of each row (id, label): each class is dealt evenly in the order of an md5 of seed and id."""
-    w = Window.partitionBy("label").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id")
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)).cast("int"))
+    """fold of each row (id, label): each class is dealt evenly in the order of an md5 of seed and id.
+
+    Places are counted within 256 ranges of the md5 and each range adds the sizes of those before it, so no task has a whole class.
+    """
+    keyed = rows.withColumn("_k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))).withColumn("_r", F.substring("_k", 1, 2))
+    before = Window.partitionBy("_l").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(F.col("label").alias("_l"), F.col("_r").alias("_q")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_l", "_q", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(Window.partitionBy("label", "_r").orderBy("_k", "id"))
+    dealt = keyed.withColumn("_p", place).join(offsets, F.col("label").eqNullSafe(F.col("_l")) & (F.col("_r") == F.col("_q")))
+    return dealt.select(*rows.columns, F.pmod(F.col("_p") + F.col("_o") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
 def stage_metrics(stages: DataFrame, slow: float = 5.0) -> DataFrame:

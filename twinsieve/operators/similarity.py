@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import reachable
 
-BLOCK = 2048
+#: Vectors of a block, and rows of it that meet another block at once: 64 MB of products.
+BLOCK, SLICE = 8192, 1024
 
 
 def _blocks(vectors: DataFrame, n: int, block: int) -> tuple[DataFrame, int]:
@@ -44,9 +45,11 @@ def pairs_at_least(vectors: DataFrame, threshold: float, block: int = BLOCK) ->
         for b in batches:
             for left, right, same in zip(b.column(0), b.column(1), b.column(2)):
                 (i, x), (j, y) = _matrix(left), _matrix(right)
-                s = x @ y.T
-                a, c = np.nonzero(np.triu(s >= threshold, 1) if same.as_py() else s >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[a], j[c])), pa.array(np.maximum(i[a], j[c])), pa.array(s[a, c])], ["i", "j", "cosine"])
+                for at in range(0, len(i), SLICE):
+                    s = x[at : at + SLICE] @ y.T
+                    a, c = np.nonzero(np.triu(s >= threshold, at + 1) if same.as_py() else s >= threshold)
+                    p, q = i[at + a], j[c]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(s[a, c])], ["i", "j", "cosine"])
 
     return _met(vectors, block, True).mapInArrow(run, f"i {kind}, j {kind}, cosine double")
 
@@ -59,15 +62,16 @@ def neighbours(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         for b in batches:
             for left, right, same in zip(b.column(0), b.column(1), b.column(2)):
                 (i, x), (j, y) = _matrix(left), _matrix(right)
-                s = x @ y.T
-                if same.as_py():
-                    np.fill_diagonal(s, -np.inf)
-                if s.shape[1] > k:
-                    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                    a, c = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
-                else:
-                    a, c = np.nonzero(np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(j[c]), pa.array(s[a, c])], ["i", "j", "cosine"])
+                for at in range(0, len(i), SLICE):
+                    s = x[at : at + SLICE] @ y.T
+                    if same.as_py():
+                        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
+                    if s.shape[1] > k:
+                        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1] - 1e-9  # ties are broken by rounded scores
+                        a, c = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
+                    else:
+                        a, c = np.nonzero(np.isfinite(s))
+                    yield pa.RecordBatch.from_arrays([pa.array(i[at + a]), pa.array(j[c]), pa.array(s[a, c])], ["i", "j", "cosine"])
 
     found = _met(vectors, block, False).mapInArrow(run, f"i {kind}, j {kind}, cosine double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("cosine", 9)), "j"))

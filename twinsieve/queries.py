@@ -493,9 +493,12 @@ def pr_curve(spark, d):
     return ev.pr_curve(tb.judged(spark, d))
 
 
-@query(f"{CURVE_SQL}, s AS (SELECT precision, recall, lag(recall, 1, 0e0) OVER w AS r0, lag(precision, 1, 1e0) OVER w AS p0 FROM curve WINDOW w AS (ORDER BY threshold DESC)) SELECT round(sum((recall - r0) * precision), 6) AS average_precision, round(sum((recall - r0) * (precision + p0) / 2), 6) AS pr_auc FROM s")
+@query(
+    f"""{CURVE_SQL}, s AS (SELECT tp / (tp + fp)::DOUBLE AS now, lag(tp / (tp + fp)::DOUBLE, 1, 1e0) OVER w AS last, (tp - lag(tp, 1, 0) OVER w) / total::DOUBLE AS step FROM run WINDOW w AS (ORDER BY threshold DESC))
+SELECT round(sum(step * now), 6) AS average_precision, round(sum(step * (now + last) / 2), 6) AS pr_auc FROM s"""
+)
 def average_precision(spark, d):
-    return ev.average_precision(ev.pr_curve(tb.judged(spark, d)))
+    return ev.average_precision(tb.judged(spark, d))
 
 
 @query(f"{CURVE_SQL} SELECT recall, threshold FROM curve WHERE precision >= 0.7e0 ORDER BY recall DESC, threshold DESC LIMIT 1")
