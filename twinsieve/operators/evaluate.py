@@ -202,3 +202,46 @@ def grades(metrics: DataFrame) -> DataFrame:
     f, r, p = F.col("fpr"), F.col("recall"), F.col("precision")
     grade = F.when((f <= 0.005) & (r >= 0.90) & (p >= 0.95), "EXCELLENT").when((f <= 0.01) & (r >= 0.80) & (p >= 0.90), "GOOD").when((f <= 0.05) & (r >= 0.70), "ACCEPTABLE").otherwise("NEEDS_IMPROVEMENT")
     return metrics.withColumn("grade", grade)
+
+
+def validated(truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Ground truth (pair_id, should_detect, ...) with predictions (pair_id, was_detected, ...); a pair without one was not detected."""
+    return truth.join(predictions.drop("should_detect"), "pair_id", "left").withColumn("was_detected", F.coalesce("was_detected", F.lit(False)))
+
+
+def run_detector(pairs: DataFrame, detector) -> DataFrame:
+    """pairs with the columns that a detector adds: a function of a DataFrame."""
+    return detector(pairs)
+
+
+def benchmark(runs: DataFrame) -> DataFrame:
+    """Mean, least and most seconds of the runs (preset, seconds) of each preset."""
+    return runs.groupBy("preset").agg(F.count("*").alias("runs"), F.round(F.avg("seconds"), 6).alias("avg_seconds"), F.min("seconds").alias("min_seconds"), F.max("seconds").alias("max_seconds"))
+
+
+def value_shares(rows: DataFrame, name: str, confidence: str) -> DataFrame:
+    """Count and mean confidence of each value."""
+    return rows.groupBy(name).agg(F.count("*").alias("n"), F.round(F.avg(confidence), 6).alias("confidence"))
+
+
+def best_share(matches: DataFrame, part: float = 0.15) -> DataFrame:
+    """The nearest matches (pair, q, t, d) of each pair: the integer part of this share of them."""
+    w = Window.partitionBy("pair")
+    ranked = matches.withColumns({"_r": F.row_number().over(w.orderBy("d", "q", "t")), "_n": F.count("*").over(w)})
+    return ranked.where(F.col("_r") <= F.floor(F.col("_n") * part)).drop("_r", "_n")
+
+
+def two_signal_grid(rows: DataFrame, cosine: list[float], ssim: list[float], inliers: list[int], floor: float = 0.95) -> DataFrame:
+    """The grid over (cosine and ssim) or inliers, ranked as grid_search is."""
+    cells = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(c).alias("cosine_t"), F.lit(s).alias("ssim_t"), F.lit(n).alias("inliers_t")) for k, (c, s, n) in enumerate((c, s, n) for c in cosine for s in ssim for n in inliers)])
+    hit = (holds(F.col("cosine") >= F.col("g.cosine_t")) & holds(F.col("ssim") >= F.col("g.ssim_t"))) | holds(F.col("orb_inliers") >= F.col("g.inliers_t"))
+    spread = rows.select("should_detect", "cosine", "ssim", "orb_inliers", F.explode(cells).alias("g")).select("should_detect", "g.*", hit.alias("was_detected"))
+    found = confusion(spread, ["ord", "cosine_t", "ssim_t", "inliers_t"])
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.when(F.col("precision") >= floor, 0).otherwise(1), F.desc("recall"), "ord")))
+
+
+def readiness(metrics: DataFrame) -> DataFrame:
+    """Whether a detector (fpr, recall, precision) may go into production, and what fails."""
+    checks = {"fpr": F.col("fpr") <= 0.005, "recall": F.col("recall") >= 0.90, "precision": F.col("precision") >= 0.95}
+    wrong = F.concat_ws(",", *[F.when(~c, F.lit(n)) for n, c in checks.items()])
+    return metrics.withColumns({"failed": wrong, "ready": wrong == ""})

@@ -60,3 +60,23 @@ def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 def report_order(pairs: DataFrame) -> DataFrame:
     """By source, then cosine from high (missing: -1), then distance (missing: 99)."""
     return pairs.orderBy("source", F.coalesce("cosine", F.lit(-1.0)).desc(), F.coalesce("hamming", F.lit(99)), "pair_lo", "pair_hi")
+
+
+def numbered(pairs: DataFrame) -> DataFrame:
+    """report_no from 1 in the order of cosine from high, missing as 0. For a report: all its rows pass one task."""
+    return pairs.withColumn("report_no", F.row_number().over(Window.orderBy(F.coalesce("cosine", F.lit(0.0)).desc(), "pair_lo", "pair_hi")))
+
+
+def page_pairs(pages: DataFrame) -> DataFrame:
+    """Every two pages (doc_id, page) of a document, the smaller first, for a whole-page scan."""
+    a, b = pages.select("doc_id", F.col("page").alias("page_a")), pages.select("doc_id", F.col("page").alias("page_b"))
+    return a.join(b, "doc_id").where("page_a < page_b")
+
+
+def with_modalities(pairs: DataFrame, cache: DataFrame, least: float = 0.15) -> DataFrame:
+    """modality_a and modality_b from (path, modality, confidence); an unknown path or a low confidence is unknown."""
+    m = cache.select("path", F.when(F.col("confidence") >= least, F.col("modality")).otherwise("unknown").alias("m"))
+    out = pairs.drop("modality_a", "modality_b")
+    for s in ("a", "b"):
+        out = out.join(m.select(F.col("path").alias(f"path_{s}"), F.col("m").alias(f"modality_{s}")), f"path_{s}", "left").withColumn(f"modality_{s}", F.coalesce(f"modality_{s}", F.lit("unknown")))
+    return out

@@ -134,3 +134,31 @@ def lane_profiles(pixels: DataFrame, lanes: DataFrame) -> DataFrame:
     """img, lane, y, mean value of each row of each lane (img, lane, start, end; end excluded)."""
     met = pixels.join(F.broadcast(lanes), "img").where((F.col("x") >= F.col("start")) & (F.col("x") < F.col("end")))
     return met.groupBy("img", "lane", "y").agg(F.round(F.avg("v"), 6).alias("mean"))
+
+
+def patch_stats(met: DataFrame, size: int, grid: int = 3, top: int = 4) -> DataFrame:
+    """least, most, mean, median, deviation, mean of the best and number of patch scores of each image pair."""
+    step = size // grid
+    cell = F.least(F.floor(F.col("y") / step), F.lit(grid - 1)) * grid + F.least(F.floor(F.col("x") / step), F.lit(grid - 1))
+    each = met.groupBy("a", "b", cell.alias("cell")).agg(_ssim().alias("s"))
+    best = F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, top)
+    r = lambda x, n: F.round(x, 6).alias(n)
+    return each.groupBy("a", "b").agg(
+        r(F.min("s"), "least"), r(F.max("s"), "most"), r(F.avg("s"), "mean"), r(F.expr("percentile(s, 0.5)"), "median"), r(F.stddev_pop("s"), "sd"), r(F.aggregate(best, F.lit(0.0), lambda acc, v: acc + v) / F.size(best), "topk"), F.count("*").alias("patches")
+    )
+
+
+def profile_valleys(pixels: DataFrame, axis: str = "y", depth: float = 10, width: int = 3) -> DataFrame:
+    """img, middle, width of runs of rows (or columns) whose mean lies `depth` under the median of them, by gaps and islands."""
+    profile = pixels.groupBy("img", F.col(axis).alias("at")).agg(F.avg("v").alias("m"))
+    base = profile.groupBy("img").agg(F.expr("percentile(m, 0.5)").alias("base"))
+    low = profile.join(base, "img").where(F.col("m") < F.col("base") - depth)
+    run = low.withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("img").orderBy("at")))
+    return run.groupBy("img", "island").agg(F.floor((F.min("at") + F.max("at")) / 2).cast("int").alias("middle"), F.count("*").cast("int").alias("width")).where(F.col("width") >= width).drop("island")
+
+
+def ms_ssim(scores: DataFrame, weights: tuple[float, ...] = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)) -> DataFrame:
+    """The weighted geometric mean of scale scores (a, b, scale from 0, c); 0 if any isn't positive."""
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), F.col("scale") + 1)
+    good = F.min("c") > 0
+    return scores.groupBy("a", "b").agg(F.round(F.when(good, F.exp(F.sum(w * F.log(F.greatest(F.col("c"), F.lit(1e-12)))))).otherwise(0.0), 6).alias("ms_ssim"))

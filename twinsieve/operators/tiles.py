@@ -60,3 +60,19 @@ def same_modality_panels(panels: DataFrame, modality: str = "confocal") -> DataF
     p = panels.where(F.col("modality") == modality)
     a, b = p.select("modality", F.col("panel_id").alias("pair_lo"), F.col("page").alias("p")), p.select("modality", F.col("panel_id").alias("pair_hi"), F.col("page").alias("q"))
     return a.join(b, "modality").where("pair_lo < pair_hi and p <> q").select("pair_lo", "pair_hi")
+
+
+def products(panel_pairs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Every tile of one panel with every tile of the other, for each pair of panels; a panel has a bounded number of tiles."""
+    a = tiles.select(F.col("panel_id").alias("pair_lo"), F.col("n").alias("tile_a"))
+    b = tiles.select(F.col("panel_id").alias("pair_hi"), F.col("n").alias("tile_b"))
+    return panel_pairs.select("pair_lo", "pair_hi").join(a, "pair_lo").join(b, "pair_hi").select("pair_lo", "pair_hi", "tile_a", "tile_b")
+
+
+def regular_tiles(panels: DataFrame, size: int = 384, stride: float = 0.65) -> DataFrame:
+    """panel_id, n, x, y, size: full squares only, without edge cover, n counts from 0."""
+    step = F.lit(max(1, int(size * stride)))
+    fit = panels.where((F.col("w") >= size) & (F.col("h") >= size))
+    xs, ys = _starts(F.col("w"), F.lit(size), step), _starts(F.col("h"), F.lit(size), step)
+    every = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+    return fit.select("panel_id", F.posexplode(every).alias("n", "b")).select("panel_id", "n", "b.x", "b.y", F.lit(size).alias("size"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions import scalars as sc
 from .kernels import udfs as ud
 from .operators import boxes as bx, calibrate, evaluate as ev, hashing as hs, merge as mg, pixels as px, refine as rf, similarity as sm, tiering as tr, tiles as tl
 from .plans import tables as tb
@@ -525,9 +526,7 @@ def grid_search(spark, d):
 
 @query(f"{SIG_SQL} SELECT pair_lo, pair_hi, round(greatest((least(greatest(c, 0), 1) + least(greatest(s, 0), 1)) * 0.5e0, tanh(n / 50e0)), 6) AS score FROM sig")
 def unified_score(spark, d):
-    from .functions.scalars import unified_score as score
-
-    return tb.evidence(spark, d).select("pair_lo", "pair_hi", F.round(score("cosine", "ssim", "orb_inliers"), 6).alias("score"))
+    return tb.evidence(spark, d).select("pair_lo", "pair_hi", F.round(sc.unified_score("cosine", "ssim", "orb_inliers"), 6).alias("score"))
 
 
 @query(f"WITH {JUDGED_SQL}, p AS (SELECT label, least(greatest(score, 1e-6), 1 - 1e-6) AS p FROM judged) SELECT round(-avg(label * ln(p) + (1 - label) * ln(1 - p)), 6) AS log_loss, count(*) AS n FROM p")
@@ -789,3 +788,119 @@ def kernel_texture(spark, d):
 @query()
 def kernel_lane_distance(spark, d):
     return ud.lane_distances(tb.image_pairs(spark), tb.image_files(spark))
+
+
+# --- the rest -----------------------------------------------------------------------------
+
+
+@query()
+def ivf_pairs(spark, d):
+    return sm.ivf_pairs(vectors(spark, d), 0.3, 20)
+
+
+@query(f"{EV} SELECT pair_lo, pair_hi, (row_number() OVER (ORDER BY coalesce(cosine, 0) DESC, pair_lo, pair_hi))::INTEGER AS report_no FROM evidence")
+def report_numbers(spark, d):
+    return mg.numbered(tb.evidence(spark, d)).select("pair_lo", "pair_hi", "report_no")
+
+
+@query(f"WITH {PANEL_SQL}, p AS (SELECT DISTINCT page // 10 AS doc_id, page FROM panel) SELECT a.doc_id, a.page AS page_a, b.page AS page_b FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.page < b.page")
+def page_pairs(spark, d):
+    return mg.page_pairs(tb.panel(spark, d).select(F.floor(F.col("page") / 10).alias("doc_id"), "page").distinct())
+
+
+@query(
+    f"""WITH {PANEL_SQL}, {EVIDENCE_SQL}, c AS (SELECT path, modality, (panel_id % 10) / 10e0 AS confidence FROM panel WHERE panel_id % 7 <> 0), m AS (SELECT path, CASE WHEN confidence >= 0.15e0 THEN modality ELSE 'unknown' END AS m FROM c)
+SELECT pair_lo, coalesce(a.m, 'unknown') AS modality_a, coalesce(b.m, 'unknown') AS modality_b FROM evidence e LEFT JOIN m a ON e.path_a = a.path LEFT JOIN m b ON e.path_b = b.path"""
+)
+def modality_join(spark, d):
+    cache = tb.panel(spark, d).where("panel_id % 7 <> 0").select("path", "modality", ((F.col("panel_id") % 10) / 10.0).alias("confidence"))
+    return mg.with_modalities(tb.evidence(spark, d), cache).select("pair_lo", "modality_a", "modality_b")
+
+
+@query(f"{TILES_SQL}, t AS (SELECT * FROM tiles WHERE n < 20), own AS (SELECT DISTINCT panel_id FROM t), pairs AS (SELECT a.panel_id AS pair_lo, b.panel_id AS pair_hi FROM own a JOIN own b ON b.panel_id = a.panel_id + 1) SELECT pair_lo, pair_hi, a.n AS tile_a, b.n AS tile_b FROM pairs JOIN t a ON a.panel_id = pair_lo JOIN t b ON b.panel_id = pair_hi")
+def tile_products(spark, d):
+    t = tl.micro_tiles(_sized(spark, d))
+    p = t.select("panel_id").distinct()
+    return tl.products(p.select(F.col("panel_id").alias("pair_lo"), (F.col("panel_id") + 1).alias("pair_hi")).join(p.select(F.col("panel_id").alias("pair_hi")), "pair_hi"), t)
+
+
+@query(f"WITH {SIZED_SQL}, s AS (SELECT panel_id, list_filter(list_transform(range(0, 50), lambda k: k * 249), lambda v: v <= w - 384) AS xs, list_filter(list_transform(range(0, 50), lambda k: k * 249), lambda v: v <= h - 384) AS ys FROM sized WHERE w >= 384 AND h >= 384), r AS (SELECT panel_id, unnest(ys) AS y, xs FROM s), e AS (SELECT panel_id, y, unnest(xs) AS x FROM r) SELECT panel_id, (row_number() OVER (PARTITION BY panel_id ORDER BY y, x) - 1)::INTEGER AS n, x::INTEGER AS x, y::INTEGER AS y, 384 AS size FROM e")
+def regular_tiles(spark, d):
+    return tl.regular_tiles(_sized(spark, d))
+
+
+@query(f"{JU}, p AS (SELECT id AS pair_id, hit AS was_detected FROM det WHERE id % 4 <> 0), v AS (SELECT j.should_detect, coalesce(p.was_detected, false) AS hit FROM judged j LEFT JOIN p ON j.id = p.pair_id), c AS (SELECT {CONF} FROM v) SELECT {RATES} FROM c")
+def ground_truth_join(spark, d):
+    truth = tb.judged(spark, d).select(F.col("id").alias("pair_id"), "should_detect")
+    found = ev.run_detector(_hit(spark, d), lambda x: x.select(F.col("id").alias("pair_id"), "should_detect", "was_detected")).where("pair_id % 4 <> 0")
+    return ev.confusion(ev.validated(truth, found))
+
+
+@query("SELECT p_brand AS preset, count(*) AS runs, round(avg(p_retailprice), 6) AS avg_seconds, min(p_retailprice) AS min_seconds, max(p_retailprice) AS max_seconds FROM part GROUP BY p_brand")
+def benchmark_presets(spark, d):
+    return ev.benchmark(tb.load(spark, d, "part").select(F.col("p_brand").alias("preset"), F.col("p_retailprice").alias("seconds")))
+
+
+@query(f"WITH {PANEL_SQL} SELECT modality, count(*) AS n, round(avg((panel_id % 10) / 10e0), 6) AS confidence FROM panel GROUP BY modality")
+def modality_counts(spark, d):
+    return ev.value_shares(tb.panel(spark, d).withColumn("c", (F.col("panel_id") % 10) / 10.0), "modality", "c")
+
+
+@query(f"WITH m AS (SELECT DISTINCT l_suppkey AS pair, l_linenumber AS q, l_partkey AS t, {MATCH}::INTEGER AS d FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY d, q, t) AS k, count(*) OVER (PARTITION BY pair) AS n FROM m) SELECT pair, q, t, d FROM r WHERE k <= floor(n * 0.15e0)")
+def best_matches(spark, d):
+    m = tb.load(spark, d, "lineitem").select(F.col("l_suppkey").alias("pair"), F.col("l_linenumber").alias("q"), F.col("l_partkey").alias("t"), F.expr(f"cast({MATCH} as int)").alias("d")).distinct()
+    return ev.best_share(m)
+
+
+GRID3 = ([0.92, 0.95, 0.98], [0.6, 0.8], [20, 40])
+
+
+@query(
+    f"""{EV}, t AS (SELECT *, coalesce(hamming <= 8, false) AS should_detect FROM evidence), grid AS (SELECT * FROM (VALUES {", ".join(f"({k}, {c}e0, {s}e0, {n})" for k, (c, s, n) in enumerate((c, s, n) for c in GRID3[0] for s in GRID3[1] for n in GRID3[2]))}) AS g(ord, cosine_t, ssim_t, inliers_t)),
+det AS (SELECT ord, cosine_t, ssim_t, inliers_t, should_detect, (coalesce(cosine >= cosine_t, false) AND coalesce(ssim >= ssim_t, false)) OR coalesce(orb_inliers >= inliers_t, false) AS hit FROM t, grid), c AS (SELECT ord, cosine_t, ssim_t, inliers_t, {CONF} FROM det GROUP BY ALL), f AS (SELECT ord, cosine_t, ssim_t, inliers_t, {RATES} FROM c)
+SELECT *, (row_number() OVER (ORDER BY CASE WHEN precision >= 0.3e0 THEN 0 ELSE 1 END, recall DESC, ord))::INTEGER AS rank FROM f"""
+)
+def grid_search_three(spark, d):
+    return ev.two_signal_grid(tb.evidence(spark, d).withColumn("should_detect", F.coalesce(F.col("hamming") <= 8, F.lit(False))), *GRID3, floor=0.3)
+
+
+@query(f"{JU}, c AS (SELECT category, {CONF} FROM det GROUP BY category), m AS (SELECT category, {RATES} FROM c), f AS (SELECT category, concat_ws(',', CASE WHEN NOT fpr <= 0.005e0 THEN 'fpr' END, CASE WHEN NOT recall >= 0.9e0 THEN 'recall' END, CASE WHEN NOT precision >= 0.95e0 THEN 'precision' END) AS failed FROM m) SELECT category, failed, failed = '' AS ready FROM f")
+def production_readiness(spark, d):
+    return ev.readiness(ev.confusion(_hit(spark, d), ["category"])).select("category", "failed", "ready")
+
+
+@query(
+    f"""{PX}, {IMG_PAIRS}, e AS (SELECT a, b, least(y // 16, 2) * 3 + least(x // 16, 2) AS cell, {SSIM_SQL} AS s FROM met GROUP BY 1, 2, 3)
+SELECT a, b, round(min(s), 6) AS least, round(max(s), 6) AS most, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(stddev_pop(s), 6) AS sd, round((list(s ORDER BY s DESC)[1] + list(s ORDER BY s DESC)[2] + list(s ORDER BY s DESC)[3] + list(s ORDER BY s DESC)[4]) / 4, 6) AS topk, count(*) AS patches FROM e GROUP BY a, b"""
+)
+def patch_stats(spark, d):
+    return px.patch_stats(_met(spark), 48)
+
+
+@query(f"{PX}, p AS (SELECT img, y, avg(v) AS m FROM pixels GROUP BY 1, 2), b AS (SELECT img, quantile_cont(m, 0.5) AS base FROM p GROUP BY img), l AS (SELECT p.img, y, y - row_number() OVER (PARTITION BY p.img ORDER BY y) AS k FROM p JOIN b ON p.img = b.img WHERE m < base - 2) SELECT img, ((min(y) + max(y)) // 2)::INTEGER AS middle, count(*)::INTEGER AS width FROM l GROUP BY img, k HAVING count(*) >= 2")
+def projection_valleys(spark, d):
+    return px.profile_valleys(tb.pixels(spark), "y", 2, 2)
+
+
+@query(f"WITH s AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, unnest(range(0, 5)) AS scale FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT *, (['0.0448', '0.2856', '0.3001', '0.2363', '0.1333'])[scale + 1]::DOUBLE AS w, 0.5e0 + ((a * 7 + scale * 3) % 50) / 100e0 AS c FROM s) SELECT a, b, round(exp(sum(w * ln(c))), 6) AS ms_ssim FROM c GROUP BY a, b")
+def ms_ssim(spark, d):
+    s = tb.load(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("scale"))
+    return px.ms_ssim(s.withColumn("c", F.lit(0.5) + ((F.col("a") * 7 + F.col("scale") * 3) % 50) / F.lit(100.0)))
+
+
+@query(
+    f"""WITH {PANEL_SQL}, n AS (SELECT path, panel_id, CASE WHEN panel_id % 3 = 0 THEN 'dir/' || modality || '-' || page::VARCHAR || '_x.png' ELSE path END AS p FROM panel)
+SELECT panel_id, TRY_CAST(nullif(regexp_extract(lower(p), 'page[_-]?([0-9]+)', 1), '') AS INTEGER) AS page_number, TRY_CAST(nullif(regexp_extract(p, 'panel([0-9]+)', 1), '') AS INTEGER) AS panel_number,
+TRY_CAST(list_filter(string_split(replace(p, '-', '_'), '_'), lambda x: regexp_matches(x, '^[0-9]+$'))[1] AS INTEGER) AS first_number, list_extract(string_split(p, '/'), -1) AS base, regexp_replace(list_extract(string_split(p, '/'), -1), '\\.[^.]*$', '') AS stem, regexp_replace(p, '[^A-Za-z0-9._-]', '_', 'g') AS safe,
+CASE WHEN contains(lower(p), 'confocal') OR contains(lower(p), 'fluor') THEN 'confocal' WHEN contains(lower(p), 'ihc') OR contains(lower(p), 'dab') OR contains(lower(p), 'hema') THEN 'bright_field' WHEN contains(lower(p), 'gel') OR contains(lower(p), 'blot') THEN 'gel' WHEN contains(lower(p), 'tem') OR contains(lower(p), 'electron') THEN 'tem' ELSE 'unknown' END AS modality FROM n"""
+)
+def name_functions(spark, d):
+    p = tb.panel(spark, d)
+    n = p.select("panel_id", F.when(F.col("panel_id") % 3 == 0, F.concat(F.lit("dir/"), "modality", F.lit("-"), F.col("page").cast("string"), F.lit("_x.png"))).otherwise(F.col("path")).alias("p"))
+    return n.select("panel_id", sc.page_number("p").alias("page_number"), sc.panel_number("p").alias("panel_number"), sc.first_number_token("p").alias("first_number"), sc.base_name("p").alias("base"), sc.stem("p").alias("stem"), sc.safe_name("p").alias("safe"), sc.modality_from_path("p").alias("modality"))
+
+
+@query(f"WITH {PANEL_SQL} SELECT panel_id, round(sqrt(list_inner_product(vec, vec)), 6) AS length, round(list_inner_product(vec, vec) / greatest(sqrt(list_inner_product(vec, vec)), 1e-12) ** 2, 6) AS unit_square FROM panel")
+def vector_functions(spark, d):
+    v = tb.panel(spark, d).withColumn("u", sc.unit("vec"))
+    return v.select("panel_id", F.round(sc.norm("vec"), 6).alias("length"), F.round(sc.dot("u", "u"), 6).alias("unit_square"))
