@@ -133,3 +133,19 @@ def test_tables(spark):
     scores = {(r.path_a, r.path_b): r.ssim for r in udfs.ssim_scores(pairs, files, 160).collect()}
     assert min(s for (_, b), s in scores.items() if "bright" in b) > 0.8
     assert udfs.grid_tiles(files).columns == ["path", "n", "x", "y", "w", "h"]
+
+
+def test_page_panels(spark):
+    got = udfs.page_panels(tables.page_images(spark), tables.SMALL_BOXES).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.page, []).append((r.panel_num, r.x, r.y, r.w, r.h))
+    assert {p: len(v) for p, v in by.items()} == {1: 3, 2: 4, 3: 5, 4: 6}
+    assert sorted(by[1]) == [(1, 20, 20, 120, 110), (2, 170, 20, 120, 110), (3, 20, 150, 120, 110)]
+
+
+def test_jpeg_like_and_text_like():
+    g = picture(2, 64)
+    blocks = np.kron(im.resized(g, 8, 8), np.ones((8, 8)))
+    assert im.jpeg_like(blocks) and not im.jpeg_like(g) and not im.jpeg_like(g[:4, :4])
+    assert im.text_like([(2, 50, 40, 8), (40, 40, 40, 8), (2, 50, 9, 8)], (100, 100)) == [(2, 50, 40, 8)]

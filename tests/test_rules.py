@@ -153,3 +153,11 @@ def test_config():
             Config().with_values(**bad)
     with pytest.raises(ValueError):
         preset("none")
+
+
+def test_config_from_elsewhere():
+    c = Config.from_environment({"TWINSIEVE_PAIRING_SIMILARITY": "0.9", "TWINSIEVE_TIERS_ORB_RELAX": "true", "TWINSIEVE_DPI": "200", "OTHER": "x"})
+    assert (c.pairing.similarity, c.tiers.orb_relax, c.dpi) == (0.9, True, 200)
+    assert c.flat()["PAIRING_SIMILARITY"] == 0.9 and "0.9" in c.methods()
+    yaml = pytest.importorskip("yaml")
+    assert Config.from_yaml(c.to_yaml()) == c and yaml

@@ -149,6 +149,47 @@ class Config:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return cls(**{k: kinds[k](**v) if k in kinds else v for k, v in raw.items()})
 
+    def to_yaml(self) -> str:
+        import yaml  # optional
+
+        return yaml.safe_dump(asdict(self))
+
+    @classmethod
+    def from_yaml(cls, text: str) -> Config:
+        import yaml  # optional
+
+        return cls.from_json(json.dumps(yaml.safe_load(text) or {}))
+
+    @classmethod
+    def from_environment(cls, values: dict[str, str], prefix: str = "TWINSIEVE_") -> Config:
+        """Settings such as TWINSIEVE_PAIRING_SIMILARITY=0.9 and TWINSIEVE_DPI=200 over the defaults."""
+        config = cls()
+        for key, raw in sorted(values.items()):
+            if not key.startswith(prefix):
+                continue
+            group, _, name = key[len(prefix) :].lower().partition("_")
+            held = getattr(config, group, None)
+            if name and hasattr(held, name):
+                kind = type(getattr(held, name))
+                config = config.with_values(**{group: {name: raw.lower() in ("1", "true", "yes") if kind is bool else kind(raw)}})
+            elif not name and group == "dpi":
+                config = config.with_values(dpi=int(raw))
+        return config
+
+    def flat(self) -> dict[str, object]:
+        """GROUP_FIELD names in upper case and their values."""
+        return {f"{g}_{k}".upper() if isinstance(v, dict) else g.upper(): x for g, v in asdict(self).items() for k, x in (v.items() if isinstance(v, dict) else (("", v),))}
+
+    def methods(self) -> str:
+        """A paragraph for a report's methods section."""
+        p, t = self.pairing, self.tiers
+        return (
+            f"Panels were compared by cosine similarity of unit embeddings (at least {p.similarity:g}) and by 64-bit hashes under eight rotations and mirrors (at most {p.hamming} differing bits). "
+            f"A pair is in tier A if its hashes differ in {t.a_hamming} bits at most, if cosine and structural similarity reach {t.a_cosine:g} and {t.a_ssim:g}, "
+            f"if {t.orb_inliers} matched points agree on a transformation (ratio {t.orb_ratio:g}, error {t.orb_error:g} px, coverage {t.orb_coverage:g}), or if both are high together (sum {t.relaxed_sum:g}). "
+            f"Pairs with cosine of at least {t.fp_cosine:g} but structural similarity under {t.fp_ssim:g} and no local or geometric support were not put into tier A."
+        )
+
     def with_values(self, **groups) -> Config:
         """A copy; each argument is a dict of fields of that group, or a value. Only what is given changes."""
         return replace(self, **{k: replace(getattr(self, k), **v) if isinstance(v, dict) else v for k, v in groups.items()})

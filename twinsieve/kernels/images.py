@@ -292,3 +292,46 @@ def lanes_distance(a: list[np.ndarray], b: list[np.ndarray], penalty: float = 1.
     if not a or not b:
         return None
     return float(np.mean([warping_distance(x, y) for x, y in zip(a, b)] + [penalty] * abs(len(a) - len(b))))
+
+
+def panel_boxes(g: np.ndarray, white: float = 245, gutter: int = 8, least: int = 40) -> list[tuple[int, int, int, int]]:
+    """x, y, w, h of a page's panels: the page is cut along its widest blank gutters, again and again, until none is left."""
+    ink = g < white
+    found, open_ = [], [(0, 0, g.shape[1], g.shape[0])]
+    while open_:
+        x, y, w, h = open_.pop()
+        part = ink[y : y + h, x : x + w]
+        rows, cols = np.flatnonzero(part.any(1)), np.flatnonzero(part.any(0))
+        if not len(rows):
+            continue
+        y, x, h, w = y + rows[0], x + cols[0], rows[-1] - rows[0] + 1, cols[-1] - cols[0] + 1
+        if h < least or w < least:
+            continue
+        gaps = []
+        for axis, used in ((0, rows), (1, cols)):
+            step = np.diff(used)
+            if len(step) and step.max() > gutter:
+                k = int(step.argmax())
+                gaps.append((int(step[k]), axis, int(used[k] - used[0]) + 1))
+        if not gaps:
+            found.append((int(x), int(y), int(w), int(h)))
+            continue
+        _, axis, at = max(gaps)
+        open_ += [(x, y, w, at), (x, y + at, w, h - at)] if axis == 0 else [(x, y, at, h), (x + at, y, w - at, h)]
+    return sorted(found, key=lambda b: (b[1], b[0]))
+
+
+def jpeg_like(g: np.ndarray, factor: float = 1.2) -> bool:
+    """Whether steps at the borders of 8 x 8 blocks are larger than elsewhere."""
+    steps = [np.abs(np.diff(g.astype("f8"), axis=a)) for a in (0, 1)]
+    at = [np.arange(7, s.shape[a], 8) for a, s in enumerate(steps)]
+    if not len(at[0]) or not len(at[1]):
+        return False
+    return bool(np.mean([s.take(i, a).mean() for a, (s, i) in enumerate(zip(steps, at))]) > factor * np.mean([s.mean() for s in steps]))
+
+
+def text_like(boxes: list[tuple[int, int, int, int]], shape: tuple[int, int], margin: float = 0.10) -> list[tuple[int, int, int, int]]:
+    """Boxes that look like a line of text: 3 to 10 times as wide as high, and near the border."""
+    h, w = shape
+    my, mx = h * margin, w * margin
+    return [b for b in boxes if 3 <= b[2] / max(1, b[3]) <= 10 and (b[0] < mx or b[1] < my or b[0] + b[2] > w - mx or b[1] + b[3] > h - my)]

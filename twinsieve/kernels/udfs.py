@@ -88,3 +88,25 @@ def grid_tiles(files: DataFrame) -> DataFrame:
     """path, n, x, y, w, h of the cells of images that are grids."""
     found = mapped(files, ["content"], ["path"], "cells array<array<int>>", lambda x: {"cells": [list(c) for c in images.grid_cells(images.grey_of(x))]})
     return found.select("path", F.posexplode("cells").alias("n", "c")).select("path", "n", *[F.col("c")[k].alias(v) for k, v in enumerate("xywh")])
+
+
+def page_panels(pages: DataFrame, limits=None) -> DataFrame:
+    """The manifest of panels of pages (page, content): panel_id, page, panel_num, name, x, y, w, h, area; boxes are filtered by size, suppressed and put into reading order."""
+    from ..config import Boxes
+    from ..operators import boxes as bx
+
+    limits = limits or Boxes()
+    found = mapped(pages, ["content"], ["page"], "boxes array<array<int>>", lambda x: {"boxes": [list(b) for b in images.panel_boxes(images.grey_of(x))]})
+    rows = found.select("page", F.posexplode("boxes").alias("id", "b")).select("page", "id", *[F.col("b")[k].cast("long").alias(v) for k, v in enumerate("xywh")])
+    ordered = bx.reading_order(bx.suppressed(bx.of_size(rows, limits), limits))
+    name = F.concat(F.lit("page_"), F.col("page").cast("string"), F.lit("_panel"), F.lpad(F.col("panel_num").cast("string"), 2, "0"))
+    return ordered.select((F.col("page") * 1000 + F.col("panel_num")).alias("panel_id"), "page", "panel_num", name.alias("name"), "x", "y", "w", "h", (F.col("w") * F.col("h")).alias("area"))
+
+
+def detected(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """The baseline detector's signals from pixels: hamming and ssim of each pair, as tiering.detected takes them."""
+    def kernel(a: np.ndarray, b: np.ndarray) -> dict:
+        p, q = images.fitted(images.grey_of(a), images.grey_of(b), 256)
+        return {"hamming": images.bundle_distance(images.phash_bundle(images.grey_of(a)), images.phash_bundle(images.grey_of(b)))[0], "ssim": images.ssim(p, q)}
+
+    return mapped(_with_contents(pairs, files), ["content_a", "content_b"], ["path_a", "path_b"], "hamming int, ssim double", kernel)

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..config import Boxes
+
 MODALITIES = ("western_blot", "confocal", "tem", "bright_field", "gel", "unknown")
 
 
@@ -127,3 +129,23 @@ def image_pairs(spark: SparkSession) -> DataFrame:
     names = [r.path for r in image_files(spark).select("path").collect()]
     plain = names[::4]
     return spark.createDataFrame([(plain[i], n) for i in range(6) for n in (*names[4 * i + 1 : 4 * i + 4], plain[(i + 1) % 6])], "path_a string, path_b string")
+
+
+#: Size limits that fit the synthetic pages.
+SMALL_BOXES = Boxes(min_area=2_000, max_area=200_000)
+
+
+def page_images(spark: SparkSession) -> DataFrame:
+    """Synthetic pages (page, content) of two to six panels between white gutters."""
+    import numpy as np
+
+    from ..kernels.images import encoded
+
+    rows = []
+    for p in range(1, 5):
+        page = np.full((420, 320), 255.0)
+        for k in range(p + 2):
+            y, x = 20 + (k // 2) * 130, 20 + (k % 2) * 150
+            page[y : y + 110, x : x + 120] = 40 + (np.arange(110)[:, None] * 7 + np.arange(120) * 3 + k * 11) % 150
+        rows.append((p, encoded(page)))
+    return spark.createDataFrame(rows, "page long, content binary")

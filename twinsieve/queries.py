@@ -904,3 +904,14 @@ def name_functions(spark, d):
 def vector_functions(spark, d):
     v = tb.panel(spark, d).withColumn("u", sc.unit("vec"))
     return v.select("panel_id", F.round(sc.norm("vec"), 6).alias("length"), F.round(sc.dot("u", "u"), 6).alias("unit_square"))
+
+
+@query()
+def kernel_baseline(spark, d):
+    found = ud.detected(tb.image_pairs(spark), tb.image_files(spark))
+    return tr.detected(found.withColumns({c: F.lit(None) for c in ("cosine", "orb_inliers", "inlier_ratio", "reproj_error", "crop_coverage", "clip_z", "patch_min", "patch_topk")})).select("path_a", "path_b", "hamming", "ssim", "was_detected", "method_triggered")
+
+
+@query()
+def kernel_page_panels(spark, d):
+    return ud.page_panels(tb.page_images(spark), tb.SMALL_BOXES)
