@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import prepare, sliced
+from .polyhash import mix, spans
 
 _WORD = np.zeros(256, bool)
 _WORD[np.r_[48:58, 65:91, 97:123, 128:256]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PAIR, _SKIP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_powers: list[np.ndarray] = [np.ones(1, "u8"), np.ones(1, "u8")]
+#: Bytes of text that are hashed at once.
+_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -40,23 +40,6 @@ class Ftrl:
     threshold: float = 0.7
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, "u8")
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
-
-
 def hashed_features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every word, pair and skip pair of the texts, with repeats, in no order of kind. Null: none."""
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -71,16 +54,13 @@ def hashed_features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]
     cut[offsets] = True
     starts = np.flatnonzero(word & (cut[:-1] | ~np.r_[False, word[:-1]]))
     ends = np.flatnonzero(word & (cut[1:] | ~np.r_[word[1:], False])) + 1
-    up, down = _grown(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, "u8")
-    np.cumsum((raw.astype("u8") + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    h = _mix((total[ends] - total[starts]) * down[starts])
+    h = mix(spans(raw.astype("u8") + np.uint64(1), starts, ends))
     row = np.searchsorted(offsets, starts, "right") - 1
     row = np.minimum(row, len(offsets) - 2)
     shift = np.uint64(64 - bits)
     one, two = row[:-1] == row[1:], row[:-2] == row[2:]
-    pair = _mix(h[:-1] * _PAIR + h[1:])[one]
-    skip = _mix(h[:-2] * _SKIP + h[2:])[two]
+    pair = mix(h[:-1] * _PAIR + h[1:])[one]
+    skip = mix(h[:-2] * _SKIP + h[2:])[two]
     return np.concatenate([row, row[:-1][one], row[:-2][two]]), (np.concatenate([h, pair, skip]) >> shift).astype("i8")
 
 
@@ -155,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), label: str
     p = params
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, _BYTES):
             rows = distinct_features(b.column(1), p.bits)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["y", "features"])
 
@@ -197,7 +177,7 @@ def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text_co
         bias, at, w = sent.value
         dense = np.zeros(1 << bits, "f4")
         dense[at] = w
-        for b in sliced(batches):
+        for b in sliced(batches, _BYTES):
             row, bucket = hashed_features(b.column(at_text), bits)
             hit = np.flatnonzero(dense[bucket])
             both = np.unique((row[hit] << bits) | bucket[hit])
