@@ -1,9 +1,10 @@
 """Near-duplicate removal: SimHash candidates from covering LSH, checked on five-word shingles.
 
-Candidates are documents whose fingerprints over distinct words differ in few bits. Of the
-documents left, those that are first among their candidates are kept, and what is similar to one
-of them goes; this repeats until no candidate pair is left, so every document that goes is
-similar to one that was kept before it, and each pair is compared once at most.
+Candidates are texts whose fingerprints over distinct words differ in few bits. A text goes if a
+candidate with a smaller order (doc_id, then a hash of its words) is similar; that one may go as
+well for one that is smaller still, so of each group that such links join from its smallest text on,
+that text stays. Each text meets its smaller candidates in ascending order, first one, then four
+times as many in each round, and only until one is similar: groups of copies cost about one comparison a text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import prepare, sliced, written
 from .simhash import fingerprint, near_links
@@ -64,55 +65,70 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def _settled(members: DataFrame, pairs_of, lo: int, last: int, sets: DataFrame, least: float) -> list[DataFrame]:
+    """Norms that go. members: (norm, ...) still open; pairs_of(open, lo, hi): (a, b) with b's smaller candidates number lo to hi."""
+    gone: list[DataFrame] = []
+    step, open_ = lo * lo, members
+    while lo <= last:
+        pairs = written(pairs_of(open_, lo, lo + step - 1), "checked-pairs", "none")
+        if pairs.head(1):
+            same = written(_similar(pairs, sets, least).select(F.col("b").alias("norm")).distinct(), "similar")
+            gone.append(same)
+            open_ = written(open_.join(same, "norm", "left_anti"), "open-texts")
+        lo, step = lo + step, step * 4
+    return gone
+
+
 def duplicates(docs: DataFrame, radius: int = 6, width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(rows, gone): doc_id, norm, fp of every row, and the norms of texts that go because one that stays is similar."""
+    """(rows, gone): doc_id, norm, fp of every row, and the norms of texts that go because a smaller one is similar."""
     spark = docs.sparkSession
     prepare(spark)
     rows = written(_signed_rows(docs), "signed-rows")
-    texts = written(rows.groupBy("norm", "fp").agg(F.min("doc_id").alias("least")), "distinct-texts")
-    alive = texts.select("norm", "fp", F.struct(F.coalesce(F.col("least").cast("string"), F.lit("")).alias("z"), "norm").alias("o") if dict(texts.dtypes)["least"] == "string" else F.struct("least", "norm").alias("o"))
-    sizes = written(texts.groupBy("fp").agg(F.count("*").alias("n")), "fingerprint-sizes")
+    texts = written(rows.groupBy("norm", "fp").agg(F.min("doc_id").alias("least")).withColumn("o", F.struct("least", "norm")), "distinct-texts")
+    sizes = written(texts.groupBy("fp").agg(F.count("*").alias("n"), F.min("o").alias("first")), "fingerprints")
     links = written(near_links(sizes.select("fp"), radius), "near-fingerprints")
     touched = links.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(sizes.where("n > 1").select("fp")).distinct()
-    alive = written(alive.join(touched, "fp", "left_semi"), "candidates")
-    wanted = alive.select(F.col("o.least").alias("_w") if "least" in alive.schema["o"].dataType.names else F.col("o.z").alias("_w"), "norm")
-    few = wanted.count() <= SENT_IDS
-    ids = wanted.select("_w").distinct()
+    open_ = written(texts.join(touched, "fp", "left_semi"), "candidates")
+    n = open_.count()
+    ids = open_.select(F.col("least").alias("_w")).distinct()
     source = docs.select("doc_id", F.col("text").cast("binary").alias("_raw"))
-    source = source.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
+    source = source.join(F.broadcast(ids) if n <= SENT_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             raw = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b" ".join((x or b"").lower().split())) for x in raw], pa.binary()), pa.array([shingles(x, width).tobytes() for x in raw], pa.binary())], ["norm", "s"])
 
-    sets = written(source.select("_raw").mapInArrow(make, "norm binary, s binary").dropDuplicates(["norm"]), "shingle-sets", "none")
-    gone: list[DataFrame] = []
-    # texts with one fingerprint: the first of each is compared with the others, the rest of those with each other in the next round
-    while True:
-        heads = alive.groupBy("fp").agg(F.min("o").alias("h"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = written(alive.join(heads, "fp").where("o > h").select(F.col("h.norm").alias("a"), F.col("o.norm").alias("b"), "fp", "o"), "equal-fingerprints")
-        if not pairs.head(1):
-            break
-        same = written(_similar(pairs, sets, least), "similar")
-        gone.append(same.select(F.col("b").alias("norm")))
-        alive = written(pairs.join(same.select("b"), "b", "left_anti").select(F.col("b").alias("norm"), "fp", "o"), "other-texts")
-    texts_left = texts.join(touched, "fp", "left_semi")
+    sets = written(source.select("_raw").mapInArrow(make, "norm binary, s binary"), "shingle-sets", "none")
+    if sets.count() != n:  # rows that repeat a doc_id
+        sets = written(sets.dropDuplicates(["norm"]), "shingle-sets", "none")
+    # texts with one fingerprint: first the smallest of each, then for those still open the others by their place
+    shared = written(open_.join(sizes.where("n > 1").select("fp", "first"), "fp").where("o > first"), "equal-fingerprints")
+    same = written(_similar(shared.select(F.col("first.norm").alias("a"), F.col("norm").alias("b")), sets, least).select(F.col("b").alias("norm")).distinct(), "similar")
+    gone = [same]
+    members = written(shared.join(same, "norm", "left_anti").select("fp", "norm", "o"), "open-texts")
+    if members.head(1):
+        whole = open_.join(members.select("fp").distinct(), "fp", "left_semi")
+        placed = written(whole.select("fp", F.col("o").alias("x"), F.row_number().over(Window.partitionBy("fp").orderBy("o")).alias("k")), "placed-texts")
+
+        def equal(now: DataFrame, lo: int, hi: int) -> DataFrame:
+            return now.join(placed.where((F.col("k") >= lo) & (F.col("k") <= hi)), "fp").where("o > x").select(F.col("x.norm").alias("a"), F.col("norm").alias("b"))
+
+        gone += _settled(members, equal, 2, placed.agg(F.max("k")).first()[0], sets, least)
+    left = open_
     for g in gone:
-        texts_left = texts_left.join(g, "norm", "left_anti")
-    left = written(texts_left.select("norm", "fp", F.struct(F.col("least").alias("least"), F.col("norm").alias("n")).alias("o")), "left-texts")
-    a, b = left.select(F.col("fp").alias("a"), F.col("o").alias("x")), left.select(F.col("fp").alias("b"), F.col("o").alias("y"))
-    edges = written(links.join(a, "a").join(b, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "candidate-pairs")
-    while edges.head(1):
-        first = edges.select("x").distinct().join(edges.select(F.col("y").alias("x")).distinct(), "x", "left_anti")
-        checked = written(edges.join(first, "x").select(F.col("x.n").alias("a"), F.col("y.n").alias("b")), "checked-pairs")
-        same = written(_similar(checked, sets, least).select(F.col("b").alias("norm")).distinct(), "similar")
-        gone.append(same)
-        rest = edges.join(first, "x", "left_anti")
-        for c in ("x", "y"):
-            rest = rest.join(same, F.col(f"{c}.n") == F.col("norm"), "left_anti")
-        edges = written(rest, "candidate-pairs")
-    out = gone[0] if gone else texts.select("norm").limit(0)
+        left = left.join(g, "norm", "left_anti")
+    left = written(left, "left-texts")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    x, y = left.select(F.col("fp").alias("a"), F.col("o").alias("x"), F.col("norm")), left.select(F.col("fp").alias("b"), F.col("o").alias("y"))
+    rank = F.row_number().over(Window.partitionBy("norm").orderBy("y"))
+    edges = written(both.join(x, "a").join(y, "b").where("y < x").select("norm", F.col("y.norm").alias("a"), rank.alias("k")), "candidate-pairs")
+
+    def linked(now: DataFrame, lo: int, hi: int) -> DataFrame:
+        return edges.where((F.col("k") >= lo) & (F.col("k") <= hi)).join(now.select("norm"), "norm", "left_semi").select("a", F.col("norm").alias("b"))
+
+    gone += _settled(written(edges.select("norm").distinct(), "open-texts"), linked, 1, edges.agg(F.max("k")).first()[0] or 0, sets, least)
+    out = gone[0]
     for g in gone[1:]:
         out = out.unionByName(g)
     return rows, written(out.distinct(), "gone")

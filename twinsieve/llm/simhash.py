@@ -84,11 +84,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """a, b: every pair of distinct fingerprints (column fp, each once) that differ in 1 to radius bits.
+def buckets(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """mask, key, fp: the tables' buckets with two members or more, of distinct fingerprints (column fp, each once).
 
-    A bucket with more members than `bucket` is covered again over the bits that its mask
-    leaves free, until it is small or at most 12 bits are free (4,096 fingerprints): nothing is dropped.
+    Every two fingerprints within the radius share one. A bucket with more members than `bucket` is covered again over the
+    bits that its mask leaves free, until it is small or at most 12 bits are free (4,096 fingerprints): nothing is dropped.
     """
     spark = fps.sparkSession
     family = {0: masks(radius, list(range(64)))}
@@ -101,19 +101,24 @@ def near_links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
         shared = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
         live = written(keyed.join(F.broadcast(shared) if shared.count() <= SENT_BUCKETS else shared, ["mask", "key"]), "bucket-members")
         free = min(64 - (m | x).bit_count() for m, sub in family.items() for x in sub)
-        small = live if free <= 12 else live.where(F.col("n") <= bucket)
-        x, y = small.select("mask", "key", F.col("fp").alias("a")), small.select("mask", "key", F.col("fp").alias("b"))
-        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-        found.append(x.join(y, ["mask", "key"]).where((F.col("a") < F.col("b")) & (apart <= radius)).select("a", "b"))
+        found.append((live if free <= 12 else live.where(F.col("n") <= bucket)).select("mask", "key", "fp"))
         if free <= 12 or not (hot := live.where(F.col("n") > bucket)).head(1):
             break
         level = hot.select("mask", "fp")
         used = {m | x for m, sub in family.items() for x in sub}
         family = {m: masks(radius, [i for i in range(64) if not m >> i & 1]) for m in used}
-    links = found[0]
+    out = found[0]
     for more in found[1:]:
-        links = links.unionByName(more)
-    return links.distinct()
+        out = out.unionByName(more)
+    return out
+
+
+def near_links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """a, b: every pair of distinct fingerprints (column fp, each once) that differ in 1 to radius bits."""
+    small = buckets(fps, radius, bucket)
+    x, y = small.withColumnRenamed("fp", "a"), small.withColumnRenamed("fp", "b")
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    return x.join(y, ["mask", "key"]).where((F.col("a") < F.col("b")) & (apart <= radius)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
