@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -19,7 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets the Python workers import this package where it was put on the driver's path only."""
+    """Lets the Python workers import this package where it was put on the driver's path only, and keeps Arrow batches of long texts small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     env = spark.sparkContext.environment
     known = os.pathsep.join([env.get("PYTHONPATH", ""), os.environ.get("PYTHONPATH", "")]).split(os.pathsep)
     if ROOT not in known:
@@ -67,6 +70,14 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def trim() -> None:
+    """Gives what a Python worker has freed back to the machine: it waits beside the JVM for its next task."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few bytes, so that what is made of a batch stays small. A single row is never cut."""
     for batch in batches:
@@ -75,3 +86,4 @@ def sliced(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, most_ro
         rows = max(1, min(most_rows, int(batch.num_rows * most_bytes / max(1, batch.nbytes))))
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    trim()
