@@ -121,3 +121,43 @@ def test_deduplicated(spark):
     assert neardup.deduplicated(df.limit(0)).count() == 0
     few = spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, "c d")], "doc_id long, text string")
     assert sorted(r.doc_id for r in neardup.deduplicated(few).collect()) == [1, 3]
+
+
+def cut_copies():
+    """Texts with copies that lack their first or last words, or have more: similar, but fingerprints can lie far apart."""
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(300)]
+    rows = []
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(60)]
+        rows += [base, base[: rng.randrange(53, 58)], base[rng.randrange(3, 8) :], base + [rng.choice(words) for _ in range(rng.randrange(5, 12))]]
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+def similar_pairs(rows):
+    sets = [(i, neardup.shingles(x.encode())) for i, x in rows]
+    return [(a, b) for n, (a, x) in enumerate(sets) for b, y in sets[n + 1 :] if neardup.similarity(x, y) >= 0.8]
+
+
+def kept_ids(spark, rows):
+    return sorted(r.doc_id for r in neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_deduplicated_finds_every_similar_pair(spark):
+    rows = cut_copies()
+    pairs, fp = similar_pairs(rows), {i: simhash.fingerprint(x.encode(), 1, True) for i, x in rows}
+    assert sum((fp[a] ^ fp[b]).bit_count() > 6 for a, b in pairs) >= 10
+    got = kept_ids(spark, rows)
+    assert not [p for p in pairs if set(p) <= set(got)]
+    comp = groups(pairs, range(len(rows)))
+    assert got == sorted(set(comp.values()))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rows = cut_copies()
+    sets = {i: neardup.shingles(x.encode()) for i, x in rows}
+    every = sorted({t for s in sets.values() for t in s.tolist()})
+    for known in ([], every[::3]):
+        common = neardup.np.array(known, "u4"), neardup.np.arange(len(known)) % 5 + 2
+        heads = {i: set(neardup.prefix(s, common, 0.8).tolist()) for i, s in sets.items()}
+        assert all(heads[a] & heads[b] for a, b in similar_pairs(rows))

@@ -1,26 +1,31 @@
-"""Near-duplicate removal: SimHash candidates from covering LSH, checked on five-word shingles.
-
-Candidates are texts whose fingerprints over distinct words differ in few bits. A text goes if a
-candidate with a smaller order (doc_id, then a hash of its words) is similar; that one may go as
-well for one that is smaller still, so of each group that such links join from its smallest text on,
-that text stays. Each text meets its smaller candidates in ascending order, first one, then four
-times as many in each round, and only until one is similar: groups of copies cost about one comparison a text.
+"""Near-duplicate removal: every pair of texts with similar five-word shingles is found, and one text of each connected group stays.
+
+Links that are cheap to find come first: each text is compared with the smallest of its fingerprint, and of its
+buckets of covering LSH on fingerprints over distinct words. Fingerprints of similar texts can lie too far apart for that,
+so a prefix-filter join follows. Of a set of n shingles at least least * n are in any similar set; with all
+shingles in one order, rare ones first, two similar sets therefore share one of their first n - ceil(least * n) + 1.
+Pairs whose texts are joined already need no comparison, so groups of copies don't cost their square.
+Links are closed into components; the text with the smallest order (doc_id, then a hash of its words) stays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import prepare, sliced, written
-from .simhash import fingerprint, near_links
+from .components import components
+from .simhash import buckets, fingerprint
 
 #: Candidates up to which their ids are broadcast to fetch their texts; more are joined by shuffle.
 SENT_IDS = 1_000_000
+#: Texts whose shingles are counted to tell common ones from rare ones, and common shingles told apart. Any order finds the same pairs; rare ones first makes fewer candidates.
+COUNTED, COMMON = 8192, 1 << 17
 
 
 def shingles(raw: bytes | None, width: int = 5) -> np.ndarray:
@@ -65,32 +70,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _settled(members: DataFrame, pairs_of, lo: int, last: int, sets: DataFrame, least: float) -> list[DataFrame]:
-    """Norms that go. members: (norm, ...) still open; pairs_of(open, lo, hi): (a, b) with b's smaller candidates number lo to hi."""
-    gone: list[DataFrame] = []
-    step, open_ = lo * lo, members
-    while lo <= last:
-        pairs = written(pairs_of(open_, lo, lo + step - 1), "checked-pairs", "none")
-        if pairs.head(1):
-            same = written(_similar(pairs, sets, least).select(F.col("b").alias("norm")).distinct(), "similar")
-            gone.append(same)
-            open_ = written(open_.join(same, "norm", "left_anti"), "open-texts")
-        lo, step = lo + step, step * 4
-    return gone
-
-
-def duplicates(docs: DataFrame, radius: int = 6, width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(rows, gone): doc_id, norm, fp of every row, and the norms of texts that go because a smaller one is similar."""
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = written(_signed_rows(docs), "signed-rows")
-    texts = written(rows.groupBy("norm", "fp").agg(F.min("doc_id").alias("least")).withColumn("o", F.struct("least", "norm")), "distinct-texts")
-    sizes = written(texts.groupBy("fp").agg(F.count("*").alias("n"), F.min("o").alias("first")), "fingerprints")
-    links = written(near_links(sizes.select("fp"), radius), "near-fingerprints")
-    touched = links.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(sizes.where("n > 1").select("fp")).distinct()
-    open_ = written(texts.join(touched, "fp", "left_semi"), "candidates")
-    n = open_.count()
-    ids = open_.select(F.col("least").alias("_w")).distinct()
+def _shingle_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """norm, s (the shingles' hashes, ascending) of each text."""
+    n = texts.count()
+    ids = texts.select(F.col("least").alias("_w")).distinct()
     source = docs.select("doc_id", F.col("text").cast("binary").alias("_raw"))
     source = source.join(F.broadcast(ids) if n <= SENT_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_w")), "left_semi")
 
@@ -102,43 +85,101 @@ def duplicates(docs: DataFrame, radius: int = 6, width: int = 5, least: float =
     sets = written(source.select("_raw").mapInArrow(make, "norm binary, s binary"), "shingle-sets", "none")
     if sets.count() != n:  # rows that repeat a doc_id
         sets = written(sets.dropDuplicates(["norm"]), "shingle-sets", "none")
-    # texts with one fingerprint: first the smallest of each, then for those still open the others by their place
-    shared = written(open_.join(sizes.where("n > 1").select("fp", "first"), "fp").where("o > first"), "equal-fingerprints")
-    same = written(_similar(shared.select(F.col("first.norm").alias("a"), F.col("norm").alias("b")), sets, least).select(F.col("b").alias("norm")).distinct(), "similar")
-    gone = [same]
-    members = written(shared.join(same, "norm", "left_anti").select("fp", "norm", "o"), "open-texts")
-    if members.head(1):
-        whole = open_.join(members.select("fp").distinct(), "fp", "left_semi")
-        placed = written(whole.select("fp", F.col("o").alias("x"), F.row_number().over(Window.partitionBy("fp").orderBy("o")).alias("k")), "placed-texts")
-
-        def equal(now: DataFrame, lo: int, hi: int) -> DataFrame:
-            return now.join(placed.where((F.col("k") >= lo) & (F.col("k") <= hi)), "fp").where("o > x").select(F.col("x.norm").alias("a"), F.col("norm").alias("b"))
-
-        gone += _settled(members, equal, 2, placed.agg(F.max("k")).first()[0], sets, least)
-    left = open_
-    for g in gone:
-        left = left.join(g, "norm", "left_anti")
-    left = written(left, "left-texts")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    x, y = left.select(F.col("fp").alias("a"), F.col("o").alias("x"), F.col("norm")), left.select(F.col("fp").alias("b"), F.col("o").alias("y"))
-    rank = F.row_number().over(Window.partitionBy("norm").orderBy("y"))
-    edges = written(both.join(x, "a").join(y, "b").where("y < x").select("norm", F.col("y.norm").alias("a"), rank.alias("k")), "candidate-pairs")
-
-    def linked(now: DataFrame, lo: int, hi: int) -> DataFrame:
-        return edges.where((F.col("k") >= lo) & (F.col("k") <= hi)).join(now.select("norm"), "norm", "left_semi").select("a", F.col("norm").alias("b"))
-
-    gone += _settled(written(edges.select("norm").distinct(), "open-texts"), linked, 1, edges.agg(F.max("k")).first()[0] or 0, sets, least)
-    out = gone[0]
-    for g in gone[1:]:
-        out = out.unionByName(g)
-    return rows, written(out.distinct(), "gone")
+    return sets
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of the counted texts have, ascending, and in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "i4"))], ["t"])
+
+    some = sets.where(F.pmod(F.xxhash64("norm"), F.lit(max(1, sets.count() // COUNTED))) == 0)
+    top = some.select("s").mapInArrow(run, "t int").groupBy("t").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "t").limit(COMMON).toArrow()
+    t, n = top.column("t").to_numpy().astype("i4").view("u4"), top.column("n").to_numpy()
+    order = np.argsort(t)
+    return t[order], n[order]
+
+
+def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The shingles of a set of which every similar set has one among its own."""
+    if not len(s):
+        return s
+    known, n = common
+    at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
+    often = np.where(known[at] == s, n[at], 0) if len(known) else np.zeros(len(s), int)
+    return s[np.lexsort((s, often))][: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """t, n, norm: the prefix shingles that several texts have, the size of the text's set, and the text."""
+    sent = sets.sparkSession.sparkContext.broadcast(_common(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            every = [np.frombuffer(x, "u4") for x in b.column(1).to_pylist()]
+            first = [prefix(s, sent.value, least) for s in every]
+            size = [len(f) for f in first]
+            n = np.repeat(np.array([len(s) for s in every], "i4"), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view("i4")), pa.array(n), b.column(0).take(pa.array(np.repeat(np.arange(len(every)), size)))], ["t", "n", "norm"])
+
+    entries = written(sets.select("norm", "s").mapInArrow(run, "t int, n int, norm binary"), "prefixes")
+    shared = written(entries.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t"), "shared-shingles")
+    return written(entries.join(F.broadcast(shared) if shared.count() <= SENT_IDS else shared, "t"), "shared-prefixes")
+
+
+def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries with root, the text's component so far or itself; only under shingles that lie in several components."""
+    out = written(entries.join(roots.withColumnRenamed("node", "norm"), "norm", "left").withColumn("root", F.coalesce("root", "norm")), "rooted-prefixes")
+    mixed = out.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+    return written(out.join(mixed, "t", "left_semi"), "open-prefixes")
+
+
+def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
+    """node, root of each text that is similar to another: the components of all similar pairs of texts (norm, fp, o)."""
+    # by fingerprint: each text with the first of its own, the first of each with the first of its buckets
+    sizes = written(texts.groupBy("fp").agg(F.count("*").alias("n"), F.min("o").alias("first")), "fingerprints")
+    equal = texts.join(sizes.where("n > 1").select("fp", "first"), "fp").where("o > first").select(F.col("first.norm").alias("a"), F.col("norm").alias("b"))
+    members = written(buckets(sizes.select("fp"), radius).join(sizes.select("fp", "first"), "fp"), "bucket-texts")
+    heads = members.groupBy("mask", "key").agg(F.min(F.struct("first", "fp")).alias("h"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp")))
+    near = members.join(heads, ["mask", "key"]).where((apart > 0) & (apart <= radius)).select(F.col("h.first.norm").alias("a"), F.col("first.norm").alias("b"))
+    links = written(_similar(written(equal.unionByName(near).distinct(), "candidate-pairs"), sets, least), "links")
+    roots = written(components(links), "roots")
+
+    # by prefix: each text with the first of its shingle and size, then all that aren't joined yet
+    entries = _prefixes(sets, least)
+    now = _rooted(entries, roots).withColumn("size", F.round(F.log("n") / math.log(1 / least)))
+    heads = now.groupBy("t", "size").agg(F.min(F.struct("norm", "root")).alias("h"))
+    pairs = now.join(heads, ["t", "size"]).where("root != h.root").select(F.col("h.norm").alias("a"), F.col("norm").alias("b")).distinct()
+    links = links.unionByName(written(_similar(written(pairs, "candidate-pairs"), sets, least), "links"))
+    roots = written(components(links), "roots")
+
+    now = _rooted(entries, roots)
+    x, y = (now.select("t", F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
+    close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-6
+    pairs = x.join(y, "t").where(F.col("root_a") < F.col("root_b")).where(close).select("a", "b").distinct()
+    links = links.unionByName(written(_similar(written(pairs, "candidate-pairs"), sets, least), "links"))
+    return written(components(links), "roots")
+
+
+def duplicates(docs: DataFrame, radius: int = 6, width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(rows, gone): doc_id, norm, fp of every row, and the norms of texts that go because their component has a smaller one."""
+    prepare(docs.sparkSession)
+    rows = written(_signed_rows(docs), "signed-rows")
+    texts = written(rows.groupBy("norm", "fp").agg(F.min("doc_id").alias("least")).withColumn("o", F.struct("least", "norm")), "distinct-texts")
+    roots = similar_links(texts, _shingle_sets(docs, texts, width), radius, least)
+    grouped = written(texts.select("norm", "o").join(roots.withColumnRenamed("node", "norm"), "norm"), "groups")
+    first = grouped.groupBy("root").agg(F.min("o").alias("first"))
+    return rows, written(grouped.join(first, "root").where("norm != first.norm").select("norm"), "gone")
 
 
 def deduplicated(docs: DataFrame, radius: int = 6, width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs that stay, with all their columns: one row of each group.
 
     Texts that have the same words after A-Z are lower-cased are one text and leave the row with
-    the smallest doc_id; null, empty and white texts are one such text. Of similar texts one stays, as above.
+    the smallest doc_id; null, empty and white texts are one such text. Of texts that similar pairs join one stays, as above.
     A null doc_id is smaller than others. If rows repeat a doc_id, one row of the text that stays is kept
     for it. An empty table gives no rows.
     """
