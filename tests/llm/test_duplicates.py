@@ -161,3 +161,29 @@ def test_prefixes_of_similar_sets_meet():
         common = neardup.np.array(known, "u4"), neardup.np.arange(len(known)) % 5 + 2
         heads = {i: set(neardup.prefix(s, common, 0.8).tolist()) for i, s in sets.items()}
         assert all(heads[a] & heads[b] for a, b in similar_pairs(rows))
+
+
+def variants(links):
+    """Texts 0 to 2 of 100 words: the middle one, and two that differ from it by other words, so that only it is similar to both."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    first, last = (base[:c] + [f"{x}new" for x in base[c : c + 2]] + base[c + 2 :] for c in (10, 80))
+    return [(i, " ".join({"hub": base, "a": first, "b": last}[x])) for i, x in enumerate(links)]
+
+
+def test_one_text_of_each_component_stays(spark):
+    for names in (["a", "b", "hub"], ["hub", "a", "b"], ["a", "hub", "b"]):
+        rows = variants(names)
+        at = names.index("hub")
+        assert {p for p in similar_pairs(rows)} == {tuple(sorted((at, o))) for o in range(3) if o != at}
+        assert kept_ids(spark, rows) == [0]
+
+
+def test_texts_that_go_still_join_others(spark):
+    base = [f"w{i * 7919}" for i in range(100)]
+    second = base[:10] + [base[11], base[10]] + base[12:]  # the same words: equal fingerprint
+    own = [simhash.fingerprint(" ".join(x).encode(), 1, True) for x in (base, second)]
+    third = next(x for x in (second[:80] + [f"other{k}"] + second[81:] for k in range(1000)) if 1 <= (simhash.fingerprint(" ".join(x).encode(), 1, True) ^ own[1]).bit_count() <= 6)
+    rows = [(i, " ".join(x)) for i, x in enumerate([base, second, third])]
+    assert own[0] == own[1] and similar_pairs(rows) == [(0, 1), (1, 2)]
+    assert kept_ids(spark, rows) == [0]

@@ -26,6 +26,8 @@ from .simhash import buckets, fingerprint
 SENT_IDS = 1_000_000
 #: Texts whose shingles are counted to tell common ones from rare ones, and common shingles told apart. Any order finds the same pairs; rare ones first makes fewer candidates.
 COUNTED, COMMON = 8192, 1 << 17
+#: Bins of a text's sketch; more of them rule out more pairs before their sets are fetched.
+BINS = 2048
 
 
 def shingles(raw: bytes | None, width: int = 5) -> np.ndarray:
@@ -56,8 +58,37 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("_raw")).mapInArrow(run, schema)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _sketches(sets: DataFrame) -> DataFrame:
+    """norm, n (size of the set), p: for each of BINS bins of hashes, whether the set has an odd number in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            every = [np.frombuffer(x, "u4") for x in b.column(1).to_pylist()]
+            odd = [np.packbits((np.bincount(s % BINS, minlength=BINS) & 1).astype("u1")).tobytes() for s in every]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in every], pa.int32()), pa.array(odd, pa.binary())], ["norm", "n", "p"])
+
+    return written(sets.select("norm", "s").mapInArrow(run, "norm binary, n int, p binary"), "sketches")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sketches allow a similarity of least: bins that differ are at most the shingles only one text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "u1").reshape(b.num_rows, -1) for i in (3, 5))
+                n = b.column(2).to_numpy().astype(float) + b.column(4).to_numpy()
+                keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=int) <= n * (1 - least) / (1 + least) + 1e-6
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    x, y = (sketches.select(F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("p").alias(f"p_{i}")) for i in "ab")
+    met = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "p_a", "n_b", "p_b")
+    return written(met.mapInArrow(run, "a binary, b binary"), "possible-pairs")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """a, b of the pairs of texts (norm) that are similar."""
+    pairs = _possible(pairs, sketches, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,6 +169,7 @@ def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
     """node, root of each text that is similar to another: the components of all similar pairs of texts (norm, fp, o)."""
+    sketches = _sketches(sets)
     # by fingerprint: each text with the first of its own, the first of each with the first of its buckets
     sizes = written(texts.groupBy("fp").agg(F.count("*").alias("n"), F.min("o").alias("first")), "fingerprints")
     equal = texts.join(sizes.where("n > 1").select("fp", "first"), "fp").where("o > first").select(F.col("first.norm").alias("a"), F.col("norm").alias("b"))
@@ -145,7 +177,7 @@ def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float)
     heads = members.groupBy("mask", "key").agg(F.min(F.struct("first", "fp")).alias("h"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp")))
     near = members.join(heads, ["mask", "key"]).where((apart > 0) & (apart <= radius)).select(F.col("h.first.norm").alias("a"), F.col("first.norm").alias("b"))
-    links = written(_similar(written(equal.unionByName(near).distinct(), "candidate-pairs"), sets, least), "links")
+    links = written(_similar(written(equal.unionByName(near).distinct(), "candidate-pairs"), sets, sketches, least), "links")
     roots = written(components(links), "roots")
 
     # by prefix: each text with the first of its shingle and size, then all that aren't joined yet
@@ -153,14 +185,14 @@ def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float)
     now = _rooted(entries, roots).withColumn("size", F.round(F.log("n") / math.log(1 / least)))
     heads = now.groupBy("t", "size").agg(F.min(F.struct("norm", "root")).alias("h"))
     pairs = now.join(heads, ["t", "size"]).where("root != h.root").select(F.col("h.norm").alias("a"), F.col("norm").alias("b")).distinct()
-    links = links.unionByName(written(_similar(written(pairs, "candidate-pairs"), sets, least), "links"))
+    links = links.unionByName(written(_similar(written(pairs, "candidate-pairs"), sets, sketches, least), "links"))
     roots = written(components(links), "roots")
 
     now = _rooted(entries, roots)
     x, y = (now.select("t", F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
     close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-6
     pairs = x.join(y, "t").where(F.col("root_a") < F.col("root_b")).where(close).select("a", "b").distinct()
-    links = links.unionByName(written(_similar(written(pairs, "candidate-pairs"), sets, least), "links"))
+    links = links.unionByName(written(_similar(written(pairs, "candidate-pairs"), sets, sketches, least), "links"))
     return written(components(links), "roots")
 
 
