@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -30,26 +29,50 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, spark.checkpoint.dir or the one that setCheckpointDir named.
+
+    Without one there is no folder of which that is known: an error says so. Only local masters, tests among them, may take "checkpoints" in the warehouse.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and spark.sparkContext.master.startswith("local"):
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     if not at:
-        held = spark.sparkContext.getCheckpointDir()
-        if held is None:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="twinsieve-"))
-            held = spark.sparkContext.getCheckpointDir()
-        at = held
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def fresh_dir(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A new place in the shared folder, deleted when the application ends, or by discard() before that, unless kept."""
+    at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives a lost executor."""
     at = fresh_dir(df.sparkSession, label)
     df.write.option("compression", compression).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by written(); nothing may read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(names: list[str], wanted: str) -> str:
+    """wanted, or a name like it that is no column yet; Spark takes names that differ by case for the same."""
+    taken, name = {n.lower() for n in names}, wanted
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -1,8 +1,8 @@
 """Near-duplicate removal: every pair of texts with similar five-word shingles is found, and one text of each connected group stays.
 
-Links that are cheap to find come first: each text is compared with the smallest of its fingerprint, and of its
-buckets of covering LSH on fingerprints over distinct words. Fingerprints of similar texts can lie too far apart for that,
-so a prefix-filter join follows. Of a set of n shingles at least least * n are in any similar set; with all
+Links that are cheap to find come first: each text is compared with the first of its fingerprint, and with the first and the
+last of its buckets of covering LSH on fingerprints over distinct words. Fingerprints of similar texts can lie too far apart for
+that, so a prefix-filter join follows. Of a set of n shingles at least least * n are in any similar set; with all
 shingles in one order, rare ones first, two similar sets therefore share one of their first n - ceil(least * n) + 1.
 Pairs whose texts are joined already need no comparison, so groups of copies don't cost their square.
 Links are closed into components; the text with the smallest order (doc_id, then a hash of its words) stays.
@@ -18,23 +18,35 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import prepare, sliced, written
+from .common import discard, prepare, sliced, unused, written
 from .components import components
+from .polyhash import mix
 from .simhash import buckets, fingerprint
 
-#: Candidates up to which their ids are broadcast to fetch their texts; more are joined by shuffle.
+#: Ids up to which they are broadcast to fetch their rows; more are joined by shuffle.
 SENT_IDS = 1_000_000
-#: Texts whose shingles are counted to tell common ones from rare ones, and common shingles told apart. Any order finds the same pairs; rare ones first makes fewer candidates.
-COUNTED, COMMON = 8192, 1 << 17
+#: Bins in which all texts' shingles are counted, to tell common ones from rare ones. Any order finds the same pairs; rare ones first makes fewer candidates.
+COUNTS = 1 << 20
 #: Bins of a text's sketch; more of them rule out more pairs before their sets are fetched.
 BINS = 2048
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(raw: bytes | None, width: int = 5) -> np.ndarray:
-    """The distinct shingles of a text as 32-bit hashes, ascending; a text with fewer words is one shingle, without words none."""
+    """The distinct shingles of a text as 32-bit hashes, ascending; a text with fewer words is one shingle, without words none.
+
+    Each word is hashed once (XXH64); the hashes of a shingle's words are added up with powers of an odd number and mixed.
+    """
     words = (raw or b"").lower().split()
-    grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-    return np.unique(np.array([xxhash.xxh32_intdigest(g, 42) for g in grams], "u4"))
+    if not words:
+        return np.empty(0, "u4")
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype("u8")
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    made = h[:n] + np.uint64(width)
+    for i in range(1, width):
+        made = made * _STEP + h[i : i + n]
+    return np.unique((mix(made) >> np.uint64(32)).astype("u4"))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -70,6 +82,12 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return written(sets.select("norm", "s").mapInArrow(run, "norm binary, n int, p binary"), "sketches")
 
 
+def _of(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of held (by norm) that a pair needs."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("norm")).distinct()
+    return held.join(F.broadcast(ids) if pairs.count() * 2 <= SENT_IDS else ids, "norm", "left_semi")
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The pairs whose sketches allow a similarity of least: bins that differ are at most the shingles only one text has."""
 
@@ -81,14 +99,16 @@ def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
                 keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=int) <= n * (1 - least) / (1 + least) + 1e-6
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    x, y = (sketches.select(F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("p").alias(f"p_{i}")) for i in "ab")
+    own = _of(pairs, sketches)
+    x, y = (own.select(F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("p").alias(f"p_{i}")) for i in "ab")
     met = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "p_a", "n_b", "p_b")
     return written(met.mapInArrow(run, "a binary, b binary"), "possible-pairs")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """a, b of the pairs of texts (norm) that are similar."""
-    pairs = _possible(pairs, sketches, least)
+    pairs = written(pairs, "candidate-pairs")
+    left = _possible(pairs, sketches, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,8 +117,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: floa
             if keep:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep))
 
-    x, y = sets.select(F.col("norm").alias("a"), F.col("s").alias("x")), sets.select(F.col("norm").alias("b"), F.col("s").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    own = _of(left, sets)
+    x, y = own.select(F.col("norm").alias("a"), F.col("s").alias("x")), own.select(F.col("norm").alias("b"), F.col("s").alias("y"))
+    links = written(left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "links")
+    discard(pairs, left)
+    return links
 
 
 def _shingle_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -119,118 +142,148 @@ def _shingle_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return sets
 
 
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of the counted texts have, ascending, and in how many."""
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many texts have a shingle in each of COUNTS bins, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTS, "i8")
         for b in sliced(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).to_pylist()), "i4"))], ["t"])
+            np.add.at(total, np.frombuffer(b"".join(b.column(0).to_pylist()), "u4") % COUNTS, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], ["bin", "n"])
 
-    some = sets.where(F.pmod(F.xxhash64("norm"), F.lit(max(1, sets.count() // COUNTED))) == 0)
-    top = some.select("s").mapInArrow(run, "t int").groupBy("t").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "t").limit(COMMON).toArrow()
-    t, n = top.column("t").to_numpy().astype("i4").view("u4"), top.column("n").to_numpy()
-    order = np.argsort(t)
-    return t[order], n[order]
+    made = sets.select("s").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTS, "i8")
+    counts[made.column(0).to_numpy()] = made.column(1).to_numpy()
+    return np.minimum(counts, np.iinfo("i4").max).astype("i4")
 
 
-def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The shingles of a set of which every similar set has one among its own."""
+def prefix(s: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The shingles of a set, rare ones first, of which every similar set has one among its own."""
     if not len(s):
         return s
-    known, n = common
-    at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-    often = np.where(known[at] == s, n[at], 0) if len(known) else np.zeros(len(s), int)
-    return s[np.lexsort((s, often))][: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+    often = counts[s % len(counts)].astype("u8")
+    key = np.sort(often << np.uint64(32) | s)[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+    return key.astype("u4")
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """t, n, norm: the prefix shingles that several texts have, the size of the text's set, and the text."""
-    sent = sets.sparkSession.sparkContext.broadcast(_common(sets))
+    """t, n, pos, norm: the prefix shingles that several texts have, the size of the text's set, the place in it, and the text."""
+    sent = sets.sparkSession.sparkContext.broadcast(_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             every = [np.frombuffer(x, "u4") for x in b.column(1).to_pylist()]
             first = [prefix(s, sent.value, least) for s in every]
-            size = [len(f) for f in first]
+            size = np.array([len(f) for f in first])
             n = np.repeat(np.array([len(s) for s in every], "i4"), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view("i4")), pa.array(n), b.column(0).take(pa.array(np.repeat(np.arange(len(every)), size)))], ["t", "n", "norm"])
+            pos = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype("i4")
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view("i4")), pa.array(n), pa.array(pos), b.column(0).take(pa.array(np.repeat(np.arange(len(every)), size)))], ["t", "n", "pos", "norm"])
 
-    entries = written(sets.select("norm", "s").mapInArrow(run, "t int, n int, norm binary"), "prefixes")
+    entries = written(sets.select("norm", "s").mapInArrow(run, "t int, n int, pos int, norm binary"), "prefixes")
     shared = written(entries.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t"), "shared-shingles")
-    return written(entries.join(F.broadcast(shared) if shared.count() <= SENT_IDS else shared, "t"), "shared-prefixes")
+    out = written(entries.join(F.broadcast(shared) if shared.count() <= SENT_IDS else shared, "t"), "shared-prefixes")
+    discard(entries, shared)
+    return out
 
 
 def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """The entries with root, the text's component so far or itself; only under shingles that lie in several components."""
     out = written(entries.join(roots.withColumnRenamed("node", "norm"), "norm", "left").withColumn("root", F.coalesce("root", "norm")), "rooted-prefixes")
     mixed = out.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    return written(out.join(mixed, "t", "left_semi"), "open-prefixes")
+    held = written(out.join(mixed, "t", "left_semi"), "open-prefixes")
+    discard(out)
+    return held
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """node, root: the smallest node within two links. Equal roots are connected; the two ends of a star's links have the same."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return written(both.join(near, "a").groupBy(F.col("b").alias("node")).agg(F.least(F.min("m"), F.col("b")).alias("root")), "roots")
 
 
 def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
     """node, root of each text that is similar to another: the components of all similar pairs of texts (norm, fp, o)."""
     sketches = _sketches(sets)
-    # by fingerprint: each text with the first of its own, the first of each with the first of its buckets
+    # by fingerprint: each text with the first of its own, the first of each with the first and the last of its buckets
     sizes = written(texts.groupBy("fp").agg(F.count("*").alias("n"), F.min("o").alias("first")), "fingerprints")
     equal = texts.join(sizes.where("n > 1").select("fp", "first"), "fp").where("o > first").select(F.col("first.norm").alias("a"), F.col("norm").alias("b"))
-    members = written(buckets(sizes.select("fp"), radius).join(sizes.select("fp", "first"), "fp"), "bucket-texts")
-    heads = members.groupBy("mask", "key").agg(F.min(F.struct("first", "fp")).alias("h"))
+    held = buckets(sizes.select("fp"), radius, None)
+    members = written(held.join(sizes.select("fp", "first"), "fp"), "bucket-texts")
+    ends = members.groupBy("mask", "key").agg(F.min(F.struct("first", "fp")).alias("lo"), F.max(F.struct("first", "fp")).alias("hi"))
+    each = members.join(ends, ["mask", "key"]).select("fp", "first", F.explode(F.array("lo", "hi")).alias("h"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp")))
-    near = members.join(heads, ["mask", "key"]).where((apart > 0) & (apart <= radius)).select(F.col("h.first.norm").alias("a"), F.col("first.norm").alias("b"))
-    links = written(_similar(written(equal.unionByName(near).distinct(), "candidate-pairs"), sets, sketches, least), "links")
-    roots = written(components(links), "roots")
+    near = each.where((apart > 0) & (apart <= radius)).select(F.least("first.norm", "h.first.norm").alias("a"), F.greatest("first.norm", "h.first.norm").alias("b"))
+    links = _similar(equal.unionByName(near).distinct(), sets, sketches, least)
+    roots = _labels(links)
+    discard(sizes, members)
 
     # by prefix: each text with the first of its shingle and size, then all that aren't joined yet
     entries = _prefixes(sets, least)
-    now = _rooted(entries, roots).withColumn("size", F.round(F.log("n") / math.log(1 / least)))
-    heads = now.groupBy("t", "size").agg(F.min(F.struct("norm", "root")).alias("h"))
-    pairs = now.join(heads, ["t", "size"]).where("root != h.root").select(F.col("h.norm").alias("a"), F.col("norm").alias("b")).distinct()
-    links = links.unionByName(written(_similar(written(pairs, "candidate-pairs"), sets, sketches, least), "links"))
-    roots = written(components(links), "roots")
+    now = _rooted(entries, roots)
+    sized = now.withColumn("size", F.round(F.log("n") / math.log(1 / least)))
+    heads = sized.groupBy("t", "size").agg(F.min(F.struct("norm", "root")).alias("h"))
+    pairs = sized.join(heads, ["t", "size"]).where("root != h.root").select(F.col("h.norm").alias("a"), F.col("norm").alias("b")).distinct()
+    more = _similar(pairs, sets, sketches, least)
+    discard(now, roots)
+    roots = _labels(links.unionByName(more))
 
     now = _rooted(entries, roots)
-    x, y = (now.select("t", F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
+    x, y = (now.select("t", F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("pos").alias(f"pos_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
     close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-6
-    pairs = x.join(y, "t").where(F.col("root_a") < F.col("root_b")).where(close).select("a", "b").distinct()
-    links = links.unionByName(written(_similar(written(pairs, "candidate-pairs"), sets, sketches, least), "links"))
-    return written(components(links), "roots")
+    # the shingles from this one on are all that the two can share, if it is the first that they share
+    room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-6
+    pairs = x.join(y, (x.t == y.t) & (F.col("root_a") < F.col("root_b")) & close & room).select("a", "b").distinct()
+    rest = _similar(pairs, sets, sketches, least)
+    found = written(components(links.unionByName(more).unionByName(rest)), "roots")
+    discard(entries, now, links, more, rest, sketches, roots)
+    return found
 
 
-def duplicates(docs: DataFrame, radius: int = 6, width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def duplicates(docs: DataFrame, radius: int = 4, width: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(rows, gone): doc_id, norm, fp of every row, and the norms of texts that go because their component has a smaller one."""
     prepare(docs.sparkSession)
     rows = written(_signed_rows(docs), "signed-rows")
     texts = written(rows.groupBy("norm", "fp").agg(F.min("doc_id").alias("least")).withColumn("o", F.struct("least", "norm")), "distinct-texts")
-    roots = similar_links(texts, _shingle_sets(docs, texts, width), radius, least)
+    sets = _shingle_sets(docs, texts, width)
+    roots = similar_links(texts, sets, radius, least)
+    discard(sets)
     grouped = written(texts.select("norm", "o").join(roots.withColumnRenamed("node", "norm"), "norm"), "groups")
     first = grouped.groupBy("root").agg(F.min("o").alias("first"))
     return rows, written(grouped.join(first, "root").where("norm != first.norm").select("norm"), "gone")
 
 
-def deduplicated(docs: DataFrame, radius: int = 6, width: int = 5, least: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, radius: int = 4, width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs that stay, with all their columns: one row of each group.
 
     Texts that have the same words after A-Z are lower-cased are one text and leave the row with
     the smallest doc_id; null, empty and white texts are one such text. Of texts that similar pairs join one stays, as above.
-    A null doc_id is smaller than others. If rows repeat a doc_id, one row of the text that stays is kept
-    for it. An empty table gives no rows.
+    A null doc_id is smaller than others. If rows repeat a doc_id and a text that stays, the one with the smallest hash of
+    all its columns is kept. An empty table gives no rows.
     """
     rows, gone = duplicates(docs, radius, width, least)
+    names, kinds = docs.columns, docs.schema
+    id_name, norm_name = unused(names, "_id"), unused(names, "_norm")
     texts = rows.groupBy("norm").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))).alias("m"))
-    keep = written(texts.join(gone, "norm", "left_anti").select(F.col("m.id").alias("_id"), F.lower(F.hex("norm")).alias("_norm")), "keepers")
+    keep = written(texts.join(gone, "norm", "left_anti").select(F.col("m.id").alias(id_name), F.col("norm").alias(norm_name)), "keepers")
     total = rows.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("d")).first()
-    few = keep.count() <= SENT_IDS
-    sent = F.broadcast(keep) if few else keep
+    discard(rows, gone)
+    sent = F.broadcast(keep) if keep.count() <= SENT_IDS else keep
     if total.n == total.d:
-        return docs.join(sent.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    names = docs.columns
-    kinds = docs.schema
+        return docs.join(sent.select(id_name), F.col("doc_id").eqNullSafe(F.col(id_name)), "left_semi")
+    at = names.index("text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            raw = [(x or "").encode() for x in b.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_hexdigest(b" ".join(x.lower().split())) for x in raw], pa.string())], [*names, "_norm"])
-
-    signed = docs.mapInArrow(sign, T.StructType([*kinds, T.StructField("_norm", T.StringType())]))
-    held = signed.join(keep.withColumnRenamed("_norm", "_n"), (F.col("_norm") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return held.dropDuplicates(["_norm"]).drop("_norm")
+            raw = [(x or "").encode() for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([xxhash.xxh3_128_digest(b" ".join(x.lower().split())) for x in raw], pa.binary())], [*names, norm_name])
+
+    signed = docs.mapInArrow(sign, T.StructType([*kinds, T.StructField(norm_name, T.BinaryType())]))
+    other = unused([*names, norm_name, id_name], "_other")
+    keys = keep.withColumnRenamed(norm_name, other)
+    held = signed.join(keys, (F.col(norm_name) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(id_name)), "left_semi")
+    whole = [F.col(f"`{c}`") for c in names]
+    hashable = [F.col(f"`{f.name}`") for f in kinds if "map<" not in f.dataType.simpleString()]
+    first = held.groupBy(norm_name).agg(F.min_by(F.struct(*whole), F.xxhash64(*hashable)).alias("row"))
+    return first.select("row.*")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import batch_of, prepare, sliced, written
+from .common import discard, prepare, sliced, written
 from .components import components
 
 #: Distinct fingerprints of a bucket up to which its members are compared with each other; beyond it the bucket is split again.
@@ -84,11 +84,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def buckets(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
+def buckets(fps: DataFrame, radius: int = 2, bucket: int | None = BUCKET) -> DataFrame:
     """mask, key, fp: the tables' buckets with two members or more, of distinct fingerprints (column fp, each once).
 
     Every two fingerprints within the radius share one. A bucket with more members than `bucket` is covered again over the
     bits that its mask leaves free, until it is small or at most 12 bits are free (4,096 fingerprints): nothing is dropped.
+    Without `bucket` no bucket is split.
     """
     spark = fps.sparkSession
     family = {0: masks(radius, list(range(64)))}
@@ -101,8 +102,10 @@ def buckets(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
         shared = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
         live = written(keyed.join(F.broadcast(shared) if shared.count() <= SENT_BUCKETS else shared, ["mask", "key"]), "bucket-members")
         free = min(64 - (m | x).bit_count() for m, sub in family.items() for x in sub)
-        found.append((live if free <= 12 else live.where(F.col("n") <= bucket)).select("mask", "key", "fp"))
-        if free <= 12 or not (hot := live.where(F.col("n") > bucket)).head(1):
+        whole = bucket is None or free <= 12
+        discard(shared)
+        found.append((live if whole else live.where(F.col("n") <= bucket)).select("mask", "key", "fp"))
+        if whole or not (hot := live.where(F.col("n") > bucket)).head(1):
             break
         level = hot.select("mask", "fp")
         used = {m | x for m, sub in family.items() for x in sub}
