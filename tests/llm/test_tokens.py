@@ -9,6 +9,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from twinsieve.llm import bpe, token_store as ts
+from twinsieve.llm.chunks import hashed
 from twinsieve.llm.common import fresh_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +45,29 @@ def test_library_chunks_equal_whole_texts():
     assert split(*ts._table(PATH).encode(pa.array(xs))) == [LIBRARY.encode(x, add_special_tokens=False).ids for x in xs]
 
 
+def colliding(a, b):
+    """Two strings of 128 letters with one polynomial hash modulo 2**64, whatever its base."""
+    x = [bin(i).count("1") % 2 for i in range(128)]
+    return "".join(b if i else a for i in x), "".join(a if i else b for i in x)
+
+
+def test_chunks_with_one_hash_keep_their_own_ids():
+    pairs = [colliding(*p) for p in ("aR", "bN", "WH")]
+    one, two = ("".join(p[i] for p in pairs) for i in (0, 1))
+    raw = np.frombuffer((one + two).encode(), "u1")
+    keys = hashed(raw, np.array([0, len(one)]), np.array([len(one), len(raw)]))
+    assert keys[0] == keys[1] and one != two
+    want = [LIBRARY.encode(x, add_special_tokens=False).ids for x in (one, two)]
+    lower = [LIBRARY.encode(x, add_special_tokens=False).ids for x in (one.lower(), two.lower())]
+    assert want[0] != want[1]
+    for make in (lambda: bpe.SegmentTreeBpe(PATH).encode, lambda: (ts._held.clear(), ts._table(PATH).encode)[1]):
+        together, apart = make(), make()
+        assert split(*together(pa.array([one, two, f"{two} x {one}"]))) == [*want, want[1] + LIBRARY.encode("x", add_special_tokens=False).ids + want[0]]
+        for x, ids in zip([one, two, two, one], [want[0], want[1], want[1], want[0]]):  # one batch after another
+            assert split(*apart(pa.array([x]))) == [ids]
+        assert split(*apart(pa.array([one.lower(), two.lower()]))) == lower
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(x):

@@ -1,7 +1,7 @@
 """Encoding texts chunk by chunk, each distinct chunk once for a worker.
 
 A chunk is what stands between spaces and line feeds. Chunks are found, hashed and looked up for
-a whole batch at a time on its bytes; only those never seen become strings and are encoded.
+a whole batch at a time on its bytes, and every hit is compared byte by byte; only those never seen become strings and are encoded.
 """
 
 from __future__ import annotations
@@ -47,8 +47,22 @@ def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(28))
 
 
+def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes of a from at equal those of b from bt, for each pair of spans."""
+    out = np.ones(len(size), bool)
+    for i in np.flatnonzero(size >= LONG):
+        out[i] = a[at[i] : at[i] + size[i]].tobytes() == b[bt[i] : bt[i] + size[i]].tobytes()
+    short = np.flatnonzero(size < LONG)
+    for part in np.array_split(short, 1 + (int(size[short].sum()) >> 20)) if len(short) else ():
+        n = size[part]
+        of = np.repeat(np.arange(len(part)), n)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        out[part[of[a[at[part][of] + place] != b[bt[part][of] + place]]]] = False
+    return out
+
+
 class ChunkTable:
-    """ids of chunks by hash. fresh(list of strings) gives the ids of each as an array."""
+    """ids of chunks by hash and bytes. fresh(list of strings) gives the ids of each as an array."""
 
     def __init__(self, fresh: Callable[[list[str]], list[np.ndarray]], kind: str) -> None:
         self.fresh, self.kind = fresh, np.dtype(kind)
@@ -56,26 +70,44 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.keys, self.at, self.size = np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "i8")
+        self.text_at, self.text_size = np.empty(0, "i8"), np.empty(0, "i8")
         self.flat, self.used = np.empty(1 << 16, self.kind), 0
+        self.text, self.text_used = np.empty(1 << 16, "u1"), 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 if it isn't there."""
+    def find(self, keys: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Place of each chunk of raw; -1 if its key isn't there, -2 if the key is that of another chunk."""
         if not len(self.keys):
             return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    def put(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Adds keys, ascending and none of them there."""
-        size = np.array([len(x) for x in ids], "i8")
-        flat = np.concatenate([np.empty(0, self.kind), *ids]).astype(self.kind, copy=False)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
+        place = np.where(self.keys[at] == keys, at, -1)
+        hit = np.flatnonzero(place >= 0)
+        size, held = (end - start)[hit], place[hit]
+        same = self.text_size[held] == size
+        same[same] = same_spans(self.text, self.text_at[held[same]], raw, start[hit[same]], size[same])
+        place[hit[~same]] = -2
+        return place
+
+    def put(self, keys: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Adds chunks of raw; one whose key is there, or is that of an earlier one of them, is left out."""
+        keys, first = np.unique(keys, return_index=True)
+        new = ~np.isin(keys, self.keys)
+        keys, first = keys[new], first[new]
+        ids, start, width = [ids[i] for i in first], start[first], (end - start)[first]
+        self.flat, self.used, at, size = self._more(self.flat, self.used, ids, self.kind)
+        self.text, self.text_used, text_at, text_size = self._more(self.text, self.text_used, [raw[i : i + n] for i, n in zip(start.tolist(), width.tolist())], np.dtype("u1"))
         into = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.size, into, size)
+        self.text_at, self.text_size = np.insert(self.text_at, into, text_at), np.insert(self.text_size, into, text_size)
+
+    @staticmethod
+    def _more(held: np.ndarray, used: int, parts: list[np.ndarray], kind: np.dtype) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """held with the parts behind what is used, the place after them, and where each part lies."""
+        size = np.array([len(x) for x in parts], "i8")
+        flat = np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False)
+        while used + len(flat) > len(held):
+            held = np.concatenate([held, np.empty_like(held)])
+        held[used : used + len(flat)] = flat
+        return held, used + len(flat), used + np.cumsum(size) - size, size
 
     def get(self, place: np.ndarray) -> np.ndarray:
         """The ids at these places, one after another."""
@@ -89,15 +121,31 @@ class ChunkTable:
         if not len(start):
             return np.empty(0, self.kind), np.zeros(len(texts), "i8")
         keys, first, back = np.unique(hashed(raw, start, end), return_index=True, return_inverse=True)
-        new = np.flatnonzero(self.find(keys) < 0)
+        back = back.ravel()
+        place = self.find(keys, raw, start[first], end[first])
+        new = np.flatnonzero(place == -1)
         if len(new) and len(self.keys) + len(new) > REMEMBERED:
             self.clear()
             new = np.arange(len(keys))
         if len(new):
-            held = raw.tobytes()
-            self.put(keys[new], self.fresh([held[i:j].decode() for i, j in zip(start[first[new]].tolist(), end[first[new]].tolist())]))
-        place = self.find(keys)[back.ravel()]
-        return self.get(place), np.bincount(row, weights=self.size[place], minlength=len(texts)).astype("i8")
+            at = first[new]
+            self.put(keys[new], raw, start[at], end[at], self.fresh([raw[i:j].tobytes().decode() for i, j in zip(start[at].tolist(), end[at].tolist())]))
+            place = self.find(keys, raw, start[first], end[first])
+        like, size = first[back], end - start
+        same = size == size[like]
+        same &= place[back] >= 0
+        same[same] = same_spans(raw, start[same], raw, start[like[same]], size[same])
+        if same.all():
+            place = place[back]
+            return self.get(place), np.bincount(row, weights=self.size[place], minlength=len(texts)).astype("i8")
+        odd = np.flatnonzero(~same)  # a hash that is also another chunk's
+        words = [raw[i:j].tobytes().decode() for i, j in zip(start[odd].tolist(), end[odd].tolist())]
+        distinct = list(dict.fromkeys(words))
+        made = dict(zip(distinct, self.fresh(distinct)))
+        own = dict(zip(odd.tolist(), (made[w] for w in words)))
+        place = self.find(keys, raw, start[first], end[first])[back]  # fresh may have added to the table
+        parts = [own[i] if i in own else self.flat[self.at[p] : self.at[p] + self.size[p]] for i, p in enumerate(place.tolist())]
+        return np.concatenate(parts).astype(self.kind), np.bincount(row, weights=[len(x) for x in parts], minlength=len(texts)).astype("i8")
 
 
 def binaries(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:

@@ -1,9 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes blocks of text, each with its root-to-leaf path of block elements. Elements that
-never hold an article (menus, forms, scripts, adverts by their names) are cut first. For each
-path the text length and the punctuation per block are aggregated, smoothed along the page and
-fused; paths over the threshold are content, and so is what stands in the element that holds most of it.
+A page becomes blocks of text, each with its root-to-leaf path of block elements. For each path the text length and the
+punctuation per block are aggregated, smoothed along the page and fused to one score; names of menus, adverts and the like
+weaken the score of what stands in them. Paths over the threshold are content. The element that holds most of the content
+is the article: from it come, besides content paths, its headings, lists and short paragraphs, but no paths of links and
+nothing weakened.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from .common import prepare, sliced
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-CUT = frozenset("script style noscript template iframe svg math canvas object embed audio video head title nav header footer aside form button select textarea input dialog menu xmp noembed noframes".split())
-CUT_NAMES = frozenset(
+CUT = frozenset("script style noscript template iframe svg math canvas object embed audio video head title button select textarea input xmp noembed noframes".split())
+WEAK = frozenset("nav header footer aside form dialog menu".split())
+WEAK_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead "
     "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations comment comments disqus respond "
     "replies widget toolbar login search pagination pager complementary contentinfo alert".split()
@@ -37,34 +39,43 @@ _NAMED = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¿¡]")
 
 
+#: What the score of a block in a weak element is multiplied by.
+WEAKENED = 0.02
+#: The share of all content that the article's element holds.
+HELD = 0.7
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """path: labels from the root; at: the elements' numbers in the page; linked: characters in links; weak: in an element that is weak by its name."""
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("path", "at", "text", "linked", "weak")
 
+    def __init__(self, path: tuple[str, ...], at: tuple[int, ...], text: str, linked: int, weak: bool) -> None:
+        self.path, self.at, self.text, self.linked, self.weak = path, at, text, linked, weak
 
-def _cut(tag: str, attributes: str) -> tuple[bool, str]:
-    """(whether the element is cut, its name in paths: tag and classes)."""
+
+def _kind(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """(whether the element has no text to show, whether it is weak, its name in paths: tag and classes)."""
     if tag in CUT:
-        return True, tag
-    label = tag
+        return True, False, tag
+    label, weak = tag, tag in WEAK
     for name, value in _NAMED.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, tag
+            return True, False, tag
         if name in ("class", "id", "role"):
-            if tag not in ("html", "body", "article", "main") and not CUT_NAMES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-                return True, tag
+            if tag not in ("html", "body", "article", "main") and not WEAK_NAMES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+                weak = True
             if name == "class":
                 label = tag + "." + ".".join(sorted(value.lower().split()))
-    return False, label
+    return False, weak, label
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of text outside cut elements, in page order; character references are decoded, white space is one space."""
+    """The blocks of text that shows, in page order; character references are decoded, white space is one space."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, label, cut
+    stack: list[tuple[str, str, bool, int, bool]] = []  # tag, label, cut, number, weak
+    opened = 0
     parts: list[str] = []
     links, linked, at, end = 0, 0, 0, len(page)
 
@@ -72,7 +83,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                found.append(Block(tuple(x[1] for x in stack), text, linked))
+                found.append(Block(tuple(x[1] for x in stack), tuple(x[3] for x in stack), text, linked, bool(stack) and stack[-1][4]))
             parts.clear()
         linked = 0
 
@@ -99,7 +110,7 @@ def blocks(page: str) -> list[Block]:
                 put(" " if tag == "br" else "")
             elif tag == "a":
                 links = max(0, links + (-1 if closing else 1))
-            elif not closing and not (stack and stack[-1][2]) and _cut(tag, attributes)[0]:  # an inline element by the name of an advert
+            elif not closing and not (stack and stack[-1][2]) and any(_kind(tag, attributes)[:2]):  # an inline element that is hidden or has the name of an advert
                 if over := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at):
                     at = over.end()
             continue
@@ -127,8 +138,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID or attributes.endswith("/") and tag not in ("div", "p", "span"):
             continue
-        cut, label = _cut(tag, attributes)
-        stack.append((tag, label, cut or inside_cut))
+        cut, weak, label = _kind(tag, attributes)
+        opened += 1
+        stack.append((tag, label, cut or inside_cut, opened, weak or bool(stack) and stack[-1][4]))
     flush()
     return found
 
@@ -142,36 +154,73 @@ def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def main_text(page: str | None, factor: float = 0.8) -> str:
-    """The article's blocks, joined by line feeds. Null, empty pages and pages without any text give the empty text."""
-    found = blocks(page or "")
-    if not found:
-        return ""
-    length: dict[tuple[str, ...], list[float]] = {}
+def path_scores(found: list[Block]) -> tuple[list[float], dict[tuple[str, ...], float]]:
+    """(score of each block, score of each path): text length a block of the path times one more than its punctuation, both smoothed.
+
+    A path's score is the geometric mean of its blocks' mean and of the same without smoothing, which carries scores over to neighbours.
+    """
+    held: dict[tuple[str, ...], list[float]] = {}
     for b in found:
-        held = length.setdefault(b.path, [0.0, 0.0, 0.0])
-        held[0] += max(0, len(b.text) - b.linked)
-        held[1] += len(_PUNCTUATION.findall(b.text)) if b.linked * 2 < len(b.text) else 0
-        held[2] += 1
-    tpr = _smooth([length[b.path][0] / length[b.path][2] for b in found])
-    ppr = _smooth([length[b.path][1] / length[b.path][2] for b in found])
+        of = held.setdefault(b.path, [0.0, 0.0, 0.0])
+        of[0] += max(0, len(b.text) - b.linked)
+        of[1] += len(_PUNCTUATION.findall(b.text)) if b.linked * 2 < len(b.text) else 0
+        of[2] += 1
+    text = _smooth([held[b.path][0] / held[b.path][2] for b in found])
+    marks = _smooth([held[b.path][1] / held[b.path][2] for b in found])
+    scores = [t * (1 + p) * (WEAKENED if b.weak else 1) for b, t, p in zip(found, text, marks)]
     fused: dict[tuple[str, ...], list[float]] = {}
-    scores = [t * (1 + p) for t, p in zip(tpr, ppr)]
     for b, s in zip(found, scores):
         fused.setdefault(b.path, []).append(s)
+    own = {path: a / n * (1 + p / n) for path, (a, p, n) in held.items()}
+    return scores, {path: math.sqrt(sum(s) / len(s) * own[path]) for path, s in fused.items()}
+
+
+def _holder(found: list[Block], content: list[float]) -> tuple[int, ...]:
+    """The deepest element with several blocks that has HELD of all content; content: a block's score, 0 where its path is none."""
+    share: dict[tuple[int, ...], list[float]] = {}
+    for b, c in zip(found, content):
+        for depth in range(len(b.at) + 1):
+            of = share.setdefault(b.at[:depth], [0.0, 0.0])
+            of[0] += c
+            of[1] += 1
+    fits = [at for at, (c, n) in share.items() if c >= HELD * sum(content) and (n > 1 or not at)]
+    return max(fits, key=len)
+
+
+def main_text(page: str | None, factor: float = 0.8, part: float = 0.5) -> str:
+    """The article's blocks, joined by line feeds. Null, empty pages and pages without any text give the empty text.
+
+    Content paths score at least factor times the blocks' deviation and part of the best path, or are the best. A page of weak elements alone has no article.
+    """
+    found = blocks(page or "")
+    if not found or all(b.weak for b in found):
+        return ""
+    scores, value = path_scores(found)
     mean = sum(scores) / len(scores)
     deviation = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    value = {path: sum(s) / len(s) for path, s in fused.items()}
-    best = max(value, key=lambda path: (sum(fused[path]), -len(path)))
-    cut = min(factor * deviation, value[best])
-    nearest = [i for i, label in enumerate(best) if label.split(".")[0] in ("article", "main")]
-    holder = best[: nearest[-1] + 1] if nearest else best[:-1]
-    kept = []
-    for b in found:
-        inside = b.path[: len(holder)] == holder and (bool(nearest) or len(holder) > 2 or (b.path and b.path[-1].split(".")[0] in HEADINGS))
-        if (inside and b.linked * 2 <= len(b.text)) or (not nearest and value[b.path] >= cut and b.linked * 2 <= len(b.text)):
-            kept.append(b.text)
-    return "\n".join(kept)
+    total: dict[tuple[str, ...], float] = {}
+    links: dict[tuple[str, ...], list[int]] = {}
+    for b, s in zip(found, scores):
+        total[b.path] = total.get(b.path, 0.0) + s
+        of = links.setdefault(b.path, [0, 0])
+        of[0] += b.linked
+        of[1] += len(b.text)
+    linked = {path for path, (a, n) in links.items() if 2 * a > n}
+    best = max((b.path for b in found if not b.weak), key=lambda path: (total[path], -len(path)))
+    cut = min(max(factor * deviation, part * value[best]), value[best])
+    content = {path for path, v in value.items() if v >= cut and path not in linked} | {best}
+    holder = _holder(found, [s if b.path in content else 0.0 for b, s in zip(found, scores)])
+    top = len(holder) < 3  # the whole page or its body: other paths in it are no part of an article
+
+    def kept(b: Block) -> bool:
+        if b.weak:
+            return False
+        heading = bool(b.path) and b.path[-1].split(".")[0] in HEADINGS
+        if b.at[: len(holder)] != holder:
+            return b.path in content
+        return b.path in content or (heading if top else heading or b.path not in linked)
+
+    return "\n".join(b.text for b in found if kept(b))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -212,8 +212,9 @@ def _table(path: str) -> ChunkTable:
         words = list(dict.fromkeys(bare))
         raw = np.frombuffer("".join(words).encode(), "u1")
         ends = np.cumsum([len(w.encode()) for w in words])
-        keys = hashed(raw, np.r_[0, ends[:-1]], ends)
-        place = table.find(keys)
+        starts = np.r_[0, ends[:-1]]
+        keys = hashed(raw, starts, ends)
+        place = table.find(keys, raw, starts, ends)
         there = np.flatnonzero(place >= 0)
         flat, stop = table.get(place[there]), np.cumsum(table.size[place[there]]).tolist()
         known = {words[k]: flat[i:j] for k, i, j in zip(there.tolist(), [0, *stop], stop)}
@@ -223,9 +224,9 @@ def _table(path: str) -> ChunkTable:
         missing = [w for w in missing if w not in known]
         known |= dict(zip(missing, plain(missing)))
         own = set(chunks)
-        extra = sorted((int(keys[i]), words[i]) for i in np.flatnonzero(place < 0) if words[i] not in own)
-        if extra:
-            table.put(np.array([k for k, _ in extra], "u8"), [known[w] for _, w in extra])
+        extra = np.array([i for i in np.flatnonzero(place == -1) if words[i] not in own], "i8")
+        if len(extra):
+            table.put(keys[extra], raw, starts[extra], ends[extra], [known[words[i]] for i in extra])
         return [np.concatenate([known[w], marks[m]]) if m else known[w] for w, m in zip(bare, tail)]
 
     table = _held[path] = ChunkTable(fresh, kind)
