@@ -16,25 +16,34 @@ from .blocks import CHUNK, blocked, packed, searched, unpacked
 from .common import written
 
 ROWS = 1 << 16
-#: Vectors with a quantised component of this size or more take no part: their scores could leave 64 bits.
+#: Rows with a quantised component of this size or more are no part of the slices, whose sums stay within 64 bits; they are scored with integers of any length.
 LIMIT = 1 << 26
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(x: np.ndarray, scale: float = 256.0) -> np.ndarray:
     return np.floor(scale * x)
 
 
-def fitting(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    q = quantised(x)
-    fine = (np.abs(q) < LIMIT).all(axis=1)
-    return ids[fine], q[fine].astype("i8")
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Which rows the slices can hold."""
+    return (np.abs(x) < LIMIT / 256.0).all(axis=1)
 
 
-def sliced_block(ids: np.ndarray, x: np.ndarray) -> bytes | None:
+def whole(x: np.ndarray) -> np.ndarray:
+    """floor(256 x) as Python integers; a double of 2**53 or more is whole before it is multiplied."""
+    return np.array([[int(v) * 256 if abs(v) >= 2.0**53 else int(np.floor(256.0 * v)) for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def sliced_block(ids: np.ndarray, x: np.ndarray) -> bytes:
+    """The bytes of the sliced rows, their number first, and then the other rows as they are."""
+    fine = narrow(x)
+    first = _slices(ids[fine], quantised(x[fine]).astype("i8")) if fine.any() else b""
+    return np.array([len(first)], "<i8").tobytes() + first + packed(ids[~fine], x[~fine])
+
+
+def _slices(ids: np.ndarray, q: np.ndarray) -> bytes:
     """ids in ascending order, then for each attribute its offset, and the bitmaps of values less the offset."""
-    ids, q = fitting(ids, x)
-    if not len(ids):
-        return None
     order = np.argsort(ids, kind="stable")
     ids, q = ids[order], q[order]
     low = q.min(axis=0)
@@ -48,6 +57,22 @@ def sliced_block(ids: np.ndarray, x: np.ndarray) -> bytes | None:
     return np.array([len(ids), slices], "<i8").tobytes() + ids.astype("<i8").tobytes() + low.astype("<i8").tobytes() + planes.tobytes()
 
 
+def best_whole(ids: np.ndarray, q: np.ndarray, w: np.ndarray, k: int, own: int) -> list[tuple[int, int]]:
+    """(score, vec_id) of the k best rows by integers of any length. A score beyond 64 bits counts as the nearest that they hold.
+
+    Doubles tell first which rows can be among them, with the bound on their error; the others are not scored.
+    """
+    other = np.flatnonzero(ids != own)
+    wf, qf = w.astype(float), q[other].astype(float)
+    with np.errstate(over="ignore", invalid="ignore"):
+        about, reach = qf @ wf, np.abs(qf) @ np.abs(wf) * 2.0**-40
+    if len(other) > k and np.isfinite(about).all() and np.isfinite(reach).all():
+        kth = min(np.sort(about - reach)[-k], float(_MOST))  # equal ones at the end of 64 bits are told apart by id
+        other = other[about + reach >= kth * (1 - 2.0**-40) - 1]
+    scores = [(max(_LEAST, min(_MOST, int(q[i] @ w))), int(ids[i])) for i in other]
+    return sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
+
+
 class Block:
     def __init__(self, dim: int, data: bytes) -> None:
         n, self.slices = (int(x) for x in np.frombuffer(data, "<i8", 2))
@@ -64,6 +89,12 @@ class Block:
         values = np.tensordot(bits.astype("i8"), np.int64(1) << np.arange(self.slices, dtype="i8"), axes=(1, 0))
         return weights @ (values + self.low[:, None])
 
+    def values(self) -> np.ndarray:
+        """All rows' quantised values."""
+        at = np.arange(len(self.ids))
+        bits = self.planes[:, :, at >> 6] >> (at & 63).astype("u8") & np.uint64(1)
+        return (np.tensordot(bits.astype("i8"), np.int64(1) << np.arange(self.slices, dtype="i8"), axes=(1, 0)) + self.low[:, None]).T
+
     def summed(self, weights: np.ndarray, drop: int) -> list[np.ndarray]:
         """Slices of the sum of weights times values, lowest first, without the values' lowest `drop` slices and up to a constant."""
         columns: list[list[np.ndarray]] = []
@@ -142,8 +173,8 @@ class Block:
 def top_k(rows: DataFrame, k: int = 5, every: int = 50, drop: int = 2, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id divides by `every`, its k best others by integer inner product.
 
-    Vectors are quantised to floor(256 x). Those that are null, empty, or hold a null, a component
-    that isn't finite or one of 2**26 or more after quantising take no part; nor do null ids.
+    Vectors are quantised to floor(256 x). Those that are null, empty, or hold a null or a component
+    that isn't finite take no part; nor do null ids. A score beyond a long counts as the nearest long.
     Vectors of other lengths than a query's are no candidates of it. Rows that repeat an id are
     candidates each, but never of a query with that id; a repeated query is answered once. An empty table gives no rows.
     """
@@ -151,11 +182,25 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, drop: int = 2, id_col: s
     queries = blocked(rows, id_col, vec_col, CHUNK, packed, where=f"`{id_col}` % {every} = 0", coalesce=False)
 
     def search(dim: int, data: bytes, chunk: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        block = Block(dim, data)
-        found = []
-        for own, w in zip(*fitting(*unpacked(chunk, dim))):
-            ids, score = block.best(w, k, int(own), drop)
-            found.append((np.full(len(ids), own), ids, score))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, "i8"),) * 3
+        data = bytes(data)
+        size = int(np.frombuffer(data, "<i8", 1)[0])
+        block = Block(dim, data[8 : 8 + size]) if size else None
+        wide_ids, wide = unpacked(data[8 + size :], dim)
+        wide = whole(wide)
+        owns, x = unpacked(chunk, dim)
+        every_id = every_q = None
+        found: list[tuple[int, int, int]] = []
+        for own, v, fits in zip(owns.tolist(), x, narrow(x)):
+            if fits:
+                w = quantised(v).astype("i8")
+                hits = list(zip(*(a.tolist() for a in block.best(w, k, own, drop)[::-1]))) if block else []
+                hits += best_whole(wide_ids, wide, w.astype(object), k, own) if len(wide_ids) else []
+            else:
+                if every_id is None:
+                    every_id = np.concatenate([block.ids, wide_ids]) if block else wide_ids
+                    every_q = np.concatenate([block.values().astype(object), wide]) if block else wide
+                hits = best_whole(every_id, every_q, whole(v[None])[0], k, own)
+            found += [(own, i, s) for s, i in sorted(hits, key=lambda h: (-h[0], h[1]))[:k]]
+        return tuple(np.array(c, "i8") for c in zip(*found)) if found else (np.empty(0, "i8"),) * 3
 
     return searched(index, queries, k, search, "long")

@@ -19,6 +19,20 @@ from .common import written
 ROWS = 1 << 15
 
 
+def fixed_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added up from the first component to the last: the same bits for a pair wherever it is computed."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _slack(a: np.ndarray, b: np.ndarray) -> float:
+    """More than two ways to add up a product of rows of a and b can differ by."""
+    largest = float(np.sqrt((a * a).sum(axis=1).max(initial=0.0) * (b * b).sum(axis=1).max(initial=0.0)))
+    return largest * a.shape[1] * 2.0**-50 if np.isfinite(largest) else 0.0
+
+
 class Forest:
     """Trees over distinct vectors; equal vectors are one point with all their ids."""
 
@@ -70,9 +84,9 @@ class Forest:
             out.append(found)
         return out
 
-    def search(self, own: np.ndarray, q: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query ids, vec_ids, scores): the k best of each query among the points of its leaves, the query's own id left out."""
-        wanted = max(least, int(np.ceil(share * len(self.x))))
+        wanted = max(k + 1, int(np.ceil(share * len(self.x))))
         visits: dict[int, list[int]] = {}
         for i, found in enumerate(self.leaves(q, wanted)):
             for leaf in found:
@@ -85,7 +99,7 @@ class Forest:
             if len(rows) > k + 1:
                 best = np.argpartition(-s, k, axis=1)[:, : k + 1]
                 edge = np.take_along_axis(s, best, 1).min(axis=1)
-                a, b = np.nonzero(s >= edge[:, None])  # ties with the last are kept
+                a, b = np.nonzero(s >= edge[:, None] - _slack(q[who], self.x[rows]))  # ties with the last are kept
             else:
                 a, b = np.nonzero(np.ones_like(s, bool))
             hits.append((np.asarray(who)[a], rows[b], s[a, b]))
@@ -96,6 +110,7 @@ class Forest:
         who, point, score = who[order], point[order], score[order]
         new = np.r_[True, (who[1:] != who[:-1]) | (point[1:] != point[:-1])]
         who, point, score = who[new], point[new], score[new]
+        score = fixed_products(q[who], self.x[point])
         order = np.lexsort((-score, who))
         who, point, score = who[order], point[order], score[order]
         out = []
@@ -114,13 +129,13 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 128, share: float = 0.65, least: int = 2000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 64, share: float = 0.8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (double): for each row whose id divides by `every`, its k nearest found by inner product.
 
     Vectors that are null, empty, zero or hold a null or a component that isn't finite take no
     part; nor do null ids. Vectors of other lengths than a query's are no candidates of it. Rows
     that repeat an id are candidates each, but never of a query with that id. Every row is indexed.
-    share is the part of a shard's distinct vectors that the queue yields, least its minimum.
+    share is the part of a shard's distinct vectors that the queue yields, at any size; 1 is exact.
     An empty table gives no rows.
     """
 
@@ -138,6 +153,6 @@ def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, le
         if key not in held:
             held.clear()
             held[key] = Forest(ids, x, trees, leaf)
-        return held[key].search(*unpacked(chunk, dim), k, share, least)
+        return held[key].search(*unpacked(chunk, dim), k, share)
 
     return searched(index, queries, k, search, "double")
