@@ -63,3 +63,12 @@ def test_empty_and_plan(spark):
     assert mixing.mixed(empty).count() == 0
     plan = mixing.mixed(spark.createDataFrame(ROWS, SCHEMA))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names_stay(spark):
+    rows = [(i, "some words", f"s{i % 3}", 9, 8, 7, 6, 5, 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _n int, _source int, _cdf int, _DRAWS int, size int, rate int")
+    got = mixing.mixed(df)
+    assert got.columns == [*df.columns, "copy", "shuffle_key"]
+    out = got.collect()
+    assert out and {tuple(r)[3:9] for r in out} == {(9, 8, 7, 6, 5, 4)}

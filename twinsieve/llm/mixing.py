@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import unused, written
 
 #: Rate above which a count is the sum of several draws, so that exp(-rate) stays far from zero.
 SPLIT = 64.0
@@ -30,6 +30,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float
     Sizes are characters of whole texts, total (all of them) is the size of the mixture to expect. A null source is a source.
     """
     size = docs.groupBy(F.col("source").alias("_source")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("size")).where("size > 0")
+    size = written(size, "sizes")
     if weights is None:
         size = size.withColumn("w", F.pow("size", F.lit(1 / temperature)))
     else:
@@ -61,13 +62,14 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42, tem
     own = docs.drop("copy", "shuffle_key")
     table = rates(docs, weights, temperature, total)
     few = table.count() <= SENT_SOURCES
-    table = table.select(F.col("_source"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf"))
+    of, draws, cdf, n = (unused([*own.columns, "copy", "shuffle_key"], x) for x in ("_source", "_draws", "_cdf", "_n"))
+    table = table.select(F.col("_source").alias(of), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    joined = own.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_source")))
+    joined = own.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col(of)))
     seeded = F.lit(str(seed))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, j: n + F.size(F.filter("_cdf", lambda c: c < uniform(seeded, name, j.cast("string"))))
+        F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda k, j: k + F.size(F.filter(cdf, lambda c: c < uniform(seeded, name, j.cast("string"))))
     )
-    copies = joined.withColumn("_n", drawn).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    copies = joined.withColumn(n, drawn).where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), name, F.col("copy").cast("string"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id").select(*[f"`{c}`" for c in own.columns], "copy", "shuffle_key")
