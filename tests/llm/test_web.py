@@ -1,3 +1,10 @@
+import math
+import random
+import re
+from collections import Counter
+from itertools import combinations
+
+import pyarrow.parquet as pq
 import pytest
 
 from twinsieve.llm import tagpath, urlrules
@@ -47,6 +54,40 @@ def test_mined_rules_and_inverted_index(spark):
     assert brute == {1: "block", 2: "allow"}
 
 
+def brute_rules(rows, p):
+    known = [(set(urlrules.url_tokens(u)), v) for u, v in rows if v in ("allow", "block")]
+    count = Counter()
+    for own, v in known:
+        for size in (1, 2, 3):
+            for c in combinations(sorted(own), size):
+                count[c, v] += 1
+    kept = {}
+    for (c, v), n in count.items():
+        every = count[c, "allow"] + count[c, "block"]
+        if n >= p.min_support * len(known) and n / every >= p.min_confidence:
+            kept[frozenset(c), v] = (n / every, n / len(known))
+    shorter = lambda c: [c - {t} for t in c] if len(c) > 1 else []
+    return {(c, v): x for (c, v), x in kept.items() if all(kept.get((s, v), (0,))[0] < x[0] for s in shorter(c))}
+
+
+def test_mined_rules_equal_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        path = "/".join(rng.choice(["news", "casino", "win", "blog", "shop", "tag", "en", "de"]) for _ in range(rng.randint(1, 5)))
+        host = f"{rng.choice(['www', 'm', 'blog'])}.{rng.choice(['alpha', 'beta', 'gamma'])}.{rng.choice(['net', 'org'])}"
+        rows.append((f"http://{host}/{path}?{rng.choice(['id', 'page', 'ref'])}=1", "block" if "casino" in path and rng.random() < 0.9 or "beta" in host and "win" in path else rng.choice(["allow", "allow", "block", "maybe"])))
+    p = urlrules.Mining(min_support=0.03)
+    got = {(frozenset(t), v): (c, s) for t, v, c, s in urlrules.mine(spark.createDataFrame(rows, "url string, verdict string"), p)}
+    want = brute_rules(rows, p)
+    assert len(got) > 5 and set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+    # URLs with more tokens than a basket: rules that are found still have their whole counts
+    many = [("http://h.example.net/" + "/".join([f"w{chr(97 + k)}x" for k in range(12)] + (["rare"] if i % 4 == 0 else [])), "block" if i % 4 == 0 else "allow") for i in range(60)]
+    want = brute_rules(many, p)
+    for t, v, c, s in urlrules.mine(spark.createDataFrame(many, "url string, verdict string"), urlrules.Mining(min_support=0.03, tokens=6)):
+        assert want[frozenset(t), v] == pytest.approx((c, s))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site name, menu.</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies, so there.</div><article><h1>Head &amp; more</h1><p><b>First&nbsp;line.
  goes on<br><p>Second, with <i>words</i>.</p><div class="ad">Buy now!</div><form><input value="x"><button>Go</button></form><section class="comments"><p>Nice post!</p></section></article>
@@ -63,6 +104,44 @@ def test_without_article_element():
     assert lines[0] == "Title" and len(lines) == 7
 
 
+def neutral(page):
+    """The page with names taken away: elements that mean something are div, without class, id or role."""
+    page = re.sub(r"<(/?)(nav|header|footer|aside|article|main|section)\b[^>]*>", r"<\1div>", page or "")
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", page)
+
+
+def test_ratios_decide_without_names(sf):
+    pages = [r["html"] for r in pq.read_table(f"{sf}/pages.parquet").to_pylist()]
+    right = made = wanted = changed = 0
+    for page in pages:
+        want, got = Counter(tagpath.main_text(page).split("\n")), Counter(tagpath.main_text(neutral(page)).split("\n"))
+        right, made, wanted = right + (want & got).total(), made + got.total(), wanted + want.total()
+        changed += tagpath.main_text(neutral(page), 0.0, 0.0) != tagpath.main_text(neutral(page))
+    assert right / made >= 0.95 and right / wanted >= 0.95
+    assert changed >= 0.3 * len(pages)  # without thresholds more comes through
+
+
+def test_scores_equal_plain_ratios():
+    found = tagpath.blocks("<body><div>Menu one</div><div><h1>Title</h1><p>Some text, of words.</p><p>More; and more. <a href=x>linked</a></p></div><div class=ad>Buy, now!</div><p></p></body>")
+    scores, value = tagpath.path_scores(found)
+    paths = [b.path for b in found]
+
+    def mean(of):
+        return [sum(of(c) for c in found if c.path == p) / paths.count(p) for p in paths]
+
+    def smooth(x):
+        kernel = {k: math.exp(-k * k / 2) for k in range(-2, 3)}
+        return [sum(w * x[i + k] for k, w in kernel.items() if 0 <= i + k < len(x)) / sum(w for k, w in kernel.items() if 0 <= i + k < len(x)) for i in range(len(x))]
+
+    text, marks = mean(lambda c: len(c.text) - c.linked), mean(lambda c: sum(x in ".,;:!?" for x in c.text) if 2 * c.linked < len(c.text) else 0)
+    want = [a * (1 + b) * (tagpath.WEAKENED if c.weak else 1) for a, b, c in zip(smooth(text), smooth(marks), found)]
+    assert scores == pytest.approx(want) and [c.weak for c in found] == [False] * 4 + [True]
+    for p in set(paths):
+        own = [s for s, q in zip(want, paths) if q == p]
+        i = paths.index(p)
+        assert value[p] == pytest.approx(math.sqrt(sum(own) / len(own) * text[i] * (1 + marks[i])))
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("   ", ""), ("plain text only", "plain text only"), ("<p>a<p>b", "a\nb"), ('<div class="', ""), ("<p>1 < 2 &lt; 3", "1 < 2 < 3"), ("<script>x", ""), ("<ul><li>one<li>two</ul>", "one\ntwo")])
 def test_odd_pages(page, text):
     assert tagpath.main_text(page) == text

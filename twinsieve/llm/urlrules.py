@@ -20,8 +20,9 @@ from .common import prepare, written
 
 @dataclass(frozen=True)
 class Mining:
-    """max_rows bounds the labelled URLs that are mined: the first by a hash. Sets have at most three tokens; min_support
-    then bounds the number of rules, as each URL supports at most a fixed number of such sets of its `tokens` commonest tokens."""
+    """max_rows bounds the labelled URLs that are mined: the first by a hash. Of a URL's frequent tokens the `tokens` commonest
+    make the basket in which sets are sought, as a basket has 2**tokens sets; supports and confidences of the sets
+    found are then counted over the URLs' whole token sets. Rules have three tokens at most."""
 
     min_support: float = 0.005
     min_confidence: float = 0.8
@@ -80,26 +81,39 @@ def mine(labelled: DataFrame, params: Mining = Mining()) -> list[tuple[tuple[str
     n = rows.count()
     if not n:
         return []
-    common = rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= params.min_support * n).orderBy(F.desc("count"), "t").limit(4096)
+    common = rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= params.min_support * n).orderBy(F.desc("count"), "t")  # each URL has few tokens, so few of them are in min_support of all
     rank = {r.t: i for i, r in enumerate(common.collect())}
 
     def basket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items = [[*sorted((t for t in ts if t in rank), key=rank.get, reverse=True)[: params.tokens], v] for ts, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            items = [[*sorted((t for t in ts if t in rank), key=rank.get)[: params.tokens], v] for ts, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.string()))], ["items"])
 
     baskets = rows.mapInArrow(basket, "items array<string>")
     sets = FPGrowth(itemsCol="items", minSupport=params.min_support, minConfidence=params.min_confidence).fit(baskets).freqItemsets
-    short = sets.where(F.size("items") <= 4).toArrow().to_pylist()
-    seen = {frozenset(r["items"]): r["freq"] for r in short}
+    found = [frozenset(r["items"]) - {"allow", "block"} for r in sets.where(F.size("items") <= 4).toArrow().to_pylist()]
+    candidates = sorted({tuple(sorted(x, key=lambda t: (-rank[t], t))) for x in found if 0 < len(x) <= 3})
+    by_rarest: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
+    for i, c in enumerate(candidates):
+        by_rarest.setdefault(c[0], []).append((i, c))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, str], int] = {}
+        for b in batches:
+            for ts, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = set(ts)
+                for i, c in (x for t in ts for x in by_rarest.get(t, ())):
+                    if own.issuperset(c):
+                        total[i, v] = total.get((i, v), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in total], pa.int32()), pa.array([v for _, v in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["i", "v", "n"])
+
+    seen = {(r.i, r.v): r.n for r in rows.mapInArrow(count, "i int, v string, n long").groupBy("i", "v").agg(F.sum("n").alias("n")).collect()}
     rules = []
-    for items, freq in seen.items():
+    for i, c in enumerate(candidates):
+        every = seen.get((i, "allow"), 0) + seen.get((i, "block"), 0)
         for verdict in ("allow", "block"):
-            tokens = items - {verdict}
-            if verdict in items and 0 < len(tokens) <= 3 and not tokens & {"allow", "block"} and tokens in seen:
-                confidence = freq / seen[tokens]
-                if confidence >= params.min_confidence:
-                    rules.append((tuple(sorted(tokens, key=lambda t: (-rank[t], t))), verdict, confidence, freq / n))
+            if (freq := seen.get((i, verdict), 0)) and freq >= params.min_support * n and freq / every >= params.min_confidence:
+                rules.append((c, verdict, freq / every, freq / n))
     best = {(t, v): c for t, v, c, _ in rules}
     shorter = lambda t: [t[:i] + t[i + 1 :] for i in range(len(t))] if len(t) > 1 else []
     return sorted(r for r in rules if all(best.get((s, r[1]), 0) < r[2] for s in shorter(r[0])))
