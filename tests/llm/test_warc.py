@@ -41,16 +41,31 @@ def test_index_and_lookup(spark):
     at = fresh_dir(spark, "warc-test")
     entries = warc.write_archives(spark.createDataFrame(ROWS, SCHEMA).repartition(2), f"{at}/a")
     directory = warc.build_index(entries, f"{at}/i", lines=7)
-    keys = [r.key for r in warc.index_entries(directory).collect()]
-    assert sorted(keys) == sorted(warc.surt(r[1]) for r in ROWS)
     blocks = sorted((r.first, r.last) for r in directory.collect())
     assert all(a <= b for a, b in blocks) and all(x[1] <= y[0] for x, y in zip(blocks, blocks[1:]))
-    hit = warc.lookup(directory, "http://b.EXAMPLE.org/x?q=1")
-    assert [(h["page_id"], h["record_type"]) for h in hit] == [(3, "revisit")]
-    assert [h["payload"] for h in warc.lookup(directory, "http://a.example.org/")] == [b"<p>same</p>"] * 2
-    assert warc.lookup(directory, "http://absent.example/") == []
-    texts = {r.page_id: r.payload for r in warc.read_archives(directory, payloads=True).where("record_type = 'response'").collect()}
-    assert bytes(texts[9]) == ("é" * 200_000).encode()
+    for lines in (3, 3000):  # several levels, and one
+        index = warc.sparse_directory(directory, f"{at}/d{lines}", lines)
+        assert (index.levels > 0) == (lines == 3) and len(index.top) <= lines
+        hit = warc.lookup(index, "http://b.EXAMPLE.org/x?q=1")
+        assert [(h["page_id"], h["record_type"]) for h in hit] == [(3, "revisit")]
+        assert [h["payload"] for h in warc.lookup(index, "http://a.example.org/")] == [b"<p>same</p>"] * 2
+        assert warc.lookup(index, "http://absent.example/") == [] and warc.lookup(index, "zzz://zzz.zzz/") == []
+        all_urls = spark.createDataFrame([(r[1],) for r in ROWS] * 2 + [("http://absent.example/",)], "url string")
+        found = warc.captures(index, all_urls)
+        assert sorted(r.key for r in found.collect()) == sorted(warc.surt(r[1]) for r in ROWS)
+        assert warc.captures(index, all_urls.where("url = 'http://h1.example.net/1'")).count() == 1
+        texts = {r.page_id: r.payload for r in warc.read_archives(found, payloads=True).where("record_type = 'response'").collect()}
+        assert bytes(texts[9]) == ("é" * 200_000).encode()
+
+
+def test_one_key_over_many_blocks(spark):
+    rows = [(i, "http://hot.example/", f"<p>{i}</p>", "") for i in range(50)] + [(100, "http://z.example/", "z", "")]
+    at = fresh_dir(spark, "warc-test")
+    directory = warc.build_index(warc.write_archives(spark.createDataFrame(rows, SCHEMA).repartition(3), f"{at}/a"), f"{at}/i", lines=4)
+    index = warc.sparse_directory(directory, f"{at}/d", 4)
+    assert len(index.places(warc.surt(rows[0][1]))) >= 13 and len(warc.lookup(index, rows[0][1])) == 50
+    got = warc.read_archives(warc.captures(index, spark.createDataFrame(rows, SCHEMA))).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
 def test_files_are_gzip_warc(spark):

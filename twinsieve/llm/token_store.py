@@ -287,7 +287,7 @@ def write_store(docs: DataFrame, path: str, out_dir: str, end_id: int | None = N
     counts[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
     lengths = code_lengths(counts)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) * 2 // (128 << 20)))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")).first().q or []
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts)).alias("q")).first().q or []
     edges = np.array(cuts if parts > 1 else [], "i8")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

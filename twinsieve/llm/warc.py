@@ -1,8 +1,9 @@
 """WARC archives of pages and a two-level capture index over them.
 
 Archives are gzip members, one a record. The capture index sorts entries by reversed-host URL
-key into compressed blocks; a sparse directory has the first key and the place of each block.
-A lookup searches the directory, reads one block's range, searches it, and reads the record's range.
+key into compressed blocks; a sparse directory has the first key, the last key and the place of each block. A directory
+of more than one block's lines is put into blocks in the same way, until the top is small enough to be sent to every task.
+A lookup bisects the top, reads a block's range, bisects that, down to the captures, and reads the records' ranges.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -129,13 +131,14 @@ def write_archives(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0) -
     return written(rows.mapInArrow(write, schema), "captures")
 
 
-def build_index(entries: DataFrame, out_dir: str, lines: int = 3000) -> DataFrame:
-    """Sorts entries by key into compressed blocks of so many lines; returns the directory: first, last, file, offset, length, n.
+_CAPTURE = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+_CAPTURE_NAMES = ["key", "url", "page_id", "file", "offset", "length", "digest", "record_type"]
+_CAPTURE_SCHEMA = "key string, url string, page_id long, file string, offset long, length long, digest string, record_type string"
+_PLACE_SCHEMA = "first string, last string, file string, offset long, length long, n long"
 
-    Equal keys may fill several blocks. The sort deals by (key, file, offset), so one hot key spreads over tasks.
-    """
-    spark = entries.sparkSession
-    prepare(spark)
+
+def _blocks(dealt: DataFrame, out_dir: str, lines: int, last: int) -> DataFrame:
+    """Puts sorted rows into compressed blocks of so many lines; returns each block's place. A row's first key is its column 0, its last key column `last`."""
     make_dir(out_dir)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +151,11 @@ def build_index(entries: DataFrame, out_dir: str, lines: int = 3000) -> DataFram
             out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
             raw = zlib.compress("\n".join(json.dumps(x) for x in held).encode(), 6)
             out.write(raw)
-            made.append((held[0][0], held[-1][0], f"{out_dir}/{name}", at, len(raw), len(held)))
+            made.append((held[0][0], held[-1][last], f"{out_dir}/{name}", at, len(raw), len(held)))
             at, held = at + len(raw), []
 
         for b in batches:
-            for x in zip(*(b.column(i).to_pylist() for i in range(8))):
+            for x in zip(*(c.to_pylist() for c in b.columns)):
                 held.append(x)
                 if len(held) >= lines:
                     flush()
@@ -162,8 +165,16 @@ def build_index(entries: DataFrame, out_dir: str, lines: int = 3000) -> DataFram
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["first", "last", "file", "offset", "length", "n"])
 
-    dealt = entries.select("key", "url", "page_id", "file", "offset", "length", "digest", "record_type").orderBy("key", "file", "offset")
-    return written(dealt.mapInArrow(write, "first string, last string, file string, offset long, length long, n long"), "directory")
+    return written(dealt.mapInArrow(write, _PLACE_SCHEMA), "directory")
+
+
+def build_index(entries: DataFrame, out_dir: str, lines: int = 3000) -> DataFrame:
+    """Sorts entries by key into compressed blocks of so many lines; returns the directory: first, last, file, offset, length, n.
+
+    Equal keys may fill several blocks. The sort deals by (key, file, offset), so one hot key spreads over tasks.
+    """
+    prepare(entries.sparkSession)
+    return _blocks(entries.select(*_CAPTURE_NAMES).orderBy("key", "file", "offset"), out_dir, lines, 0)
 
 
 def _block(uri: str, offset: int, length: int) -> list[list]:
@@ -177,38 +188,100 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
         return f.read(length)
 
 
-def index_entries(directory: DataFrame) -> DataFrame:
-    """All entries of the index, from its blocks."""
-    schema = "key string, url string, page_id long, file string, offset long, length long, digest string, record_type string"
+@dataclass(frozen=True)
+class SparseDirectory:
+    """top: places (first, last, file, offset, length) in order; levels: how many levels of directory blocks lie below them."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for uri, offset, length in zip(*(b.column(i).to_pylist() for i in range(3))):
-                x = list(zip(*_block(uri, offset, length)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(x, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["key", "url", "page_id", "file", "offset", "length", "digest", "record_type"])
+    top: tuple[tuple[str, str, str, int, int], ...]
+    levels: int
+
+    def places(self, key: str, held: dict | None = None) -> list[tuple[str, int, int]]:
+        """(file, offset, length) of each capture block that can hold the key, by bisection of every level. held remembers blocks read."""
+        found = list(_covering(self.top, key))
+        for _ in range(self.levels):
+            below = []
+            for _, _, *at in found:
+                if held is None or tuple(at) not in held:
+                    read = _block(*at)
+                    if held is not None:
+                        if len(held) >= 64:
+                            held.clear()
+                        held[tuple(at)] = read
+                else:
+                    read = held[tuple(at)]
+                below += [x[:5] for x in _covering(read, key)]
+            found = below
+        return [(x[2], x[3], x[4]) for x in found]
 
-    return directory.select("file", "offset", "length").mapInArrow(read, schema)
 
+def _covering(places, key: str) -> Iterator:
+    i = bisect.bisect_left(places, key, key=lambda x: x[1])
+    while i < len(places) and places[i][0] <= key:
+        yield places[i]
+        i += 1
 
-def lookup(directory: DataFrame, url: str) -> list[dict]:
+
+def sparse_directory(directory: DataFrame, out_dir: str, lines: int = 3000) -> SparseDirectory:
+    """The directory as a search tree. Its top, of `lines` places at most, is all that comes to the driver."""
+    order, levels = ["first", "last", "file", "offset"], 0
+    while directory.count() > lines:
+        directory = _blocks(directory.select("first", "last", "file", "offset", "length", "n").orderBy(*order), f"{out_dir}/level-{levels}", lines, 1)
+        levels += 1
+    return SparseDirectory(tuple((r.first, r.last, r.file, r.offset, r.length) for r in directory.orderBy(*order).collect()), levels)
+
+
+def _matching(lines: list[list], key: str) -> list[list]:
+    return lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]
+
+
+def lookup(index: SparseDirectory, url: str) -> list[dict]:
     """Every capture of a URL, with its payload (None for a revisit): directory, block range, search, record range."""
     key, found = surt(url), []
-    for d in directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "file", "offset").toLocalIterator():
-        lines = _block(d.file, d.offset, d.length)
-        for x in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]:
+    for place in index.places(key):
+        for x in _matching(_block(*place), key):
             fields, _, payload = parsed(read_range(x[3], x[4], x[5]))
             found.append({"page_id": x[2], "url": x[1], "record_type": fields["WARC-Type"], "digest": x[6], "payload": payload if fields["WARC-Type"] == "response" else None})
     return found
 
 
-def read_archives(directory: DataFrame, payloads: bool = False) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload) of each record that the index lists.
+def captures(index: SparseDirectory, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """All captures of the URLs' keys, each once. A task bisects the directory for its keys; the blocks it names are then dealt, so a hot key's blocks spread."""
+    prepare(urls.sparkSession)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([surt(x) for x in b.column(0).to_pylist()], pa.string())], ["key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            rows = [(key, *at) for key in b.column(0).to_pylist() for at in index.places(key, held)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "offset", "length"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lines = None, []
+        for b in batches:
+            rows = []
+            for key, *place in zip(*(c.to_pylist() for c in b.columns)):
+                if place != at:
+                    at, lines = place, _block(*place)
+                rows += _matching(lines, key)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CAPTURE)], _CAPTURE_NAMES)
+
+    keys = urls.select(F.col(url_col).alias("url")).mapInArrow(keyed, "key string").distinct()
+    named = keys.mapInArrow(search, "key string, file string, offset long, length long")
+    return named.repartition("file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(read, _CAPTURE_SCHEMA)
+
+
+def read_archives(entries: DataFrame, payloads: bool = False) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload) of the record of each capture.
 
     Entries are dealt by archive and span, and a task reads neighbouring records as one range.
     A payload that doesn't have its digest raises.
     """
-    spark = directory.sparkSession
-    prepare(spark)
+    prepare(entries.sparkSession)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payloads
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
 
@@ -241,13 +314,14 @@ def read_archives(directory: DataFrame, payloads: bool = False) -> DataFrame:
             if made:
                 yield out()
 
-    entries = index_entries(directory).select("file", "offset", "length").withColumn("span", (F.col("offset") / SPAN).cast("long"))
+    entries = entries.select("file", "offset", "length").withColumn("span", (F.col("offset") / SPAN).cast("long"))
     dealt = entries.repartition("file", "span").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
 def archive(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Writes pages to new archives in the shared folder, indexes them, and reads every record back through the index."""
+    """Writes pages to new archives in the shared folder, indexes them, looks the key of every page up and reads the records it finds."""
     at = fresh_dir(spark, "warc")
     entries = write_archives(pages, f"{at}/archives")
-    return read_archives(build_index(entries, f"{at}/index"))
+    index = sparse_directory(build_index(entries, f"{at}/index"), f"{at}/directory")
+    return read_archives(captures(index, pages))
