@@ -168,7 +168,9 @@ def prefix(s: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """t, n, pos, norm: the prefix shingles that several texts have, the size of the text's set, the place in it, and the text."""
+    """t, n, pos, norm, central: the prefix shingles that several texts have, the size of the text's set, the place in it, the text,
+    and the part of its prefix that others share: all of it in a text from which others were made, less in those, which have shingles of their own.
+    """
     sent = sets.sparkSession.sparkContext.broadcast(_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +184,10 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
 
     entries = written(sets.select("norm", "s").mapInArrow(run, "t int, n int, pos int, norm binary"), "prefixes")
     shared = written(entries.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t"), "shared-shingles")
-    out = written(entries.join(F.broadcast(shared) if shared.count() <= SENT_IDS else shared, "t"), "shared-prefixes")
-    discard(entries, shared)
+    met = written(entries.join(F.broadcast(shared) if shared.count() <= SENT_IDS else shared, "t"), "shared-prefixes")
+    part = F.count("*") / (F.first("n") - F.ceil(F.first("n") * F.lit(least) - 1e-9) + 1)
+    out = written(met.join(met.groupBy("norm").agg(part.alias("central")), "norm"), "central-prefixes")
+    discard(entries, shared, met)
     return out
 
 
@@ -219,15 +223,15 @@ def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float)
     roots = _labels(links)
     discard(sizes, members)
 
-    # by prefix: each text with the first of its shingle and size, then all that aren't joined yet
+    # by prefix: each text with the most central of its shingle and size, then all that aren't joined yet
     entries = _prefixes(sets, least)
     now = _rooted(entries, roots)
     sized = now.withColumn("size", F.round(F.log("n") / math.log(1 / least)))
-    heads = sized.groupBy("t", "size").agg(F.min(F.struct("norm", "root")).alias("h"))
+    heads = sized.groupBy("t", "size").agg(F.max(F.struct("central", "norm", "root")).alias("h"))
     pairs = sized.join(heads, ["t", "size"]).where("root != h.root").select(F.col("h.norm").alias("a"), F.col("norm").alias("b")).distinct()
     more = _similar(pairs, sets, sketches, least)
     discard(now, roots)
-    roots = _labels(links.unionByName(more))
+    roots = written(components(links.unionByName(more)), "roots")
 
     now = _rooted(entries, roots)
     x, y = (now.select("t", F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("pos").alias(f"pos_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
@@ -236,7 +240,8 @@ def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float)
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-6
     pairs = x.join(y, (x.t == y.t) & (F.col("root_a") < F.col("root_b")) & close & room).select("a", "b").distinct()
     rest = _similar(pairs, sets, sketches, least)
-    found = written(components(links.unionByName(more).unionByName(rest)), "roots")
+    known = roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    found = written(components(known.unionByName(rest)), "roots")
     discard(entries, now, links, more, rest, sketches, roots)
     return found
 
