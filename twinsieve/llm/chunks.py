@@ -47,17 +47,25 @@ def hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(28))
 
 
+def padded(raw: np.ndarray) -> np.ndarray:
+    """raw with the eight bytes behind it that same_spans may look at."""
+    return np.concatenate([raw, np.zeros(8, "u1")])
+
+
 def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether size bytes of a from at equal those of b from bt, for each pair of spans."""
+    """Whether size bytes of a from at equal those of b from bt, for each pair of spans; eight bytes at a time, of padded arrays."""
     out = np.ones(len(size), bool)
     for i in np.flatnonzero(size >= LONG):
         out[i] = a[at[i] : at[i] + size[i]].tobytes() == b[bt[i] : bt[i] + size[i]].tobytes()
-    short = np.flatnonzero(size < LONG)
-    for part in np.array_split(short, 1 + (int(size[short].sum()) >> 20)) if len(short) else ():
-        n = size[part]
-        of = np.repeat(np.arange(len(part)), n)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        out[part[of[a[at[part][of] + place] != b[bt[part][of] + place]]]] = False
+    x, y = (np.ndarray((len(v) - 7,), "<u8", v, strides=(1,)) for v in (a, b))
+    live, done = np.flatnonzero(size < LONG), 0
+    while len(live):
+        left = size[live] - done
+        apart = x[at[live] + done] ^ y[bt[live] + done]
+        end = np.flatnonzero(left < 8)
+        apart[end] &= (np.uint64(1) << (8 * left[end]).astype("u8")) - np.uint64(1)
+        out[live[apart != 0]] = False
+        live, done = live[(left > 8) & (apart == 0)], done + 8
     return out
 
 
@@ -75,7 +83,7 @@ class ChunkTable:
         self.text, self.text_used = np.empty(1 << 16, "u1"), 0
 
     def find(self, keys: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Place of each chunk of raw; -1 if its key isn't there, -2 if the key is that of another chunk."""
+        """Place of each chunk of raw (padded); -1 if its key isn't there, -2 if the key is that of another chunk."""
         if not len(self.keys):
             return np.full(len(keys), -1)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -90,8 +98,9 @@ class ChunkTable:
     def put(self, keys: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray, ids: list[np.ndarray]) -> None:
         """Adds chunks of raw; one whose key is there, or is that of an earlier one of them, is left out."""
         keys, first = np.unique(keys, return_index=True)
-        new = ~np.isin(keys, self.keys)
-        keys, first = keys[new], first[new]
+        if len(self.keys):
+            new = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+            keys, first = keys[new], first[new]
         ids, start, width = [ids[i] for i in first], start[first], (end - start)[first]
         self.flat, self.used, at, size = self._more(self.flat, self.used, ids, self.kind)
         self.text, self.text_used, text_at, text_size = self._more(self.text, self.text_used, [raw[i : i + n] for i, n in zip(start.tolist(), width.tolist())], np.dtype("u1"))
@@ -104,7 +113,7 @@ class ChunkTable:
         """held with the parts behind what is used, the place after them, and where each part lies."""
         size = np.array([len(x) for x in parts], "i8")
         flat = np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False)
-        while used + len(flat) > len(held):
+        while used + len(flat) + 8 > len(held):
             held = np.concatenate([held, np.empty_like(held)])
         held[used : used + len(flat)] = flat
         return held, used + len(flat), used + np.cumsum(size) - size, size
@@ -120,7 +129,8 @@ class ChunkTable:
         start, end, row = split(offsets, raw)
         if not len(start):
             return np.empty(0, self.kind), np.zeros(len(texts), "i8")
-        keys, first, back = np.unique(hashed(raw, start, end), return_index=True, return_inverse=True)
+        raw, keys = padded(raw), hashed(raw, start, end)
+        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
         back = back.ravel()
         place = self.find(keys, raw, start[first], end[first])
         new = np.flatnonzero(place == -1)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .chunks import ChunkTable, binaries, hashed, with_end
+from .chunks import ChunkTable, binaries, hashed, padded, with_end
 from .common import fresh_dir, make_dir, open_fs, prepare, sliced
 
 MAGIC = b"TOKHUF1\n"
@@ -214,6 +214,7 @@ def _table(path: str) -> ChunkTable:
         ends = np.cumsum([len(w.encode()) for w in words])
         starts = np.r_[0, ends[:-1]]
         keys = hashed(raw, starts, ends)
+        raw = padded(raw)
         place = table.find(keys, raw, starts, ends)
         there = np.flatnonzero(place >= 0)
         flat, stop = table.get(place[there]), np.cumsum(table.size[place[there]]).tolist()
