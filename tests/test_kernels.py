@@ -111,6 +111,11 @@ def test_warping_equals_brute_force():
     assert len(p) == 2 and len(p[0]) == 256 and im.lanes_distance(p, p) == 0 and im.lanes_distance(p, p[:1]) == 0.5 and im.lanes_distance([], p) is None
 
 
+def hue_pixel(degrees):
+    """A bright, fully coloured pixel of a hue from 0 to 120 degrees."""
+    return (255, round(255 * degrees / 60), 0) if degrees <= 60 else (round(255 * (120 - degrees) / 60), 255, 0)
+
+
 def test_grid_and_stain():
     g = np.full((300, 300), 180.0)
     g[145:155], g[:, 145:155] = 20, 20
@@ -118,6 +123,15 @@ def test_grid_and_stain():
     assert im.grid_cells(np.full((300, 300), 9.0)) == []
     brown = np.full((20, 20, 3), (150, 90, 40), "u1")
     assert im.ihc_like(brown) and not im.ihc_like(np.full((20, 20, 3), 128, "u1"))
+    mixed = np.full((10, 10, 3), 128, "u1")
+    mixed[0, :6], mixed[1, :6] = (150, 90, 40), (90, 40, 150)  # 6 % of each stain: neither reaches a tenth
+    assert im.stain_share(mixed) == (0.06, 0.06) and not im.ihc_like(mixed)
+    mixed[2, :4] = (90, 40, 150)
+    assert im.stain_share(mixed) == (0.06, 0.10) and im.ihc_like(mixed)
+    # hue at both ends of a band, in degrees: 20 and 70 belong to brown, 16 and 74 to neither; too grey or too dark does not count
+    for degrees, inside in ((20, True), (70, True), (16, False), (74, False)):
+        assert (im.stain_share(np.array([[hue_pixel(degrees)]], "u1"))[0] == 1) == inside
+    assert im.stain_share(np.array([[(140, 130, 120), (20, 12, 5)]], "u1")) == (0.0, 0.0)
 
 
 def test_tables(spark):

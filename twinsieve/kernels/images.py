@@ -229,19 +229,25 @@ def deep_verified(a: np.ndarray, b: np.ndarray, need_ssim: float = 0.90, need_nc
     return {"deep_ssim": s, "deep_ncc": n, "deep_hamming": d, "ok": (s >= need_ssim and n >= need_ncc) or d <= need_hamming}
 
 
+#: Fixed values of the stain test: hue from and to in half degrees, least saturation and least brightness of 255; brown, then violet.
+STAINS = ((10, 35, 50, 30), (120, 160, 40, 30))
+
+
 def stain_share(rgb: np.ndarray) -> tuple[float, float]:
-    """Shares of brown and of blue-violet pixels, by hue, with some colour and not too bright."""
-    f = rgb.astype("f8") / 255
+    """Shares of brown and of blue-violet pixels, by hue, saturation and brightness."""
+    f = rgb.astype("f8")
     hi, lo = f.max(-1), f.min(-1)
     span = np.where(hi > lo, hi - lo, 1.0)
     r, g, b = f[..., 0], f[..., 1], f[..., 2]
     hue = np.select([hi == r, hi == g], [(g - b) / span % 6, (b - r) / span + 2], (r - g) / span + 4) * 60
-    vivid = (hi - lo > 0.12 * hi) & (hi < 0.95) & (hi > lo)
-    return float((vivid & (hue >= 5) & (hue <= 45)).mean()), float((vivid & (hue >= 200) & (hue <= 300)).mean())
+    half = np.where(hi > lo, np.round(hue / 2) % 180, 0)
+    saturation = np.round(255 * (hi - lo) / np.where(hi > 0, hi, 1.0))
+    return tuple(float(((half >= at) & (half <= to) & (saturation >= s) & (hi >= v)).mean()) for at, to, s, v in STAINS)
 
 
 def ihc_like(rgb: np.ndarray, least: float = 0.10) -> bool:
-    return rgb.ndim == 3 and sum(stain_share(rgb)) >= least
+    """Whether one of the two stains, not both together, covers the least share."""
+    return rgb.ndim == 3 and rgb.size > 0 and max(stain_share(rgb)) >= least
 
 
 def valleys(profile: np.ndarray, depth: float = 10, width: int = 5) -> list[int]:

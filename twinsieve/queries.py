@@ -353,7 +353,7 @@ def baseline_detector(spark, d):
 
 # --- tiles --------------------------------------------------------------------------------
 
-SIZED_SQL = "sized AS (SELECT l_orderkey * 8 + l_linenumber AS panel_id, (min(l_partkey) % 900 + 60)::INTEGER AS w, (min(l_suppkey) * 7 % 800 + 60)::INTEGER AS h FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1)"
+SIZED_SQL = "sized AS (SELECT l_orderkey * 8 + l_linenumber AS panel_id, (min(l_partkey) % 900 + 60)::INTEGER AS w, (min(l_suppkey) * 7 % 800 + 60)::INTEGER AS h FROM lineitem GROUP BY 1)"
 TILES_SQL = f"""WITH {SIZED_SQL}, p AS (SELECT *, least(w, h, 256) AS size FROM sized WHERE least(w, h, 256) >= 128), q AS (SELECT *, greatest(8, floor(size * 0.7e0)::INTEGER) AS stride FROM p),
 r AS (SELECT *, list_transform(range(0, 200), lambda k: k * stride) AS steps FROM q),
 s AS (SELECT panel_id, w, h, size, list_filter(steps, lambda v: v <= w - size) AS xs, list_filter(steps, lambda v: v <= h - size) AS ys FROM r),
@@ -366,7 +366,7 @@ tiles AS (SELECT panel_id, (row_number() OVER (PARTITION BY panel_id ORDER BY pa
 
 
 def _sized(spark, d):
-    rows = tb.load(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    rows = tb.load(spark, d, "lineitem")
     return rows.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("panel_id")).agg((F.min("l_partkey") % 900 + 60).cast("int").alias("w"), (F.min("l_suppkey") * 7 % 800 + 60).cast("int").alias("h"))
 
 
@@ -635,13 +635,13 @@ def crop_coverage(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT l_suppkey % 50 AS id, (l_partkey * 7 % 5000)::BIGINT AS s, (l_partkey * 7 % 5000 + 3 + l_linenumber)::BIGINT AS e FROM lineitem WHERE l_orderkey % 20 = 0),
+    """WITH l AS (SELECT l_suppkey % 50 AS id, (l_partkey * 7 % 5000)::BIGINT AS s, (l_partkey * 7 % 5000 + 3 + l_linenumber)::BIGINT AS e FROM lineitem),
 m AS (SELECT *, max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT id, min(s) AS start, max(e) AS "end", count(*) AS parts FROM i GROUP BY id, k"""
 )
 def interval_merge(spark, d):
     k = F.col("l_partkey") * 7 % 5000
-    lanes = tb.load(spark, d, "lineitem").where("l_orderkey % 20 = 0").select((F.col("l_suppkey") % 50).alias("id"), k.cast("long").alias("start"), (k + 3 + F.col("l_linenumber")).cast("long").alias("end"))
+    lanes = tb.load(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("id"), k.cast("long").alias("start"), (k + 3 + F.col("l_linenumber")).cast("long").alias("end"))
     return bx.merged_intervals(lanes)
 
 
@@ -882,9 +882,9 @@ def projection_valleys(spark, d):
     return px.profile_valleys(tb.pixels(spark), "y", 2, 2)
 
 
-@query(f"WITH s AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, unnest(range(0, 5)) AS scale FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT *, (['0.0448', '0.2856', '0.3001', '0.2363', '0.1333'])[scale + 1]::DOUBLE AS w, 0.5e0 + ((a * 7 + scale * 3) % 50) / 100e0 AS c FROM s) SELECT a, b, round(exp(sum(w * ln(c))), 6) AS ms_ssim FROM c GROUP BY a, b")
+@query(f"WITH s AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, unnest(range(0, 5)) AS scale FROM orders), c AS (SELECT *, (['0.0448', '0.2856', '0.3001', '0.2363', '0.1333'])[scale + 1]::DOUBLE AS w, 0.5e0 + ((a * 7 + scale * 3) % 50) / 100e0 AS c FROM s) SELECT a, b, round(exp(sum(w * ln(c))), 6) AS ms_ssim FROM c GROUP BY a, b")
 def ms_ssim(spark, d):
-    s = tb.load(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("scale"))
+    s = tb.load(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("scale"))
     return px.ms_ssim(s.withColumn("c", F.lit(0.5) + ((F.col("a") * 7 + F.col("scale") * 3) % 50) / F.lit(100.0)))
 
 
