@@ -31,17 +31,18 @@ def sign_hash(vec: str) -> Column:
 
 
 def bundle(rows: DataFrame, vec: str = "vec") -> DataFrame:
-    """id, ord, transform, hash: the eight permuted sign words of each vector of 64 components."""
-    def word(name: str) -> Column:
-        moved = F.array(*[F.element_at(F.col(vec), source + 1) for source in _permutation(name)])
+    """id, ord, transform, hash: the eight permuted sign words of each vector of 64 components.
 
-        def set_bit(acc: Column, k: Column) -> Column:
-            return acc.bitwiseOR(F.when(F.element_at(moved, k + 1) > 0, F.call_function("shiftleft", F.expr("1L"), k)).otherwise(F.expr("0L")))
+    The signs become one word first; each transform then moves its bits, from the highest to the lowest.
+    """
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.expr("0L"), set_bit)
+    def moved(name: str) -> Column:
+        sources = F.array(*[F.lit(x) for x in reversed(_permutation(name))])
+        return F.aggregate(sources, F.expr("0L"), lambda acc, k: F.shiftleft(acc, 1).bitwiseOR(F.call_function("shiftrightunsigned", F.col("word"), k).bitwiseAND(F.expr("1L"))))
 
-    words = [F.struct(F.lit(n).alias("ord"), F.lit(name).alias("transform"), word(name).alias("hash")) for n, name in enumerate(TRANSFORMS)]
-    return rows.where(F.col(vec).isNotNull()).select("id", F.explode(F.array(*words)).alias("w")).select("id", "w.*")
+    words = [F.struct(F.lit(n).alias("ord"), F.lit(name).alias("transform"), moved(name).alias("hash")) for n, name in enumerate(TRANSFORMS)]
+    signs = rows.where(F.col(vec).isNotNull()).select("id", sign_hash(vec).alias("word"))
+    return signs.select("id", F.explode(F.array(*words)).alias("w")).select("id", "w.*")
 
 
 def prefix(h: str, hex_digits: int) -> Column:
@@ -70,10 +71,10 @@ def bundle_distance(pairs: DataFrame, bundles: DataFrame) -> DataFrame:
     """i, j, hamming, transform: the least distance over all pairs of transforms, the first in order among equals."""
     wide = bundles.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ord", "transform", "hash"))).alias("w"))
     a, b = wide.select(F.col("id").alias("i"), F.col("w").alias("wa")), wide.select(F.col("id").alias("j"), F.col("w").alias("wb"))
-    every = F.flatten(
-        F.transform("wa", lambda x: F.transform("wb", lambda y: F.struct(F.bit_count(x["hash"].bitwiseXOR(y["hash"])).alias("d"), (x["ord"] * 8 + y["ord"]).alias("o"), F.concat(x["transform"], F.lit(" vs "), y["transform"]).alias("t"))))
-    )
-    return pairs.join(a, "i").join(b, "j").withColumn("best", F.array_min(every)).select("i", "j", F.col("best.d").alias("hamming"), F.col("best.t").alias("transform"))
+    every = F.flatten(F.transform("wa", lambda x: F.transform("wb", lambda y: F.bit_count(x["hash"].bitwiseXOR(y["hash"])) * 64 + x["ord"] * 8 + y["ord"])))
+    best = pairs.join(a, "i").join(b, "j").withColumn("best", F.array_min(every))
+    label = [F.filter(w, lambda x: x["ord"] == F.expr(o))[0]["transform"] for w, o in (("wa", "best % 64 div 8"), ("wb", "best % 8"))]
+    return best.select("i", "j", F.expr("cast(best div 64 AS int)").alias("hamming"), F.concat(label[0], F.lit(" vs "), label[1]).alias("transform"))
 
 
 def bundle_pairs(bundles: DataFrame, hex_digits: int, most: int) -> DataFrame:
