@@ -45,6 +45,25 @@ def test_library_chunks_equal_whole_texts():
     assert split(*ts._table(PATH).encode(pa.array(xs))) == [LIBRARY.encode(x, add_special_tokens=False).ids for x in xs]
 
 
+@pytest.mark.parametrize("room", [1, 40, 400])
+def test_ids_stay_right_when_memory_is_full(room, monkeypatch):
+    monkeypatch.setattr(bpe, "ROOM", room)
+    xs, own = texts(), bpe.SegmentTreeBpe(PATH)
+    want = [LIBRARY.encode(x, add_special_tokens=False).ids for x in xs]
+    for k in (7, 31, len(xs)):
+        for i in range(0, len(xs), k):
+            assert split(*own.encode(pa.array(xs[i : i + k]))) == want[i : i + k]
+
+
+def test_what_was_met_again_stays():
+    own = bpe.SegmentTreeBpe(PATH)
+    own.encode(pa.array(["red green blue", "red"]))
+    own.encode(pa.array(["red blue"]))
+    own.known.make_room(1)
+    assert len(own.known.keys) == 2
+    assert split(*own.encode(pa.array(["blue green red"]))) == [LIBRARY.encode("blue green red", add_special_tokens=False).ids]
+
+
 def colliding(a, b):
     """Two strings of 128 letters with one polynomial hash modulo 2**64, whatever its base."""
     x = [bin(i).count("1") % 2 for i in range(128)]

@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
 from .chunks import ChunkTable
-from .common import prepare, sliced
+from .common import prepare, sliced, trim
 
+#: Distinct chunks that a worker remembers within a task.
+ROOM = 1 << 18
 _NONE = np.iinfo("i8").max
 _held: dict[str, SegmentTreeBpe] = {}
 
@@ -48,7 +50,7 @@ class SegmentTreeBpe:
         self.pairs, self.ranks = pair[order], order.astype("i8")
         self.first = {c: self.vocab[c] for c in self.vocab if len(c) == 1}
         self.last = {c: self.vocab[c + self.suffix] for c in self.first if c + self.suffix in self.vocab}
-        self.known = ChunkTable(self.fresh, "<u4")
+        self.known = ChunkTable(self.fresh, "<u4", ROOM)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -67,7 +69,7 @@ class SegmentTreeBpe:
             else:
                 groups.setdefault(1 << (len(p) - 2).bit_length(), []).append(i)
         for width, members in groups.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, (1 << 16) // width)
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 for i, ids in zip(part, self._merge_padded([pieces[i] for i in part], width)):
@@ -176,7 +178,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in sliced(batches, 3 << 19):
+        for b in sliced(batches, 3 << 17):
             flat, sizes = bpe.encode(b.column(1))
             raw, ends = flat.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(sizes)).tolist()
             ids = [raw[i:j] for i, j in zip([0, *ends], ends)]
@@ -184,5 +186,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             columns = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
             columns += [pa.array(ids, pa.binary()), pa.array([x.decode() for x in texts], pa.string())] if outputs else []
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        bpe.known.clear()  # the worker lives on beside other stages
+        trim()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(run, T.StructType(fields))

@@ -14,8 +14,8 @@ import xxhash
 
 from .polyhash import spans
 
-#: Distinct chunks that a worker remembers; beyond it keeps those of the batch at hand.
-REMEMBERED = 1 << 21
+#: Distinct chunks that a worker remembers; beyond it keeps those that it has met again, and none if they are too many.
+REMEMBERED = 1 << 20
 #: Chunks of this length or more are hashed one by one; the polynomial hash is for shorter ones.
 LONG = 512
 _rows = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype="u8")
@@ -69,16 +69,22 @@ def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, siz
     return out
 
 
+def _gathered(held: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans of held, one after another."""
+    return held[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
 class ChunkTable:
     """ids of chunks by hash and bytes. fresh(list of strings) gives the ids of each as an array."""
 
-    def __init__(self, fresh: Callable[[list[str]], list[np.ndarray]], kind: str) -> None:
-        self.fresh, self.kind = fresh, np.dtype(kind)
+    def __init__(self, fresh: Callable[[list[str]], list[np.ndarray]], kind: str, room: int = REMEMBERED) -> None:
+        self.fresh, self.kind, self.room = fresh, np.dtype(kind), room
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at, self.size = np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "i8")
         self.text_at, self.text_size = np.empty(0, "i8"), np.empty(0, "i8")
+        self.met = np.empty(0, bool)
         self.flat, self.used = np.empty(1 << 16, self.kind), 0
         self.text, self.text_used = np.empty(1 << 16, "u1"), 0
 
@@ -107,6 +113,20 @@ class ChunkTable:
         into = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.size, into, size)
         self.text_at, self.text_size = np.insert(self.text_at, into, text_at), np.insert(self.text_size, into, text_size)
+        self.met = np.insert(self.met, into, False)
+
+    def make_room(self, wanted: int) -> None:
+        """Forgets what wasn't met again since the last time, or everything, so that wanted more chunks fit."""
+        kept = np.flatnonzero(self.met)
+        if len(kept) + wanted > self.room:
+            return self.clear()
+        ids, text = self.get(kept), _gathered(self.text, self.text_at[kept], self.text_size[kept])
+        keys, size, text_size = self.keys[kept], self.size[kept], self.text_size[kept]
+        self.clear()
+        self.keys, self.size, self.text_size, self.met = keys, size, text_size, np.zeros(len(kept), bool)
+        self.at, self.text_at = np.cumsum(size) - size, np.cumsum(text_size) - text_size
+        self.flat, self.used = np.concatenate([ids, np.empty(1 << 16, self.kind)]), len(ids)
+        self.text, self.text_used = np.concatenate([text, np.empty(1 << 16, "u1")]), len(text)
 
     @staticmethod
     def _more(held: np.ndarray, used: int, parts: list[np.ndarray], kind: np.dtype) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
@@ -120,8 +140,7 @@ class ChunkTable:
 
     def get(self, place: np.ndarray) -> np.ndarray:
         """The ids at these places, one after another."""
-        size = self.size[place]
-        return self.flat[np.repeat(self.at[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return _gathered(self.flat, self.at[place], self.size[place])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
@@ -134,9 +153,11 @@ class ChunkTable:
         back = back.ravel()
         place = self.find(keys, raw, start[first], end[first])
         new = np.flatnonzero(place == -1)
-        if len(new) and len(self.keys) + len(new) > REMEMBERED:
-            self.clear()
-            new = np.arange(len(keys))
+        self.met[place[place >= 0]] = True
+        if len(new) and len(self.keys) + len(new) > self.room:
+            self.make_room(len(new))
+            place = self.find(keys, raw, start[first], end[first])
+            new = np.flatnonzero(place == -1)
         if len(new):
             at = first[new]
             self.put(keys[new], raw, start[at], end[at], self.fresh([raw[i:j].tobytes().decode() for i, j in zip(start[at].tolist(), end[at].tolist())]))
