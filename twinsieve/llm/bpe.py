@@ -21,7 +21,7 @@ from .chunks import ChunkTable
 from .common import prepare, sliced, trim
 
 #: Distinct chunks that a worker remembers within a task.
-ROOM = 1 << 18
+ROOM = 1 << 20
 _NONE = np.iinfo("i8").max
 _held: dict[str, SegmentTreeBpe] = {}
 
