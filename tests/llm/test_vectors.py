@@ -1,8 +1,10 @@
 from fractions import Fraction
 
+import tracemalloc
+
 import numpy as np
 
-from twinsieve.llm import bitslice, rpforest
+from twinsieve.llm import bitslice, blocks, rpforest
 
 SCHEMA = "vec_id long, embedding array<float>, score int"
 
@@ -122,3 +124,50 @@ def test_recall_on_clustered_vectors_at_a_small_share():
         s[i] = -np.inf
         recall.append(len(set(np.argsort(-s)[:20]) & set(found[who == i])) / 20)
     assert np.mean(recall) > 0.8
+
+
+def test_a_search_holds_little():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((16_000, 64))
+    ids = np.arange(16_000)
+    forest = rpforest.Forest(ids, x, 8, 64)
+    tracemalloc.start()
+    forest.search(ids[::125], x[::125], 20, 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+
+
+def test_dropping_on_the_way_loses_nothing(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.integers(-2, 3, (2000, 6)).astype("f8")  # many equal products and equal vectors
+    x = x[x.any(axis=1)]
+    ids = rng.permutation(len(x))
+    ids[7] = ids[8] = 40  # ids that rows repeat, with other vectors too
+    monkeypatch.setattr(rpforest, "HITS", 50)
+    monkeypatch.setattr(rpforest, "PAIRS", 64)
+    queries = np.flatnonzero(ids % 20 == 0)
+    who, found, score = rpforest.Forest(ids, x, 4, 16).search(ids[queries], x[queries], 20, 1.0)
+    at = 0
+    for i in queries:
+        s = x @ x[i]
+        want = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:20]
+        assert (who[at : at + 20] == ids[i]).all() and found[at : at + 20].tolist() == ids[want].tolist() and score[at : at + 20].tolist() == s[want].tolist()
+        at += 20
+    assert at == len(who)
+
+
+def test_each_block_is_sent_once_and_wide_vectors_make_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rpforest, "ROWS", 100)
+    data = [r for r in rows(3000, 16, 5) if r[0] is not None]
+    want = brute(usable(data), 20, 20, lambda a, b: float(a @ b))
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    found = rpforest.neighbours(df, share=1.0)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()  # which repeats a block for each chunk
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(got[i] == {j for j, _ in w} for i, w in want.items() if i != 50)
+    wide = spark.createDataFrame([(i, [float(i + 1)] * 5000, 0) for i in range(40)], SCHEMA)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 400_000)
+    assert {r.n for r in blocks.blocked(wide.coalesce(1), "vec_id", "embedding", 1 << 15, blocks.packed).selectExpr("length(data) div (8 + 8 * dim) n").collect()} == {10}

@@ -9,6 +9,8 @@ Those are found from the most significant slice of the sum downward and resolved
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -178,29 +180,32 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, drop: int = 2, id_col: s
     Vectors of other lengths than a query's are no candidates of it. Rows that repeat an id are
     candidates each, but never of a query with that id; a repeated query is answered once. An empty table gives no rows.
     """
-    index = written(blocked(rows, id_col, vec_col, ROWS, sliced_block), "bit-slices", "none")
+    index = written(blocked(rows, id_col, vec_col, ROWS, sliced_block), "bit-slices", "none", 1)
     queries = blocked(rows, id_col, vec_col, CHUNK, packed, where=f"`{id_col}` % {every} = 0", coalesce=False)
 
-    def search(dim: int, data: bytes, chunk: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data = bytes(data)
+    def opened(dim: int, data: bytes) -> Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         size = int(np.frombuffer(data, "<i8", 1)[0])
         block = Block(dim, data[8 : 8 + size]) if size else None
         wide_ids, wide = unpacked(data[8 + size :], dim)
         wide = whole(wide)
-        owns, x = unpacked(chunk, dim)
-        every_id = every_q = None
-        found: list[tuple[int, int, int]] = []
-        for own, v, fits in zip(owns.tolist(), x, narrow(x)):
-            if fits:
-                w = quantised(v).astype("i8")
-                hits = list(zip(*(a.tolist() for a in block.best(w, k, own, drop)[::-1]))) if block else []
-                hits += best_whole(wide_ids, wide, w.astype(object), k, own) if len(wide_ids) else []
-            else:
-                if every_id is None:
-                    every_id = np.concatenate([block.ids, wide_ids]) if block else wide_ids
-                    every_q = np.concatenate([block.values().astype(object), wide]) if block else wide
-                hits = best_whole(every_id, every_q, whole(v[None])[0], k, own)
-            found += [(own, i, s) for s, i in sorted(hits, key=lambda h: (-h[0], h[1]))[:k]]
-        return tuple(np.array(c, "i8") for c in zip(*found)) if found else (np.empty(0, "i8"),) * 3
-
-    return searched(index, queries, k, search, "long")
+
+        def search(chunk: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            owns, x = unpacked(chunk, dim)
+            every_id = every_q = None
+            found: list[tuple[int, int, int]] = []
+            for own, v, fits in zip(owns.tolist(), x, narrow(x)):
+                if fits:
+                    w = quantised(v).astype("i8")
+                    hits = list(zip(*(a.tolist() for a in block.best(w, k, own, drop)[::-1]))) if block else []
+                    hits += best_whole(wide_ids, wide, w.astype(object), k, own) if len(wide_ids) else []
+                else:
+                    if every_id is None:
+                        every_id = np.concatenate([block.ids, wide_ids]) if block else wide_ids
+                        every_q = np.concatenate([block.values().astype(object), wide]) if block else wide
+                    hits = best_whole(every_id, every_q, whole(v[None])[0], k, own)
+                found += [(own, i, s) for s, i in sorted(hits, key=lambda h: (-h[0], h[1]))[:k]]
+            return tuple(np.array(c, "i8") for c in zip(*found)) if found else (np.empty(0, "i8"),) * 3
+
+        return search
+
+    return searched(index, queries, k, opened, "long")

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import prepare
+from .common import prepare, trim
 
 CHUNK = 128
+#: Bytes of doubles in a block, whatever number of rows it may have.
+BLOCK_BYTES = 1 << 25
 
 
 def vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -33,7 +35,7 @@ def vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def blocked(rows: DataFrame, id_col: str, vec_col: str, most: int, make: Callable[[np.ndarray, np.ndarray], bytes | None], where: str | None = None, coalesce: bool = True) -> DataFrame:
-    """block (unique long), dim, data: rows in blocks of `most` vectors of one dimension, each made into bytes.
+    """block (unique long), dim, data: rows in blocks of `most` vectors of one dimension, fewer if they are wide, each made into bytes.
 
     No shuffle: a task makes blocks of the rows that it reads; few rows are read by few tasks, so that blocks are full.
     """
@@ -47,8 +49,12 @@ def blocked(rows: DataFrame, id_col: str, vec_col: str, most: int, make: Callabl
         held: dict[int, list] = {}
         nth, part = 0, TaskContext.get().partitionId()
 
-        def out(dim: int, n: int | None = None) -> pa.RecordBatch | None:
+        def room(dim: int) -> int:
+            return max(1, min(most, BLOCK_BYTES // (8 * dim)))
+
+        def out(dim: int) -> pa.RecordBatch | None:
             nonlocal nth
+            most = room(dim)
             ids, x = np.concatenate([i for i, _ in held[dim]]), np.concatenate([v for _, v in held[dim]])
             held[dim] = [(ids[most:], x[most:])] if len(ids) > most else []
             data = make(ids[:most], x[:most])
@@ -59,7 +65,7 @@ def blocked(rows: DataFrame, id_col: str, vec_col: str, most: int, make: Callabl
             for ids, x in vectors(b):
                 dim = x.shape[1]
                 held.setdefault(dim, []).append((ids, x))
-                while sum(len(i) for i, _ in held[dim]) >= most:
+                while sum(len(i) for i, _ in held[dim]) >= room(dim):
                     if (made := out(dim)) is not None:
                         yield made
         for dim in held:
@@ -78,28 +84,35 @@ def unpacked(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<f8", n * dim, 8 * n).reshape(n, dim)
 
 
-def searched(index: DataFrame, queries: DataFrame, k: int, search: Callable[[int, bytes, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]], kind: str) -> DataFrame:
+def searched(index: DataFrame, queries: DataFrame, k: int, opened: Callable[[int, bytes], Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]], kind: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest scores of each query over all blocks, ties to the smaller vec_id.
 
-    index has blocks in a table; queries has chunks as of blocked(packed). search(dim, block, chunk) gives query ids, vec_ids
-    and scores of a block's own best for each query. A chunk is repeated for each block; a block only where there are fewer
-    blocks than cores to use. Block numbers come to the driver, one for each block.
+    index has blocks in a table; queries has chunks as of blocked(packed). opened(dim, block) gives a search of that block: for
+    a chunk the query ids, vec_ids and scores of the block's own best for each query. Each block has a partition, in which it
+    comes once, before all chunks; where there are fewer blocks than cores to use, it has several and the chunks are dealt
+    among them. Block numbers come to the driver, one for each block.
     """
     spark = index.sparkSession
-    numbers = [r.block for r in index.select("block").toLocalIterator()]
+    numbers = [(r.block, r.dim, i) for i, r in enumerate(index.select("block", "dim").toLocalIterator())]
     copies = max(1, -(-4 * spark.sparkContext.defaultParallelism // max(1, len(numbers))))
-    listed = F.from_json(F.lit(str(numbers)), "array<bigint>")
-    pairs = queries.select(F.explode(listed).alias("block"), F.pmod(F.xxhash64("data"), F.lit(copies)).alias("copy"), F.col("data").alias("chunk"), F.col("dim").alias("query_dim"))
-    blocks = index.select("block", "dim", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"))
+    listed = F.broadcast(spark.createDataFrame(numbers, "block long, dim int, nth long"))
+    first = F.col("nth") * copies
+    blocks = index.join(listed, ["block", "dim"]).select(F.explode(F.sequence(first, first + (copies - 1))).alias("at"), F.lit(0).alias("chunk"), "dim", "data")
+    chunks = queries.join(listed.withColumnRenamed("block", "met"), "dim").select((first + F.pmod(F.xxhash64("block", "met"), F.lit(copies))).alias("at"), F.lit(1).alias("chunk"), "dim", "data")
     kind_pa = pa.int64() if kind == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = None
         for b in batches:
             for i in range(b.num_rows):
-                q, v, s = search(b.column(0)[i].as_py(), b.column(1)[i].as_buffer(), b.column(2)[i].as_buffer())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind_pa)], ["query_id", "vec_id", "score"])
-
-    met = pairs.join(blocks, ["block", "copy"]).where("dim = query_dim")
-    found = met.select("dim", "data", "chunk").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+                if b.column(1)[i].as_py():
+                    q, v, s = search(b.column(3)[i].as_buffer())
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind_pa)], ["query_id", "vec_id", "score"])
+                else:
+                    search = opened(b.column(2)[i].as_py(), bytes(b.column(3)[i].as_buffer()))
+        trim()
+
+    met = blocks.unionByName(chunks).repartitionById(max(1, len(numbers) * copies), F.col("at").cast("int")).sortWithinPartitions("chunk")
+    found = met.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

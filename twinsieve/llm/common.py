@@ -50,10 +50,10 @@ def fresh_dir(spark: SparkSession, label: str, keep: bool = False) -> str:
     return at
 
 
-def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives a lost executor."""
+def written(df: DataFrame, label: str, compression: str = "zstd", rows_per_file: int = 0) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives a lost executor. rows_per_file: for large rows, so that few are read at once."""
     at = fresh_dir(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(at)
+    df.write.option("compression", compression).option("maxRecordsPerFile", rows_per_file).parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out.written_at = at
     return out

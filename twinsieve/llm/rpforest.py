@@ -9,6 +9,7 @@ waiting branch of any tree is next, until enough distinct rows are found. Those
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -17,6 +18,11 @@ from .blocks import CHUNK, blocked, packed, searched, unpacked
 from .common import written
 
 ROWS = 1 << 15
+#: Products of queries with points that a search holds before those that are not among the best are dropped.
+HITS = 1 << 17
+#: Pairs whose scores are added up at once.
+PAIRS = 1 << 14
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def fixed_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,10 +33,11 @@ def fixed_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _slack(a: np.ndarray, b: np.ndarray) -> float:
-    """More than two ways to add up a product of rows of a and b can differ by."""
-    largest = float(np.sqrt((a * a).sum(axis=1).max(initial=0.0) * (b * b).sum(axis=1).max(initial=0.0)))
-    return largest * a.shape[1] * 2.0**-50 if np.isfinite(largest) else 0.0
+def _slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of a, more than two ways to add up its product with a row of b can differ by."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        largest = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1).max(initial=0.0))
+    return np.where(np.isfinite(largest), largest, 0.0) * a.shape[1] * 2.0**-50
 
 
 class Forest:
@@ -84,49 +91,84 @@ class Forest:
             out.append(found)
         return out
 
-    def search(self, own: np.ndarray, q: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query ids, vec_ids, scores): the k best of each query among the points of its leaves, the query's own id left out."""
+    def _cut(self, hits: Hits, own: np.ndarray, q: np.ndarray, k: int, slack: np.ndarray, exact: bool) -> Hits:
+        """Of (query, point, product) those that can be among each query's k nearest, each once; exact: with the scores, k at most."""
+        who, point, score = hits
+        order = np.lexsort((point, who))
+        who, point, score = who[order], point[order], score[order]
+        new = np.r_[True, (who[1:] != who[:-1]) | (point[1:] != point[:-1])][: len(who)]
+        who, point, score = who[new], point[new], score[new]
+        if exact:
+            score = np.concatenate([np.empty(0), *(fixed_products(q[who[i : i + PAIRS]], self.x[point[i : i + PAIRS]]) for i in range(0, len(who), PAIRS))])
+        least = self.ids[self.ends[point]]
+        for i in np.flatnonzero(least == own[who]):
+            least[i] = self.ids[self.ends[point[i]] + np.searchsorted(self.ids[self.ends[point[i]] : self.ends[point[i] + 1]], own[who[i]], "right")]
+        order = np.lexsort((least, -score, who))
+        who, point, score = who[order], point[order], score[order]
+        starts = np.searchsorted(who, np.arange(len(own)))
+        if exact:
+            keep = np.arange(len(who)) - starts[who] < k
+        else:
+            keep = score >= self._floor((who, point, score), len(own), k)[who] - slack[who]
+        return who[keep], point[keep], score[keep]
+
+    @staticmethod
+    def _floor(hits: Hits, n: int, k: int) -> np.ndarray:
+        """The k-th product of each query; hits are in order, each once."""
+        who, _, score = hits
+        kth = np.searchsorted(who, np.arange(n)) + k - 1
+        floor = np.full(n, -np.inf)
+        full = np.flatnonzero(kth < np.searchsorted(who, np.arange(n), "right"))
+        floor[full] = score[kth[full]]
+        return floor
+
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, share: float) -> Hits:
+        """(query ids, vec_ids, scores): the k best of each query among the points of its leaves, the query's own id left out.
+
+        What can't be among the k best of the leaves so far is dropped on the way, so that little is held at once.
+        """
         wanted = max(k + 1, int(np.ceil(share * len(self.x))))
         visits: dict[int, list[int]] = {}
         for i, found in enumerate(self.leaves(q, wanted)):
             for leaf in found:
                 visits.setdefault(leaf, []).append(i)
-        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for leaf, who in visits.items():
+        slack, floor = _slack(q, self.x), np.full(len(own), -np.inf)
+        low, high = self.ids[self.ends[:-1]], self.ids[self.ends[1:] - 1]
+        held: list[Hits] = []
+        count, most = 0, max(HITS, 4 * k * len(own))
+        for leaf, visitors in visits.items():
             t, node = leaf >> self.depth, leaf & ((1 << self.depth) - 1)
-            rows = self.order[t][self.bounds[t][node] : self.bounds[t][node + 1]]
+            rows, who = self.order[t][self.bounds[t][node] : self.bounds[t][node + 1]], np.asarray(visitors)
             s = q[who] @ self.x[rows].T
-            if len(rows) > k + 1:
-                best = np.argpartition(-s, k, axis=1)[:, : k + 1]
-                edge = np.take_along_axis(s, best, 1).min(axis=1)
-                a, b = np.nonzero(s >= edge[:, None] - _slack(q[who], self.x[rows]))  # ties with the last are kept
-            else:
-                a, b = np.nonzero(np.ones_like(s, bool))
-            hits.append((np.asarray(who)[a], rows[b], s[a, b]))
-        if not hits:
+            others = (low[rows] != own[who][:, None]) | (high[rows] != own[who][:, None])  # not points of the query's own id alone
+            edge = floor[who]
+            if len(rows) > k and not np.isfinite(edge).all():
+                edge = np.maximum(edge, -np.partition(-np.where(others, s, -np.inf), k - 1, axis=1)[:, k - 1])
+            a, b = np.nonzero((s >= (edge - slack[who])[:, None]) & others)  # ties with the last are kept
+            held.append((who[a], rows[b], s[a, b]))
+            count += len(a)
+            if count > most:
+                held = [self._cut(tuple(map(np.concatenate, zip(*held))), own, q, k, slack, False)]
+                if len(held[0][0]) > most // 2:  # many ties
+                    held = [self._cut(held[0], own, q, k, slack, True)]
+                floor, count = self._floor(held[0], len(own), k), len(held[0][0])
+        if not held:
             return (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
-        who, point, score = (np.concatenate(x) for x in zip(*hits))
-        order = np.lexsort((point, who))
-        who, point, score = who[order], point[order], score[order]
-        new = np.r_[True, (who[1:] != who[:-1]) | (point[1:] != point[:-1])]
-        who, point, score = who[new], point[new], score[new]
-        score = fixed_products(q[who], self.x[point])
-        order = np.lexsort((-score, who))
-        who, point, score = who[order], point[order], score[order]
-        out = []
+        who, point, score = self._cut(tuple(map(np.concatenate, zip(*held))), own, q, k, slack, True)
+        out: list[Hits] = []
         starts = np.searchsorted(who, np.arange(len(own) + 1))
         for i, (a, b) in enumerate(zip(starts, starts[1:])):
             if a == b:
                 continue
-            kth = score[min(b, a + k + 1) - 1]
-            b = a + int(np.searchsorted(-score[a:b], -kth, "right"))
-            ids = [self.ids[self.ends[p] : min(self.ends[p] + k + 1, self.ends[p + 1])] for p in point[a:b]]
+            ids = []
+            for p in point[a:b]:
+                every = self.ids[self.ends[p] : self.ends[p + 1]]
+                lo, hi = np.searchsorted(every, own[i], "left"), np.searchsorted(every, own[i], "right")
+                ids.append(np.concatenate([every[: min(lo, k)], every[hi : hi + k]]))
             s, ids = np.repeat(score[a:b], [len(x) for x in ids]), np.concatenate(ids)
-            other = ids != own[i]
-            s, ids = s[other], ids[other]
             top = np.lexsort((ids, -s))[:k]
             out.append((np.full(len(top), own[i]), ids[top], s[top]))
-        return tuple(np.concatenate(x) for x in zip(*out))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
 
 
 def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 64, share: float = 0.8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -143,16 +185,10 @@ def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, le
         fine = x.any(axis=1)
         return packed(ids[fine], x[fine]) if fine.any() else None
 
-    index = written(blocked(rows, id_col, vec_col, ROWS, nonzero), "shards", "none")
+    index = written(blocked(rows, id_col, vec_col, ROWS, nonzero), "shards", "none", 1)
     queries = blocked(rows, id_col, vec_col, CHUNK, nonzero, where=f"`{id_col}` % {every} = 0", coalesce=False)
-    held: dict[tuple, Forest] = {}
-
-    def search(dim: int, data: bytes, chunk: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, x = unpacked(data, dim)
-        key = (dim, len(ids), int(ids[0]), int(ids[-1]), hash(bytes(data)))
-        if key not in held:
-            held.clear()
-            held[key] = Forest(ids, x, trees, leaf)
-        return held[key].search(*unpacked(chunk, dim), k, share)
+    def opened(dim: int, data: bytes) -> Callable[[bytes], Hits]:
+        forest = Forest(*unpacked(data, dim), trees, leaf)
+        return lambda chunk: forest.search(*unpacked(chunk, dim), k, share)
 
-    return searched(index, queries, k, search, "double")
+    return searched(index, queries, k, opened, "double")
