@@ -1,3 +1,4 @@
+import cProfile
 import random
 import zlib
 
@@ -173,3 +174,29 @@ def test_round_trip_query(spark):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_new_chunks_equal_the_library_one_by_one():
+    rng = np.random.default_rng(5)
+    signs = list("abzABZ") + list("àéÀÉÞþßÿ×÷ªµº") + list(".,;:!?") + list("ŁłİıΣσя0_-'\t") + ["</w>", "€"]
+    words = [*signs, "ab", "Ab.", "ab.", "AB,", "ab..", "É,", "é,", "×,", "ab×", "a" * 700, "A" * 700 + ".", "Straße!", "ÀÞ", "ŸÿŸ"]
+    words += ["".join(rng.choice(signs, rng.integers(1, 6))) for _ in range(4000)]
+    words = list(dict.fromkeys(words))
+    ts._held.clear()
+    table = ts._table(PATH)
+    for part in (words[:7], words[:500], words):  # some are known by then
+        ids, sizes = table.encode(pa.array(part))
+        assert split(ids, sizes) == [LIBRARY.encode(w, add_special_tokens=False).ids for w in part]
+    raw = np.frombuffer("".join(map(chr, range(1, 256))).encode(), "u1")
+    low = ts.folded(raw)[1].tobytes().decode()
+    assert low == "".join(map(chr, range(1, 256))).lower()
+
+
+def test_new_chunks_cost_few_calls():
+    """Words that a worker hasn't met are looked at together: no Python call for each of them but what the library's ids need."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + mark for i in range(20_000) for mark in ("", ".")]
+    ts._held.clear()
+    table = ts._table(PATH)
+    calls = cProfile.Profile()
+    calls.runcall(table.encode, pa.array([" ".join(words)]))
+    assert sum(x.callcount for x in calls.getstats()) < len(words)

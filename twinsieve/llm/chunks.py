@@ -18,6 +18,7 @@ from .polyhash import spans
 REMEMBERED = 1 << 20
 #: Chunks of this length or more are hashed one by one; the polynomial hash is for shorter ones.
 LONG = 512
+Laid = tuple[np.ndarray, np.ndarray]
 _rows = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype="u8")
 
 
@@ -69,15 +70,28 @@ def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, siz
     return out
 
 
-def _gathered(held: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+def gathered(held: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The spans of held, one after another."""
     return held[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
+def strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """The spans of raw (padded), in which no line feed is, as strings."""
+    size = end - start + 1
+    joined = gathered(raw, start, size)
+    joined[np.cumsum(size) - 1] = 10
+    return joined.tobytes().decode().split("\n")[:-1]
+
+
+def laid(parts: list[np.ndarray], kind: np.dtype) -> Laid:
+    """Arrays one after another, and the size of each."""
+    return np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False), np.array([len(x) for x in parts], "i8")
+
+
 class ChunkTable:
-    """ids of chunks by hash and bytes. fresh(list of strings) gives the ids of each as an array."""
+    """ids of chunks by hash and bytes. fresh(list of strings) gives the ids of each as an array, or all of them laid()."""
 
-    def __init__(self, fresh: Callable[[list[str]], list[np.ndarray]], kind: str, room: int = REMEMBERED) -> None:
+    def __init__(self, fresh: Callable[[list[str]], list[np.ndarray] | Laid], kind: str, room: int = REMEMBERED) -> None:
         self.fresh, self.kind, self.room = fresh, np.dtype(kind), room
         self.clear()
 
@@ -101,15 +115,16 @@ class ChunkTable:
         place[hit[~same]] = -2
         return place
 
-    def put(self, keys: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray, ids: list[np.ndarray]) -> None:
+    def put(self, keys: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray, ids: list[np.ndarray] | Laid) -> None:
         """Adds chunks of raw; one whose key is there, or is that of an earlier one of them, is left out."""
         keys, first = np.unique(keys, return_index=True)
         if len(self.keys):
             new = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
             keys, first = keys[new], first[new]
-        ids, start, width = [ids[i] for i in first], start[first], (end - start)[first]
-        self.flat, self.used, at, size = self._more(self.flat, self.used, ids, self.kind)
-        self.text, self.text_used, text_at, text_size = self._more(self.text, self.text_used, [raw[i : i + n] for i, n in zip(start.tolist(), width.tolist())], np.dtype("u1"))
+        flat, size = ids if isinstance(ids, tuple) else laid(ids, self.kind)
+        flat_at, size, start, text_size = (np.cumsum(size) - size)[first], size[first], start[first], (end - start)[first]
+        self.flat, self.used, at = self._more(self.flat, self.used, gathered(flat, flat_at, size), size)
+        self.text, self.text_used, text_at = self._more(self.text, self.text_used, gathered(raw, start, text_size), text_size)
         into = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, into, keys), np.insert(self.at, into, at), np.insert(self.size, into, size)
         self.text_at, self.text_size = np.insert(self.text_at, into, text_at), np.insert(self.text_size, into, text_size)
@@ -120,7 +135,7 @@ class ChunkTable:
         kept = np.flatnonzero(self.met)
         if len(kept) + wanted > self.room:
             return self.clear()
-        ids, text = self.get(kept), _gathered(self.text, self.text_at[kept], self.text_size[kept])
+        ids, text = self.get(kept), gathered(self.text, self.text_at[kept], self.text_size[kept])
         keys, size, text_size = self.keys[kept], self.size[kept], self.text_size[kept]
         self.clear()
         self.keys, self.size, self.text_size, self.met = keys, size, text_size, np.zeros(len(kept), bool)
@@ -129,18 +144,16 @@ class ChunkTable:
         self.text, self.text_used = np.concatenate([text, np.empty(1 << 16, "u1")]), len(text)
 
     @staticmethod
-    def _more(held: np.ndarray, used: int, parts: list[np.ndarray], kind: np.dtype) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
-        """held with the parts behind what is used, the place after them, and where each part lies."""
-        size = np.array([len(x) for x in parts], "i8")
-        flat = np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False)
+    def _more(held: np.ndarray, used: int, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        """held with flat, parts of these sizes, behind what is used, the place after them, and where each part lies."""
         while used + len(flat) + 8 > len(held):
             held = np.concatenate([held, np.empty_like(held)])
         held[used : used + len(flat)] = flat
-        return held, used + len(flat), used + np.cumsum(size) - size, size
+        return held, used + len(flat), used + np.cumsum(size) - size
 
     def get(self, place: np.ndarray) -> np.ndarray:
         """The ids at these places, one after another."""
-        return _gathered(self.flat, self.at[place], self.size[place])
+        return gathered(self.flat, self.at[place], self.size[place])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
@@ -160,7 +173,7 @@ class ChunkTable:
             new = np.flatnonzero(place == -1)
         if len(new):
             at = first[new]
-            self.put(keys[new], raw, start[at], end[at], self.fresh([raw[i:j].tobytes().decode() for i, j in zip(start[at].tolist(), end[at].tolist())]))
+            self.put(keys[new], raw, start[at], end[at], self.fresh(strings(raw, start[at], end[at])))
             place = self.find(keys, raw, start[first], end[first])
         like, size = first[back], end - start
         same = size == size[like]
@@ -170,9 +183,10 @@ class ChunkTable:
             place = place[back]
             return self.get(place), np.bincount(row, weights=self.size[place], minlength=len(texts)).astype("i8")
         odd = np.flatnonzero(~same)  # a hash that is also another chunk's
-        words = [raw[i:j].tobytes().decode() for i, j in zip(start[odd].tolist(), end[odd].tolist())]
+        words = strings(raw, start[odd], end[odd])
         distinct = list(dict.fromkeys(words))
-        made = dict(zip(distinct, self.fresh(distinct)))
+        ids = self.fresh(distinct)
+        made = dict(zip(distinct, np.split(ids[0], np.cumsum(ids[1])[:-1]) if isinstance(ids, tuple) else ids))
         own = dict(zip(odd.tolist(), (made[w] for w in words)))
         place = self.find(keys, raw, start[first], end[first])[back]  # fresh may have added to the table
         parts = [own[i] if i in own else self.flat[self.at[p] : self.at[p] + self.size[p]] for i, p in enumerate(place.tolist())]

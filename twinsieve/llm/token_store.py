@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .chunks import ChunkTable, binaries, hashed, padded, with_end
+from .chunks import ChunkTable, Laid, binaries, gathered, hashed, padded, same_spans, with_end
 from .common import fresh_dir, make_dir, open_fs, prepare, sliced
 
 MAGIC = b"TOKHUF1\n"
@@ -153,7 +154,22 @@ def unpack(payload: bytes, sizes: np.ndarray, lane_bits: np.ndarray, table: tupl
 
 
 #: Marks that never join a word.
-_MARKS = frozenset(".,;:!?")
+_MARKS = ".,;:!?"
+_IS_MARK = np.isin(np.arange(256), np.frombuffer(_MARKS.encode(), "u1"))
+_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+_LOWER = np.array([ord(chr(i).lower()) if i < 128 else i for i in range(256)], "u1")
+
+
+def folded(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a byte is of a letter of ASCII or of À to ÿ, the bytes with these letters lower-cased) of UTF-8."""
+    letter, low = _LETTER[raw], _LOWER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    second = raw[lead + 1]
+    fine = (second != 0x97) & (second != 0xB7)  # the signs × and ÷
+    letter[lead[fine]] = letter[lead[fine] + 1] = True
+    upper = lead[fine & (second < 0x9F)] + 1
+    low[upper] = raw[upper] + 0x20
+    return letter, low
 
 
 def _table(path: str) -> ChunkTable:
@@ -171,64 +187,78 @@ def _table(path: str) -> ChunkTable:
     library.no_padding()
     kind = id_kind(library.get_vocab_size())
 
-    def plain(words: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def plain(words: list[str]) -> Laid:
+        out: list[list[int]] = []
         for i in range(0, len(words), 4096):
-            out += [np.array(e.ids, kind) for e in library.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-        return out
+            out += [e.ids for e in library.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(out)), kind), np.array([len(x) for x in out], "i8")
 
     final = np.zeros(library.get_vocab_size() + 1, bool)
     ends = [i for token, i in library.get_vocab().items() if token.endswith("</w>")]
     final[ends] = True
 
-    def letters(words: list[str]) -> list[np.ndarray]:
-        """Words of letters alone are one piece each, and the last id of a piece is one of those that end a word."""
-        out: list[np.ndarray] = []
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, kind)
-            stop = (np.flatnonzero(final[ids]) + 1).tolist()
-            if len(stop) != len(part) or stop[-1] != len(ids):  # an alphabet that the library takes apart
-                out += plain(part)
+    def letters(spaced: np.ndarray, stop: np.ndarray) -> Laid:
+        """Words of letters alone, each with a space behind it up to stop, are one piece each, and the last id of a piece is one of those that end a word."""
+        made: list[Laid] = []
+        for i in range(0, len(stop), 4096):
+            n = len(stop[i : i + 4096])
+            part = spaced[stop[i - 1] if i else 0 : stop[i + n - 1] - 1].tobytes().decode()
+            ids = np.array(library.encode_batch_fast([part], add_special_tokens=False)[0].ids, kind)
+            ends = np.flatnonzero(final[ids]) + 1
+            if len(ends) != n or ends[-1] != len(ids):  # an alphabet that the library takes apart
+                made.append(plain(part.split(" ")))
             else:
-                out += [ids[a:b] for a, b in zip([0, *stop], stop)]
-        return out
+                made.append((ids, np.diff(ends, prepend=0)))
+        return np.concatenate([np.empty(0, kind), *(x for x, _ in made)]), np.concatenate([np.empty(0, "i8"), *(x for _, x in made)])
+
+    def ids_of(word: str) -> list[int]:
+        return plain([word])[0].tolist()
 
-    probe = ["Äé", "äé", "Ab", "ab", "ab.", ".", "é,", "é", ","]
-    p = dict(zip(probe, (x.tolist() for x in plain(probe))))
-    folds = p["Äé"] == p["äé"] and p["Ab"] == p["ab"] and p["ab."] == p["ab"] + p["."] and p["é,"] == p["é"] + p[","]
-    marks = dict(zip(sorted(_MARKS), plain(sorted(_MARKS)))) if folds else {}
+    folds = ids_of("Äé") == ids_of("äé") and ids_of("Ab") == ids_of("ab") and ids_of("ab.") == ids_of("ab") + ids_of(".") and ids_of("é,") == ids_of("é") + ids_of(",")
+    marks, mark_size = plain(list(_MARKS))
+    mark_at, nth_mark = np.cumsum(mark_size) - mark_size, np.zeros(256, "i8")
+    nth_mark[np.frombuffer(_MARKS.encode(), "u1")] = np.arange(len(_MARKS))
 
-    def fresh(chunks: list[str]) -> list[np.ndarray]:
+    def fresh(chunks: list[str]) -> Laid:
         if not folds:
             return plain(chunks)
-        bare, tail = [], []
-        for c in chunks:
-            mark = c[-1] if c[-1] in _MARKS else ""
-            word = c[:-1] if mark else c
-            simple = word.isalpha() and (word.isascii() or len(word.encode("latin-1", "ignore")) == len(word))
-            bare.append(word.lower() if simple else c)
-            tail.append(mark if simple else "")
-        words = list(dict.fromkeys(bare))
-        raw = np.frombuffer("".join(words).encode(), "u1")
-        ends = np.cumsum([len(w.encode()) for w in words])
-        starts = np.r_[0, ends[:-1]]
-        keys = hashed(raw, starts, ends)
-        raw = padded(raw)
-        place = table.find(keys, raw, starts, ends)
-        there = np.flatnonzero(place >= 0)
-        flat, stop = table.get(place[there]), np.cumsum(table.size[place[there]]).tolist()
-        known = {words[k]: flat[i:j] for k, i, j in zip(there.tolist(), [0, *stop], stop)}
-        missing = [w for w, at in zip(words, place.tolist()) if at < 0]
-        single = [w for w in missing if w.isalpha() and (w.isascii() or len(w.encode("latin-1", "ignore")) == len(w))]
-        known |= dict(zip(single, letters(single)))
-        missing = [w for w in missing if w not in known]
-        known |= dict(zip(missing, plain(missing)))
-        own = set(chunks)
-        extra = np.array([i for i in np.flatnonzero(place == -1) if words[i] not in own], "i8")
-        if len(extra):
-            table.put(keys[extra], raw, starts[extra], ends[extra], [known[words[i]] for i in extra])
-        return [np.concatenate([known[w], marks[m]]) if m else known[w] for w, m in zip(bare, tail)]
+        raw = np.frombuffer("\n".join(chunks).encode(), "u1")
+        stop = np.r_[np.flatnonzero(raw == 10), len(raw)]
+        start = np.r_[0, stop[:-1] + 1]
+        letter, low = folded(raw)
+        marked = _IS_MARK[raw[stop - 1]]
+        end, other = stop - marked, np.r_[0, np.cumsum(~letter)]
+        simple = np.flatnonzero((other[end] == other[start]) & (end > start))
+        at, size = start[simple], (end - start)[simple]
+        keys = hashed(low, at, at + size)
+        low = padded(low)
+        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        like = first[back.ravel()]
+        same = size == size[like]
+        same[same] = same_spans(low, at[same], low, at[like[same]], size[same])
+        simple, back = simple[same], back.ravel()[same]
+        at, size = at[first], size[first]
+        place = table.find(keys, low, at, at + size)
+        there, missing = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        known, known_size = table.get(place[there]), table.size[place[there]]
+        spaced, ends = gathered(low, at[missing], size[missing] + 1), np.cumsum(size[missing] + 1)
+        spaced[ends - 1] = 32
+        made, made_size = letters(spaced, ends)
+        table.put(keys[missing], low, at[missing], (at + size)[missing], (made, made_size))
+        rest = np.setdiff1d(np.arange(len(chunks)), simple, assume_unique=True)
+        plainly, plain_size = plain([chunks[i] for i in rest])
+        # what a chunk is made of lies in these one after another
+        source, sizes = np.concatenate([known, made, plainly, marks]), np.zeros((len(chunks), 2), "i8")
+        begin, of = np.zeros_like(sizes), np.zeros(len(keys), "i8")
+        of[np.r_[there, missing]] = np.arange(len(keys))
+        every = np.concatenate([known_size, made_size, plain_size])
+        every_at = np.cumsum(every) - every
+        nth = np.zeros(len(chunks), "i8")
+        nth[simple], nth[rest] = of[back], len(keys) + np.arange(len(rest))
+        sizes[:, 0], begin[:, 0] = every[nth], every_at[nth]
+        mark = nth_mark[raw[stop[simple] - 1]]
+        sizes[simple, 1], begin[simple, 1] = mark_size[mark] * marked[simple], len(source) - len(marks) + mark_at[mark]
+        return gathered(source, begin.ravel(), sizes.ravel()), sizes.sum(axis=1)
 
     table = _held[path] = ChunkTable(fresh, kind)
     return table
