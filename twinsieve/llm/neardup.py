@@ -16,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import discard, prepare, sliced, unused, written
+from .common import discard, prepare, sliced, trim, unused, written
 from .components import components
 from .polyhash import mix
 from .simhash import buckets, fingerprint
@@ -29,6 +29,10 @@ SENT_IDS = 1_000_000
 COUNTS = 1 << 20
 #: Bins of a text's sketch; more of them rule out more pairs before their sets are fetched.
 BINS = 2048
+#: Prefix entries that a task brings together, about.
+PART_ENTRIES = 1 << 19
+#: t, id, n, pos of a prefix entry.
+_ENTRY = ("<u4", "<i8", "<i4", "<i4")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,21 +75,21 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
-    """norm, n (size of the set), p: for each of BINS bins of hashes, whether the set has an odd number in it."""
+    """id, n (size of the set), p: for each of BINS bins of hashes, whether the set has an odd number in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             every = [np.frombuffer(x, "u4") for x in b.column(1).to_pylist()]
             odd = [np.packbits((np.bincount(s % BINS, minlength=BINS) & 1).astype("u1")).tobytes() for s in every]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in every], pa.int32()), pa.array(odd, pa.binary())], ["norm", "n", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in every], pa.int32()), pa.array(odd, pa.binary())], ["id", "n", "p"])
 
-    return written(sets.select("norm", "s").mapInArrow(run, "norm binary, n int, p binary"), "sketches")
+    return written(sets.select("id", "s").mapInArrow(run, "id long, n int, p binary"), "sketches")
 
 
 def _of(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The rows of held (by norm) that a pair needs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("norm")).distinct()
-    return held.join(F.broadcast(ids) if pairs.count() * 2 <= SENT_IDS else ids, "norm", "left_semi")
+    """The rows of held (by id) that a pair needs."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return held.join(F.broadcast(ids) if pairs.count() * 2 <= SENT_IDS else ids, "id", "left_semi")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -100,13 +104,13 @@ def _possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     own = _of(pairs, sketches)
-    x, y = (own.select(F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("p").alias(f"p_{i}")) for i in "ab")
+    x, y = (own.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("p").alias(f"p_{i}")) for i in "ab")
     met = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "p_a", "n_b", "p_b")
-    return written(met.mapInArrow(run, "a binary, b binary"), "possible-pairs")
+    return written(met.mapInArrow(run, "a long, b long"), "possible-pairs")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """a, b of the pairs of texts (norm) that are similar."""
+    """a, b of the pairs of texts (id) that are similar."""
     pairs = written(pairs, "candidate-pairs")
     left = _possible(pairs, sketches, least)
 
@@ -118,14 +122,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: floa
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep))
 
     own = _of(left, sets)
-    x, y = own.select(F.col("norm").alias("a"), F.col("s").alias("x")), own.select(F.col("norm").alias("b"), F.col("s").alias("y"))
-    links = written(left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "links")
+    x, y = own.select(F.col("id").alias("a"), F.col("s").alias("x")), own.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    links = written(left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
     discard(pairs, left)
     return links
 
 
 def _shingle_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """norm, s (the shingles' hashes, ascending) of each text."""
+    """norm, s (the shingles' hashes, ascending), id (a number that needs less room than norm) of each text."""
     n = texts.count()
     ids = texts.select(F.col("least").alias("_w")).distinct()
     source = docs.select("doc_id", F.col("text").cast("binary").alias("_raw"))
@@ -136,14 +140,19 @@ def _shingle_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             raw = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b" ".join((x or b"").lower().split())) for x in raw], pa.binary()), pa.array([shingles(x, width).tobytes() for x in raw], pa.binary())], ["norm", "s"])
 
-    sets = written(source.select("_raw").mapInArrow(make, "norm binary, s binary"), "shingle-sets", "none")
+    def numbered(sets: DataFrame) -> DataFrame:
+        return written(sets.withColumn("id", F.monotonically_increasing_id()), "shingle-sets", "none")
+
+    sets = numbered(source.select("_raw").mapInArrow(make, "norm binary, s binary"))
     if sets.count() != n:  # rows that repeat a doc_id
-        sets = written(sets.dropDuplicates(["norm"]), "shingle-sets", "none")
+        whole = sets
+        sets = numbered(whole.select("norm", "s").dropDuplicates(["norm"]))
+        discard(whole)
     return sets
 
 
-def _counts(sets: DataFrame) -> np.ndarray:
-    """How many texts have a shingle in each of COUNTS bins, over all texts."""
+def _counts(sets: DataFrame) -> tuple[np.ndarray, int]:
+    """How many texts have a shingle in each of COUNTS bins, over all texts; the number of all shingles of all sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTS, "i8")
@@ -152,10 +161,11 @@ def _counts(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], ["bin", "n"])
 
-    made = sets.select("s").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    few = sets.select("s").coalesce(sets.sparkSession.sparkContext.defaultParallelism)  # a task sends up to COUNTS rows, whatever it has read
+    made = few.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTS, "i8")
     counts[made.column(0).to_numpy()] = made.column(1).to_numpy()
-    return np.minimum(counts, np.iinfo("i4").max).astype("i4")
+    return np.minimum(counts, np.iinfo("i4").max).astype("i4"), int(counts.sum())
 
 
 def prefix(s: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
@@ -167,37 +177,78 @@ def prefix(s: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     return key.astype("u4")
 
 
+def dealt(t: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, entries as bytes): entries by range of t. The bytes of a kind stand together, so that those that hardly change take little room."""
+    order = np.argsort(t, kind="stable")
+    part = ((t[order].astype("u8") * np.uint64(parts)) >> np.uint64(32)).astype("i4")
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        at = order[i:j]
+        yield int(part[i]), b"".join([np.ascontiguousarray(x[at].astype(kind)).view("u1").reshape(j - i, -1).T.tobytes() for x, kind in zip((t, ids, n, pos), _ENTRY)])
+
+
+def gathered(records: list[bytes]) -> list[np.ndarray]:
+    """t, ids, n, pos of what dealt() has made bytes of."""
+    size = sum(np.dtype(kind).itemsize for kind in _ENTRY)
+    raw = [np.frombuffer(x, "u1").reshape(size, -1) for x in records]
+    out, at = [], 0
+    for kind in _ENTRY:
+        wide = np.dtype(kind).itemsize
+        out.append(np.concatenate([np.empty(0, kind), *(np.ascontiguousarray(x[at : at + wide].T).view(kind).ravel() for x in raw)]))
+        at += wide
+    return out
+
+
+def meeting(t: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Places of the entries whose shingle another text has, too, that isn't too large or too small to be similar; by shingle and size."""
+    order = np.lexsort((n, t))
+    t, n = t[order], n[order].astype(float)
+    next_ = (t[1:] == t[:-1]) & (n[:-1] >= n[1:] * least - 1e-6)
+    return order[(np.r_[False, next_] | np.r_[next_, False])[: len(order)]]
+
+
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """t, n, pos, norm, central: the prefix shingles that several texts have, the size of the text's set, the place in it, the text,
+    """t, n, pos, id, central: the prefix shingles that several texts have, the size of the text's set, the place in it, the text,
     and the part of its prefix that others share: all of it in a text from which others were made, less in those, which have shingles of their own.
+
+    All entries are dealt once by ranges of t, packed; only those that meet become rows.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+    spark = sets.sparkSession
+    counts, total = _counts(sets)
+    sent = spark.sparkContext.broadcast(counts)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (1 - least) / PART_ENTRIES), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             every = [np.frombuffer(x, "u4") for x in b.column(1).to_pylist()]
             first = [prefix(s, sent.value, least) for s in every]
             size = np.array([len(f) for f in first])
-            n = np.repeat(np.array([len(s) for s in every], "i4"), size)
-            pos = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype("i4")
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view("i4")), pa.array(n), pa.array(pos), b.column(0).take(pa.array(np.repeat(np.arange(len(every)), size)))], ["t", "n", "pos", "norm"])
-
-    entries = written(sets.select("norm", "s").mapInArrow(run, "t int, n int, pos int, norm binary"), "prefixes")
-    shared = written(entries.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t"), "shared-shingles")
-    met = written(entries.join(F.broadcast(shared) if shared.count() <= SENT_IDS else shared, "t"), "shared-prefixes")
-    part = F.count("*") / (F.first("n") - F.ceil(F.first("n") * F.lit(least) - 1e-9) + 1)
-    out = written(met.join(met.groupBy("norm").agg(part.alias("central")), "norm"), "central-prefixes")
-    discard(entries, shared, met)
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            made = list(dealt(np.concatenate(first), np.repeat(b.column(0).to_numpy(), size), np.repeat(np.array([len(s) for s in every]), size), pos, parts))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], ["part", "data"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, ids, n, pos = gathered([x for b in batches for x in b.column(1).to_pylist()])
+        found = meeting(t, n, least)
+        for i in range(0, len(found), 1 << 16):
+            at = found[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (t.view("i4"), n, pos, ids)], ["t", "n", "pos", "id"])
+        trim()
+
+    packed = sets.select("id", "s").mapInArrow(run, "part int, data binary")
+    met = written(packed.repartitionById(parts, F.col("part")).mapInArrow(meet, "t int, n int, pos int, id long"), "shared-prefixes")
+    part = F.count("*").over(Window.partitionBy("id")) / (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
+    out = written(met.withColumn("central", part), "central-prefixes")
+    discard(met)
     return out
 
 
 def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """The entries with root, the text's component so far or itself; only under shingles that lie in several components."""
-    out = written(entries.join(roots.withColumnRenamed("node", "norm"), "norm", "left").withColumn("root", F.coalesce("root", "norm")), "rooted-prefixes")
-    mixed = out.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    held = written(out.join(mixed, "t", "left_semi"), "open-prefixes")
-    discard(out)
-    return held
+    out = entries.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    each = Window.partitionBy("t")
+    return out.withColumn("lo", F.min("root").over(each)).withColumn("hi", F.max("root").over(each)).where("lo < hi").drop("lo", "hi")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -208,33 +259,32 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
-    """node, root of each text that is similar to another: the components of all similar pairs of texts (norm, fp, o)."""
+    """node, root of each text that is similar to another: the components of all similar pairs of texts (id, fp, o)."""
     sketches = _sketches(sets)
     # by fingerprint: each text with the first of its own, the first of each with the first and the last of its buckets
     sizes = written(texts.groupBy("fp").agg(F.count("*").alias("n"), F.min("o").alias("first")), "fingerprints")
-    equal = texts.join(sizes.where("n > 1").select("fp", "first"), "fp").where("o > first").select(F.col("first.norm").alias("a"), F.col("norm").alias("b"))
+    equal = texts.join(sizes.where("n > 1").select("fp", "first"), "fp").where("o > first").select(F.col("first.id").alias("a"), F.col("id").alias("b"))
     held = buckets(sizes.select("fp"), radius, None)
     members = written(held.join(sizes.select("fp", "first"), "fp"), "bucket-texts")
     ends = members.groupBy("mask", "key").agg(F.min(F.struct("first", "fp")).alias("lo"), F.max(F.struct("first", "fp")).alias("hi"))
     each = members.join(ends, ["mask", "key"]).select("fp", "first", F.explode(F.array("lo", "hi")).alias("h"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp")))
-    near = each.where((apart > 0) & (apart <= radius)).select(F.least("first.norm", "h.first.norm").alias("a"), F.greatest("first.norm", "h.first.norm").alias("b"))
+    near = each.where((apart > 0) & (apart <= radius)).select(F.least("first.id", "h.first.id").alias("a"), F.greatest("first.id", "h.first.id").alias("b"))
     links = _similar(equal.unionByName(near).distinct(), sets, sketches, least)
     roots = _labels(links)
     discard(sizes, members)
 
     # by prefix: each text with the most central of its shingle and size, then all that aren't joined yet
     entries = _prefixes(sets, least)
-    now = _rooted(entries, roots)
-    sized = now.withColumn("size", F.round(F.log("n") / math.log(1 / least)))
-    heads = sized.groupBy("t", "size").agg(F.max(F.struct("central", "norm", "root")).alias("h"))
-    pairs = sized.join(heads, ["t", "size"]).where("root != h.root").select(F.col("h.norm").alias("a"), F.col("norm").alias("b")).distinct()
+    sized = _rooted(entries, roots).withColumn("size", F.round(F.log("n") / math.log(1 / least)))
+    head = F.max(F.struct("central", "id", "root")).over(Window.partitionBy("t", "size"))
+    pairs = sized.withColumn("h", head).where("root != h.root").select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
     more = _similar(pairs, sets, sketches, least)
-    discard(now, roots)
+    discard(roots)
     roots = written(components(links.unionByName(more)), "roots")
 
-    now = _rooted(entries, roots)
-    x, y = (now.select("t", F.col("norm").alias(i), F.col("n").alias(f"n_{i}"), F.col("pos").alias(f"pos_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
+    now = written(_rooted(entries, roots), "open-prefixes")
+    x, y = (now.select("t", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("pos").alias(f"pos_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
     close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least) - 1e-6
     # the shingles from this one on are all that the two can share, if it is the first that they share
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= (F.col("n_a") + F.col("n_b")) * F.lit(least / (1 + least)) - 1e-6
@@ -250,11 +300,12 @@ def duplicates(docs: DataFrame, radius: int = 4, width: int = 5, least: float =
     """(rows, gone): doc_id, norm, fp of every row, and the norms of texts that go because their component has a smaller one."""
     prepare(docs.sparkSession)
     rows = written(_signed_rows(docs), "signed-rows")
-    texts = written(rows.groupBy("norm", "fp").agg(F.min("doc_id").alias("least")).withColumn("o", F.struct("least", "norm")), "distinct-texts")
-    sets = _shingle_sets(docs, texts, width)
-    roots = similar_links(texts, sets, radius, least)
-    discard(sets)
-    grouped = written(texts.select("norm", "o").join(roots.withColumnRenamed("node", "norm"), "norm"), "groups")
+    distinct = written(rows.groupBy("norm", "fp").agg(F.min("doc_id").alias("least")), "distinct-texts")
+    sets = _shingle_sets(docs, distinct, width)
+    texts = written(distinct.join(sets.select("norm", "id"), "norm"), "numbered-texts")
+    roots = similar_links(texts.select("id", "fp", F.struct("least", "id").alias("o")), sets.select("id", "s"), radius, least)
+    grouped = written(texts.select("norm", "id", F.struct("least", "norm").alias("o")).join(roots.withColumnRenamed("node", "id"), "id"), "groups")
+    discard(distinct, sets, texts)
     first = grouped.groupBy("root").agg(F.min("o").alias("first"))
     return rows, written(grouped.join(first, "root").where("norm != first.norm").select("norm"), "gone")
 
