@@ -62,9 +62,12 @@ def written(df: DataFrame, label: str, compression: str = "zstd", rows_per_file:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by written(); nothing may read them any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df.written_at)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(names: list[str], wanted: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitslice, bpe, mixing, rpforest, simhash, tagpath, token_store, toxicity, urlrules, warc
+from . import bitslice, bpe, mixing, rpforest, runs, simhash, substrings, tagpath, token_store, toxicity, urlrules, warc
 from .common import fresh_dir, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,8 +55,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), loops=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_warc, op3_token_store, op4_mixing, op5_bpe, op6_bitslice, op7_rpforest, op8_urlrules, op9_tagpath, op10_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_warc, op3_token_store, op4_mixing, op5_bpe, op6_bitslice, op7_rpforest, op8_urlrules, op9_tagpath, op10_simhash, op12_suffixtree, op13_runs)
 }
 
 ORACLE: dict[str, str] = {
@@ -80,5 +88,14 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
+    "op12_suffixtree": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+place AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+win AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM place),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS pos FROM win WHERE nth > 1),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+kept AS (SELECT word.doc_id, count(*) AS n, string_agg(word.word, ' ' ORDER BY word.pos) AS text FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.pos = gone.pos GROUP BY word.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """,
 }
