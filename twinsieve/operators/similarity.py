@@ -174,40 +174,3 @@ def z_approximate(pairs: DataFrame) -> DataFrame:
     sd = mean("sd_a", "sd_b")
     z = (F.col("cosine") - mean("mu_a", "mu_b")) / F.when(sd > 0, sd).otherwise(1.0)
     return pairs.join(a, "i", "left").join(b, "j", "left").select("i", "j", "cosine", z.alias("clip_z"))
-
-
-def ivf_pairs(vectors: DataFrame, threshold: float, k: int = 50, cells: int | None = None, probes: int | None = None, seed: int = 42) -> DataFrame:
-    """Approximate i, j, cosine >= threshold: vectors meet in k-means cells, each with those of its nearest cells; k best of each vector.
-
-    cells and probes default to 4 sqrt(n), 4,096 at most, and sqrt(cells), 4 to 32. Centres are bounded by cells and sent to all tasks.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    reachable(vectors.sparkSession)
-    rows = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"))
-    n = rows.count()
-    if n < 2:
-        return rows.selectExpr("id as i", "id as j", "cast(null as double) cosine").limit(0)
-    cells = cells or min(4096, max(1, int(4 * n**0.5)))
-    probes = probes or min(32, max(4, int(cells**0.5)))
-    data = rows.withColumn("_x", array_to_vector("vec"))
-    centres = np.array(KMeans(k=max(2, min(cells, n)), seed=seed, featuresCol="_x", maxIter=5).fit(data).clusterCenters())
-    take = min(probes, len(centres))
-    kind = dict(rows.dtypes)["id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                d = (centres * centres).sum(1) - 2 * x @ centres.T
-                near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(centres) else np.broadcast_to(np.arange(take), (len(x), take))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.argmin(1).astype("i4")), pa.array(near.astype("i4").tolist(), pa.list_(pa.int32()))], ["id", "vec", "home", "near"])
-
-    placed = rows.mapInArrow(run, f"id {kind}, vec array<double>, home int, near array<int>")
-    a = placed.select(F.col("id").alias("i"), F.col("vec").alias("x"), F.explode("near").alias("home"))
-    b = placed.select(F.col("id").alias("j"), F.col("vec").alias("y"), "home")
-    s = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    met = a.join(b, "home").where("i <> j").select("i", "j", s.alias("cosine")).where(F.col("cosine") >= threshold)
-    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cosine"), "j"))).where(F.col("rank") <= k)
-    return best.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cosine").groupBy("i", "j").agg(F.max("cosine").alias("cosine"))

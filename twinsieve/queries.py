@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import scalars as sc
 from .kernels import udfs as ud
-from .operators import boxes as bx, calibrate, evaluate as ev, hashing as hs, merge as mg, pixels as px, refine as rf, similarity as sm, tiering as tr, tiles as tl
+from .operators import ann, boxes as bx, calibrate, evaluate as ev, hashing as hs, merge as mg, pixels as px, refine as rf, similarity as sm, tiering as tr, tiles as tl
 from .plans import tables as tb
 from .plans.tables import BOXES_SQL, EVIDENCE_SQL, JUDGED_SQL, PANEL_SQL, PIXELS_SQL
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+from .registry import ORACLE, QUERIES, query
 
 T, T_CAP, K, H = 0.35, 100, 10, 24
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- similarity ---------------------------------------------------------------------------
 
 PAIRS_SQL = f"WITH {PANEL_SQL}, allp AS (SELECT a.panel_id AS i, b.panel_id AS j, list_inner_product(a.vec, b.vec) AS cosine FROM panel a JOIN panel b ON a.panel_id < b.panel_id), pairs AS (SELECT * FROM allp WHERE cosine >= {T})"
@@ -793,9 +778,20 @@ def kernel_lane_distance(spark, d):
 # --- the rest -----------------------------------------------------------------------------
 
 
-@query()
+@query(f"{PAIRS_SQL} SELECT i, j, {R6} FROM pairs")
 def ivf_pairs(spark, d):
-    return sm.ivf_pairs(vectors(spark, d), 0.3, 20)
+    return _rounded(ann.build(vectors(spark, d), cells=16).pairs(T), "cosine")
+
+
+@query(f"WITH {PANEL_SQL}, s AS (SELECT a.panel_id AS query_id, b.panel_id AS id, list_inner_product(a.vec, b.vec) AS cosine FROM panel a JOIN panel b ON a.panel_id <> b.panel_id WHERE a.panel_id % 100 = 0) SELECT query_id, id, {R6} FROM s WHERE cosine >= 0.3e0")
+def ann_search(spark, d):
+    v = vectors(spark, d)
+    return _rounded(ann.build(v, cells=16).search(v.where("id % 100 = 0"), 0.3), "cosine")
+
+
+@query(f"{PAIRS_SQL} SELECT i, j, {R6} FROM pairs")
+def sim_pairs_adaptive(spark, d):
+    return _rounded(ann.adaptive_pairs(vectors(spark, d), T), "cosine")
 
 
 @query(f"{EV} SELECT pair_lo, pair_hi, (row_number() OVER (ORDER BY coalesce(cosine, 0) DESC, pair_lo, pair_hi))::INTEGER AS report_no FROM evidence")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,22 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in [held, ROOT] if x)
 
 
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new place for an operator's own tables in the folder that driver and executors share, deleted when the application ends.
+
+    That folder is spark.checkpoint.dir; without one, only local masters get a place, in the warehouse.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and spark.sparkContext.master.startswith("local"):
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if not at:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def session(name: str = "twinsieve", master: str | None = None, **conf: str) -> SparkSession:
     """AQE with skew handling, UTC. Partition counts follow the data at run time; conf overrides anything."""
     defaults = {
