@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import scalars as sc
 from .kernels import udfs as ud
-from .operators import ann, boxes as bx, calibrate, evaluate as ev, hashing as hs, merge as mg, pixels as px, refine as rf, similarity as sm, tiering as tr, tiles as tl
+from .operators import ann, boxes as bx, evaluate as ev, hashing as hs, merge as mg, pixels as px, refine as rf, similarity as sm, tiering as tr, tiles as tl, tuning
 from .plans import tables as tb
 from .plans.tables import BOXES_SQL, EVIDENCE_SQL, JUDGED_SQL, PANEL_SQL, PIXELS_SQL
 from .registry import ORACLE, QUERIES, query
@@ -558,18 +558,14 @@ def grades(spark, d):
 
 @query()
 def platt_calibration(spark, d):
-    return calibrate.platt(tb.judged(spark, d).select("id", "label", "score"))
+    rows = tb.judged(spark, d).select("id", "label", "score")
+    return tuning.Calibrator(method="platt").fit(rows).transform(rows)
 
 
 @query()
 def isotonic_calibration(spark, d):
-    return calibrate.isotonic(tb.judged(spark, d).select("id", "label", "score"))
-
-
-@query()
-def pair_classifier(spark, d):
-    e = tb.evidence(spark, d)
-    return calibrate.pair_classifier(e.withColumn("label", (F.coalesce("hamming", F.lit(99)) <= 5).cast("int")), e, ["cosine", "ssim", "hamming"]).select("pair_lo", "pair_hi", "classifier_score", "classifier_hit")
+    rows = tb.judged(spark, d).select("id", "label", "score")
+    return tuning.Calibrator(method="isotonic").fit(rows).transform(rows)
 
 
 # --- boxes --------------------------------------------------------------------------------
@@ -911,3 +907,6 @@ def kernel_baseline(spark, d):
 @query()
 def kernel_page_panels(spark, d):
     return ud.page_panels(tb.page_images(spark), tb.SMALL_BOXES)
+
+
+from . import queries_tuning  # noqa: E402,F401  registers its queries
