@@ -9,16 +9,16 @@ from .plans import tables as tb
 from .plans.tables import EVIDENCE_SQL
 from .registry import query
 
-FLOOR = 0.6
+FLOOR = 0.8
 
 
 def rated(spark, d):
-    """Evidence with a label: a high sum of cosine and SSIM, or a near hash."""
-    e = tb.evidence(spark, d).withColumn("should_detect", F.coalesce(F.col("cosine") + F.col("ssim") >= 1.7505, F.lit(False)) | F.coalesce(F.col("hamming") <= 1, F.lit(False)))
+    """Evidence with a label: a high sum of cosine and SSIM, or many inliers."""
+    e = tb.evidence(spark, d).withColumn("should_detect", F.coalesce(F.col("cosine") + F.col("ssim") >= 1.7505, F.lit(False)) | F.coalesce(F.col("orb_inliers") >= 27, F.lit(False)))
     return e.select(F.col("pair_lo").alias("id"), "should_detect", F.col("should_detect").cast("int").alias("label"), "cosine", "ssim", "orb_inliers", "hamming")
 
 
-RATED = f"{EVIDENCE_SQL}, rated AS (SELECT pair_lo AS id, coalesce(cosine + ssim >= 1.7505e0, false) OR coalesce(hamming <= 1, false) AS y, coalesce(cosine, 0) AS cosine, coalesce(ssim, 0) AS ssim, coalesce(orb_inliers, 0) AS n FROM evidence)"
+RATED = f"{EVIDENCE_SQL}, rated AS (SELECT pair_lo AS id, coalesce(cosine + ssim >= 1.7505e0, false) OR coalesce(orb_inliers >= 27, false) AS y, coalesce(cosine, 0) AS cosine, coalesce(ssim, 0) AS ssim, coalesce(orb_inliers, 0) AS n FROM evidence)"
 
 
 def _grid(grid: tuning.Grid) -> str:
