@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import reachable
+
 #: Fixed order of the symmetries.
 TRANSFORMS = ("rot_0", "rot_90", "rot_180", "rot_270", "mirror_h_rot_0", "mirror_h_rot_90", "mirror_h_rot_180", "mirror_h_rot_270")
 
@@ -57,24 +66,120 @@ def prefix_pairs(hashes: DataFrame, hex_digits: int, most: int) -> DataFrame:
     return a.join(b, "p").where((F.col("i") < F.col("j")) & (d <= most)).select("i", "j", d.alias("hamming"))
 
 
-def banded_pairs(hashes: DataFrame, most: int) -> DataFrame:
-    """All i, j, hamming with a distance of at most `most`: words that close agree in one of most + 1 bands of bits."""
-    cuts = [64 * k // (most + 1) for k in range(most + 2)]
-    bands = F.array(*[F.struct(F.lit(n).alias("band"), F.call_function("shiftrightunsigned", F.col("hash"), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else (1 << 63) - 1).cast("bigint")).alias("key")) for n, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
-    keyed = hashes.where("hash is not null").select("id", "hash", F.explode(bands).alias("b")).select("id", "hash", "b.*")
-    x, y = keyed.select("band", "key", F.col("id").alias("i"), F.col("hash").alias("x")), keyed.select("band", "key", F.col("id").alias("j"), F.col("hash").alias("y"))
-    d = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return x.join(y, ["band", "key"]).where((F.col("i") < F.col("j")) & (d <= most)).select("i", "j", d.alias("hamming")).distinct()
+@dataclass(frozen=True)
+class Plan:
+    """How words within a distance are found: split into parts, of which one must differ in few bits (`radii`), or, without parts, all against all in blocks."""
+
+    parts: tuple[tuple[int, int], ...]
+    radii: tuple[int, ...]
+    masks: int
+    cost: float
+
+
+def planned(n: int, most: int, sides: int = 1) -> Plan:
+    """The cheapest way for n words: by the keys that are made, the pairs that chance brings to a key, and what blocks would cost.
+
+    Of `parts` parts one has most // parts differing bits or less; but for the first most % parts + 1 of them one bit less will do.
+    """
+    best = Plan((), (), 0, n * n * sides / 16)  # a comparison in a block is that much cheaper than a joined row
+    for count in (2, 3, 4, 5, 6, 8, 12, 16):
+        cuts = [64 * k // count for k in range(count + 1)]
+        parts = tuple(zip(cuts, cuts[1:]))
+        radii = tuple(most // count - (k > most % count) for k in range(count))
+        sizes = [sum(comb(hi - lo, d) for d in range(r + 1)) for (lo, hi), r in zip(parts, radii)]
+        cost = n * sides * sum(sizes) + n * n * sides * sum(s / 2.0 ** (hi - lo) for s, (lo, hi) in zip(sizes, parts))
+        if sum(sizes) <= 1 << 14 and cost < best.cost:
+            best = Plan(parts, radii, sum(sizes), cost)
+    return best
+
+
+def near_masks(width: int, radius: int) -> list[int]:
+    """All words of `width` bits with at most `radius` bits set."""
+    return [sum(1 << b for b in at) for d in range(radius + 1) for at in combinations(range(width), d)]
+
+
+def _part(word: str, lo: int, hi: int) -> Column:
+    return F.call_function("shiftrightunsigned", F.col(word), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else (1 << 63) - 1).cast("bigint"))
+
+
+def candidates(left: DataFrame, right: DataFrame, plan: Plan) -> DataFrame:
+    """x, y: pairs of a word of left (x) and one of right (y), each once, that agree in a part but for its radius; left's words make the near keys."""
+    keyed, near = [], []
+    for n, ((lo, hi), r) in enumerate(zip(plan.parts, plan.radii)):
+        if r >= 0:
+            near.append(_near(n, lo, hi, r))
+            keyed.append(F.struct(F.lit(n).alias("part"), _part("y", lo, hi).alias("key")))
+    a = left.select("x", F.explode(F.concat(*near)).alias("k")).select("x", "k.*")
+    b = right.select("y", F.explode(F.array(*keyed)).alias("k")).select("y", "k.*")
+    return a.join(b, ["part", "key"])
+
+
+def _near(n: int, lo: int, hi: int, radius: int) -> Column:
+    masks = F.array(*[F.lit(m).cast("bigint") for m in near_masks(hi - lo, radius)])
+    return F.transform(masks, lambda m: F.struct(F.lit(n).alias("part"), _part("x", lo, hi).bitwiseXOR(m).alias("key")))
+
+
+def _blockwise(words: DataFrame, other: DataFrame, most: int, n: int, block: int = 1 << 13) -> DataFrame:
+    """x, y within the distance, all against all in blocks of words dealt by a hash."""
+    reachable(words.sparkSession)
+    count = max(1, -(-n // block))
+    dealt = lambda df, c, to: df.select(F.pmod(F.xxhash64(c), F.lit(count)).cast("int").alias(to), c).groupBy(to).agg(F.collect_list(c).alias(c))  # noqa: E731  about `block` words each
+    left = dealt(words, "x", "p").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for xs, ys in zip(b.column(0), b.column(1)):
+                x, y = (v.values.to_numpy(zero_copy_only=False).view("u8") for v in (xs, ys))  # signed words would be counted by their absolute value
+                for at in range(0, len(x), 512):
+                    i, j = np.nonzero(np.bitwise_count(x[at : at + 512, None] ^ y[None, :]) <= most)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at + i].view("i8")), pa.array(y[j].view("i8"))], ["x", "y"])
+
+    return left.join(dealt(other, "y", "q"), "q").select("x", "y").mapInArrow(run, "x long, y long")
+
+
+def near_words(words: DataFrame, other: DataFrame, most: int, n: int, plan: Plan | None = None) -> DataFrame:
+    """x, y: each pair of a word of words (x, distinct) and one of other (y, distinct) within the distance, once. The way is the cheapest by planned()."""
+    plan = plan or planned(n, most)
+    if not plan.parts:
+        return _blockwise(words, other, most, n)
+    return candidates(words, other, plan).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most).select("x", "y").distinct()
+
+
+def banded_pairs(hashes: DataFrame, most: int, plan: Plan | None = None) -> DataFrame:
+    """All i, j, hamming with i < j and a distance of at most `most` of (id, hash).
+
+    Distinct words are compared, so that a word that many rows have is one; words stand for their rows only when the pairs are made.
+    """
+    held = hashes.where("hash is not null").select("id", "hash")
+    words = held.select(F.col("hash").alias("x")).distinct()
+    n = held.count()
+    met = near_words(words, words.withColumnRenamed("x", "y"), most, n, plan)
+    a, b = held.select(F.col("id").alias("i"), F.col("hash").alias("x")), held.select(F.col("id").alias("j"), F.col("hash").alias("y"))
+    return met.join(a, "x").join(b, "y").where("i < j").select("i", "j", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("hamming"))
+
+
+def orbit_pairs(bundles: DataFrame, most: int, plan: Plan | None = None) -> DataFrame:
+    """i, j, hamming, transform of all pairs i < j whose bundles come within `most` in any two transforms; the first in order among equals.
+
+    A symmetry moves the bits of both words alike, so the distances of a word to the other's eight are all there are: the words as they are meet
+    all transforms of the others, 8 comparisons for 64.
+    """
+    plain, every = bundles.where("ord = 0").select(F.col("hash").alias("x")).distinct(), bundles.select(F.col("hash").alias("y")).distinct()
+    n = bundles.where("ord = 0").count()
+    met = near_words(plain, every, most, n, plan or planned(n, most, 8))
+    a = bundles.where("ord = 0").select(F.col("id").alias("i"), F.col("hash").alias("x"))
+    b = bundles.select(F.col("id").alias("j"), F.col("hash").alias("y"), "ord", "transform")
+    near = met.join(a, "x").join(b, "y").where("i < j")
+    best = near.groupBy("i", "j").agg(F.min(F.struct(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("d"), "ord", "transform")).alias("m"))
+    return best.select("i", "j", F.col("m.d").cast("int").alias("hamming"), F.concat(F.lit(TRANSFORMS[0] + " vs "), F.col("m.transform")).alias("transform"))
 
 
 def bundle_distance(pairs: DataFrame, bundles: DataFrame) -> DataFrame:
-    """i, j, hamming, transform: the least distance over all pairs of transforms, the first in order among equals."""
-    wide = bundles.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("ord", "transform", "hash"))).alias("w"))
-    a, b = wide.select(F.col("id").alias("i"), F.col("w").alias("wa")), wide.select(F.col("id").alias("j"), F.col("w").alias("wb"))
-    every = F.flatten(F.transform("wa", lambda x: F.transform("wb", lambda y: F.bit_count(x["hash"].bitwiseXOR(y["hash"])) * 64 + x["ord"] * 8 + y["ord"])))
-    best = pairs.join(a, "i").join(b, "j").withColumn("best", F.array_min(every))
-    label = [F.filter(w, lambda x: x["ord"] == F.expr(o))[0]["transform"] for w, o in (("wa", "best % 64 div 8"), ("wb", "best % 8"))]
-    return best.select("i", "j", F.expr("cast(best div 64 AS int)").alias("hamming"), F.concat(label[0], F.lit(" vs "), label[1]).alias("transform"))
+    """i, j, hamming, transform: the least distance over all pairs of transforms, the first in order among equals: of i's word as it is to j's eight, as those are all there are."""
+    a = bundles.where("ord = 0").select(F.col("id").alias("i"), F.col("hash").alias("x"))
+    wide = bundles.groupBy("id").agg(F.collect_list(F.struct("ord", "transform", "hash")).alias("w")).select(F.col("id").alias("j"), "w")
+    best = pairs.join(a, "i").join(wide, "j").withColumn("m", F.array_min(F.transform("w", lambda y: F.struct(F.bit_count(F.col("x").bitwiseXOR(y["hash"])).alias("d"), y["ord"].alias("ord"), y["transform"].alias("transform")))))
+    return best.select("i", "j", F.col("m.d").cast("int").alias("hamming"), F.concat(F.lit(TRANSFORMS[0] + " vs "), F.col("m.transform")).alias("transform"))
 
 
 def bundle_pairs(bundles: DataFrame, hex_digits: int, most: int) -> DataFrame:

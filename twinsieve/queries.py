@@ -151,6 +151,11 @@ def hash_min_transform(spark, d):
     return hs.bundle_distance(met, _bundles(spark, d))
 
 
+@query(f"{BUNDLE_SQL}, met AS (SELECT a.panel_id AS i, b.panel_id AS j FROM panel a JOIN panel b ON a.panel_id < b.panel_id), {MIN_SQL} SELECT i, j, m.d::INTEGER AS hamming, m.t AS transform FROM best WHERE m.d <= 16")
+def hash_orbit_pairs(spark, d):
+    return hs.orbit_pairs(_bundles(spark, d), 16)
+
+
 @query(f"{BUNDLE_SQL}, s AS (SELECT substr(hex, 1, 2) AS p, count(*) AS n FROM named WHERE ord = 0 GROUP BY 1) SELECT sum(n)::BIGINT AS records, count(*) AS buckets, sum(n * (n - 1) / 2e0) AS comparisons, round(1 - sum(n * (n - 1) / 2e0) / (sum(n) * (sum(n) - 1) / 2e0), 6) AS avoided FROM s")
 def hash_bucket_stats(spark, d):
     return hs.bucket_stats(_hashes(spark, d), 2)
