@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import holds
+from . import ordering
 from .tiering import Signals
 
 
@@ -44,13 +45,13 @@ def policy(pairs: DataFrame) -> DataFrame:
 def suggestions(pairs: DataFrame, cosine: float = 0.96, ssim: float = 0.90, hamming: int = 4) -> DataFrame:
     """Thresholds just over the 95th percentile of the suspected false positives; null with fewer than ten of them."""
     wrong = pairs.where(fp_proxy())
-    got = wrong.agg(F.count("*").alias("n"), F.count("ssim").alias("m"), F.expr("percentile(coalesce(cosine, 0D), 0.95)").alias("pc"), F.expr("percentile(ssim, 0.95)").alias("ps"))
-    missed = pairs.agg(F.count_if(anchor() & (F.coalesce(F.col("hamming"), F.lit(999)) > hamming)).alias("missed"))
-    return got.join(missed, F.lit(True)).select(
-        F.when(F.col("n") >= 10, F.round(F.greatest(F.lit(cosine), F.col("pc") + 0.003), 3)).alias("sim_threshold"),
-        F.when(F.col("m") >= 10, F.round(F.greatest(F.lit(ssim), F.col("ps") + 0.01), 3)).alias("ssim_threshold"),
-        F.when(F.col("missed") > 0, F.greatest(F.lit(hamming), F.lit(4))).alias("phash_max_dist"),
-    )
+    n, m = wrong.agg(F.count("*"), F.count("ssim")).first()
+    missed = pairs.where(anchor() & (F.coalesce(F.col("hamming"), F.lit(999)) > hamming)).limit(1).count()
+    pc = ordering.quantile(wrong.select(F.coalesce("cosine", F.lit(0.0)).alias("x")), "x", 0.95) if n >= 10 else None
+    ps = ordering.quantile(wrong, "ssim", 0.95) if m >= 10 else None
+    values = [None if v is None else max(base, v + more) for v, base, more in ((pc, cosine, 0.003), (ps, ssim, 0.01))]
+    named = [F.round(F.lit(v).cast("double"), 3).alias(c) for v, c in zip(values, ("sim_threshold", "ssim_threshold"))]
+    return pairs.sparkSession.range(1).select(*named, F.lit(max(hamming, 4) if missed else None).cast("int").alias("phash_max_dist"))
 
 
 def run_score(pairs: DataFrame, top: int = 6) -> DataFrame:
@@ -194,7 +195,8 @@ def stage_metrics(stages: DataFrame, slow: float = 5.0) -> DataFrame:
 
 
 def last_runs(history: DataFrame, most: int = 50) -> DataFrame:
-    return history.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("ts"), "run"))).where(F.col("_n") <= most).drop("_n")
+    """The latest runs (run, ts): each task keeps as many, and these meet in one."""
+    return history.orderBy(F.desc("ts"), "run").limit(most)
 
 
 def grades(metrics: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import ordering
+
 #: Signals of each source: name and type; a source without one has nulls.
 SEMANTIC = {"cosine": "double", "clip_z": "double", "ssim": "double", "patch_min": "double", "patch_topk": "double", "global_ssim": "double"}
 HASHES = {"hamming": "int", "transform": "string"}
@@ -63,8 +65,8 @@ def report_order(pairs: DataFrame) -> DataFrame:
 
 
 def numbered(pairs: DataFrame) -> DataFrame:
-    """report_no from 1 in the order of cosine from high, missing as 0. For a report: all its rows pass one task."""
-    return pairs.withColumn("report_no", F.row_number().over(Window.orderBy(F.coalesce("cosine", F.lit(0.0)).desc(), "pair_lo", "pair_hi")))
+    """report_no from 1 in the order of cosine from high, missing as 0."""
+    return ordering.numbered(pairs, [F.coalesce("cosine", F.lit(0.0)).desc(), F.col("pair_lo"), F.col("pair_hi")], "report_no").withColumn("report_no", F.col("report_no").cast("int"))
 
 
 def page_pairs(pages: DataFrame) -> DataFrame:

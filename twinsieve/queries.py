@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import scalars as sc
 from .kernels import udfs as ud
-from .operators import ann, boxes as bx, evaluate as ev, hashing as hs, merge as mg, pixels as px, refine as rf, similarity as sm, tiering as tr, tiles as tl, tuning
+from .operators import ann, boxes as bx, evaluate as ev, hashing as hs, merge as mg, ordering, pixels as px, refine as rf, similarity as sm, tiering as tr, tiles as tl, tuning
 from .plans import tables as tb
 from .plans.tables import BOXES_SQL, EVIDENCE_SQL, JUDGED_SQL, PANEL_SQL, PIXELS_SQL
 from .registry import ORACLE, QUERIES, query
+from .session import workspace
 
 T, T_CAP, K, H = 0.35, 100, 10, 24
 
@@ -170,10 +171,17 @@ geometry AS (SELECT i, j, ((i * 17 + j) % 60)::INTEGER AS orb_inliers FROM pairs
 
 
 def _sources(spark, d):
-    pairs, hashes = _pairs(spark, d), hs.banded_pairs(_hashes(spark, d), 18)
+    """Pairs by cosine, by hash and by geometry; the first two are written once, as the third is made of them."""
+
+    def once(df, label):
+        at = workspace(spark, label)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    pairs, hashes = once(_pairs(spark, d), "pairs"), once(hs.banded_pairs(_hashes(spark, d), 18), "hashes")
     inl = ((F.col("i") * 17 + F.col("j")) % 60).cast("int").alias("orb_inliers")
-    geometry = pairs.where((F.col("i") + F.col("j")) % 3 == 0).select("i", "j", inl).unionByName(hashes.where((F.col("i") + F.col("j")) % 2 == 0).select(F.col("j").alias("i"), F.col("i").alias("j"), ((F.col("i") * 17 + F.col("j")) % 60).cast("int").alias("orb_inliers")))
-    return pairs, hashes, geometry
+    turned = hashes.where((F.col("i") + F.col("j")) % 2 == 0).select(F.col("j").alias("i"), F.col("i").alias("j"), inl)
+    return pairs, hashes, pairs.where((F.col("i") + F.col("j")) % 3 == 0).select("i", "j", inl).unionByName(turned)
 
 
 KEY = "least(i, j) AS pair_lo, greatest(i, j) AS pair_hi"
@@ -553,7 +561,7 @@ def stage_metrics(spark, d):
 
 @query("SELECT run, epoch_us(ts) AS ts_us FROM (SELECT event_id AS run, ts, row_number() OVER (ORDER BY ts DESC, event_id) AS n FROM events) WHERE n <= 50")
 def last_runs(spark, d):
-    return ev.last_runs(tb.load(spark, d, "events").select(F.col("event_id").alias("run"), "ts").orderBy(F.desc("ts"), "run").limit(50)).select("run", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    return ev.last_runs(tb.load(spark, d, "events").select(F.col("event_id").alias("run"), "ts")).select("run", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
 
 
 @query(f"{JU}, c AS (SELECT category, {CONF} FROM det GROUP BY category), m AS (SELECT category, {RATES} FROM c) SELECT category, CASE WHEN fpr <= 0.005e0 AND recall >= 0.9e0 AND precision >= 0.95e0 THEN 'EXCELLENT' WHEN fpr <= 0.01e0 AND recall >= 0.8e0 AND precision >= 0.9e0 THEN 'GOOD' WHEN fpr <= 0.05e0 AND recall >= 0.7e0 THEN 'ACCEPTABLE' ELSE 'NEEDS_IMPROVEMENT' END AS grade FROM m")
@@ -628,7 +636,7 @@ SELECT id, min(s) AS start, max(e) AS "end", count(*) AS parts FROM i GROUP BY i
 def interval_merge(spark, d):
     k = F.col("l_partkey") * 7 % 5000
     lanes = tb.load(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("id"), k.cast("long").alias("start"), (k + 3 + F.col("l_linenumber")).cast("long").alias("end"))
-    return bx.merged_intervals(lanes)
+    return ordering.merged_intervals(lanes)
 
 
 MATCH = "((l_partkey * 31 + l_suppkey * 17) % 97)"
