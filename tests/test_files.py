@@ -9,7 +9,7 @@ from twinsieve import cli
 from twinsieve.config import Config
 from twinsieve.operators import hashing
 from twinsieve.plans.engine import Engine
-from twinsieve.sources import files
+from twinsieve.sources import append_log, cache, files
 from twinsieve.streaming import incremental
 
 
@@ -55,8 +55,8 @@ def test_pdfs_pairs_truth_cache(spark, tmp_path):
     assert files.pdfs(spark, f"{tmp_path}/*.pdf").count() == 1
     found = files.images(spark, f"{tmp_path}/i", "*.png")
     assert sorted((r.path_a[-5:], r.path_b[-5:], r.should_detect) for r in files.labelled_pairs(found).collect()) == [("0.png", "1.png", False), ("0.png", "1.png", True)]
-    key = files.fingerprint(found).first().fingerprint
-    assert key == files.fingerprint(found.repartition(3)).first().fingerprint
+    key = cache.fingerprint(found).first().fingerprint
+    assert key == cache.fingerprint(found.repartition(3)).first().fingerprint
     made = []
     for _ in range(2):
         assert files.cached(spark, lambda: made.append(1) or spark.range(3), f"{tmp_path}/c", key).count() == 3
@@ -66,6 +66,69 @@ def test_pdfs_pairs_truth_cache(spark, tmp_path):
     assert (r.pair_id, r.should_detect, r.modality) == (4, True, None)
 
 
+def test_truth_is_appended_and_told(spark, tmp_path):
+    at = f"{tmp_path}/truth"
+    rows = spark.createDataFrame([("true_positive", "b", "c", True), ("true_positive", "a", "c", True)], "category string, path_a string, path_b string, should_detect boolean")
+    files.append_truth(rows, at, "one")
+    files.append_truth(rows.withColumns({"category": F.lit("hard_negative"), "should_detect": F.lit(False)}), at, "two")
+    files.append_truth(rows, at, "one")
+    held = append_log.read(spark, at)
+    assert [(r.pair_id, r.category[:4], r.path_a) for r in sorted(held.collect())] == [(0, "true", "a"), (1, "true", "b"), (2, "hard", "a"), (3, "hard", "b")]
+    assert tuple(files.truth_summary(held).first()) == (4, 2, 2) and held.columns[0] == "pair_id" and "transform_type" in held.columns
+    assert files.missing_columns(rows, ["path_a", "label"]) == ["label"] and files.missing_columns(files.report(Engine(spark).run(panels(spark)).pairs)) == []
+
+
+def test_results_csv_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x", "l", True, False, 0.5, None, 3, None)], files.RESULTS)
+    files.write_csv(rows, f"{tmp_path}/r")
+    assert files.read_csv(spark, f"{tmp_path}/r").collect() == rows.collect()
+
+
+def test_a_measured_run(spark, tmp_path):
+    p = panels(spark).withColumn("modality", F.lit("confocal"))
+    asked = []
+
+    def geometry(worth):
+        asked.append(worth.count())
+        return worth.select(F.col("pair_hi").alias("i"), F.col("pair_lo").alias("j"), F.lit(35).alias("orb_inliers"), F.lit(0.5).alias("inlier_ratio"), F.lit(1.0).alias("reproj_error"), F.lit(0.9).alias("crop_coverage"))
+
+    def matches(pairs):
+        return pairs.select("pair_lo", "pair_hi", F.lit(0.96).alias("ssim"), F.lit(2).alias("hamming"), "cosine", F.lit(0.9).alias("confidence"), F.explode(F.array(F.lit("ECC"), F.lit("pHash"))).alias("method"))
+
+    annotate = lambda s: s.withColumns({"ssim": F.lit(0.97), "patch_min": F.lit(None).cast("double"), "patch_topk": F.lit(0.95)})
+    result = Engine(spark).run(p, annotate, geometry, matches, gate_near_pages=True)
+    r = result.pairs.collect()
+    assert len(r) == 1 and asked == [1] and r[0].tile_count == 2 and r[0].tier == "A" and r[0].orb_inliers == 35
+    told = {m.stage: m for m in result.metrics.table().collect()}
+    assert list(told) == ["panels", "semantic", "hashes", "triggers", "geometry", "merge", "tiers", "tiles"]
+    assert (told["panels"].n_out, told["semantic"].n_in, told["merge"].n_out, told["tiles"].n_out) == (3, 3, 1, result.pairs.count()) and told["semantic"].seconds > 0
+    result.save(f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m_metrics").count() == 8
+    for run in ("a", "b", "a"):
+        result.log(f"{tmp_path}/h", run)
+    assert [(x.run_no, x.run, x.tier_a) for x in sorted(append_log.read(spark, f"{tmp_path}/h").collect())] == [(0, "a", 1), (1, "b", 1)]
+    lazy = Engine(spark).run(p, annotate, measure=False)
+    assert lazy.metrics is None and lazy.ordered().count() == 1
+    table = spark.createDataFrame([(2, 1, 40), (1, 3, 50)], "i long, j long, orb_inliers int")
+    assert {(x.pair_lo, x.pair_hi) for x in Engine(spark).run(p, annotate, table).pairs.collect()} == {(1, 2)}
+
+
+def test_tiles_first_and_cached_vectors(spark, tmp_path):
+    p = panels(spark)
+    cells = p.select((F.col("panel_id") * 10).alias("id"), "panel_id", "vec").unionByName(p.select((F.col("panel_id") * 10 + 1).alias("id"), "panel_id", F.transform("vec", lambda x: -x).alias("vec")))
+    result = Engine(spark).tiles_first(p, cells, lambda m: m.withColumns({"ssim": F.lit(0.97), "hamming": F.lit(9), "confidence": F.lit(0.9), "method": F.lit("ECC")}))
+    assert [(r.pair_lo, r.pair_hi, r.tile_count, r.tier) for r in result.pairs.collect()] == [(1, 2, 2, "A")] and [m["stage"] for m in result.metrics.stages] == ["cells", "candidates", "verified", "rollup"]
+    made = []
+
+    def compute(paths):
+        made.append(paths.count())
+        return paths.join(p.select("path", "vec"), "path")
+
+    for n in (2, 3, 3):
+        assert Engine(spark).vectors(p.drop("vec").where(f"panel_id <= {n}"), compute, f"{tmp_path}/v", "k").count() == n
+    assert made == [2, 1]
+
+
 def test_cli(spark, tmp_path):
     panels(spark).write.parquet(f"{tmp_path}/p")
     cli.main([f"{tmp_path}/p", f"{tmp_path}/o", "--preset", "balanced", "--similarity", "0.9"])

@@ -161,3 +161,15 @@ def test_config_from_elsewhere():
     assert c.flat()["PAIRING_SIMILARITY"] == 0.9 and "0.9" in c.methods()
     yaml = pytest.importorskip("yaml")
     assert Config.from_yaml(c.to_yaml()) == c and yaml
+
+
+def test_names_sizes_and_pages(spark):
+    names = spark.createDataFrame([("brightness_+20",), ("brightness_-15",), ("crop_15pct",), ("rotate_270",), ("mirror_h",), ("odd_7x",), (None,)], "n string")
+    got = [tuple(r) for r in names.select(sc.transform_kind("n"), sc.transform_amount("n"), sc.crop_margin("n", F.lit(400), F.lit(207))).collect()]
+    assert got == [("brightness", 20, None), ("brightness", -15, None), ("crop", 15, 15), ("rotate", 270, None), ("mirror", None, None), ("other", None, None), ("other", None, None)]
+    sizes = [0, 99, 100, 499, 500, 999, 1000, 4999, 5000, 20_000]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(sc.prefix_digits("n"), sc.expected_seconds("n"), sc.run_size("n")).collect()
+    assert [r[0] for r in rows] == [sc.adaptive_prefix(n) for n in sizes] and [round(r[1], 9) for r in rows] == [round(sc.cost_seconds(n), 9) for n in sizes]
+    assert [r[2] for r in rows] == ["small"] * 4 + ["medium"] * 2 + ["large"] * 2 + ["very large"] * 2
+    pages = spark.createDataFrame([("page_3",), ("3",), ("x",), (None,)], "p string").select(sc.page_of(F.col("p"))).collect()
+    assert [r[0] for r in pages] == [3, 3, None, None]

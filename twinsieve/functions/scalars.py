@@ -107,3 +107,37 @@ def tile_confidence(ssim: str, ncc: str) -> Column:
 def cost_seconds(n: int) -> float:
     """The published cost model: seconds for so many panels."""
     return 60 * n / 221 if n < 500 else 180 * (n / 1000) ** 1.5 if n < 1000 else 600 * (n / 5000) ** 1.3 if n < 5000 else 1200 * n / 10000
+
+
+def transform_kind(name: str) -> Column:
+    """What a transform's name says: rotate, mirror, brightness, crop, blur, jpeg or other."""
+    c, out = F.col(name), F.lit("other")
+    for word in ("rotate", "mirror", "brightness", "crop", "blur", "jpeg"):
+        out = F.when(c.startswith(word), word).otherwise(out)
+    return out
+
+
+def transform_amount(name: str) -> Column:
+    """The number in `rotate_90`, `brightness_+20`, `brightness_-15` or `crop_15pct`; null without one."""
+    return F.nullif(F.regexp_extract(F.col(name), r"_([+-]?\d+)(?:pct)?$", 1), F.lit("")).try_cast("int")
+
+
+def crop_margin(name: str, w: str, h: str) -> Column:
+    """Pixels that a crop takes from each edge: half its share of the shorter side, cut to whole ones."""
+    return F.when(transform_kind(name) == "crop", F.floor(F.least(w, h) * transform_amount(name) / 100 / 2).cast("int"))
+
+
+def prefix_digits(n: str) -> Column:
+    """Hex digits to block by, for so many records."""
+    return F.when(F.col(n) < 100, 3).when(F.col(n) < 500, 4).otherwise(5)
+
+
+def expected_seconds(n: str) -> Column:
+    """cost_seconds() of a column."""
+    x = F.col(n)
+    return F.when(x < 500, 60 * x / 221).when(x < 1000, 180 * F.pow(x / 1000, F.lit(1.5))).when(x < 5000, 600 * F.pow(x / 5000, F.lit(1.3))).otherwise(1200 * x / 10000)
+
+
+def run_size(n: str) -> Column:
+    """Small runs check every pair, medium ones only triggered pairs, large ones seek pairs by lists, very large ones with tight thresholds."""
+    return F.when(F.col(n) < 500, "small").when(F.col(n) < 1000, "medium").when(F.col(n) < 5000, "large").otherwise("very large")

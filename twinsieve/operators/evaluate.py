@@ -247,3 +247,21 @@ def readiness(metrics: DataFrame) -> DataFrame:
     checks = {"fpr": F.col("fpr") <= 0.005, "recall": F.col("recall") >= 0.90, "precision": F.col("precision") >= 0.95}
     wrong = F.concat_ws(",", *[F.when(~c, F.lit(n)) for n, c in checks.items()])
     return metrics.withColumns({"failed": wrong, "ready": wrong == ""})
+
+
+def validation_report(rows: DataFrame) -> DataFrame:
+    """confusion() of rows (should_detect, was_detected, category) with the number of pairs, as a whole ("overall") and by category."""
+    whole = confusion(rows).select(F.lit("overall").alias("category"), "*")
+    both = whole.unionByName(confusion(rows, ["category"]))
+    return both.select("category", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("pairs"), *[c for c in both.columns if c != "category"])
+
+
+def ab_report(rows: DataFrame, baseline: str, variant: str) -> DataFrame:
+    """One row: numbers and means of two methods of rows (method, value), the variant's mean less the baseline's, and that in percent of it (0 where it is not above 0)."""
+    of = lambda m: F.when(F.col("method") == m, F.col("value"))
+    got = rows.agg(F.count(of(baseline)).alias("n_baseline"), F.count(of(variant)).alias("n_variant"), F.avg(of(baseline)).alias("a"), F.avg(of(variant)).alias("b"))
+    delta = F.col("b") - F.col("a")
+    return got.select(
+        F.lit(baseline).alias("baseline"), F.lit(variant).alias("variant"), "n_baseline", "n_variant", F.round("a", 6).alias("mean_baseline"), F.round("b", 6).alias("mean_variant"), F.round(delta, 6).alias("delta"),
+        F.round(F.when(F.col("a") > 0, delta / F.col("a") * 100).otherwise(0.0), 6).alias("pct_change"),
+    )

@@ -194,3 +194,8 @@ def bucket_stats(hashes: DataFrame, hex_digits: int) -> DataFrame:
     sizes = hashes.where("hash is not null").groupBy(prefix("hash", hex_digits).alias("p")).agg(F.count("*").alias("n"))
     inside, n = F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")
     return sizes.agg(n.alias("records"), F.count("*").alias("buckets"), inside.alias("comparisons"), F.round(1 - inside / F.nullif(n * (n - 1) / 2, F.lit(0.0)), 6).alias("avoided"))
+
+
+def capped(pairs: DataFrame, most: int) -> DataFrame:
+    """The nearest pairs (i, j, hamming), ties to the smaller ids: a report's limit."""
+    return pairs.orderBy("hamming", "i", "j").limit(most)

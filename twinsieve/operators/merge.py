@@ -82,3 +82,31 @@ def with_modalities(pairs: DataFrame, cache: DataFrame, least: float = 0.15) ->
     for s in ("a", "b"):
         out = out.join(m.select(F.col("path").alias(f"path_{s}"), F.col("m").alias(f"modality_{s}")), f"path_{s}", "left").withColumn(f"modality_{s}", F.coalesce(f"modality_{s}", F.lit("unknown")))
     return out
+
+
+def _by_tier() -> list:
+    place = F.when(F.col("tier") == "A", 0).when(F.col("tier") == "B", 1).otherwise(2)
+    return [place, F.coalesce("cosine", F.lit(0.0)).desc(), F.col("pair_lo"), F.col("pair_hi")]
+
+
+def tier_order(pairs: DataFrame) -> DataFrame:
+    """By tier, A before B before the others, then cosine from high (missing: 0), then the pair."""
+    return pairs.orderBy(*_by_tier())
+
+
+def tier_numbered(pairs: DataFrame) -> DataFrame:
+    """position from 1 in the order of tier_order()."""
+    return ordering.numbered(pairs, _by_tier(), "position")
+
+
+def merged_package(semantic: DataFrame, hashes: DataFrame, geometry: DataFrame, structural: DataFrame) -> DataFrame:
+    """The package's merge: cosine, hamming and orb_inliers by pair, and ssim, patch_min and patch_topk of pairs that another source has.
+
+    source is CLIP, CLIP+pHash or pHash, and ORB only for a pair that geometry alone has; of geometry only the inliers are kept. Of rows that repeat a pair the
+    largest value counts. structural: (i, j, ssim, patch_min, patch_topk).
+    """
+    a, b = keyed(semantic, "i", "j", {"cosine": "double"}, "CLIP"), keyed(hashes, "i", "j", {"hamming": "int"}, "pHash")
+    g, s = keyed(geometry, "i", "j", {"orb_inliers": "int"}, "ORB"), keyed(structural, "i", "j", {"ssim": "double", "patch_min": "double", "patch_topk": "double"}, "SSIM")
+    out = a.join(b, ["pair_lo", "pair_hi"], "full").join(g, ["pair_lo", "pair_hi"], "full").join(s.drop("from_SSIM"), ["pair_lo", "pair_hi"], "left")
+    source = F.coalesce(F.nullif(F.concat_ws("+", F.when(F.col("from_CLIP"), "CLIP"), F.when(F.col("from_pHash"), "pHash")), F.lit("")), F.lit("ORB"))
+    return out.select("pair_lo", "pair_hi", "cosine", "ssim", "patch_min", "patch_topk", "hamming", "orb_inliers", source.alias("source"))

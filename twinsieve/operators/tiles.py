@@ -55,11 +55,22 @@ def use_tiles(panels: DataFrame, least: int = 3) -> bool:
     return panels.where(F.col("modality") == "confocal").limit(least).count() >= least
 
 
-def same_modality_panels(panels: DataFrame, modality: str = "confocal") -> DataFrame:
-    """Pairs of panels of one modality on different pages."""
+def same_modality_panels(panels: DataFrame, pairs: DataFrame, modality: str = "confocal") -> DataFrame:
+    """Of candidate pairs (i, j), those of two panels of one modality on different pages. Panels meet through the candidates, not through the modality."""
     p = panels.where(F.col("modality") == modality)
-    a, b = p.select("modality", F.col("panel_id").alias("pair_lo"), F.col("page").alias("p")), p.select("modality", F.col("panel_id").alias("pair_hi"), F.col("page").alias("q"))
-    return a.join(b, "modality").where("pair_lo < pair_hi and p <> q").select("pair_lo", "pair_hi")
+    a, b = p.select(F.col("panel_id").alias("i"), F.col("page").alias("p")), p.select(F.col("panel_id").alias("j"), F.col("page").alias("q"))
+    return pairs.join(a, "i").join(b, "j").where("p <> q").select(F.least("i", "j").alias("pair_lo"), F.greatest("i", "j").alias("pair_hi")).distinct()
+
+
+def bundle_min(matches: DataFrame, bundles: DataFrame) -> DataFrame:
+    """pair columns and hamming: the least distance of tile a's plain hash to tile b's transforms, 999 if a tile has none.
+
+    matches: (tile_a, tile_b, ...); bundles: (id, ord, hash).
+    """
+    plain = bundles.where("ord = 0").select(F.col("id").alias("tile_a"), F.col("hash").alias("_x"))
+    eight = bundles.groupBy("id").agg(F.collect_set("hash").alias("_w")).select(F.col("id").alias("tile_b"), "_w")  # eight at most
+    least = F.array_min(F.transform("_w", lambda y: F.bit_count(F.col("_x").bitwiseXOR(y))))
+    return matches.join(plain, "tile_a", "left").join(eight, "tile_b", "left").withColumn("hamming", F.coalesce(least, F.lit(999)).cast("int")).drop("_x", "_w")
 
 
 def products(panel_pairs: DataFrame, tiles: DataFrame) -> DataFrame:

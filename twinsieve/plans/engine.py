@@ -1,22 +1,29 @@
-"""The whole run: candidates from vectors and hashes, evidence, tiers, refinements."""
+"""The whole run: candidates from vectors and hashes, geometry where it is worth it, evidence, tiers, refinements, tiles."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config
-from ..operators import evaluate, hashing, merge, refine, similarity, tiering
-from ..sources import files
+from ..operators import ann, evaluate, hashing, merge, refine, similarity, tiering, tiles, tuning
+from ..sources import append_log, cache, files
+from .metrics import Metrics
+
+Step = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class Result:
-    """Lazy tables of a run."""
+    """Tables of a run, and what its stages counted."""
 
     pairs: DataFrame
     config: Config = field(default_factory=Config)
+    metrics: Metrics | None = None
 
     def tier_a(self) -> DataFrame:
         return self.pairs.where("tier = 'A'")
@@ -30,8 +37,22 @@ class Result:
     def score(self) -> DataFrame:
         return evaluate.run_score(self.pairs)
 
+    def ordered(self) -> DataFrame:
+        """Tier A, then B, then the others, each by cosine from high."""
+        return merge.tier_order(self.pairs)
+
     def save(self, path: str) -> None:
+        """The report as TSV, and beside it the stages' metrics where the run was measured."""
         files.write_tsv(files.report(self.pairs), path)
+        if self.metrics and self.metrics.stages:
+            self.metrics.save(f"{path}_metrics")
+
+    def log(self, path: str, run: str) -> None:
+        """Adds the run to a history that is only appended to; a run of that name is added once."""
+        spark = self.pairs.sparkSession
+        n = {r.tier: r.n for r in self.counts().collect()}
+        row = [(run, time.time(), self.metrics.total() if self.metrics else None, sum(n.values()), n.get("A", 0), n.get("B", 0), self.config.to_json())]
+        append_log.append(spark.createDataFrame(row, "run string, at double, seconds double, pairs long, tier_a long, tier_b long, config string").coalesce(1), path, run, "run_no")
 
 
 class Engine:
@@ -40,26 +61,65 @@ class Engine:
     def __init__(self, spark: SparkSession, config: Config | None = None) -> None:
         self.spark, self.config = spark, config or Config()
 
+    def vectors(self, panels: DataFrame, compute: Step, root: str, key: str) -> DataFrame:
+        """panels (path, ...) with vec: from the cache under root for this key (see cache.key_of); compute makes (path, vec) of those paths that it lacks, once."""
+        held = cache.completed(self.spark, cache.paths(root, key)["vectors"], panels.select("path").distinct(), compute, "path")
+        return panels.join(held, "path")
+
     def semantic(self, panels: DataFrame) -> DataFrame:
         p = self.config.pairing
         vectors = panels.select(F.col("panel_id").alias("id"), "vec")
-        pairs = similarity.mutual_pairs(vectors, p.top_k, p.similarity) if p.mutual else similarity.pairs_at_least(vectors, p.similarity)
+        pairs = similarity.mutual_pairs(vectors, p.top_k, p.similarity) if p.mutual else ann.adaptive_pairs(vectors, p.similarity)
         kept = similarity.suppressed(similarity.with_pages(pairs, panels), p.suppress_same_page, p.adjacent_gap if p.suppress_adjacent else None)
         best = similarity.capped(kept.select("i", "j", "cosine"), p.max_pairs)
         return similarity.z_global(best, similarity.similarity_stats(vectors))
 
     def hashed(self, panels: DataFrame) -> DataFrame:
-        p = self.config.pairing
-        bundles = hashing.bundle(panels.select(F.col("panel_id").alias("id"), "vec"))
-        return hashing.bundle_pairs(bundles, p.prefix_hex, p.hamming)
-
-    def run(self, panels: DataFrame, annotate=None, geometry: DataFrame | None = None) -> Result:
-        """annotate adds ssim, patch_min, patch_topk to semantic pairs (i, j, cosine, clip_z); geometry has (i, j, orb_inliers, ...)."""
+        """All pairs whose bundles come within the distance in any two of the symmetries; none is lost."""
+        return hashing.orbit_pairs(hashing.bundle(panels.select(F.col("panel_id").alias("id"), "vec")), self.config.pairing.hamming)
+
+    def run(
+        self, panels: DataFrame, annotate: Step | None = None, geometry: DataFrame | Step | None = None, tile_matches: Step | None = None, by_modality: bool = False, gate_near_pages: bool = False,
+        classifier: PipelineModel | None = None, measure: bool = True,
+    ) -> Result:
+        """annotate adds ssim, patch_min, patch_topk to semantic pairs (i, j, cosine, clip_z).
+
+        geometry: a function of the pairs worth a check (pair_lo, pair_hi; close by cosine or hash) that gives (i, j, orb_inliers, ...), or such a table, of which those pairs are taken.
+        tile_matches: a function of the pairs that gives their tiles' matches (pair_lo, pair_hi, ssim, hamming, cosine, confidence, method); called if enough panels are confocal.
+        by_modality: tiers by the pair's modality instead of the universal ones. gate_near_pages drops pairs on near pages without support.
+        classifier: a fitted one of tuning.classifier(). measure: each stage is written, counted and timed as it runs; else all is lazy.
+        """
+        p, metrics = self.config.pairing, Metrics(self.spark)
+        stage = metrics.run if measure else (lambda name, df, after=(), **more: df)
+        panels = stage("panels", panels)
         semantic = self.semantic(panels)
-        semantic = annotate(semantic) if annotate else semantic
-        pairs = merge.merged(semantic, self.hashed(panels), geometry)
-        side = lambda k, s: panels.select(F.col("panel_id").alias(k), F.col("path").alias(f"path_{s}"), F.col("modality").alias(f"modality_{s}"))
+        semantic = stage("semantic", annotate(semantic) if annotate else semantic, ("panels",))
+        hashed = stage("hashes", self.hashed(panels), ("panels",))
+        sources = ("semantic", "hashes")
+        if geometry is not None:
+            worth = stage("triggers", merge.trigger_pairs(semantic, hashed, p.trigger_cosine, p.trigger_hamming), sources)
+            found = geometry.withColumns({"pair_lo": F.least("i", "j"), "pair_hi": F.greatest("i", "j")}).join(worth, ["pair_lo", "pair_hi"], "left_semi").drop("pair_lo", "pair_hi") if isinstance(geometry, DataFrame) else geometry(worth)
+            geometry, sources = stage("geometry", found, ("triggers",)), (*sources, "geometry")
+        pairs = merge.merged(semantic, hashed, geometry)
+        side = lambda k, s: panels.select(F.col("panel_id").alias(k), F.col("path").alias(f"path_{s}"), F.col("modality").alias(f"modality_{s}"), F.col("page").alias(f"_page_{s}"))
         named = pairs.join(side("pair_lo", "a"), "pair_lo", "left").join(side("pair_hi", "b"), "pair_hi", "left")
-        full = [c for c in (*merge.SEMANTIC, *merge.HASHES, *merge.GEOMETRY) if c not in named.columns]
-        named = named.withColumns({c: F.lit(None).cast((merge.SEMANTIC | merge.HASHES | merge.GEOMETRY)[c]) for c in full}) if full else named
-        return Result(refine.refined(tiering.tiered(named, self.config.tiers)), self.config)
+        kinds = merge.SEMANTIC | merge.HASHES | merge.GEOMETRY
+        named = named.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in named.columns} | {"gap": F.abs(F.col("_page_a") - F.col("_page_b"))}).drop("_page_a", "_page_b")
+        merged = stage("merge", (merge.near_page_gate(named, p.trigger_hamming, near=p.near_gap) if gate_near_pages else named).drop("gap"), sources)
+        tiered = tiering.tiered_by_modality(merged) if by_modality else tiering.tiered(merged, self.config.tiers)
+        a, b = F.count_if(F.col("tier") == "A"), F.count_if(F.col("tier") == "B")
+        out, last = stage("tiers", refine.refined(tiered), ("merge",), tier_a=a, tier_b=b), "tiers"
+        if tile_matches is not None and tiles.use_tiles(panels):
+            out, last = stage("tiles", refine.with_tile_evidence(out, tiles.rolled_up(tile_matches(out)), self.config.tiles.confirm), (last,), tier_a=a, tier_b=b), "tiles"
+        if classifier is not None:
+            out = stage("classifier", tuning.classified(out, classifier), (last,))
+        return Result(out, self.config, metrics if measure else None)
+
+    def tiles_first(self, panels: DataFrame, cells: DataFrame, verify: Step) -> Result:
+        """Tiles first: candidate pairs of tiles (cells: id, panel_id, vec) of different panels by cosine, verified (verify adds ssim, hamming, confidence,
+        method), rolled up to panels, tier A where enough tiles agree well."""
+        t, metrics = self.config.tiles, Metrics(self.spark)
+        cells = metrics.run("cells", cells.join(panels.select("panel_id"), "panel_id", "left_semi"))
+        found = metrics.run("candidates", tiles.cross_panel(ann.adaptive_pairs(cells.select("id", "vec"), t.cosine), cells), ("cells",))
+        matched = metrics.run("verified", verify(found), ("candidates",))
+        return Result(metrics.run("rollup", tiles.tile_first_tier(tiles.rolled_up(matched), t), ("verified",)), self.config, metrics)

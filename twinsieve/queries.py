@@ -411,9 +411,9 @@ def tile_evidence_apply(spark, d):
     return rf.with_tile_evidence(_tiered(spark, d), e).select("pair_lo", "pair_hi", "tile_count", "tier", "tier_path")
 
 
-@query(f"WITH {PANEL_SQL} SELECT a.panel_id AS pair_lo, b.panel_id AS pair_hi FROM panel a JOIN panel b ON a.panel_id < b.panel_id AND a.page <> b.page AND a.modality = 'confocal' AND b.modality = 'confocal'")
+@query(f"{PAGED_SQL} SELECT i AS pair_lo, j AS pair_hi FROM paged JOIN panel a ON i = a.panel_id JOIN panel b ON j = b.panel_id WHERE a.modality = 'confocal' AND b.modality = 'confocal' AND NOT same_page")
 def same_modality_panels(spark, d):
-    return tl.same_modality_panels(tb.panel(spark, d))
+    return tl.same_modality_panels(tb.panel(spark, d), _pairs(spark, d))
 
 
 # --- evaluation ---------------------------------------------------------------------------
@@ -922,4 +922,4 @@ def kernel_page_panels(spark, d):
     return ud.page_panels(tb.page_images(spark), tb.SMALL_BOXES)
 
 
-from . import queries_tuning  # noqa: E402,F401  registers its queries
+from . import queries_engine, queries_tuning  # noqa: E402,F401  register their queries

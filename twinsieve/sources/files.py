@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import append_log
+
 MANIFEST = "Panel_Path string, Panel_Name string, Page string, Panel_Num int, X int, Y int, Width int, Height int, Area bigint"
 REPORT = (
     "Image_A string, Image_B string, Path_A string, Path_B string, Cosine_Similarity double, SSIM double, Hamming_Distance int, Transform_Matched string, ORB_Inliers int, Inlier_Ratio double, Reproj_Error double, Crop_Coverage double, "
@@ -61,11 +63,22 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.inline("pairs"))
 
 
-def write_truth(pairs: DataFrame, path: str) -> None:
-    """pairs as JSON lines; pair_id is the row's number in the order of category and paths if it is missing."""
-    if "pair_id" not in pairs.columns:
-        pairs = pairs.withColumn("pair_id", F.row_number().over(Window.orderBy("category", "path_a", "path_b")) - 1)
-    pairs.write.mode("overwrite").json(path)
+def append_truth(pairs: DataFrame, path: str, batch: str | None = None) -> None:
+    """Adds pairs to a ground truth that is only appended to, numbered on as pair_id, in the order of category and paths. A batch of that name is added once."""
+    kinds = [x.strip().split(" ") for x in TRUTH.split(",")][1:]
+    rows = pairs.select(*[(F.col(n) if n in pairs.columns else F.lit(None)).cast(t).alias(n) for n, t in kinds])
+    append_log.append(rows, path, batch, "pair_id", ["category", "path_a", "path_b"])
+
+
+def truth_summary(truth: DataFrame) -> DataFrame:
+    """total_pairs, true_positives and hard_negatives of a ground truth."""
+    return truth.agg(F.count("*").alias("total_pairs"), F.count_if(F.col("should_detect")).alias("true_positives"), F.count_if(~F.col("should_detect")).alias("hard_negatives"))
+
+
+def missing_columns(rows: DataFrame, wanted: list[str] | None = None) -> list[str]:
+    """Of the columns that a report must have, those that rows lack, in order."""
+    have = set(rows.columns)
+    return [c for c in (wanted or [x.strip().split(" ")[0] for x in REPORT.split(",")]) if c not in have]
 
 
 def write_metadata(spark: SparkSession, path: str, config: str, results: dict, seconds: float) -> None:
@@ -96,12 +109,6 @@ def from_report(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(v).alias(k) for k, v in NAMES.items()])
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """One md5 over (path, modificationTime, length) of all files, whatever their order."""
-    one = F.md5(F.concat_ws("|", "path", F.col("modificationTime").cast("string"), F.col("length").cast("string")))
-    return files.agg(F.md5(F.concat_ws("", F.sort_array(F.collect_list(one)))).alias("fingerprint"))
-
-
 def cached(spark: SparkSession, compute, path: str, key: str) -> DataFrame:
     """The table under path/key=..., computed and written if it isn't there. The key names what it was made from, and the version of what made it."""
     at = f"{path}/key={key}"
