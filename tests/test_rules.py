@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.config import Config, Tiers, preset
 from twinsieve.functions import scalars as sc
-from twinsieve.operators import boxes, evaluate, hashing, merge, refine, similarity, tiering, tiles
+from twinsieve.operators import boxes, evaluate, hashing, merge, ordering, refine, similarity, tiering, tiles
 
 SIGNALS = "pair_lo long, pair_hi long, cosine double, ssim double, hamming int, orb_inliers int, inlier_ratio double, reproj_error double, crop_coverage double, clip_z double, patch_min double, patch_topk double"
 
@@ -117,7 +117,7 @@ def test_blocks_do_not_change_pairs(spark):
 
 def test_intervals(spark):
     rows = [(1, 0, 10), (1, 15, 20), (1, 26, 30), (1, 27, 28), (2, 5, 6)]
-    got = sorted((r.id, r.start, r.end) for r in boxes.merged_intervals(spark.createDataFrame(rows, "id int, start int, end int")).collect())
+    got = sorted((r.id, r.start, r.end) for r in ordering.merged_intervals(spark.createDataFrame(rows, "id int, start int, end int")).collect())
     assert got == [(1, 0, 20), (1, 26, 30), (2, 5, 6)]
 
 

@@ -115,8 +115,7 @@ def test_no_threshold_reaches_the_floor(spark):
 
 
 def test_a_classifier_is_saved_plugged_in_and_solves_its_equations(rows, tmp_path, spark):
-    pipeline = tuning.classifier().fit(rows)
-    pipeline.write().overwrite().save(str(tmp_path / "c"))
+    pipeline = tuning.fitted_classifier(rows, path=str(tmp_path / "c"))
     loaded = tuning.load_classifier(spark, str(tmp_path / "c"))
     assert tuning.load_classifier(spark, str(tmp_path / "none")) is None and tuning.load_classifier(spark, None) is None
     out = tuning.classified(rows, loaded, 0.5)

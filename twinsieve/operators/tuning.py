@@ -21,6 +21,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import holds, unified_score
+from ..session import workspace
 from . import evaluate
 
 Grid = dict[str, list[float]]
@@ -259,7 +260,7 @@ FEATURES = ("cosine", "ssim", "hamming")
 
 
 def classifier(features: tuple[str, ...] = FEATURES) -> Pipeline:
-    """Fills missing features with 0, scales them and fits a logistic classifier. Its PipelineModel can be saved, and plugged into an Engine."""
+    """Fills missing features with 0, scales them and fits a logistic classifier: see fitted_classifier()."""
     fills = ", ".join(f"coalesce(cast({f} AS double), 0D) AS _{f}" for f in features)
     return Pipeline(stages=[
         SQLTransformer(statement=f"SELECT *, {fills} FROM __THIS__"), VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="_v"), StandardScaler(inputCol="_v", outputCol="_z", withMean=True),
@@ -267,6 +268,16 @@ def classifier(features: tuple[str, ...] = FEATURES) -> Pipeline:
     ])
 
 
+def fitted_classifier(rows: DataFrame, features: tuple[str, ...] = FEATURES, path: str | None = None) -> PipelineModel:
+    """A classifier of rows (label and features), saved under path or in the shared folder, and loaded again, to be plugged into an Engine.
+
+    The loaded one has no training summary; that holds the session, which can't be sent to tasks once a run was observed.
+    """
+    path = path or workspace(rows.sparkSession, "classifier")
+    classifier(features).fit(rows).write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 def classified(pairs: DataFrame, model: PipelineModel | None, threshold: float = 0.5) -> DataFrame:
     """pairs with classifier_score and classifier_hit; without a model both are null."""
     if model is None:

@@ -87,7 +87,7 @@ class Engine:
         geometry: a function of the pairs worth a check (pair_lo, pair_hi; close by cosine or hash) that gives (i, j, orb_inliers, ...), or such a table, of which those pairs are taken.
         tile_matches: a function of the pairs that gives their tiles' matches (pair_lo, pair_hi, ssim, hamming, cosine, confidence, method); called if enough panels are confocal.
         by_modality: tiers by the pair's modality instead of the universal ones. gate_near_pages drops pairs on near pages without support.
-        classifier: a fitted one of tuning.classifier(). measure: each stage is written, counted and timed as it runs; else all is lazy.
+        classifier: one of tuning.fitted_classifier() or load_classifier(). measure: each stage is written, counted and timed as it runs; else all is lazy.
         """
         p, metrics = self.config.pairing, Metrics(self.spark)
         stage = metrics.run if measure else (lambda name, df, after=(), **more: df)

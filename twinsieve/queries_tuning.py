@@ -82,5 +82,5 @@ def calibration_loss(spark, d):
 @query()
 def pair_classifier(spark, d):
     e = tb.evidence(spark, d)
-    model = tuning.classifier().fit(e.withColumn("label", (F.coalesce("hamming", F.lit(99)) <= 5).cast("int")))
+    model = tuning.fitted_classifier(e.withColumn("label", (F.coalesce("hamming", F.lit(99)) <= 5).cast("int")))
     return tuning.classified(e, model).select("pair_lo", "pair_hi", "classifier_score", "classifier_hit")
