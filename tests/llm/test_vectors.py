@@ -50,6 +50,16 @@ def test_wide_vectors_take_part(spark):
     assert got == brute(single, 5, 50, whole_score)
 
 
+def test_sums_over_many_components(spark):
+    dim = 4096
+    data = [(50, [2e5] * dim, 0), (1, [1e5] * dim, 0), (2, [1.8e5] * dim, 0), (3, [-2e5] * dim, 0), (100, [3e3] * dim, 0), (4, [3.1e3] * dim, 0), (5, [1.3e5] + [0.0] * (dim - 1), 0)]
+    got = {}
+    for r in sorted(bitslice.top_k(spark.createDataFrame(data, SCHEMA), 5, 50).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute([(i, np.array(v, "f4").astype("f8")) for i, v, _ in data], 5, 50, whole_score)
+    assert got[50][0] == (2, (1 << 63) - 1)
+
+
 def test_bit_slices_are_exact(spark):
     data = rows()
     got = {}
@@ -123,7 +133,7 @@ def test_recall_on_clustered_vectors_at_a_small_share():
         s = x @ x[i]
         s[i] = -np.inf
         recall.append(len(set(np.argsort(-s)[:20]) & set(found[who == i])) / 20)
-    assert np.mean(recall) > 0.8
+    assert np.mean(recall) >= 0.9
 
 
 def test_a_search_holds_little():

@@ -18,18 +18,20 @@ from .blocks import CHUNK, blocked, packed, searched, unpacked
 from .common import written
 
 ROWS = 1 << 16
-#: Rows with a quantised component of this size or more are no part of the slices, whose sums stay within 64 bits; they are scored with integers of any length.
-LIMIT = 1 << 26
+#: Rows whose quantised vector is of this length or more are no part of the slices: the product of two shorter ones is under 2**62, whatever the dimension. The others are scored with integers of any length.
+LIMIT = 2.0**31
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(x: np.ndarray, scale: float = 256.0) -> np.ndarray:
-    return np.floor(scale * x)
+    with np.errstate(over="ignore"):
+        return np.floor(scale * x)
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
     """Which rows the slices can hold."""
-    return (np.abs(x) < LIMIT / 256.0).all(axis=1)
+    with np.errstate(over="ignore"):
+        return np.sqrt((quantised(x) ** 2).sum(axis=1)) < LIMIT
 
 
 def whole(x: np.ndarray) -> np.ndarray:
