@@ -142,6 +142,81 @@ def test_scores_equal_plain_ratios():
         assert value[p] == pytest.approx(math.sqrt(sum(own) / len(own) * text[i] * (1 + marks[i])))
 
 
+ARTICLE = "".join(f"<p>Paragraph {i}, with some words; and more, so it goes on.</p>" for i in range(9))
+AROUND = "<header><a href=/>Home</a></header><nav><a href=/x>One</a> <a href=/y>Two</a></nav>", "<footer>Imprint, rights.</footer>"
+
+
+@pytest.mark.parametrize("names", ["page has-sidebar", "content-with-comments", "wrapper no-header", "post share", "main-menu-open", "story", "social page", "aspnetForm"])
+def test_names_of_a_wrapper_lose_no_article(names):
+    tag = "form" if names == "aspnetForm" else "div"
+    page = f'<body>{AROUND[0]}<{tag} class="{names}"><h1>Title</h1>{ARTICLE}<div class="sidebar">Read on, and on.</div></{tag}>{AROUND[1]}</body>'
+    got = tagpath.main_text(page).split("\n")
+    assert got == ["Title", *(f"Paragraph {i}, with some words; and more, so it goes on." for i in range(9))]
+    whole = tagpath.main_text(f'<body><{tag} id="{names}">{page[6:-7]}</{tag}></body>')
+    assert whole.split("\n") == got
+
+
+def test_long_comments_are_no_article():
+    page = f'<body>{AROUND[0]}<div><h1>Title</h1>{ARTICLE[:180]}</p></div><div class="comment-list">{ARTICLE * 5}</div></body>'
+    assert tagpath.main_text(page).split("\n")[:2] == ["Title", "Paragraph 0, with some words; and more, so it goes on."] and "Paragraph 8" not in tagpath.main_text(page)
+
+
+def test_an_inline_advert_ends_at_its_own_end():
+    assert tagpath.main_text("<p>Before <span class=ad>buy <span>this</span> now</span>and after, all of it.</p>") == "Before and after, all of it."
+    assert tagpath.main_text("<p>Before <span class=ad>and after") == "Before and after"
+
+
+def plain_selection(page):
+    """main_text() told again: cut, holder and choice from scores, by loops over elements."""
+    found = tagpath.blocks(page)
+    if not found or all(b.weak for b in found):
+        return ""
+    scores, value = tagpath.path_scores(found)
+    n = len(found)
+    mean = sum(scores) / n
+    spread = (sum((x - mean) ** 2 for x in scores) / n) ** 0.5
+    paths = {b.path for b in found}
+    sums = {p: sum(x for x, b in zip(scores, found) if b.path == p) for p in paths}
+    strong = {b.path for b in found if not b.weak}
+    best = sorted(strong, key=lambda p: (-sums[p], len(p), next(i for i, b in enumerate(found) if b.path == p and not b.weak)))[0]
+    of_links = {p for p in paths if 2 * sum(b.linked for b in found if b.path == p) > sum(len(b.text) for b in found if b.path == p)}
+    content = {best} | {p for p in paths - of_links if value[p] >= min(value[best], max(0.8 * spread, 0.5 * value[best]))}
+    mass = [x if b.path in content else 0.0 for x, b in zip(scores, found)]
+    holder = ()
+    while True:  # down to the child that still has most of it, while it has more than one block
+        inside = {}
+        for b, x in zip(found, mass):
+            if len(b.at) > len(holder) and b.at[: len(holder)] == holder:
+                of = inside.setdefault(b.at[len(holder)], [0.0, 0])
+                of[0], of[1] = of[0] + x, of[1] + 1
+        down = [c for c, (x, k) in inside.items() if x >= tagpath.HELD * sum(mass) and k > 1]
+        if not down:
+            break
+        holder += (down[0],)
+    out = []
+    for b in found:
+        heading = bool(b.path) and b.path[-1].split(".")[0] in tagpath.HEADINGS
+        inside = b.at[: len(holder)] == holder and not b.weak
+        if b.path in content or inside and (heading or len(holder) >= 3 and b.path not in of_links):
+            out.append(b.text)
+    return "\n".join(out)
+
+
+def test_the_selection_equals_a_plain_version(sf):
+    pages = [r["html"] for r in pq.read_table(f"{sf}/pages.parquet").to_pylist()]
+    rng = random.Random(3)
+    made = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 7)):
+            tag, name = rng.choice(["div", "section", "nav", "ul", "div"]), rng.choice(["", "", " class=ad", " class='post share'", " id=comments"])
+            inner = "".join(rng.choice(["<p>Some text, of a few words; more.</p>", "<h2>Head</h2>", "<p><a href=x>a link of words</a></p>", "<div>short</div>", "<p>One more sentence here. And another, longer one.</p>"]) for _ in range(rng.randint(1, 6)))
+            parts.append(f"<{tag}{name}>{inner}</{tag}>")
+        made.append("<body><div>" + "".join(parts) + "</div></body>")
+    for page in [*pages, *map(neutral, pages), *made]:
+        assert tagpath.main_text(page) == plain_selection(page or "")
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("   ", ""), ("plain text only", "plain text only"), ("<p>a<p>b", "a\nb"), ('<div class="', ""), ("<p>1 < 2 &lt; 3", "1 < 2 < 3"), ("<script>x", ""), ("<ul><li>one<li>two</ul>", "one\ntwo")])
 def test_odd_pages(page, text):
     assert tagpath.main_text(page) == text

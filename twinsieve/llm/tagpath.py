@@ -1,10 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes blocks of text, each with its root-to-leaf path of block elements. For each path the text length and the
-punctuation per block are aggregated, smoothed along the page and fused to one score; names of menus, adverts and the like
-weaken the score of what stands in them. Paths over the threshold are content. The element that holds most of the content
-is the article: from it come, besides content paths, its headings, lists and short paragraphs, but no paths of links and
-nothing weakened.
+punctuation per block are aggregated, smoothed along the page and fused to one score. Elements of menus, adverts and the like,
+by tag or by name, weaken the score of what stands in them; but a name says nothing where the element holds most of the page's text. Paths over the
+threshold are content. The element that holds most of the content is the article: from it come, besides content paths, its headings,
+lists and short paragraphs, but no paths of links and nothing weakened that isn't content by its score.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ WEAK_NAMES = frozenset(
     "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup share sharing social related recommended recommendations comment comments disqus respond "
     "replies widget toolbar login search pagination pager complementary contentinfo alert".split()
 )
+#: Names of readers' comments, which may be longer than the article.
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+#: Parts of class names that tell a state or a layout of an element, not what it is: has-sidebar, no-header, content-with-comments, menu-open.
+STATES = frozenset("has have had no not without with is are show shows hide hides open opened closed enabled disabled active fixed sticky".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose start ends an open element of these names, unless one of the fences lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
@@ -41,40 +45,64 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¿¡]")
 
 #: What the score of a block in a weak element is multiplied by.
 WEAKENED = 0.02
-#: The share of all content that the article's element holds.
+#: The share of all content that the article's element holds; an element with as much of the page's text isn't weak for its name alone.
 HELD = 0.7
+#: Why an element is weak: its tag, a name, or a name of comments.
+TAG, NAME, COMMENT = 1, 2, 3
 
 
 class Block:
-    """path: labels from the root; at: the elements' numbers in the page; linked: characters in links; weak: in an element that is weak by its name."""
+    """path: labels from the root; at: the elements' numbers in the page; linked: characters in links; weak: in an element that is weak; mass: what it adds to the text of its elements."""
 
-    __slots__ = ("path", "at", "text", "linked", "weak")
+    __slots__ = ("path", "at", "text", "linked", "weak", "mass")
 
     def __init__(self, path: tuple[str, ...], at: tuple[int, ...], text: str, linked: int, weak: bool) -> None:
-        self.path, self.at, self.text, self.linked, self.weak = path, at, text, linked, weak
+        self.path, self.at, self.text, self.linked, self.weak, self.mass = path, at, text, linked, weak, 0
 
 
-def _kind(tag: str, attributes: str) -> tuple[bool, bool, str]:
-    """(whether the element has no text to show, whether it is weak, its name in paths: tag and classes)."""
+def _named(value: str) -> int:
+    """What the tokens of a class, an id or a role say: NAME, COMMENT or nothing."""
+    why = 0
+    for token in value.split():
+        parts = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()))
+        if STATES.isdisjoint(parts) and (names := parts & WEAK_NAMES):
+            why = max(why, NAME if COMMENTS.isdisjoint(names) else COMMENT)
+    return why
+
+
+def _kind(tag: str, attributes: str) -> tuple[bool, int, str]:
+    """(whether the element has no text to show, why it is weak or 0, its name in paths: tag and classes)."""
     if tag in CUT:
-        return True, False, tag
-    label, weak = tag, tag in WEAK
+        return True, 0, tag
+    # a form may well be the whole page's
+    label, weak = tag, 0 if tag not in WEAK else NAME if tag == "form" else TAG
     for name, value in _NAMED.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True, False, tag
+            return True, 0, tag
         if name in ("class", "id", "role"):
-            if tag not in ("html", "body", "article", "main") and not WEAK_NAMES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-                weak = True
+            if tag not in ("html", "body", "article", "main") and weak != TAG:
+                weak = max(weak, _named(value))
             if name == "class":
                 label = tag + "." + ".".join(sorted(value.lower().split()))
     return False, weak, label
 
 
+def _past(page: str, tag: str, at: int) -> int:
+    """Where the element that was opened before `at` ends: past its own end tag, not that of one within it; the same place if it has none."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return at
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of text that shows, in page order; character references are decoded, white space is one space."""
     found: list[Block] = []
-    stack: list[tuple[str, str, bool, int, bool]] = []  # tag, label, cut, number, weak
+    stack: list[tuple[str, str, bool, int]] = []  # tag, label, cut, number
+    weak: dict[int, int] = {}  # why an element is weak, by number
     opened = 0
     parts: list[str] = []
     links, linked, at, end = 0, 0, 0, len(page)
@@ -83,7 +111,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                found.append(Block(tuple(x[1] for x in stack), tuple(x[3] for x in stack), text, linked, bool(stack) and stack[-1][4]))
+                found.append(Block(tuple(x[1] for x in stack), tuple(x[3] for x in stack), text, linked, False))
             parts.clear()
         linked = 0
 
@@ -111,8 +139,7 @@ def blocks(page: str) -> list[Block]:
             elif tag == "a":
                 links = max(0, links + (-1 if closing else 1))
             elif not closing and not (stack and stack[-1][2]) and any(_kind(tag, attributes)[:2]):  # an inline element that is hidden or has the name of an advert
-                if over := re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at):
-                    at = over.end()
+                at = _past(page, tag, at)
             continue
         flush()
         if closing:
@@ -138,10 +165,22 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID or attributes.endswith("/") and tag not in ("div", "p", "span"):
             continue
-        cut, weak, label = _kind(tag, attributes)
+        cut, why, label = _kind(tag, attributes)
         opened += 1
-        stack.append((tag, label, cut or inside_cut, opened, weak or bool(stack) and stack[-1][4]))
+        if why:
+            weak[opened] = why
+        stack.append((tag, label, cut or inside_cut, opened))
     flush()
+    held = dict.fromkeys(weak, 0)
+    for b in found:
+        b.mass = max(0, len(b.text) - b.linked) * (1 + len(_PUNCTUATION.findall(b.text)))
+        for n in b.at:
+            if n in held:
+                held[n] += b.mass
+    most = HELD * sum(b.mass for b in found)
+    weak = {n: why for n, why in weak.items() if why != NAME or held[n] < most or not most}
+    for b in found:
+        b.weak = any(n in weak for n in b.at)
     return found
 
 
@@ -213,7 +252,7 @@ def main_text(page: str | None, factor: float = 0.8, part: float = 0.5) -> str:
     top = len(holder) < 3  # the whole page or its body: other paths in it are no part of an article
 
     def kept(b: Block) -> bool:
-        if b.weak:
+        if b.weak and b.path not in content:
             return False
         heading = bool(b.path) and b.path[-1].split(".")[0] in HEADINGS
         if b.at[: len(holder)] != holder:
