@@ -161,6 +161,10 @@ def test_long_comments_are_no_article():
     assert tagpath.main_text(page).split("\n")[:2] == ["Title", "Paragraph 0, with some words; and more, so it goes on."] and "Paragraph 8" not in tagpath.main_text(page)
 
 
+def test_a_footer_longer_than_the_article_stays_out():
+    assert tagpath.main_text("<body><nav><a href=/>x</a></nav><article><h1>A few words.</h1><p><b>A few words.</p></article><footer>&copy; Someone, of somewhere; all the rights, and more of them. And on.</footer></body>") == "A few words.\nA few words."
+
+
 def test_an_inline_advert_ends_at_its_own_end():
     assert tagpath.main_text("<p>Before <span class=ad>buy <span>this</span> now</span>and after, all of it.</p>") == "Before and after, all of it."
     assert tagpath.main_text("<p>Before <span class=ad>and after") == "Before and after"
@@ -196,8 +200,8 @@ def plain_selection(page):
     out = []
     for b in found:
         heading = bool(b.path) and b.path[-1].split(".")[0] in tagpath.HEADINGS
-        inside = b.at[: len(holder)] == holder and not b.weak
-        if b.path in content or inside and (heading or len(holder) >= 3 and b.path not in of_links):
+        inside = b.at[: len(holder)] == holder
+        if not b.weak and (b.path in content or inside and (heading or len(holder) >= 3 and b.path not in of_links)):
             out.append(b.text)
     return "\n".join(out)
 

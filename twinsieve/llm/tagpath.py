@@ -4,7 +4,7 @@ A page becomes blocks of text, each with its root-to-leaf path of block elements
 punctuation per block are aggregated, smoothed along the page and fused to one score. Elements of menus, adverts and the like,
 by tag or by name, weaken the score of what stands in them; but a name says nothing where the element holds most of the page's text. Paths over the
 threshold are content. The element that holds most of the content is the article: from it come, besides content paths, its headings,
-lists and short paragraphs, but no paths of links and nothing weakened that isn't content by its score.
+lists and short paragraphs, but no paths of links and nothing weakened: an article may well be shorter than its footer.
 """
 
 from __future__ import annotations
@@ -252,7 +252,7 @@ def main_text(page: str | None, factor: float = 0.8, part: float = 0.5) -> str:
     top = len(holder) < 3  # the whole page or its body: other paths in it are no part of an article
 
     def kept(b: Block) -> bool:
-        if b.weak and b.path not in content:
+        if b.weak:
             return False
         heading = bool(b.path) and b.path[-1].split(".")[0] in HEADINGS
         if b.at[: len(holder)] != holder:
