@@ -122,6 +122,33 @@ def test_scores_do_not_depend_on_the_number_of_queries():
     assert among[2].tolist() == [float(sum((np.float64(a) * b for a, b in zip(x[i], x[j])), np.float64(0))) for i, j in zip(among[0], among[1])]
 
 
+def test_the_share_is_measured(spark, monkeypatch):
+    monkeypatch.setattr(rpforest, "ROWS", 2000)
+    rng = np.random.default_rng(11)
+    for x, most in ((np.repeat(rng.standard_normal((80, 32)), 75, axis=0) + 0.2 * rng.standard_normal((6000, 32)), 0.2), (rng.standard_normal((4000, 32)), 1.0)):
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, score int").repartition(2)
+        index = rpforest.written(rpforest.blocked(df, "vec_id", "embedding", 2000, lambda i, v: rpforest.Forest(i, v, 8, 64).saved()), "shards", "none", 1)
+        assert rpforest.measured_share(index, 20, 0.97) <= most
+        found = {}
+        for r in rpforest.neighbours(df).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        recall = []
+        for i in found:
+            s = x @ x[i]
+            s[i] = -np.inf
+            recall.append(len(set(np.argsort(-s)[:20]) & found[i]) / 20)
+        assert len(found) == len(x) // 20 and np.mean(recall) >= 0.9
+
+
+def test_a_forest_is_saved_and_loaded():
+    rng = np.random.default_rng(3)
+    for x in (rng.standard_normal((500, 8)), rng.standard_normal((500, 8)).astype("f4").astype("f8")):
+        a = rpforest.Forest(np.arange(500), x, 3, 16)
+        b = rpforest.Forest.loaded(a.saved())
+        for share in (0.1, 1.0):
+            assert all((p == q).all() for p, q in zip(a.search(np.arange(9), x[:9], 5, share), b.search(np.arange(9), x[:9], 5, share)))
+
+
 def test_recall_on_clustered_vectors_at_a_small_share():
     rng = np.random.default_rng(6)
     x = np.repeat(rng.standard_normal((60, 32)), 100, axis=0) + 0.3 * rng.standard_normal((6000, 32))

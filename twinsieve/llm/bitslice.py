@@ -183,7 +183,7 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, drop: int = 2, id_col: s
     candidates each, but never of a query with that id; a repeated query is answered once. An empty table gives no rows.
     """
     index = written(blocked(rows, id_col, vec_col, ROWS, sliced_block), "bit-slices", "none", 1)
-    queries = blocked(rows, id_col, vec_col, CHUNK, packed, where=f"`{id_col}` % {every} = 0", coalesce=False)
+    queries = written(blocked(rows, id_col, vec_col, CHUNK, packed, where=f"`{id_col}` % {every} = 0", coalesce=False), "queries", "none")
 
     def opened(dim: int, data: bytes) -> Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]:
         size = int(np.frombuffer(data, "<i8", 1)[0])

@@ -1,4 +1,4 @@
-"""A stated query set against all rows, in blocks: rows become blocks of vectors, and each block meets each chunk of queries once."""
+"""A stated query set against all rows, in blocks: rows become blocks of vectors in files, and tasks read them for their chunks of queries."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import prepare, trim
+from .common import open_fs, prepare, trim
 
-CHUNK = 128
+#: Queries of a chunk, and chunks that a task takes at most, about.
+CHUNK, GROUP = 128, 16
 #: Bytes of doubles in a block, whatever number of rows it may have.
 BLOCK_BYTES = 1 << 25
 
@@ -84,35 +87,56 @@ def unpacked(data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<f8", n * dim, 8 * n).reshape(n, dim)
 
 
+def files_of(at: str, nth: int, of: int) -> Iterator[tuple[int, int, bytes]]:
+    """(block, dim, data) of the rows in every of-th file of a table of blocks in the shared folder, one by one."""
+    files, path = open_fs(at)
+    for f in sorted(f.path for f in files.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet"))[nth::of]:
+        for b in pq.ParquetFile(f, filesystem=files).iter_batches(1, columns=["block", "dim", "data"]):
+            for i in range(b.num_rows):
+                yield tuple(b.column(c)[i].as_py() for c in range(3))
+
+
+def best_of(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest scores of each query, ties to the smaller id."""
+    q, v, s = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((v, ~s if s.dtype.kind == "i" else -s, q))
+    q, v, s = q[order], v[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], v[keep], s[keep]
+
+
 def searched(index: DataFrame, queries: DataFrame, k: int, opened: Callable[[int, bytes], Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]], kind: str) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest scores of each query over all blocks, ties to the smaller vec_id.
 
-    index has blocks in a table; queries has chunks as of blocked(packed). opened(dim, block) gives a search of that block: for
-    a chunk the query ids, vec_ids and scores of the block's own best for each query. Each block has a partition, in which it
-    comes once, before all chunks; where there are fewer blocks than cores to use, it has several and the chunks are dealt
-    among them. Block numbers come to the driver, one for each block.
+    index has blocks in a table, one in a file; queries has chunks as of blocked(packed) in another. opened(dim, block) gives a search of that block: for
+    a chunk the query ids, vec_ids and scores of the block's own best for each query. A task takes up to GROUP chunks and reads the blocks of
+    its share of the files one after another, so neither is shuffled against the other; it holds one block, and k rows a query leave it.
     """
-    spark = index.sparkSession
-    numbers = [(r.block, r.dim, i) for i, r in enumerate(index.select("block", "dim").toLocalIterator())]
-    copies = max(1, -(-4 * spark.sparkContext.defaultParallelism // max(1, len(numbers))))
-    listed = F.broadcast(spark.createDataFrame(numbers, "block long, dim int, nth long"))
-    first = F.col("nth") * copies
-    blocks = index.join(listed, ["block", "dim"]).select(F.explode(F.sequence(first, first + (copies - 1))).alias("at"), F.lit(0).alias("chunk"), "dim", "data")
-    chunks = queries.join(listed.withColumnRenamed("block", "met"), "dim").select((first + F.pmod(F.xxhash64("block", "met"), F.lit(copies))).alias("at"), F.lit(1).alias("chunk"), "dim", "data")
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    at, chunks, files = index.written_at, queries.count(), max(1, index.count())
+    group = max(1, min(GROUP, chunks * files // (4 * cores)))
+    groups = max(1, -(-chunks // group))
+    shares = max(1, min(files, -(-4 * cores // groups)))
     kind_pa = pa.int64() if kind == "long" else pa.float64()
+    dealt = queries.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("at", (F.pmod(F.xxhash64("block"), F.lit(groups)) * shares + F.col("share")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = None
+        held: dict[tuple[int, int], list[bytes]] = {}
         for b in batches:
-            for i in range(b.num_rows):
-                if b.column(1)[i].as_py():
-                    q, v, s = search(b.column(3)[i].as_buffer())
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind_pa)], ["query_id", "vec_id", "score"])
-                else:
-                    search = opened(b.column(2)[i].as_py(), bytes(b.column(3)[i].as_buffer()))
+            for share, dim, data in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault((share, dim), []).append(data)
+        for share in sorted({s for s, _ in held}):
+            best: dict[tuple[int, int], tuple] = {}
+            for _, dim, data in files_of(at, share, shares):
+                own = held.get((share, dim), [])
+                search = opened(dim, data) if own else None
+                for n, chunk in enumerate(own):
+                    found = search(chunk)
+                    best[dim, n] = best_of([best[dim, n], found], k) if (dim, n) in best else found
+            for q, v, s in best.values():
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, kind_pa)], ["query_id", "vec_id", "score"])
         trim()
 
-    met = blocks.unionByName(chunks).repartitionById(max(1, len(numbers) * copies), F.col("at").cast("int")).sortWithinPartitions("chunk")
-    found = met.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+    found = dealt.select("share", "dim", "data", "at").repartitionById(groups * shares, F.col("at")).select("share", "dim", "data").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

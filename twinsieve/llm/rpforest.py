@@ -3,25 +3,30 @@
 Rows lie in shards; a shard has a forest of its own over all its rows. The nodes of one level of
 a tree share a random direction and split at their medians. A query descends all trees through
 one priority queue: the branch not taken waits with the smallest margin on its way, and the best
-waiting branch of any tree is next, until enough distinct rows are found. Those are ranked exactly.
+waiting branch of any tree is next, until enough distinct rows are found. Those are ranked exactly. How
+many are enough is measured: the share of a shard at which a sample of queries finds its nearest.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from .blocks import CHUNK, blocked, packed, searched, unpacked
-from .common import written
+from .common import trim, written
 
 ROWS = 1 << 15
 #: Products of queries with points that a search holds before those that are not among the best are dropped.
 HITS = 1 << 17
 #: Pairs whose scores are added up at once.
 PAIRS = 1 << 14
+#: Shares of a shard that a search may look at.
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -41,7 +46,9 @@ def _slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Trees over distinct vectors; equal vectors are one point with all their ids."""
+    """Trees over distinct vectors; equal vectors are one point with all their ids. saved() and loaded() make bytes of a grown one, so it grows once."""
+
+    PARTS = ("x", "ids", "ends", "directions", "cuts", "order", "bounds")
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, trees: int, leaf: int, seed: int = 1) -> None:
         order = np.argsort(ids, kind="stable")
@@ -53,26 +60,38 @@ class Forest:
         self.depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
         rng = np.random.default_rng(seed)
         self.directions = rng.standard_normal((trees, self.depth, dim))
-        self.cuts, self.order, self.bounds = [], [], []
+        self.cuts, self.order, self.bounds = np.zeros((trees, 1 << self.depth)), np.zeros((trees, n), "i4"), np.zeros((trees, (1 << self.depth) + 1), "i4")
         for t in range(trees):
-            at, bounds, cuts = np.arange(n), np.array([0, n]), []
+            at, bounds = np.arange(n), np.array([0, n])
             for level in range(self.depth):
                 p = self.x[at] @ self.directions[t, level]
                 node = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 rank = np.lexsort((p, node))
                 at, p = at[rank], p[rank]
                 middle = (bounds[:-1] + bounds[1:]) // 2
-                cuts.append(p[np.minimum(middle, n - 1)])
+                self.cuts[t, 1 << level : 2 << level] = p[np.minimum(middle, n - 1)]  # a heap: node i of a level is at 2**level + i
                 bounds = np.sort(np.concatenate([bounds, middle]))
-            self.cuts.append(cuts)
-            self.order.append(at)
-            self.bounds.append(bounds)
+            self.order[t], self.bounds[t] = at, bounds
+
+    def saved(self) -> bytes:
+        out = io.BytesIO()
+        single = self.x.astype("f4")
+        np.savez(out, **{p: getattr(self, p) for p in self.PARTS} | {"x": single if (single == self.x).all() else self.x})
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, data: bytes) -> "Forest":
+        self, held = cls.__new__(cls), np.load(io.BytesIO(data))
+        for p in cls.PARTS:
+            setattr(self, p, held[p])
+        self.x, self.depth = self.x.astype("f8"), self.directions.shape[1]
+        return self
 
     def leaves(self, q: np.ndarray, wanted: int) -> list[list[int]]:
         """For each query, the leaves (tree << depth | leaf) that its queue yields until they hold `wanted` distinct points."""
         depth, trees = self.depth, len(self.order)
         margins = np.einsum("tld,qd->qtl", self.directions, q)
-        cuts = [[c.tolist() for c in cs] for cs in self.cuts]
+        cuts = self.cuts.tolist()
         out = []
         for m in margins.tolist():
             seen, queue, found, count = np.zeros(len(self.x), bool), [(-np.inf, t, 0, 0) for t in range(trees)], [], 0
@@ -80,7 +99,7 @@ class Forest:
                 gap, t, level, node = heapq.heappop(queue)
                 mt, ct = m[t], cuts[t]
                 while level < depth:
-                    d = mt[level] - ct[level][node]
+                    d = mt[level] - ct[(1 << level) + node]
                     near = 2 * node + (d >= 0)
                     heapq.heappush(queue, (max(gap, abs(d)), t, level + 1, near ^ 1))
                     node, level = near, level + 1
@@ -171,24 +190,55 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
 
 
-def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 64, share: float = 0.8, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def measured_share(index: DataFrame, k: int, least: float, blocks: int = 4, asked: int = 48) -> float:
+    """The smallest of SHARES at which a sample's queries find `least` of their k nearest: `asked` points of each of about `blocks` shards, each sought in its own shard.
+
+    The nearest of all rows are among the nearer ones of their shards, so a search of all shards finds no smaller part of them. Each shard of the sample gives one row.
+    """
+    n = index.count()
+    picked = index.where(F.pmod(F.xxhash64("block"), F.lit(max(1, n // blocks))) == 0) if n > blocks else index
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                forest = Forest.loaded(data.as_py())
+                at = np.unique(np.linspace(0, len(forest.x) - 1, asked).astype(int))
+                own, q = forest.ids[forest.ends[at]], forest.x[at]
+                exact = forest.search(own, q, k, 1.0)
+                want = set(zip(exact[0].tolist(), exact[1].tolist()))
+                for share in SHARES:
+                    who, ids, _ = forest.search(own, q, k, share)
+                    yield pa.RecordBatch.from_pydict({"share": [share], "hit": [len(want.intersection(zip(who.tolist(), ids.tolist())))], "wanted": [len(want)]})
+        trim()
+
+    told = picked.select("data").mapInArrow(run, "share double, hit long, wanted long").groupBy("share").agg(F.sum("hit").alias("hit"), F.sum("wanted").alias("wanted")).collect()
+    return min((r.share for r in told if r.hit >= least * r.wanted), default=1.0)
+
+
+def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 64, share: float | None = None, least: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (double): for each row whose id divides by `every`, its k nearest found by inner product.
 
     Vectors that are null, empty, zero or hold a null or a component that isn't finite take no
     part; nor do null ids. Vectors of other lengths than a query's are no candidates of it. Rows
     that repeat an id are candidates each, but never of a query with that id. Every row is indexed.
-    share is the part of a shard's distinct vectors that the queue yields, at any size; 1 is exact.
-    An empty table gives no rows.
+    share is the part of a shard's distinct vectors that the queue yields; 1 is exact. Without it, it is the smallest at which a sample finds `least` of its nearest.
+    Components so large that a product isn't finite may give scores that aren't. An empty table gives no rows.
     """
 
     def nonzero(ids: np.ndarray, x: np.ndarray) -> bytes | None:
         fine = x.any(axis=1)
         return packed(ids[fine], x[fine]) if fine.any() else None
 
-    index = written(blocked(rows, id_col, vec_col, ROWS, nonzero), "shards", "none", 1)
-    queries = blocked(rows, id_col, vec_col, CHUNK, nonzero, where=f"`{id_col}` % {every} = 0", coalesce=False)
+    def grown(ids: np.ndarray, x: np.ndarray) -> bytes | None:
+        fine = x.any(axis=1)
+        return Forest(ids[fine], x[fine], trees, leaf).saved() if fine.any() else None
+
+    index = written(blocked(rows, id_col, vec_col, ROWS, grown), "shards", "none", 1)
+    queries = written(blocked(rows, id_col, vec_col, CHUNK, nonzero, where=f"`{id_col}` % {every} = 0", coalesce=False), "queries", "none")
+    share = measured_share(index, k, least) if share is None else share
+
     def opened(dim: int, data: bytes) -> Callable[[bytes], Hits]:
-        forest = Forest(*unpacked(data, dim), trees, leaf)
+        forest = Forest.loaded(data)
         return lambda chunk: forest.search(*unpacked(chunk, dim), k, share)
 
     return searched(index, queries, k, opened, "double")
