@@ -25,32 +25,32 @@ from .simhash import buckets, fingerprint
 
 #: Ids up to which they are broadcast to fetch their rows; more are joined by shuffle.
 SENT_IDS = 1_000_000
-#: Bins in which all texts' shingles are counted, to tell common ones from rare ones. Any order finds the same pairs; rare ones first makes fewer candidates.
-COUNTS = 1 << 20
+#: Bins, least and most, in which all texts' shingles are counted, to tell common ones from rare ones; about one for each of them. Any order finds the same pairs; rare ones first makes fewer candidates.
+COUNTS = (1 << 20, 1 << 22)
 #: Bins of a text's sketch; more of them rule out more pairs before their sets are fetched.
 BINS = 2048
 #: Prefix entries that a task brings together, about.
 PART_ENTRIES = 1 << 19
 #: t, id, n, pos of a prefix entry.
-_ENTRY = ("<u4", "<i8", "<i4", "<i4")
+_ENTRY = ("<u8", "<i8", "<i4", "<i4")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(raw: bytes | None, width: int = 5) -> np.ndarray:
-    """The distinct shingles of a text as 32-bit hashes, ascending; a text with fewer words is one shingle, without words none.
+    """The distinct shingles of a text as 64-bit hashes, ascending; a text with fewer words is one shingle, without words none.
 
     Each word is hashed once (XXH64); the hashes of a shingle's words are added up with powers of an odd number and mixed.
     """
     words = (raw or b"").lower().split()
     if not words:
-        return np.empty(0, "u4")
+        return np.empty(0, "u8")
     h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, 42) for w in words]), ">u8").astype("u8")
     width = min(width, len(words))
     n = len(words) - width + 1
     made = h[:n] + np.uint64(width)
     for i in range(1, width):
         made = made * _STEP + h[i : i + n]
-    return np.unique((mix(made) >> np.uint64(32)).astype("u4"))
+    return np.unique(mix(made))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -79,8 +79,8 @@ def _sketches(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            every = [np.frombuffer(x, "u4") for x in b.column(1).to_pylist()]
-            odd = [np.packbits((np.bincount(s % BINS, minlength=BINS) & 1).astype("u1")).tobytes() for s in every]
+            every = [np.frombuffer(x, "u8") for x in b.column(1).to_pylist()]
+            odd = [np.packbits((np.bincount((s % np.uint64(BINS)).astype("i8"), minlength=BINS) & 1).astype("u1")).tobytes() for s in every]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in every], pa.int32()), pa.array(odd, pa.binary())], ["id", "n", "p"])
 
     return written(sets.select("id", "s").mapInArrow(run, "id long, n int, p binary"), "sketches")
@@ -117,7 +117,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, least: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column(2), b.column(3)
-            keep = [i for i in range(b.num_rows) if similarity(np.frombuffer(x[i].as_buffer(), "u4"), np.frombuffer(y[i].as_buffer(), "u4")) >= least]
+            keep = [i for i in range(b.num_rows) if similarity(np.frombuffer(x[i].as_buffer(), "u8"), np.frombuffer(y[i].as_buffer(), "u8")) >= least]
             if keep:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).take(pa.array(keep))
 
@@ -152,18 +152,20 @@ def _shingle_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _counts(sets: DataFrame) -> tuple[np.ndarray, int]:
-    """How many texts have a shingle in each of COUNTS bins, over all texts; the number of all shingles of all sets."""
+    """How many texts have a shingle in each bin, over all texts; the number of all shingles of all sets."""
+    size = sets.agg(F.coalesce(F.sum(F.length("s")), F.lit(0)).alias("size")).first().size // 8
+    bins = min(COUNTS[1], max(COUNTS[0], 1 << int(size).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTS, "i8")
+        total = np.zeros(bins, "i8")
         for b in sliced(batches):
-            np.add.at(total, np.frombuffer(b"".join(b.column(0).to_pylist()), "u4") % COUNTS, 1)
+            total += np.bincount((np.frombuffer(b"".join(b.column(0).to_pylist()), "u8") % np.uint64(bins)).astype("i8"), minlength=bins)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(total[at])], ["bin", "n"])
 
-    few = sets.select("s").coalesce(sets.sparkSession.sparkContext.defaultParallelism)  # a task sends up to COUNTS rows, whatever it has read
+    few = sets.select("s").coalesce(sets.sparkSession.sparkContext.defaultParallelism)  # a task sends up to a row for each bin, whatever it has read
     made = few.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTS, "i8")
+    counts = np.zeros(bins, "i8")
     counts[made.column(0).to_numpy()] = made.column(1).to_numpy()
     return np.minimum(counts, np.iinfo("i4").max).astype("i4"), int(counts.sum())
 
@@ -172,15 +174,14 @@ def prefix(s: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
     """The shingles of a set, rare ones first, of which every similar set has one among its own."""
     if not len(s):
         return s
-    often = counts[s % len(counts)].astype("u8")
-    key = np.sort(often << np.uint64(32) | s)[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
-    return key.astype("u4")
+    often = counts[(s % np.uint64(len(counts))).astype("i8")]
+    return s[np.lexsort((s, often))[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]]
 
 
 def dealt(t: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     """(part, entries as bytes): entries by range of t. The bytes of a kind stand together, so that those that hardly change take little room."""
     order = np.argsort(t, kind="stable")
-    part = ((t[order].astype("u8") * np.uint64(parts)) >> np.uint64(32)).astype("i4")
+    part = (((t[order] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype("i4")
     starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
     for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
         at = order[i:j]
@@ -220,7 +221,7 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            every = [np.frombuffer(x, "u4") for x in b.column(1).to_pylist()]
+            every = [np.frombuffer(x, "u8") for x in b.column(1).to_pylist()]
             first = [prefix(s, sent.value, least) for s in every]
             size = np.array([len(f) for f in first])
             pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -233,11 +234,11 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
         found = meeting(t, n, least)
         for i in range(0, len(found), 1 << 16):
             at = found[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (t.view("i4"), n, pos, ids)], ["t", "n", "pos", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (t.view("i8"), n, pos, ids)], ["t", "n", "pos", "id"])
         trim()
 
     packed = sets.select("id", "s").mapInArrow(run, "part int, data binary")
-    met = written(packed.repartitionById(parts, F.col("part")).mapInArrow(meet, "t int, n int, pos int, id long"), "shared-prefixes")
+    met = written(packed.repartitionById(parts, F.col("part")).mapInArrow(meet, "t long, n int, pos int, id long"), "shared-prefixes")
     part = F.count("*").over(Window.partitionBy("id")) / (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
     out = written(met.withColumn("central", part), "central-prefixes")
     discard(met)
@@ -247,8 +248,8 @@ def _prefixes(sets: DataFrame, least: float) -> DataFrame:
 def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """The entries with root, the text's component so far or itself; only under shingles that lie in several components."""
     out = entries.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    each = Window.partitionBy("t")
-    return out.withColumn("lo", F.min("root").over(each)).withColumn("hi", F.max("root").over(each)).where("lo < hi").drop("lo", "hi")
+    mixed = out.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")  # summed up before it is dealt: a shingle may be in most texts
+    return out.join(mixed, "t")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -277,8 +278,8 @@ def similar_links(texts: DataFrame, sets: DataFrame, radius: int, least: float)
     # by prefix: each text with the most central of its shingle and size, then all that aren't joined yet
     entries = _prefixes(sets, least)
     sized = _rooted(entries, roots).withColumn("size", F.round(F.log("n") / math.log(1 / least)))
-    head = F.max(F.struct("central", "id", "root")).over(Window.partitionBy("t", "size"))
-    pairs = sized.withColumn("h", head).where("root != h.root").select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
+    heads = sized.groupBy("t", "size").agg(F.max(F.struct("central", "id", "root")).alias("h"))
+    pairs = sized.join(heads, ["t", "size"]).where("root != h.root").select(F.col("h.id").alias("a"), F.col("id").alias("b")).distinct()
     more = _similar(pairs, sets, sketches, least)
     discard(roots)
     roots = written(components(links.unionByName(more)), "roots")
