@@ -145,6 +145,7 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert [(r.new_id, r.known_id, r.hamming) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(10, 1, 1)]
     assert hashing.banded_pairs(known.unionByName(new.select("id", "hash")), 3).count() == 1
+    assert {(r.new_id, r.known_id) for r in incremental.matches(new, known.unionByName(new.select("id", "hash")), 0).collect()} == {(10, 10), (11, 11)}
     counts = incremental.windowed_counts(spark.readStream.schema(new.schema).parquet(f"{tmp_path}/in").select("ts", F.lit("match").alias("kind")))
     w = counts.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     w.awaitTermination(120)

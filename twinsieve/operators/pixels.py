@@ -127,12 +127,12 @@ def clone_candidates(blocks: DataFrame, cosine: float = 0.95, least: float = 2.0
     p, q = b.select("img", F.col("k").alias("a"), F.col("by").alias("ya"), F.col("bx").alias("xa"), F.col("d").alias("da")), b.select("img", F.col("k").alias("b"), F.col("by").alias("yb"), F.col("bx").alias("xb"), F.col("d").alias("db"))
     s = F.aggregate(F.zip_with("da", "db", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     gap = F.sqrt(F.pow(F.col("ya") - F.col("yb"), 2) + F.pow(F.col("xa") - F.col("xb"), 2))
-    return p.join(q, "img").where("a < b").where(gap >= least).withColumn("cosine", s).where(F.col("cosine") >= cosine).select("img", "ya", "xa", "yb", "xb", F.round("cosine", 6).alias("cosine"))
+    return p.join(q, "img").where("a < b").where(gap >= least).withColumn("cosine", s).where(F.col("cosine") >= cosine).select("img", "ya", "xa", "yb", "xb", "cosine")
 
 
 def lane_profiles(pixels: DataFrame, lanes: DataFrame) -> DataFrame:
     """img, lane, y, mean value of each row of each lane (img, lane, start, end; end excluded)."""
-    met = pixels.join(F.broadcast(lanes), "img").where((F.col("x") >= F.col("start")) & (F.col("x") < F.col("end")))
+    met = pixels.join(lanes, "img").where((F.col("x") >= F.col("start")) & (F.col("x") < F.col("end")))
     return met.groupBy("img", "lane", "y").agg(F.round(F.avg("v"), 6).alias("mean"))
 
 

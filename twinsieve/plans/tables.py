@@ -85,16 +85,18 @@ BOXES_SQL = """boxes AS (SELECT page, id, (p % 1500)::BIGINT AS x, (s * 37 % 120
   FROM (SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS page, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL))"""
 
 
-def pixels(spark: SparkSession, images: int = 6, size: int = 48) -> DataFrame:
-    """Synthetic images: img, y, x, v."""
-    k = F.col("id")
-    img, y, x = F.floor(k / (size * size)), F.floor(k / size) % size, k % size
-    rows = spark.range(images * size * size).select(img.cast("int").alias("img"), y.cast("int").alias("y"), x.cast("int").alias("x"))
-    return rows.withColumn("v", ((F.col("y") * 31 + F.col("x") * 17 * (1 + F.col("img") % 3) + F.col("img") * 7 + F.floor(F.col("y") * F.col("x") / 5) * (F.col("img") % 2)) % 256).cast("int"))
-
-
-PIXELS_SQL = """pixels AS (SELECT img, y, x, ((y * 31 + x * 17 * (1 + img % 3) + img * 7 + ((y * x) // 5) * (img % 2)) % 256)::INTEGER AS v
-  FROM (SELECT (k // 2304)::INTEGER AS img, ((k // 48) % 48)::INTEGER AS y, (k % 48)::INTEGER AS x FROM (SELECT unnest(range(0, 13824)) AS k)))"""
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 48 x 48 pixels made of 36 vectors each: img, y, x, v. A texture by formula, and on it noise from the components; vectors that fill no image are left over."""
+    held = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 36).cast("int").alias("img"), ((F.col("vec_id") % 36) * 64).alias("first"), F.posexplode("embedding").alias("pos", "c"))
+    full = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 36).cast("int").alias("img")).groupBy("img").count().where("count = 36").select("img")
+    k = F.col("first") + F.col("pos")
+    rows = held.join(full, "img").select("img", F.floor(k / 48).cast("int").alias("y"), (k % 48).cast("int").alias("x"), (F.floor(F.abs(F.col("c").cast("double")) * 2000) % 8).cast("int").alias("noise"))
+    return rows.select("img", "y", "x", ((F.col("y") * 31 + F.col("x") * 17 * (1 + F.col("img") % 3) + F.col("img") * 7 + F.floor(F.col("y") * F.col("x") / 5) * (F.col("img") % 2) + F.col("noise")) % 256).cast("int").alias("v"))
+
+
+PIXELS_SQL = """pixels AS (SELECT img, y, x, ((y * 31 + x * 17 * (1 + img % 3) + img * 7 + ((y * x) // 5) * (img % 2) + noise) % 256)::INTEGER AS v
+  FROM (SELECT img, (k // 48)::INTEGER AS y, (k % 48)::INTEGER AS x, (floor(abs(c::DOUBLE) * 2000)::BIGINT % 8)::INTEGER AS noise
+    FROM (SELECT (vec_id // 36)::INTEGER AS img, (vec_id % 36) * 64 + generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding) AS c, count(*) OVER (PARTITION BY vec_id // 36) AS n FROM embeddings) WHERE n = 36))"""
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -651,40 +651,40 @@ def ratio_test(spark, d):
 # --- pixels -------------------------------------------------------------------------------
 
 PX = f"WITH {PIXELS_SQL}"
-IMG_PAIRS = "met AS (SELECT a.img AS a, b.img AS b, a.y, a.x, a.v::DOUBLE AS va, b.v::DOUBLE AS vb FROM pixels a JOIN pixels b ON a.y = b.y AND a.x = b.x AND a.img < b.img)"
+IMG_PAIRS = "met AS (SELECT a.img AS a, b.img AS b, a.y, a.x, a.v::DOUBLE AS va, b.v::DOUBLE AS vb FROM pixels a JOIN pixels b ON a.y = b.y AND a.x = b.x AND b.img = a.img + 1)"
 SSIM_SQL = "((2 * avg(va) * avg(vb) + 6.5025e0) * (2 * covar_samp(va, vb) + 58.5225e0)) / ((avg(va) * avg(va) + avg(vb) * avg(vb) + 6.5025e0) * (var_samp(va) + var_samp(vb) + 58.5225e0))"
 
 
-def _met(spark):
-    p = tb.pixels(spark)
+def _met(spark, d):
+    p = tb.pixels(spark, d)
     n = p.select("img").distinct()
-    pairs = n.select(F.col("img").alias("a"), F.lit(1).alias("k")).join(n.select(F.col("img").alias("b"), F.lit(1).alias("k")), "k").where("a < b").drop("k")
+    pairs = n.select(F.col("img").alias("a"), (F.col("img") + 1).alias("b")).join(n.withColumnRenamed("img", "b"), "b")  # each image and the next
     return px.pairs_of(p, pairs)
 
 
 @query(f"{PX} SELECT img, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, min(v) AS least, max(v) AS most FROM pixels GROUP BY img")
 def image_stats(spark, d):
-    return px.stats(tb.pixels(spark))
+    return px.stats(tb.pixels(spark, d))
 
 
 @query(f"{PX}, e AS (SELECT img, min(v) AS lo, max(v) AS hi FROM pixels GROUP BY img) SELECT p.img, y, x, (CASE WHEN hi > lo THEN floor((v - lo) * 255e0 / (hi - lo) + 0.5e0) ELSE v END)::INTEGER AS v FROM pixels p JOIN e ON p.img = e.img")
 def autocontrast(spark, d):
-    return px.autocontrast(tb.pixels(spark))
+    return px.autocontrast(tb.pixels(spark, d))
 
 
 @query(f"{PX} " + " UNION ALL ".join(f"SELECT img, '{n}' AS transform, ({y})::INTEGER AS y, ({x})::INTEGER AS x, ({v})::INTEGER AS v FROM pixels" for n, y, x, v in (("rotate_90", "x", "47 - y", "v"), ("rotate_180", "47 - y", "47 - x", "v"), ("rotate_270", "47 - x", "y", "v"), ("mirror_h", "y", "47 - x", "v"), ("mirror_v", "47 - y", "x", "v"), ("brightness_+20", "y", "x", "least(v + 20, 255)"))))
 def transforms(spark, d):
-    return px.transformed(tb.pixels(spark), 48)
+    return px.transformed(tb.pixels(spark, d), 48)
 
 
 @query(f"{PX}, {IMG_PAIRS} SELECT a, b, round(CASE WHEN stddev_pop(va) = 0 OR stddev_pop(vb) = 0 THEN 0 ELSE corr(va, vb) END, 6) AS ncc FROM met GROUP BY a, b")
 def ncc(spark, d):
-    return px.ncc(_met(spark))
+    return px.ncc(_met(spark, d))
 
 
 @query(f"{PX}, {IMG_PAIRS} SELECT a, b, round({SSIM_SQL}, 6) AS ssim FROM met GROUP BY a, b")
 def ssim_global(spark, d):
-    return px.ssim_global(_met(spark))
+    return px.ssim_global(_met(spark, d))
 
 
 @query(
@@ -692,7 +692,7 @@ def ssim_global(spark, d):
 SELECT p.a, p.b, round(lo, 6) AS patch_min, round((l[1] + l[2] + l[3] + l[4]) / 4, 6) AS patch_topk, patches, round(0.4e0 * g + 0.6e0 * (l[1] + l[2] + l[3] + l[4]) / 4, 6) AS ssim FROM p JOIN g ON p.a = g.a AND p.b = g.b"""
 )
 def patch_ssim(spark, d):
-    return px.patch_ssim(_met(spark), 48)
+    return px.patch_ssim(_met(spark, d), 48)
 
 
 @query(
@@ -700,7 +700,7 @@ def patch_ssim(spark, d):
 SELECT img, round(avg(abs(gx)), 6) AS gx, round(avg(abs(gy)), 6) AS gy, round(avg(abs(gx)) / (avg(abs(gy)) + 1e-6), 6) AS anisotropy, round(avg(CASE WHEN abs(gx) + abs(gy) > 255 THEN 1e0 ELSE 0e0 END), 6) AS edge_density FROM s WHERE k = 9 GROUP BY img"""
 )
 def sobel_texture(spark, d):
-    return px.texture(tb.pixels(spark))
+    return px.texture(tb.pixels(spark, d))
 
 
 FEATURES = {"edge": "((k * 7) % 41) / 100e0", "anisotropy": "0.8e0 + ((k * 11) % 90) / 100e0", "mid": "((k * 13) % 170) * 1e0", "high": "((k * 17) % 140) * 1e0"}
@@ -722,7 +722,7 @@ m AS (SELECT img, y, x, v, quantile_cont(w, 0.5) AS m FROM nb GROUP BY ALL), s A
 SELECT img, y, x, v AS median, round(abs(v - m) / (1.4826e0 * mad + 1e-6), 4) AS z, abs(v - m) / (1.4826e0 * mad + 1e-6) >= 4 AS outlier FROM s"""
 )
 def brightness_mad(spark, d):
-    return px.brightness_outliers(tb.pixels(spark), 8)
+    return px.brightness_outliers(tb.pixels(spark, d), 8)
 
 
 _U = [(i, j) for i in range(4) for j in range(4) if i or j]
@@ -732,18 +732,18 @@ l AS (SELECT *, sqrt({" + ".join(f"d{n} * d{n}" for n in range(15))}) AS len FRO
 
 @query(f"{DCT_SQL} SELECT img, by_ AS by, bx, {', '.join(f'round(d[{n + 1}], 5) + 0e0 AS d{n}' for n in range(15))} FROM blocks")
 def dct_blocks(spark, d):
-    return px.dct_blocks(tb.pixels(spark)).select("img", "by", "bx", *[(F.round(F.element_at("d", n + 1), 5) + 0.0).alias(f"d{n}") for n in range(15)])
+    return px.dct_blocks(tb.pixels(spark, d)).select("img", "by", "bx", *[(F.round(F.element_at("d", n + 1), 5) + 0.0).alias(f"d{n}") for n in range(15)])
 
 
 @query(f"{DCT_SQL} SELECT a.img, a.by_ AS ya, a.bx AS xa, b.by_ AS yb, b.bx AS xb, round(list_inner_product(a.d, b.d), 5) AS cosine FROM blocks a JOIN blocks b ON a.img = b.img AND (a.by_ < b.by_ OR (a.by_ = b.by_ AND a.bx < b.bx)) WHERE list_inner_product(a.d, b.d) >= 0.95e0 AND sqrt((a.by_ - b.by_) ** 2 + (a.bx - b.bx) ** 2) >= 2")
 def clone_candidates(spark, d):
-    return px.clone_candidates(px.dct_blocks(tb.pixels(spark))).withColumn("cosine", F.round("cosine", 5))
+    return px.clone_candidates(px.dct_blocks(tb.pixels(spark, d))).withColumn("cosine", F.round("cosine", 5))
 
 
 @query(f"{PX} SELECT img, x // 12 AS lane, y, round(avg(v), 6) AS mean FROM pixels GROUP BY 1, 2, 3")
 def lane_profiles(spark, d):
-    lanes = tb.pixels(spark).select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("lane")).withColumns({"start": F.col("lane") * 12, "end": F.col("lane") * 12 + 12})
-    return px.lane_profiles(tb.pixels(spark), lanes)
+    lanes = tb.pixels(spark, d).select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("lane")).withColumns({"start": F.col("lane") * 12, "end": F.col("lane") * 12 + 12})
+    return px.lane_profiles(tb.pixels(spark, d), lanes)
 
 
 # --- image kernels ------------------------------------------------------------------------
@@ -879,12 +879,12 @@ def production_readiness(spark, d):
 SELECT a, b, round(min(s), 6) AS least, round(max(s), 6) AS most, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(stddev_pop(s), 6) AS sd, round((list(s ORDER BY s DESC)[1] + list(s ORDER BY s DESC)[2] + list(s ORDER BY s DESC)[3] + list(s ORDER BY s DESC)[4]) / 4, 6) AS topk, count(*) AS patches FROM e GROUP BY a, b"""
 )
 def patch_stats(spark, d):
-    return px.patch_stats(_met(spark), 48)
+    return px.patch_stats(_met(spark, d), 48)
 
 
 @query(f"{PX}, p AS (SELECT img, y, avg(v) AS m FROM pixels GROUP BY 1, 2), b AS (SELECT img, quantile_cont(m, 0.5) AS base FROM p GROUP BY img), l AS (SELECT p.img, y, y - row_number() OVER (PARTITION BY p.img ORDER BY y) AS k FROM p JOIN b ON p.img = b.img WHERE m < base - 2) SELECT img, ((min(y) + max(y)) // 2)::INTEGER AS middle, count(*)::INTEGER AS width FROM l GROUP BY img, k HAVING count(*) >= 2")
 def projection_valleys(spark, d):
-    return px.profile_valleys(tb.pixels(spark), "y", 2, 2)
+    return px.profile_valleys(tb.pixels(spark, d), "y", 2, 2)
 
 
 @query(f"WITH s AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b, unnest(range(0, 5)) AS scale FROM orders), c AS (SELECT *, (['0.0448', '0.2856', '0.3001', '0.2363', '0.1333'])[scale + 1]::DOUBLE AS w, 0.5e0 + ((a * 7 + scale * 3) % 50) / 100e0 AS c FROM s) SELECT a, b, round(exp(sum(w * ln(c))), 6) AS ms_ssim FROM c GROUP BY a, b")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 def bands(hashes: DataFrame, most: int) -> DataFrame:
     """id, hash and one row for each of most + 1 bands of bits; close hashes share one."""
     cuts = [64 * k // (most + 1) for k in range(most + 2)]
-    rows = F.array(*[F.struct(F.lit(n).alias("band"), F.call_function("shiftrightunsigned", F.col("hash"), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("bigint")).alias("key")) for n, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
+    rows = F.array(*[F.struct(F.lit(n).alias("band"), F.call_function("shiftrightunsigned", F.col("hash"), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).cast("bigint")).alias("key")) for n, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
     return hashes.select("*", F.explode(rows).alias("b")).select("*", "b.band", "b.key").drop("b")
 
 
