@@ -128,7 +128,14 @@ def test_the_share_is_measured(spark, monkeypatch):
     for x, most in ((np.repeat(rng.standard_normal((80, 32)), 75, axis=0) + 0.2 * rng.standard_normal((6000, 32)), 0.2), (rng.standard_normal((4000, 32)), 1.0)):
         df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, score int").repartition(2)
         index = rpforest.written(rpforest.blocked(df, "vec_id", "embedding", 2000, lambda i, v: rpforest.Forest(i, v, 8, 64).saved()), "shards", "none", 1)
-        assert rpforest.measured_share(index, 20, 0.97) <= most
+        assert rpforest.measured_share(index, 20, 0.96) <= most
+        forest = rpforest.Forest(np.arange(2000), x[:2000], 8, 64)
+        at = np.arange(0, 2000, 97)
+        before, own, q = forest.needed(at, forest.x[at], 20), forest.ids[forest.ends[at]], forest.x[at]
+        for share in (0.1, 0.4):
+            exact, some = (forest.search(own, q, 20, y) for y in (1.0, share))
+            both = set(zip(exact[0].tolist(), exact[1].tolist())) & set(zip(some[0].tolist(), some[1].tolist()))
+            assert len(both) == int((before < share * 2000).sum())
         found = {}
         for r in rpforest.neighbours(df).collect():
             found.setdefault(r.query_id, set()).add(r.vec_id)

@@ -26,7 +26,7 @@ HITS = 1 << 17
 #: Pairs whose scores are added up at once.
 PAIRS = 1 << 14
 #: Shares of a shard that a search may look at.
-SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
+SHARES = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -89,12 +89,32 @@ class Forest:
 
     def leaves(self, q: np.ndarray, wanted: int) -> list[list[int]]:
         """For each query, the leaves (tree << depth | leaf) that its queue yields until they hold `wanted` distinct points."""
+        return [found for found, _ in self._yielded(q, wanted)]
+
+    def needed(self, own: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """How many distinct points a query's queue has yielded before the leaf with each of its k nearest points, for all queries."""
+        score = q @ self.x.T
+        score[np.arange(len(q)), own] = -np.inf
+        k = min(k, len(self.x) - 1)
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k] if k else np.zeros((len(q), 0), int)
+        leaf = np.empty(self.order.shape, "i8")
+        for t, rows in enumerate(self.order):
+            leaf[t, rows] = t << self.depth | np.repeat(np.arange(1 << self.depth), np.diff(self.bounds[t]))
+        out = []
+        for points, (found, before) in zip(near, self._yielded(q, len(self.x))):
+            first = np.full(len(self.order) << self.depth, len(self.x))
+            first[found[::-1]] = before[::-1]
+            out.append(first[leaf[:, points]].min(axis=0))
+        return np.concatenate(out) if out else np.empty(0, "i8")
+
+    def _yielded(self, q: np.ndarray, wanted: int) -> list[tuple[list[int], list[int]]]:
+        """For each query its leaves in order, and how many distinct points came before each."""
         depth, trees = self.depth, len(self.order)
         margins = np.einsum("tld,qd->qtl", self.directions, q)
         cuts = self.cuts.tolist()
         out = []
         for m in margins.tolist():
-            seen, queue, found, count = np.zeros(len(self.x), bool), [(-np.inf, t, 0, 0) for t in range(trees)], [], 0
+            seen, queue, found, before, count = np.zeros(len(self.x), bool), [(-np.inf, t, 0, 0) for t in range(trees)], [], [], 0
             while queue and count < wanted:
                 gap, t, level, node = heapq.heappop(queue)
                 mt, ct = m[t], cuts[t]
@@ -104,10 +124,11 @@ class Forest:
                     heapq.heappush(queue, (max(gap, abs(d)), t, level + 1, near ^ 1))
                     node, level = near, level + 1
                 found.append(t << depth | node)
+                before.append(count)
                 rows = self.order[t][self.bounds[t][node] : self.bounds[t][node + 1]]
                 count += len(rows) - int(np.count_nonzero(seen[rows]))
                 seen[rows] = True
-            out.append(found)
+            out.append((found, before))
         return out
 
     def _cut(self, hits: Hits, own: np.ndarray, q: np.ndarray, k: int, slack: np.ndarray, exact: bool) -> Hits:
@@ -203,19 +224,16 @@ def measured_share(index: DataFrame, k: int, least: float, blocks: int = 4, aske
             for data in b.column(0):
                 forest = Forest.loaded(data.as_py())
                 at = np.unique(np.linspace(0, len(forest.x) - 1, asked).astype(int))
-                own, q = forest.ids[forest.ends[at]], forest.x[at]
-                exact = forest.search(own, q, k, 1.0)
-                want = set(zip(exact[0].tolist(), exact[1].tolist()))
-                for share in SHARES:
-                    who, ids, _ = forest.search(own, q, k, share)
-                    yield pa.RecordBatch.from_pydict({"share": [share], "hit": [len(want.intersection(zip(who.tolist(), ids.tolist())))], "wanted": [len(want)]})
+                before = forest.needed(at, forest.x[at], k)
+                hit = [int((before < max(k + 1, int(np.ceil(share * len(forest.x))))).sum()) for share in SHARES]
+                yield pa.RecordBatch.from_pydict({"share": list(SHARES), "hit": hit, "wanted": [len(before)] * len(SHARES)})
         trim()
 
     told = picked.select("data").mapInArrow(run, "share double, hit long, wanted long").groupBy("share").agg(F.sum("hit").alias("hit"), F.sum("wanted").alias("wanted")).collect()
     return min((r.share for r in told if r.hit >= least * r.wanted), default=1.0)
 
 
-def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 64, share: float | None = None, least: float = 0.97, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(rows: DataFrame, k: int = 20, every: int = 20, trees: int = 8, leaf: int = 256, share: float | None = None, least: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (double): for each row whose id divides by `every`, its k nearest found by inner product.
 
     Vectors that are null, empty, zero or hold a null or a component that isn't finite take no
