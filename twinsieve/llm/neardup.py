@@ -25,8 +25,8 @@ from .simhash import buckets, fingerprint
 
 #: Ids up to which they are broadcast to fetch their rows; more are joined by shuffle.
 SENT_IDS = 1_000_000
-#: Bins, least and most, in which all texts' shingles are counted, to tell common ones from rare ones; about one for each of them. Any order finds the same pairs; rare ones first makes fewer candidates.
-COUNTS = (1 << 20, 1 << 22)
+#: Bins in which all texts' shingles are counted, to tell common ones from rare ones. Any order finds the same pairs; rare ones first makes fewer candidates.
+COUNTS = 1 << 20
 #: Bins of a text's sketch; more of them rule out more pairs before their sets are fetched.
 BINS = 2048
 #: Prefix entries that a task brings together, about.
@@ -153,8 +153,7 @@ def _shingle_sets(docs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 def _counts(sets: DataFrame) -> tuple[np.ndarray, int]:
     """How many texts have a shingle in each bin, over all texts; the number of all shingles of all sets."""
-    size = sets.agg(F.coalesce(F.sum(F.length("s")), F.lit(0)).alias("size")).first().size // 8
-    bins = min(COUNTS[1], max(COUNTS[0], 1 << int(size).bit_length()))
+    bins = COUNTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(bins, "i8")
