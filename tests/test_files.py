@@ -32,6 +32,15 @@ def test_engine_and_report(spark, tmp_path):
     assert files.from_report(files.read_tsv(spark, f"{tmp_path}/r")).first().tier == "A"
 
 
+def test_no_semantic_pair_is_cut(spark):
+    """500 equal vectors are 124,750 pairs; a run once kept the best 120,000."""
+    unit = F.array(F.lit(1.0), *[F.lit(0.0)] * 63)
+    p = spark.range(500).select(F.col("id").alias("panel_id"), F.col("id").alias("page"), F.lit(1).alias("panel_num"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.lit("tem").alias("modality"), unit.alias("vec"))
+    assert Engine(spark).semantic(p).count() == 124_750
+    capped = Config.from_environment({"TWINSIEVE_PAIRING_MAX_PAIRS": "7"})
+    assert Engine(spark, capped).semantic(p).count() == 7
+
+
 def test_empty_report_keeps_its_header(spark, tmp_path):
     result = Engine(spark).run(panels(spark).limit(0))
     assert result.pairs.count() == 0

@@ -71,7 +71,8 @@ class Engine:
         vectors = panels.select(F.col("panel_id").alias("id"), "vec")
         pairs = similarity.mutual_pairs(vectors, p.top_k, p.similarity) if p.mutual else ann.adaptive_pairs(vectors, p.similarity)
         kept = similarity.suppressed(similarity.with_pages(pairs, panels), p.suppress_same_page, p.adjacent_gap if p.suppress_adjacent else None)
-        best = similarity.capped(kept.select("i", "j", "cosine"), p.max_pairs)
+        kept = kept.select("i", "j", "cosine")
+        best = kept if p.max_pairs is None else similarity.capped(kept, p.max_pairs)
         return similarity.z_global(best, similarity.similarity_stats(vectors))
 
     def hashed(self, panels: DataFrame) -> DataFrame:
