@@ -8,72 +8,92 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import reachable
+from ..session import FEW, beside, reachable
+from . import cells
 
-#: Vectors of a block, and rows of it that meet another block at once: 64 MB of products.
-BLOCK, SLICE = 8192, 1024
+#: Vectors that a task holds at once, and products that it makes at once: 32 MB of each.
+BLOCK, PRODUCTS = 1 << 16, 1 << 22
 
 
-def _blocks(vectors: DataFrame, n: int, block: int) -> tuple[DataFrame, int]:
-    """Blocks of about `block` vectors each, by a hash of the id, so that no block grows with the table."""
-    reachable(vectors.sparkSession)
-    count = max(1, -(-n // block))
-    dealt = vectors.where("vec is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("v")))).alias("rows")), count
+def _cells(vectors: DataFrame, block: int, upper: bool) -> DataFrame:
+    """Vectors in cells of two blocks. No row, batch or task grows with the table: blocks are dealt by a hash of the id and vectors travel one by one."""
+    rows = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("v"))
+    return cells.alone(rows, cells.parts_for(vectors.count(), block), upper, "id", "v")
+
 
+def _matrix(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids, v = ((c.chunk(0) if isinstance(c, pa.ChunkedArray) else c) for c in rows.columns)
+    return ids.to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
-def _met(vectors: DataFrame, block: int, upper: bool) -> DataFrame:
-    blocks, count = _blocks(vectors, vectors.count(), block)
-    left = blocks.select(F.col("block").alias("p"), F.explode(F.sequence(F.col("block") if upper else F.lit(0), F.lit(count - 1))).alias("q"), F.col("rows").alias("left"))
-    return left.join(blocks.select(F.col("block").alias("q"), F.col("rows").alias("right")), "q").select("left", "right", (F.col("p") == F.col("q")).alias("same"))
 
+def _products(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Where a slice of x begins, and its products with y."""
+    step = max(1, PRODUCTS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        yield at, x[at : at + step] @ y.T
 
-def _matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    held = rows.values
-    ids, v = held.field("id").to_numpy(zero_copy_only=False), held.field("v")
-    return ids, v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
 def pairs_at_least(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """i, j, cosine for pairs i < j of (id, vec) with dot product >= threshold. Unit vectors of one length; null vectors take no part.
 
-    Each pair of blocks is one matrix product, and only pairs over the threshold leave it.
+    A block meets slices of another as matrix products, and only pairs over the threshold leave the task.
     """
     kind = dict(vectors.dtypes)["id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for left, right, same in zip(b.column(0), b.column(1), b.column(2)):
-                (i, x), (j, y) = _matrix(left), _matrix(right)
-                for at in range(0, len(i), SLICE):
-                    s = x[at : at + SLICE] @ y.T
-                    a, c = np.nonzero(np.triu(s >= threshold, at + 1) if same.as_py() else s >= threshold)
-                    p, q = i[at + a], j[c]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(s[a, c])], ["i", "j", "cosine"])
+    def meet(held: tuple, asked: pa.RecordBatch, same: bool) -> Iterator[pa.RecordBatch]:
+        (j, y), (i, x) = held, _matrix(asked)
+        for at, s in _products(x, y):
+            a, c = _where(s >= threshold)
+            p, q, score = i[at + a], j[c], s[a, c]
+            if same:  # each pair of the block comes both ways
+                once = p < q
+                p, q, score = p[once], q[once], score[once]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(score)], ["i", "j", "cosine"])
+
+    return _cells(vectors, block, True).mapInArrow(lambda batches: cells.met(batches, _matrix, meet), f"i {kind}, j {kind}, cosine double")
 
-    return _met(vectors, block, True).mapInArrow(run, f"i {kind}, j {kind}, cosine double")
+
+def _best(s: np.ndarray, k: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest of each row of s by rounded scores, ties by the smaller place.
+
+    The k-th largest of the maxima of stretches of a row can't be over its k-th largest, so what is under it needs no sorting.
+    """
+    n, width = s.shape
+    edge = np.full(n, -np.inf)
+    if width > k:
+        stretch = max(1, min(128, width // (4 * k)))
+        tops = s[:, : width // stretch * stretch].reshape(n, -1, stretch).max(axis=2)
+        edge = np.partition(tops, tops.shape[1] - k, axis=1)[:, -k] - 1e-9  # ties are broken by rounded scores
+    a, c = _where((s >= edge[:, None]) & (s > -np.inf))
+    order = np.lexsort((place[c], -np.round(s[a, c], 9), a))
+    a, c = a[order], c[order]
+    first = np.searchsorted(a, np.arange(n))
+    kept = np.arange(len(a)) - first[a] < k
+    return a[kept], c[kept]
 
 
 def neighbours(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """i, j, cosine, rank: the k nearest others of each row, ties to the smaller id. Each block keeps its own k first."""
     kind = dict(vectors.dtypes)["id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for left, right, same in zip(b.column(0), b.column(1), b.column(2)):
-                (i, x), (j, y) = _matrix(left), _matrix(right)
-                for at in range(0, len(i), SLICE):
-                    s = x[at : at + SLICE] @ y.T
-                    if same.as_py():
-                        s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-                    if s.shape[1] > k:
-                        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1] - 1e-9  # ties are broken by rounded scores
-                        a, c = np.nonzero((s >= edge[:, None]) & np.isfinite(s))
-                    else:
-                        a, c = np.nonzero(np.isfinite(s))
-                    yield pa.RecordBatch.from_arrays([pa.array(i[at + a]), pa.array(j[c]), pa.array(s[a, c])], ["i", "j", "cosine"])
-
-    found = _met(vectors, block, False).mapInArrow(run, f"i {kind}, j {kind}, cosine double")
+    def held_of(rows: pa.Table) -> tuple:
+        j, y = _matrix(rows)
+        order = np.argsort(j)
+        return j[order], y[order], np.arange(len(j))
+
+    def meet(held: tuple, asked: pa.RecordBatch, same: bool) -> Iterator[pa.RecordBatch]:
+        (j, y, place), (i, x) = held, _matrix(asked)
+        for at, s in _products(x, y):
+            if same:
+                s[np.arange(len(s)), np.searchsorted(j, i[at : at + len(s)])] = -np.inf
+            a, c = _best(s, k, place)
+            yield pa.RecordBatch.from_arrays([pa.array(i[at + a]), pa.array(j[c]), pa.array(s[a, c])], ["i", "j", "cosine"])
+
+    found = _cells(vectors, block, False).mapInArrow(lambda batches: cells.met(batches, held_of, meet), f"i {kind}, j {kind}, cosine double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("cosine", 9)), "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -86,9 +106,9 @@ def top_k_pairs(vectors: DataFrame, k: int, threshold: float | None = None) -> D
 
 def mutual_pairs(vectors: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
     """Pairs that are each other's k nearest."""
-    near = neighbours(vectors, k)
-    back = near.select(F.col("j").alias("i"), F.col("i").alias("j"))
-    found = near.where("i < j").join(back, ["i", "j"], "left_semi")
+    near = neighbours(vectors, k).select(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.col("i") < F.col("j"), "cosine").toDF("lo", "hi", "up", "cosine")
+    both = near.groupBy("lo", "hi").agg(F.max(F.when(F.col("up"), F.col("cosine"))).alias("cosine"), F.count_if("up").alias("there"), F.count_if(~F.col("up")).alias("back"))
+    found = both.where("there > 0 and back > 0").withColumnsRenamed({"lo": "i", "hi": "j"})
     return (found.where(F.col("cosine") >= threshold) if threshold is not None else found).select("i", "j", "cosine")
 
 
@@ -99,8 +119,9 @@ def capped(pairs: DataFrame, most: int) -> DataFrame:
 
 def with_pages(pairs: DataFrame, panels: DataFrame) -> DataFrame:
     """page_a, page_b, same_page and gap of pairs (i, j); a missing page is the same as none."""
-    a = panels.select(F.col("panel_id").alias("i"), F.col("page").alias("page_a"))
-    b = panels.select(F.col("panel_id").alias("j"), F.col("page").alias("page_b"))
+    pages = beside(panels.select("panel_id", "page"))
+    a = pages.select(F.col("panel_id").alias("i"), F.col("page").alias("page_a"))
+    b = pages.select(F.col("panel_id").alias("j"), F.col("page").alias("page_b"))
     return (
         pairs.join(a, "i", "left").join(b, "j", "left").withColumn("same_page", F.coalesce(F.col("page_a") == F.col("page_b"), F.lit(False))).withColumn("gap", F.abs(F.col("page_a") - F.col("page_b")))
     )
@@ -118,7 +139,7 @@ def page_breakdown(pairs: DataFrame) -> DataFrame:
     return pairs.agg(n.alias("pairs"), same.alias("same_page"), (n - same).alias("cross_page"), F.round(F.coalesce(100.0 * same / F.nullif(n, F.lit(0)), F.lit(0.0)), 6).alias("same_page_pct"))
 
 
-def similarity_stats(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+def similarity_stats(vectors: DataFrame) -> DataFrame:
     """id, mu, sd: mean and population deviation of each row's dot products with all others, without the pairs.
 
     The sums over all others follow from the sum of all vectors and their second moments, so this is linear in rows.
@@ -152,7 +173,8 @@ def similarity_stats(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
                 square = (np.einsum("ij,jk,ik->i", x, second, x) - own * own) / max(1, n - 1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mu), pa.array(np.maximum(np.sqrt(np.maximum(square - mu * mu, 0)), 1e-6))], ["id", "mu", "sd"])
 
-    return vs.mapInArrow(run, f"id {kind}, mu double, sd double")
+    stats = vs.mapInArrow(run, f"id {kind}, mu double, sd double")
+    return F.broadcast(stats) if n <= FEW else stats
 
 
 def z_global(pairs: DataFrame, stats: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -18,6 +18,15 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in [held, ROOT] if x)
 
 
+#: Rows of a few plain columns that are broadcast at most.
+FEW = 1_000_000
+
+
+def beside(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, broadcast to what joins it where it has few rows: then many pairs needn't be shuffled by each of their ends."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def workspace(spark: SparkSession, label: str) -> str:
     """A new place for an operator's own tables in the folder that driver and executors share, deleted when the application ends.
 
