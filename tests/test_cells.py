@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsieve.operators import cells, similarity
+from twinsieve.operators import cells, hashing, similarity
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,51 @@ def test_a_key_of_any_size_is_dealt(spark):
     got = cells.shuffled(cells.dealt(rows, parts, False, "id"), 4).toPandas()
     assert got[~got.asks].groupby(["key", "p", "q"]).size().max() < 140 and len(got[got.key == 8]) == 50
     assert len(got[got.key == 7]) == 450 * (5 + 4)
+
+
+@pytest.fixture(scope="module")
+def bundles(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((150, 64))
+    for k in range(50):  # a turned or mirrored copy with some signs changed
+        x[100 + k] = x[k][hashing._permutation(hashing.TRANSFORMS[k % 8])]
+        x[100 + k, rng.choice(64, k % 6, replace=False)] *= -1
+    x[20:40] = x[0]
+    b = hashing.bundle(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")).cache()
+    held = {}
+    for r in b.collect():
+        held.setdefault(r.id, [0] * 8)[r.ord] = r.hash & ((1 << 64) - 1)
+    return b, held
+
+
+def least(held, i, j):
+    return min(((held[i][0] ^ w).bit_count(), k) for k, w in enumerate(held[j]))
+
+
+@pytest.mark.parametrize("block", [1 << 15, 40])
+def test_orbits_by_cells(bundles, block, monkeypatch):
+    """Half the cells do, whichever of two rows asks."""
+    b, held = bundles
+    monkeypatch.setattr(hashing, "BLOCK", block)
+    want = {}
+    for i in range(150):
+        for j in range(i + 1, 150):
+            d, k = least(held, i, j)
+            if d <= 20:
+                want[i, j] = (d, f"{hashing.TRANSFORMS[0]} vs {hashing.TRANSFORMS[k]}")
+    rows = hashing.orbit_pairs(b, 20, hashing.Plan((), (), 0, 0.0)).collect()
+    assert len(rows) == len(want) and {(r.i, r.j): (r.hamming, r.transform) for r in rows} == want
+
+
+@pytest.mark.parametrize("block", [1 << 12, 10])
+def test_bundles_of_a_prefix_meet_in_cells(bundles, block):
+    """Once in all, though two bundles share several prefixes and a prefix has more rows than a cell."""
+    b, held = bundles
+    want = {}
+    for i in range(150):
+        for j in range(i + 1, 150):
+            d, k = least(held, i, j)
+            if d <= 22 and {w >> 56 for w in held[i]} & {w >> 56 for w in held[j]}:
+                want[i, j] = (d, f"{hashing.TRANSFORMS[0]} vs {hashing.TRANSFORMS[k]}")
+    rows = hashing.bundle_pairs(b, 2, 22, block).collect()
+    assert len(rows) == len(want) > 200 and {(r.i, r.j): (r.hamming, r.transform) for r in rows} == want

@@ -22,7 +22,7 @@ def parts_for(n: int, block: int) -> int:
     return max(1, -(-n // block), min(LEAST, n // FEW))
 
 
-def dealt(rows: DataFrame, parts: Column, upper: bool, *payload: str) -> DataFrame:
+def dealt(rows: DataFrame, parts: Column, upper: bool, *payload: Column | str) -> DataFrame:
     """key, p, q, asks and the payload of rows (key, id, ...), sorted for met(). upper: each pair of parts is one cell; else (p, q) and (q, p) are two.
 
     A row of part q is held in cells (p, q), and asks in cells (q, other). In cell (q, q) what is held meets itself.
@@ -39,7 +39,7 @@ def dealt(rows: DataFrame, parts: Column, upper: bool, *payload: str) -> DataFra
     if not upper:
         others = F.transform(F.filter(every, lambda k: k != F.col("_own")), lambda k: F.struct(F.col("_own").alias("p"), k.alias("q"), F.lit(True).alias("asks")))
         to = F.concat(to, others)
-    return rows.withColumn("_parts", parts.cast("int")).withColumn("_own", own).select("key", F.explode(to).alias("_cell"), *payload).select("key", "_cell.*", *payload)
+    return rows.withColumn("_parts", parts.cast("int")).withColumn("_own", own).select("key", F.explode(to).alias("_cell"), F.struct(*payload).alias("_row")).select("key", "_cell.*", "_row.*")
 
 
 def shuffled(dealt_rows: DataFrame, partitions: int) -> DataFrame:
