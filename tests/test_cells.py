@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsieve.operators import cells, hashing, similarity
+from twinsieve.operators import cells, hashing, similarity, tiles
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,21 @@ def test_bundles_of_a_prefix_meet_in_cells(bundles, block):
                 want[i, j] = (d, f"{hashing.TRANSFORMS[0]} vs {hashing.TRANSFORMS[k]}")
     rows = hashing.bundle_pairs(b, 2, 22, block).collect()
     assert len(rows) == len(want) > 200 and {(r.i, r.j): (r.hamming, r.transform) for r in rows} == want
+
+
+@pytest.mark.parametrize("block", [1 << 13, 9])
+def test_all_panels_of_a_modality_meet(spark, block):
+    """Only pairs that a similarity join had found once met; an unknown page is no other page."""
+    rows = [(i, None if i == 50 else i // 4, "confocal" if i % 3 else "gel") for i in range(90)]
+    df = spark.createDataFrame(rows, "panel_id long, page long, modality string")
+    want = sorted((i, j) for i, p, m in rows for j, q, o in rows if i < j and m == o == "confocal" and None not in (p, q) and p != q)
+    assert sorted((r.pair_lo, r.pair_hi) for r in tiles.same_modality_panels(df, block=block).collect()) == want
+
+
+def test_tiles_become_rows_after_the_joins(spark):
+    df = spark.createDataFrame([(1, 300, 260), (2, 500, 256), (3, 60, 60), (4, 256, 256)], "panel_id long, w int, h int")
+    n = {r.panel_id: r.tiles for r in tiles.tile_numbers(df).collect()}
+    assert n == {r.panel_id: r["count"] for r in tiles.micro_tiles(df).groupBy("panel_id").count().collect()} and 3 not in n
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 4)], "pair_lo long, pair_hi long")
+    got = sorted(tuple(r) for r in tiles.products(pairs, tiles.tile_numbers(df)).collect())
+    assert got == [(a, b, x, y) for a, b in ((1, 2), (2, 4)) for x in range(n[a]) for y in range(n[b])]

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Tiles
+from ..session import beside
+from . import cells
 
 
 def _starts(length: Column, size: Column, stride: Column) -> Column:
@@ -17,13 +23,22 @@ def micro_tiles(panels: DataFrame, t: Tiles = Tiles()) -> DataFrame:
     A panel smaller than the size gets its own size, under the least size none; n counts from 0 and stops at the panel's limit.
     Squares that the edges repeat stay.
     """
+    return _squares(panels, t).select("panel_id", "size", F.posexplode("every").alias("n", "b")).select("panel_id", "n", "b.x", "b.y", "size")
+
+
+def tile_numbers(panels: DataFrame, t: Tiles = Tiles()) -> DataFrame:
+    """panel_id, tiles: how many squares micro_tiles() makes of a panel, numbered from 0; a panel without any has no row."""
+    return _squares(panels, t).select("panel_id", F.size("every").alias("tiles")).where("tiles > 0")
+
+
+def _squares(panels: DataFrame, t: Tiles) -> DataFrame:
     sized = panels.withColumn("size", F.least("w", "h", F.lit(t.size))).where(F.col("size") >= t.least).withColumn("stride", F.greatest(F.lit(8), (F.col("size") * t.stride).cast("int")))
     xs, ys = _starts(F.col("w"), F.col("size"), F.col("stride")), _starts(F.col("h"), F.col("size"), F.col("stride"))
     inner = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("x"), y.alias("y")))))
     bottom = F.when(F.element_at(ys, -1) + F.col("size") < F.col("h"), F.transform(xs, lambda x: F.struct(x.alias("x"), (F.col("h") - F.col("size")).alias("y")))).otherwise(F.filter(inner, lambda z: F.lit(False)))
     right = F.when(F.element_at(xs, -1) + F.col("size") < F.col("w"), F.transform(ys, lambda y: F.struct((F.col("w") - F.col("size")).alias("x"), y.alias("y")))).otherwise(F.filter(inner, lambda z: F.lit(False)))
     every = F.slice(F.concat(inner, bottom, right), 1, t.per_panel)
-    return sized.select("panel_id", "size", F.posexplode(every).alias("n", "b")).select("panel_id", "n", "b.x", "b.y", "size")
+    return sized.select("panel_id", "size", every.alias("every"))
 
 
 def capped(tiles: DataFrame, t: Tiles = Tiles()) -> DataFrame:
@@ -33,7 +48,8 @@ def capped(tiles: DataFrame, t: Tiles = Tiles()) -> DataFrame:
 
 def cross_panel(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
     """Pairs of tiles (i, j, ...) of different panels, with the two panels in order."""
-    a, b = tiles.select(F.col("id").alias("i"), F.col("panel_id").alias("pa")), tiles.select(F.col("id").alias("j"), F.col("panel_id").alias("pb"))
+    own = beside(tiles.select("id", "panel_id"))
+    a, b = own.select(F.col("id").alias("i"), F.col("panel_id").alias("pa")), own.select(F.col("id").alias("j"), F.col("panel_id").alias("pb"))
     return pairs.join(a, "i").join(b, "j").where("pa <> pb").select(*pairs.columns, F.least("pa", "pb").alias("pair_lo"), F.greatest("pa", "pb").alias("pair_hi"))
 
 
@@ -55,11 +71,23 @@ def use_tiles(panels: DataFrame, least: int = 3) -> bool:
     return panels.where(F.col("modality") == "confocal").limit(least).count() >= least
 
 
-def same_modality_panels(panels: DataFrame, pairs: DataFrame, modality: str = "confocal") -> DataFrame:
-    """Of candidate pairs (i, j), those of two panels of one modality on different pages. Panels meet through the candidates, not through the modality."""
-    p = panels.where(F.col("modality") == modality)
-    a, b = p.select(F.col("panel_id").alias("i"), F.col("page").alias("p")), p.select(F.col("panel_id").alias("j"), F.col("page").alias("q"))
-    return pairs.join(a, "i").join(b, "j").where("p <> q").select(F.least("i", "j").alias("pair_lo"), F.greatest("i", "j").alias("pair_hi")).distinct()
+def same_modality_panels(panels: DataFrame, modality: str = "confocal", block: int = 1 << 13) -> DataFrame:
+    """All pairs of panels of one modality on different pages. Panels meet in cells of two blocks, so no task sees the whole modality."""
+    p = panels.where(F.col("modality") == modality).select(F.col("panel_id").alias("id"), "page")
+    kind = dict(p.dtypes)
+
+    def columns(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+        return [c.to_numpy() if isinstance(c, pa.ChunkedArray) else c.to_numpy(zero_copy_only=False) for c in rows.columns]
+
+    def meet(held: list[np.ndarray], asked: pa.RecordBatch, same: bool) -> Iterator[pa.RecordBatch]:
+        (j, q), (i, page) = held, columns(asked)
+        other = page[:, None] != q
+        a, c = np.nonzero(other & (i[:, None] < j) if same else other)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i[a], j[c])), pa.array(np.maximum(i[a], j[c]))], ["pair_lo", "pair_hi"])
+
+    known = p.where("page is not null")  # an unknown page isn't known to be another
+    dealt = cells.alone(known, cells.parts_for(known.count(), block), True, "id", "page")
+    return dealt.mapInArrow(lambda batches: cells.met(batches, columns, meet, 64), f"pair_lo {kind['id']}, pair_hi {kind['id']}")
 
 
 def bundle_min(matches: DataFrame, bundles: DataFrame) -> DataFrame:
@@ -74,10 +102,11 @@ def bundle_min(matches: DataFrame, bundles: DataFrame) -> DataFrame:
 
 
 def products(panel_pairs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Every tile of one panel with every tile of the other, for each pair of panels; a panel has a bounded number of tiles."""
-    a = tiles.select(F.col("panel_id").alias("pair_lo"), F.col("n").alias("tile_a"))
-    b = tiles.select(F.col("panel_id").alias("pair_hi"), F.col("n").alias("tile_b"))
-    return panel_pairs.select("pair_lo", "pair_hi").join(a, "pair_lo").join(b, "pair_hi").select("pair_lo", "pair_hi", "tile_a", "tile_b")
+    """Every tile of one panel with every tile of the other, for each pair of panels; tiles: tile_numbers(). Tiles become rows only after the joins."""
+    a = tiles.select(F.col("panel_id").alias("pair_lo"), F.col("tiles").alias("_a"))
+    b = tiles.select(F.col("panel_id").alias("pair_hi"), F.col("tiles").alias("_b"))
+    met = panel_pairs.select("pair_lo", "pair_hi").join(a, "pair_lo").join(b, "pair_hi")
+    return met.select("pair_lo", "pair_hi", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)).alias("tile_a"), "_b").select("pair_lo", "pair_hi", "tile_a", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("tile_b"))
 
 
 def regular_tiles(panels: DataFrame, size: int = 384, stride: float = 0.65) -> DataFrame:

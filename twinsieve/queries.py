@@ -411,9 +411,9 @@ def tile_evidence_apply(spark, d):
     return rf.with_tile_evidence(_tiered(spark, d), e).select("pair_lo", "pair_hi", "tile_count", "tier", "tier_path")
 
 
-@query(f"{PAGED_SQL} SELECT i AS pair_lo, j AS pair_hi FROM paged JOIN panel a ON i = a.panel_id JOIN panel b ON j = b.panel_id WHERE a.modality = 'confocal' AND b.modality = 'confocal' AND NOT same_page")
+@query(f"WITH {PANEL_SQL} SELECT a.panel_id AS pair_lo, b.panel_id AS pair_hi FROM panel a JOIN panel b ON a.panel_id < b.panel_id AND a.page <> b.page AND a.modality = 'confocal' AND b.modality = 'confocal'")
 def same_modality_panels(spark, d):
-    return tl.same_modality_panels(tb.panel(spark, d), _pairs(spark, d))
+    return tl.same_modality_panels(tb.panel(spark, d))
 
 
 # --- evaluation ---------------------------------------------------------------------------
@@ -824,9 +824,9 @@ def modality_join(spark, d):
 
 @query(f"{TILES_SQL}, t AS (SELECT * FROM tiles WHERE n < 20), own AS (SELECT DISTINCT panel_id FROM t), pairs AS (SELECT a.panel_id AS pair_lo, b.panel_id AS pair_hi FROM own a JOIN own b ON b.panel_id = a.panel_id + 1) SELECT pair_lo, pair_hi, a.n AS tile_a, b.n AS tile_b FROM pairs JOIN t a ON a.panel_id = pair_lo JOIN t b ON b.panel_id = pair_hi")
 def tile_products(spark, d):
-    t = tl.micro_tiles(_sized(spark, d))
-    p = t.select("panel_id").distinct()
-    return tl.products(p.select(F.col("panel_id").alias("pair_lo"), (F.col("panel_id") + 1).alias("pair_hi")).join(p.select(F.col("panel_id").alias("pair_hi")), "pair_hi"), t)
+    t = tl.tile_numbers(_sized(spark, d))
+    p = t.select("panel_id")
+    return tl.products(p.select(F.col("panel_id").alias("pair_lo"), (F.col("panel_id") + 1).alias("pair_hi")), t)
 
 
 @query(f"WITH {SIZED_SQL}, s AS (SELECT panel_id, list_filter(list_transform(range(0, 50), lambda k: k * 249), lambda v: v <= w - 384) AS xs, list_filter(list_transform(range(0, 50), lambda k: k * 249), lambda v: v <= h - 384) AS ys FROM sized WHERE w >= 384 AND h >= 384), r AS (SELECT panel_id, unnest(ys) AS y, xs FROM s), e AS (SELECT panel_id, y, unnest(xs) AS x FROM r) SELECT panel_id, (row_number() OVER (PARTITION BY panel_id ORDER BY y, x) - 1)::INTEGER AS n, x::INTEGER AS x, y::INTEGER AS y, 384 AS size FROM e")
