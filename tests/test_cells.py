@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsieve.operators import cells, hashing, similarity, tiles
+from twinsieve.operators import ann, cells, hashing, merge, similarity, tiles
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +126,21 @@ def test_tiles_become_rows_after_the_joins(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (2, 4)], "pair_lo long, pair_hi long")
     got = sorted(tuple(r) for r in tiles.products(pairs, tiles.tile_numbers(df)).collect())
     assert got == [(a, b, x, y) for a, b in ((1, 2), (2, 4)) for x in range(n[a]) for y in range(n[b])]
+
+
+def test_no_lists_are_built_where_a_sample_tells_that_blocks_are_cheaper(spark, vectors, monkeypatch):
+    """The whole table was put into lists first, to learn that."""
+    _, df = vectors
+    monkeypatch.setattr(ann, "build", lambda *a, **k: pytest.fail("built"))
+    assert ann.adaptive_pairs(df, 0.1, worth=10).count() == similarity.pairs_at_least(df, 0.1).count()
+
+
+def test_sources_meet_in_one_grouping(spark):
+    s = spark.createDataFrame([(2, 1, 0.5), (1, 2, 0.7), (3, 4, 0.1)], "i long, j long, cosine double")
+    h = spark.createDataFrame([(1, 2, 9), (5, 6, 3)], "i long, j long, hamming int")
+    g = spark.createDataFrame([(6, 5, 7), (8, 7, 1)], "i long, j long, orb_inliers int")
+    out = merge.merged(s, h, g)
+    assert {(r.pair_lo, r.pair_hi, r.cosine, r.hamming, r.orb_inliers, r.source) for r in out.collect()} == {
+        (1, 2, 0.7, 9, None, "CLIP+pHash"), (3, 4, 0.1, None, None, "CLIP"), (5, 6, None, 3, 7, "pHash+ORB"), (7, 8, None, None, 1, "ORB")
+    }
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -223,6 +223,17 @@ def opened(spark: SparkSession, at: str) -> Index:
     return Index(spark, at, np.array([r.centre for r in cells]), np.array([r.radius for r in cells]), np.array([r.n for r in cells]), np.array([r.parts for r in cells]))
 
 
+def sample_share(sample: np.ndarray, n: int, threshold: float) -> float:
+    """Index.share() as the sample alone tells it, before any row is placed. Lists of all rows are no narrower than those of a sample."""
+    centres = fitted(sample, min(CELLS, max(1, int(2 * n**0.5))))
+    theta = angles(sample, centres)
+    home, near = theta.argmin(axis=1), theta.min(axis=1)
+    count, radius = np.bincount(home, minlength=len(centres)), np.zeros(len(centres))
+    np.maximum.at(radius, home, near)
+    asking = theta[:1024]
+    return float((reached(asking, limit(threshold), radius, count) * count).sum(axis=1).mean() / max(1, count.sum()))
+
+
 def adaptive_pairs(vectors: DataFrame, threshold: float, worth: int = WORTH, share: float = SHARE, tally=None) -> DataFrame:
     """i, j, cosine of all pairs i < j with a cosine of at least the threshold, by the way that suits the rows.
 
@@ -231,6 +242,8 @@ def adaptive_pairs(vectors: DataFrame, threshold: float, worth: int = WORTH, sha
     """
     n = rows_of(vectors).count()
     if n >= worth:
+        if sample_share(sampled(vectors, n), n, threshold) > share:
+            return similarity.pairs_at_least(vectors, threshold)
         index = build(vectors)
         if index.share(sampled(vectors, n, 1024), threshold) <= share:
             return index.pairs(threshold, vectors, tally)

@@ -12,21 +12,28 @@ HASHES = {"hamming": "int", "transform": "string"}
 GEOMETRY = {"orb_inliers": "int", "inlier_ratio": "double", "reproj_error": "double", "crop_coverage": "double", "homography_type": "string"}
 
 
-def keyed(pairs: DataFrame, a: str, b: str, signals: dict[str, str], source: str) -> DataFrame:
-    """pair_lo, pair_hi, the signals and a flag; rows that repeat a pair become one with the largest of each signal."""
-    typed = [(F.col(c) if c in pairs.columns else F.lit(None)).cast(t).alias(c) for c, t in signals.items()]
-    rows = pairs.select(F.least(a, b).alias("pair_lo"), F.greatest(a, b).alias("pair_hi"), *typed)
-    return rows.groupBy("pair_lo", "pair_hi").agg(*[F.max(c).alias(c) for c in signals]).withColumn(f"from_{source}", F.lit(True))
+def gathered(*sources: tuple[DataFrame, dict[str, str], str]) -> DataFrame:
+    """pair_lo, pair_hi, the signals of all sources and a flag for each: rows (i, j and signals) of a source that repeat a pair become one with the
+    largest of each signal. The sources' rows meet in one grouping, so a pair is shuffled once whatever sources it has."""
+    every = {c: t for _, signals, _ in sources for c, t in signals.items()}
+
+    def rows(pairs: DataFrame, signals: dict[str, str], source: str) -> DataFrame:
+        typed = [(F.col(c) if c in signals and c in pairs.columns else F.lit(None)).cast(t).alias(c) for c, t in every.items()]
+        flags = [F.lit(True if n == source else None).cast("boolean").alias(f"from_{n}") for _, _, n in sources]
+        return pairs.select(F.least("i", "j").alias("pair_lo"), F.greatest("i", "j").alias("pair_hi"), *typed, *flags)
+
+    out = rows(*sources[0])
+    for s in sources[1:]:
+        out = out.union(rows(*s))
+    return out.groupBy("pair_lo", "pair_hi").agg(*[F.max(c).alias(c) for c in every], *[F.max(f"from_{n}").alias(f"from_{n}") for _, _, n in sources])
 
 
 def merged(semantic: DataFrame, hashes: DataFrame, geometry: DataFrame | None = None) -> DataFrame:
-    """Full outer join of the sources (rows i, j and signals) by pair; source is CLIP, pHash, ORB, joined by + in that order."""
-    out = keyed(semantic, "i", "j", SEMANTIC, "CLIP").join(keyed(hashes, "i", "j", HASHES, "pHash"), ["pair_lo", "pair_hi"], "full")
-    names = ["CLIP", "pHash"]
-    if geometry is not None:
-        out, names = out.join(keyed(geometry, "i", "j", GEOMETRY, "ORB"), ["pair_lo", "pair_hi"], "full"), [*names, "ORB"]
+    """The sources (rows i, j and signals) by pair, all pairs that any has; source is CLIP, pHash, ORB, joined by + in that order."""
+    sources = [(semantic, SEMANTIC, "CLIP"), (hashes, HASHES, "pHash"), *([(geometry, GEOMETRY, "ORB")] if geometry is not None else [])]
+    names = [n for _, _, n in sources]
     source = F.concat_ws("+", *[F.when(F.col(f"from_{n}"), F.lit(n)) for n in names])
-    return out.withColumn("source", source).drop(*[f"from_{n}" for n in names])
+    return gathered(*sources).withColumn("source", source).drop(*[f"from_{n}" for n in names])
 
 
 def trigger_pairs(semantic: DataFrame, hashes: DataFrame, cosine: float = 0.985, hamming: int = 4) -> DataFrame:
@@ -105,8 +112,7 @@ def merged_package(semantic: DataFrame, hashes: DataFrame, geometry: DataFrame,
     source is CLIP, CLIP+pHash or pHash, and ORB only for a pair that geometry alone has; of geometry only the inliers are kept. Of rows that repeat a pair the
     largest value counts. structural: (i, j, ssim, patch_min, patch_topk).
     """
-    a, b = keyed(semantic, "i", "j", {"cosine": "double"}, "CLIP"), keyed(hashes, "i", "j", {"hamming": "int"}, "pHash")
-    g, s = keyed(geometry, "i", "j", {"orb_inliers": "int"}, "ORB"), keyed(structural, "i", "j", {"ssim": "double", "patch_min": "double", "patch_topk": "double"}, "SSIM")
-    out = a.join(b, ["pair_lo", "pair_hi"], "full").join(g, ["pair_lo", "pair_hi"], "full").join(s.drop("from_SSIM"), ["pair_lo", "pair_hi"], "left")
+    structure = (structural, {"ssim": "double", "patch_min": "double", "patch_topk": "double"}, "SSIM")
+    out = gathered((semantic, {"cosine": "double"}, "CLIP"), (hashes, {"hamming": "int"}, "pHash"), (geometry, {"orb_inliers": "int"}, "ORB"), structure).where("from_CLIP or from_pHash or from_ORB")
     source = F.coalesce(F.nullif(F.concat_ws("+", F.when(F.col("from_CLIP"), "CLIP"), F.when(F.col("from_pHash"), "pHash")), F.lit("")), F.lit("ORB"))
     return out.select("pair_lo", "pair_hi", "cosine", "ssim", "patch_min", "patch_topk", "hamming", "orb_inliers", source.alias("source"))
