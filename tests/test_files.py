@@ -3,12 +3,14 @@
 import json
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from twinsieve import cli
 from twinsieve.config import Config
 from twinsieve.operators import hashing
 from twinsieve.plans.engine import Engine
+from twinsieve.queries import ORACLE, QUERIES
 from twinsieve.sources import append_log, cache, files
 from twinsieve.streaming import incremental
 
@@ -41,6 +43,21 @@ def test_no_semantic_pair_is_cut(spark):
     assert Engine(spark, capped).semantic(p).count() == 7
 
 
+def test_engine_run_as_its_sql_on_near_copies(spark, tmp_path):
+    """The given vectors have no near copies, for which a run once had further paths and a tier B that its SQL doesn't have."""
+    spark.range(240).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.sin(k * k + F.floor(F.col("id") / 24)) + 0.12 * F.sin(F.col("id") * 31 + k * 17)).alias("x")).select(
+        "vec_id", F.transform("x", lambda v: v / F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, u: s + u * u))).cast("array<float>").alias("embedding"), (F.col("vec_id") % 7).cast("int").alias("label")
+    ).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["engine_run"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = db.sql(ORACLE["engine_run"])
+    text = lambda rows: sorted(tuple(repr(x) for x in r) for r in rows)
+    rows = want.select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall()
+    assert text(tuple(r) for r in got.collect()) == text(rows)
+    assert any(r[3] in (4, 5) and r[2] >= 0.965 and r[6] is None for r in rows)
+
+
 def test_empty_report_keeps_its_header(spark, tmp_path):
     result = Engine(spark).run(panels(spark).limit(0))
     assert result.pairs.count() == 0

@@ -54,6 +54,27 @@ def ihc_verified(t: Tiers = Tiers()) -> Column:
     return holds((F.col("ihc_ssim") >= t.ihc_ssim) & (F.col("ihc_ncc") >= t.ihc_ncc)) | holds(F.col("ihc_hamming") <= t.ihc_hamming)
 
 
+def _paths(s: Signals, t: Tiers) -> dict[str, Column]:
+    """The paths by hash, cosine, SSIM and geometry alone, the first of which that holds names the pair."""
+    return {
+        "Exact": s.hamming <= t.a_hamming,
+        "Strict": _strict(s, t),
+        "ORB": s.geometry(t.orb_inliers, t.orb_coverage, t.orb_error, t.orb_ratio),
+        "Relaxed": s.summed(t.relaxed_cosine, t.relaxed_ssim, t.relaxed_sum),
+        "Western": s.summed(t.western_cosine, t.western_ssim, t.western_sum),
+    }
+
+
+def _first(paths: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(c, F.lit(name)) for name, c in paths.items()])
+
+
+def tiered_plain(pairs: DataFrame, t: Tiers = Tiers()) -> DataFrame:
+    """tier and tier_path by those paths and no other rule: no pair is flagged, and none is B."""
+    first = _first(_paths(Signals(), t))
+    return pairs.withColumns({"confocal_fp": F.lit(False), "tier": F.when(first.isNotNull(), "A"), "tier_path": first})
+
+
 def tiered(pairs: DataFrame, t: Tiers = Tiers()) -> DataFrame:
     """Universal tiering: confocal_fp, tier, tier_path. The first path that holds names the pair.
 
@@ -64,18 +85,13 @@ def tiered(pairs: DataFrame, t: Tiers = Tiers()) -> DataFrame:
     deep = flagged & deep_verified(t) if "deep_ssim" in pairs.columns else F.lit(False)
     ihc = (s.cosine >= t.fp_cosine) & (s.ssim < t.ihc_pre_ssim) & ihc_verified(t) if "ihc_ssim" in pairs.columns else F.lit(False)
     wrong = flagged & ~deep
-    paths = {
-        "Exact": s.hamming <= t.a_hamming,
-        "Strict": _strict(s, t),
-        "ORB": s.geometry(t.orb_inliers, t.orb_coverage, t.orb_error, t.orb_ratio),
-        "Relaxed": s.summed(t.relaxed_cosine, t.relaxed_ssim, t.relaxed_sum),
-        "Western": s.summed(t.western_cosine, t.western_ssim, t.western_sum),
+    paths = _paths(s, t) | {
         "ORB-Relaxed": _relaxed_orb(s, t),
         "Confocal-A": (s.cosine >= 0.965) & ((s.patch >= 0.78) | s.geometry(25, 0.70, 5.0) | (s.hamming <= 5)),
         "Confocal-DeepVerify": deep,
         "IHC-DeepVerify": ihc,
     }
-    first = F.coalesce(*[F.when(c, F.lit(name)) for name, c in paths.items()])
+    first = _first(paths)
     a = first.isNotNull() & ~wrong
     confocal_b = (s.cosine >= 0.955) & ((s.patch >= 0.72) | s.geometry(20, 0.65, 6.0) | (s.hamming <= 6))
     b = (

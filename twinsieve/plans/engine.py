@@ -81,13 +81,13 @@ class Engine:
 
     def run(
         self, panels: DataFrame, annotate: Step | None = None, geometry: DataFrame | Step | None = None, tile_matches: Step | None = None, by_modality: bool = False, gate_near_pages: bool = False,
-        classifier: PipelineModel | None = None, measure: bool = True,
+        classifier: PipelineModel | None = None, measure: bool = True, plain: bool = False,
     ) -> Result:
         """annotate adds ssim, patch_min, patch_topk to semantic pairs (i, j, cosine, clip_z).
 
         geometry: a function of the pairs worth a check (pair_lo, pair_hi; close by cosine or hash) that gives (i, j, orb_inliers, ...), or such a table, of which those pairs are taken.
         tile_matches: a function of the pairs that gives their tiles' matches (pair_lo, pair_hi, ssim, hamming, cosine, confidence, method); called if enough panels are confocal.
-        by_modality: tiers by the pair's modality instead of the universal ones. gate_near_pages drops pairs on near pages without support.
+        by_modality: tiers by the pair's modality instead of the universal ones; plain: by the paths of tiering.tiered_plain() alone. gate_near_pages drops pairs on near pages without support.
         classifier: one of tuning.fitted_classifier() or load_classifier(). measure: each stage is written, counted and timed as it runs; else all is lazy.
         """
         p, metrics = self.config.pairing, Metrics(self.spark)
@@ -107,7 +107,7 @@ class Engine:
         kinds = merge.SEMANTIC | merge.HASHES | merge.GEOMETRY
         named = named.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in named.columns} | {"gap": F.abs(F.col("_page_a") - F.col("_page_b"))}).drop("_page_a", "_page_b")
         merged = stage("merge", (merge.near_page_gate(named, p.trigger_hamming, near=p.near_gap) if gate_near_pages else named).drop("gap"), sources)
-        tiered = tiering.tiered_by_modality(merged) if by_modality else tiering.tiered(merged, self.config.tiers)
+        tiered = tiering.tiered_by_modality(merged) if by_modality else (tiering.tiered_plain if plain else tiering.tiered)(merged, self.config.tiers)
         a, b = F.count_if(F.col("tier") == "A"), F.count_if(F.col("tier") == "B")
         out, last = stage("tiers", refine.refined(tiered), ("merge",), tier_a=a, tier_b=b), "tiers"
         if tile_matches is not None and tiles.use_tiles(panels):
