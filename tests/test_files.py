@@ -1,16 +1,19 @@
 """Readers, writers, whole runs and streams."""
 
+import glob
 import json
 import math
+from urllib.parse import urlparse
 
 import duckdb
 from pyspark.sql import functions as F
 
 from twinsieve import cli
 from twinsieve.config import Config
-from twinsieve.operators import hashing
+from twinsieve.operators import hashing, merge, similarity
 from twinsieve.plans.engine import Engine
 from twinsieve.queries import ORACLE, QUERIES
+from twinsieve.session import workspace
 from twinsieve.sources import append_log, cache, files
 from twinsieve.streaming import incremental
 
@@ -43,11 +46,16 @@ def test_no_semantic_pair_is_cut(spark):
     assert Engine(spark, capped).semantic(p).count() == 7
 
 
+def near_copies(spark):
+    """240 unit vectors in ten groups."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.sin(k * k + F.floor(F.col("id") / 24)) + 0.12 * F.sin(F.col("id") * 31 + k * 17))
+    unit = F.transform("x", lambda v: v / F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, u: s + u * u))).cast("array<float>")
+    return spark.range(240).withColumn("x", parts).select(F.col("id").alias("vec_id"), unit.alias("embedding"), (F.col("id") % 7).cast("int").alias("label"))
+
+
 def test_engine_run_as_its_sql_on_near_copies(spark, tmp_path):
     """The given vectors have no near copies, for which a run once had further paths and a tier B that its SQL doesn't have."""
-    spark.range(240).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.sin(k * k + F.floor(F.col("id") / 24)) + 0.12 * F.sin(F.col("id") * 31 + k * 17)).alias("x")).select(
-        "vec_id", F.transform("x", lambda v: v / F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, u: s + u * u))).cast("array<float>").alias("embedding"), (F.col("vec_id") % 7).cast("int").alias("label")
-    ).write.parquet(f"{tmp_path}/embeddings.parquet")
+    near_copies(spark).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = QUERIES["engine_run"](spark, str(tmp_path))
     db = duckdb.connect()
     db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
@@ -58,6 +66,33 @@ def test_engine_run_as_its_sql_on_near_copies(spark, tmp_path):
     assert any(r[3] in (4, 5) and r[2] >= 0.965 and r[6] is None for r in rows)
 
 
+def test_pairs_meet_as_in_the_merge_of_sources(spark):
+    """A run doesn't group its sources' rows, as each has a pair once; what comes out is the same."""
+    vectors = near_copies(spark).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    semantic = similarity.pairs_at_least(vectors, 0.97).withColumn("ssim", (F.col("i") + F.col("j")) % 50 / 50.0).persist()
+    hashes = hashing.orbit_pairs(hashing.bundle(vectors), 4).persist()
+    near = hashing.with_distance(semantic, hashing.bundle(vectors), 4)
+    both = near.where("hamming is not null").select("i", "j", F.lit(True).alias("met"))
+    found, checked = merge.apart(near, hashes.join(both, ["i", "j"], "left")), merge.worth(0.975, 3)
+    there = found.where(checked).where("(pair_lo + pair_hi) % 3 > 0").select(F.col("pair_lo").alias("i"), F.col("pair_hi").alias("j"), ((F.col("pair_lo") * 17 + F.col("pair_hi")) % 60).cast("int").alias("orb_inliers"), F.lit(0.5).alias("inlier_ratio"))
+    geometry = there.union(there.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("orb_inliers") + 1, "inlier_ratio")).persist()
+    want, got = merge.merged(semantic, hashes, geometry), merge.with_geometry(found, checked, geometry)
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    rows = [sorted(map(repr, df.select(*cols).collect())) for df in (got, want)]
+    assert rows[0] == rows[1] and {r.source for r in want.select("source").distinct().collect()} >= {"CLIP", "pHash", "CLIP+pHash", "CLIP+ORB", "CLIP+pHash+ORB"}
+
+
+def test_a_run_keeps_no_stage_that_nothing_reads(spark):
+    p = panels(spark)
+    geometry = lambda w: w.select(F.col("pair_lo").alias("i"), F.col("pair_hi").alias("j"), F.lit(40).alias("orb_inliers"))
+    root = urlparse(workspace(spark, "x").rpartition("/")[0]).path
+    before = set(glob.glob(f"{root}/stages-*"))
+    result = Engine(spark).run(p, geometry=geometry)
+    assert [s["stage"] for s in result.metrics.stages] == ["panels", "semantic", "hashes", "triggers", "geometry", "merge", "tiers"]
+    assert len(set(glob.glob(f"{root}/stages-*")) - before) == 2 and result.pairs.count() == 1
+
+
 def test_empty_report_keeps_its_header(spark, tmp_path):
     result = Engine(spark).run(panels(spark).limit(0))
     assert result.pairs.count() == 0

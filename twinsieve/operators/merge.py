@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import ordering
 
@@ -36,6 +36,38 @@ def merged(semantic: DataFrame, hashes: DataFrame, geometry: DataFrame | None =
     return gathered(*sources).withColumn("source", source).drop(*[f"from_{n}" for n in names])
 
 
+def apart(semantic: DataFrame, hashes: DataFrame) -> DataFrame:
+    """pair_lo, pair_hi and the signals of semantic pairs (i, j, signals, and hamming and transform of those that are in hashes too), and of hashes (i, j,
+    hamming, transform, met) that have not met a semantic pair: no pair is twice in it, and none is shuffled. from_CLIP and from_pHash say where it is."""
+    every = SEMANTIC | HASHES
+
+    def rows(pairs: DataFrame, semantic: bool) -> DataFrame:
+        typed = [(F.col(c) if c in pairs.columns else F.lit(None)).cast(t).alias(c) for c, t in every.items()]
+        return pairs.select(F.least("i", "j").alias("pair_lo"), F.greatest("i", "j").alias("pair_hi"), *typed, F.lit(semantic).alias("from_CLIP"), F.col("hamming").isNotNull().alias("from_pHash"))
+
+    return rows(semantic, True).union(rows(hashes.where("met is null"), False))
+
+
+def worth(cosine: float, hamming: int) -> Column:
+    """Whether a pair is worth a geometric check: close by cosine or by hash."""
+    return F.coalesce(F.col("cosine") >= cosine, F.lit(False)) | F.coalesce(F.col("hamming") <= hamming, F.lit(False))
+
+
+def with_geometry(pairs: DataFrame, checked: Column, geometry: DataFrame | None = None) -> DataFrame:
+    """Pairs of apart() with the signals of geometry (i, j, signals) and source, as of merged(). Only the checked ones meet geometry's rows; the largest of
+    each signal counts if it repeats a pair, and rows of pairs that were not to be checked are left out."""
+    out, told = pairs.withColumn("from_ORB", F.lit(False)), {}
+    if geometry is not None:
+        told = {c: t for c, t in GEOMETRY.items() if c in geometry.columns}
+        keyed = geometry.select(F.least("i", "j").alias("pair_lo"), F.greatest("i", "j").alias("pair_hi"), *[F.col(c).cast(t).alias(c) for c, t in told.items()])
+        # dealt before it is grouped: nearly all pairs come once, and a grouping ahead of the shuffle would only fill memory
+        once = keyed.repartition("pair_lo", "pair_hi").groupBy("pair_lo", "pair_hi").agg(*[F.max(c).alias(c) for c in told], F.lit(True).alias("from_ORB"))
+        out = pairs.where(checked).join(once, ["pair_lo", "pair_hi"], "left").unionByName(pairs.where(~checked), allowMissingColumns=True)
+    source = F.concat_ws("+", *[F.when(F.col(f"from_{n}"), F.lit(n)) for n in ("CLIP", "pHash", "ORB")])
+    lacking = {c: F.lit(None).cast(t) for c, t in GEOMETRY.items() if c not in told}
+    return out.withColumns(lacking | {"source": source}).drop("from_CLIP", "from_pHash", "from_ORB")
+
+
 def trigger_pairs(semantic: DataFrame, hashes: DataFrame, cosine: float = 0.985, hamming: int = 4) -> DataFrame:
     """Pairs worth a geometric check: close by cosine or by hash."""
     a = semantic.where(F.col("cosine") >= cosine).select(F.least("i", "j").alias("pair_lo"), F.greatest("i", "j").alias("pair_hi"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config
 from ..operators import ann, evaluate, hashing, merge, refine, similarity, tiering, tiles, tuning
+from ..session import beside
 from ..sources import append_log, cache, files
 from .metrics import Metrics
 
@@ -75,41 +76,52 @@ class Engine:
         best = kept if p.max_pairs is None else similarity.capped(kept, p.max_pairs)
         return similarity.z_global(best, similarity.similarity_stats(vectors))
 
+    def bundles(self, panels: DataFrame) -> DataFrame:
+        return hashing.bundle(panels.select(F.col("panel_id").alias("id"), "vec"))
+
     def hashed(self, panels: DataFrame) -> DataFrame:
         """All pairs whose bundles come within the distance in any two of the symmetries; none is lost."""
-        return hashing.orbit_pairs(hashing.bundle(panels.select(F.col("panel_id").alias("id"), "vec")), self.config.pairing.hamming)
+        return hashing.orbit_pairs(self.bundles(panels), self.config.pairing.hamming)
 
     def run(
         self, panels: DataFrame, annotate: Step | None = None, geometry: DataFrame | Step | None = None, tile_matches: Step | None = None, by_modality: bool = False, gate_near_pages: bool = False,
         classifier: PipelineModel | None = None, measure: bool = True, plain: bool = False,
     ) -> Result:
-        """annotate adds ssim, patch_min, patch_topk to semantic pairs (i, j, cosine, clip_z).
+        """annotate adds ssim, patch_min, patch_topk to semantic pairs (i, j, cosine, clip_z), a row for each.
 
-        geometry: a function of the pairs worth a check (pair_lo, pair_hi; close by cosine or hash) that gives (i, j, orb_inliers, ...), or such a table, of which those pairs are taken.
+        geometry: a function of the pairs worth a check (pair_lo, pair_hi; close by cosine or hash) that gives (i, j, orb_inliers, ...), or such a table; of either those pairs are taken.
         tile_matches: a function of the pairs that gives their tiles' matches (pair_lo, pair_hi, ssim, hamming, cosine, confidence, method); called if enough panels are confocal.
         by_modality: tiers by the pair's modality instead of the universal ones; plain: by the paths of tiering.tiered_plain() alone. gate_near_pages drops pairs on near pages without support.
-        classifier: one of tuning.fitted_classifier() or load_classifier(). measure: each stage is written, counted and timed as it runs; else all is lazy.
+        classifier: one of tuning.fitted_classifier() or load_classifier(). measure: each stage is written, counted and timed as it runs, and deleted when no
+        later one reads it; else all is lazy.
         """
         p, metrics = self.config.pairing, Metrics(self.spark)
         stage = metrics.run if measure else (lambda name, df, after=(), **more: df)
         panels = stage("panels", panels)
         semantic = self.semantic(panels)
-        semantic = stage("semantic", annotate(semantic) if annotate else semantic, ("panels",))
-        hashed = stage("hashes", self.hashed(panels), ("panels",))
-        sources = ("semantic", "hashes")
+        semantic = (annotate(semantic) if annotate else semantic).withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
+        semantic = stage("semantic", hashing.with_distance(semantic, self.bundles(panels), p.hamming), ("panels",))
+        both = semantic.where("hamming is not null").select("i", "j", F.lit(True).alias("met"))
+        hashed = stage("hashes", self.hashed(panels).join(both, ["i", "j"], "left"), ("panels",))
+        sources, found, checked = ("semantic", "hashes"), merge.apart(semantic, hashed), merge.worth(p.trigger_cosine, p.trigger_hamming)
         if geometry is not None:
-            worth = stage("triggers", merge.trigger_pairs(semantic, hashed, p.trigger_cosine, p.trigger_hamming), sources)
-            found = geometry.withColumns({"pair_lo": F.least("i", "j"), "pair_hi": F.greatest("i", "j")}).join(worth, ["pair_lo", "pair_hi"], "left_semi").drop("pair_lo", "pair_hi") if isinstance(geometry, DataFrame) else geometry(worth)
-            geometry, sources = stage("geometry", found, ("triggers",)), (*sources, "geometry")
-        pairs = merge.merged(semantic, hashed, geometry)
-        side = lambda k, s: panels.select(F.col("panel_id").alias(k), F.col("path").alias(f"path_{s}"), F.col("modality").alias(f"modality_{s}"), F.col("page").alias(f"_page_{s}"))
-        named = pairs.join(side("pair_lo", "a"), "pair_lo", "left").join(side("pair_hi", "b"), "pair_hi", "left")
-        kinds = merge.SEMANTIC | merge.HASHES | merge.GEOMETRY
-        named = named.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in named.columns} | {"gap": F.abs(F.col("_page_a") - F.col("_page_b"))}).drop("_page_a", "_page_b")
-        merged = stage("merge", (merge.near_page_gate(named, p.trigger_hamming, near=p.near_gap) if gate_near_pages else named).drop("gap"), sources)
+            worth = stage("triggers", found.where(checked).select("pair_lo", "pair_hi"), sources)
+            asked = geometry.withColumns({"pair_lo": F.least("i", "j"), "pair_hi": F.greatest("i", "j")}).join(worth, ["pair_lo", "pair_hi"], "left_semi").drop("pair_lo", "pair_hi") if isinstance(geometry, DataFrame) else geometry(worth)
+            geometry, sources = stage("geometry", asked, ("triggers",)), (*sources, "geometry")
+            metrics.forget("triggers")
+        pairs = merge.with_geometry(found, checked, geometry)
+        if gate_near_pages:
+            pairs = merge.near_page_gate(similarity.with_pages(pairs.withColumnsRenamed({"pair_lo": "i", "pair_hi": "j"}), panels), p.trigger_hamming, near=p.near_gap)
+            pairs = pairs.drop("page_a", "page_b", "same_page", "gap").withColumnsRenamed({"i": "pair_lo", "j": "pair_hi"})
+        pairs = stage("merge", pairs, sources)
+        metrics.forget(*sources)
+        names = beside(panels.select("panel_id", "path", "modality"))
+        side = lambda k, s: names.toDF(k, f"path_{s}", f"modality_{s}")
+        merged = pairs.join(side("pair_lo", "a"), "pair_lo", "left").join(side("pair_hi", "b"), "pair_hi", "left")
         tiered = tiering.tiered_by_modality(merged) if by_modality else (tiering.tiered_plain if plain else tiering.tiered)(merged, self.config.tiers)
         a, b = F.count_if(F.col("tier") == "A"), F.count_if(F.col("tier") == "B")
         out, last = stage("tiers", refine.refined(tiered), ("merge",), tier_a=a, tier_b=b), "tiers"
+        metrics.forget("merge")
         if tile_matches is not None and tiles.use_tiles(panels):
             out, last = stage("tiles", refine.with_tile_evidence(out, tiles.rolled_up(tile_matches(out)), self.config.tiles.confirm), (last,), tier_a=a, tier_b=b), "tiles"
         if classifier is not None:

@@ -16,25 +16,41 @@ from ..session import workspace
 
 SCHEMA = "stage string, seconds double, n_in long, n_out long, reduction_pct double, throughput double, pct_of_total double, bottleneck boolean, more string"
 
+#: Lets Spark delete a job's shuffles when it ends. A stage is written, so nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @dataclass
 class Metrics:
     spark: SparkSession
     slow: float = 5.0
     stages: list[dict] = field(default_factory=list)
+    places: dict[str, str] = field(default_factory=dict)
 
     def run(self, name: str, df: DataFrame, after: tuple[str, ...] = (), **more: Column) -> DataFrame:
         """df written in the shared folder and read again. after: the stages whose rows it takes in. more: further aggregates of its rows."""
         seen = Observation(name)
         at = f"{workspace(self.spark, 'stages')}"
         began = time.time()
-        df.observe(seen, F.count(F.lit(1)).alias("n_out"), *[c.alias(k) for k, c in more.items()]).write.parquet(at)
+        held = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.observe(seen, F.count(F.lit(1)).alias("n_out"), *[c.alias(k) for k, c in more.items()]).write.option("compression", "zstd").parquet(at)
+        finally:
+            self.spark.conf.set(CLEANUP, held)
         took = time.time() - began
-        got = dict(seen.get)
+        got, self.places[name] = dict(seen.get), at
         known = {s["stage"]: s["n_out"] for s in self.stages}
         self.stages.append({"stage": name, "seconds": took, "n_in": sum(known[a] for a in after) if after else got["n_out"], "n_out": got.pop("n_out"), "more": json.dumps(got, default=str)})
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def forget(self, *names: str) -> None:
+        """Deletes the rows of stages that no later one reads, so that they don't fill the disk beside its own; what was counted stays."""
+        for name in names:
+            if name in self.places:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.places.pop(name))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def total(self) -> float:
         return sum(s["seconds"] for s in self.stages)
 
